@@ -21,9 +21,10 @@ bit filter of bounded size; its false positives only change the order.
 
 Candidates. In a group of sketches that share a block all are checked against one of them (a star),
 and links are contracted to components. Only pairs that lie in different components are looked
-at again: in small groups all of them, in large groups those that pass a parity bit sketch of 2048 bits
-(its Hamming distance is a lower bound of d), in blocks of bounded size. Every candidate is then
-verified on the exact shingle hashes. Equal sets are one node from the start.
+at again: in small groups all of them, in large groups in blocks of bounded size. The centre of a large group
+is the member with the most shared symbols, so that of near copies the original is likely chosen.
+Every candidate first passes a parity bit sketch of 4096 bits (its Hamming distance is a lower bound of
+d) and is then verified on the exact shingle hashes. Equal sets are one node from the start.
 
 Null, empty and blank texts have no shingles and link with nothing. Rows that repeat a doc_id are
 separate rows with the same id; a null doc_id takes part, and a component of only such rows has a null id.
@@ -46,7 +47,7 @@ from watchloom.llm.text_hash import mix64, shingle_sets, text_slices, words
 SIZE, NUM, DEN = 5, 3, 4
 DENSE = 16
 _SMALL = 64
-_BITS = 2048
+_BITS = 4096
 _BLOCK = 1024  # rows of a large group that one task holds on either side
 
 
@@ -99,7 +100,7 @@ def _nodes(docs: DataFrame, size: int, num: int, den: int, seed: int) -> DataFra
     return docs.mapInArrow(run, "doc_id long, n long, node long, check long, fits boolean")
 
 
-def _prefixes(raw, off, size, num, den, seed, hot) -> Iterator[tuple[int, int, np.ndarray]]:
+def _prefixes(raw, off, size, num, den, seed, hot, parts) -> Iterator[tuple[int, int, np.ndarray]]:
     """``(node, n, symbols)`` of the distinct sets of a slice; without ``hot`` all symbols."""
     seen = set()
     for s in shingle_sets(words(raw, off, lower=True), size):
@@ -110,15 +111,15 @@ def _prefixes(raw, off, size, num, den, seed, hot) -> Iterator[tuple[int, int, n
         for band in _bands(n, num, den):
             sig = _symbols(s, band, seed)
             if hot is not None:
-                late = hot.has(_count_key(sig))
+                late = hot.has(mix64(_count_key(sig, parts)))
                 take = allowed(n, num, den) + 1
                 sig = sig[~late][:take] if (~late).sum() >= take else np.concatenate([sig[~late], sig[late][: take - (~late).sum()]])
             yield node, n, sig
 
 
-def _count_key(sig: np.ndarray) -> np.ndarray:
-    """What the count of a symbol goes by: 44 bits of it."""
-    return mix64(sig >> np.uint64(20))
+def _count_key(sig: np.ndarray, parts: int) -> np.ndarray:
+    """What the count of a symbol goes by: as many of its values as ``parts`` times 32 bits tell apart."""
+    return (sig >> np.uint64(20)) % np.uint64(parts << 32)
 
 
 def _by_part(part: np.ndarray, parts: int, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
@@ -140,37 +141,33 @@ def _hot_symbols(docs: DataFrame, size, num, den, seed, dense, parts) -> DataFra
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, raw, off in text_slices(batch, "text"):
-                found = [sig for _, _, sig in _prefixes(raw, off, size, num, den, seed, None)]
+                found = [sig for _, _, sig in _prefixes(raw, off, size, num, den, seed, None, parts)]
                 if found:
-                    sig = np.concatenate(found) >> np.uint64(20)
-                    part = (sig % np.uint64(parts)).astype(np.int64)
-                    low = ((sig // np.uint64(parts)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+                    key = _count_key(np.concatenate(found), parts)
+                    part = (key % np.uint64(parts)).astype(np.int64)
+                    low = (key // np.uint64(parts)).astype(np.uint32)
                     yield _by_part(part, parts, {"low": low.view(np.int32)})
 
-    bits = 0xFFFFFFFF
-
     def most(table: pa.Table) -> pa.Table:
         part = table.column("part")[0].as_py()
         low, n = np.unique(_flat(table, "low").view(np.uint32), return_counts=True)
-        low = low[n > dense].astype(np.uint64)
-        top = (2**44 // parts >> 32) + 1  # what the 32 bits leave open
-        full = np.concatenate([(low + np.uint64(k * (bits + 1))) * np.uint64(parts) + np.uint64(part) for k in range(top)])
-        return pa.table({"h": mix64(full[full < 2**44]).view(np.int64)})
+        key = low[n > dense].astype(np.uint64) * np.uint64(parts) + np.uint64(part)
+        return pa.table({"h": mix64(key).view(np.int64)})
 
     packed = docs.select("text").mapInArrow(count, "part int, low array<int>")
     return packed.groupBy("part").applyInArrow(most, "h long")
 
 
 def _groups(docs: DataFrame, size, num, den, seed, hot, dense, parts) -> DataFrame:
-    """Groups of sketches that share a block: star edges, small groups' other pairs, members of large groups.
+    """Groups of sketches that share a block.
 
-    kind 0: star edge a - b; 1: another pair of a small group; 2: a is in the large group ``sig``, whose star has the centre b.
+    kind 0: edge a - b of the star of a small group; 1: another pair of a small group; 2: a is in the large group ``sig``.
     """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, raw, off in text_slices(batch, "text", 4_000_000):
-                found = list(_prefixes(raw, off, size, num, den, seed, hot.value))
+                found = list(_prefixes(raw, off, size, num, den, seed, hot.value, parts))
                 if found:
                     lengths = [len(x[2]) for x in found]
                     sig = np.concatenate([x[2] for x in found])
@@ -197,74 +194,79 @@ def _groups(docs: DataFrame, size, num, den, seed, hot, dense, parts) -> DataFra
             pairs = np.unique(np.stack([node[a[ok]], node[b[ok]]], 1), axis=0)
             out.append((np.full(len(pairs), kind), np.zeros(len(pairs), np.int64), pairs[:, 0], pairs[:, 1]))
 
-        more = np.flatnonzero(count > 1)
-        if len(more):
-            size_of = count[more]
-            centre = np.repeat(first[more], size_of - 1)
-            member = np.repeat(first[more] + 1 - (np.cumsum(size_of - 1) - (size_of - 1)), size_of - 1) + np.arange(int((size_of - 1).sum()))
-            add(0, centre, member)
-            small = more[(count[more] > 2) & (count[more] <= dense)]
-            pairs = [np.zeros((2, 0), np.int64)]
-            for k in np.unique(count[small]):
-                i, j = np.triu_indices(int(k) - 1, 1)
-                base = first[small[count[small] == k]] + 1
-                pairs.append(np.stack([(base[:, None] + i).ravel(), (base[:, None] + j).ravel()]))
-            a, b = np.concatenate(pairs, 1)
-            if len(a):
-                add(1, a, b)
-            large = more[count[more] > dense]
-            if len(large):
-                at = np.concatenate([np.arange(first[g], first[g] + count[g]) for g in large])
-                top = np.repeat(node[first[large]], count[large])
-                out.append((np.full(len(at), 2), sig[at], node[at], top))
-        kind, s, a, b = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 4
+        few = np.flatnonzero((count > 1) & (count <= dense))
+        pairs = [np.zeros((2, 0), np.int64)]
+        for k in np.unique(count[few]):
+            i, j = np.triu_indices(int(k), 1)
+            base = first[few[count[few] == k]]
+            pairs.append(np.stack([(base[:, None] + i).ravel(), (base[:, None] + j).ravel()]))
+        a, b = np.concatenate(pairs, 1)
+        star = np.isin(a, first)
+        add(0, a[star], b[star])
+        add(1, a[~star], b[~star])
+        at = np.flatnonzero(np.repeat(count > dense, count))
+        out.append((np.full(len(at), 2), sig[at], node[at], node[at]))
+        kind, s, a, b = (np.concatenate(x) for x in zip(*out))
         return pa.table({"kind": pa.array(kind, pa.int32()), "sig": pa.array(s, pa.int64()), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     packed = docs.select("text").mapInArrow(send, "part int, sig array<long>, node array<long>, n array<int>")
     return packed.groupBy("part").applyInArrow(meet, "kind int, sig long, a long, b long")
 
 
-def _sets(docs: DataFrame, size: int, chosen) -> DataFrame:
-    """``(node, n, shingles, sketch)`` of candidate nodes, from one of the documents with that set."""
+def _of_nodes(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, size: int, schema: str, column: str, value) -> DataFrame:
+    """``value`` of the shingle sets of the wanted nodes, each from one document that has it."""
+    reps = nodes.join(wanted.distinct(), "node", "left_semi").select(F.coalesce("rep", F.lit(-(2**63))).alias("rep"))
+    chosen = docs.sparkSession.sparkContext.broadcast(bloom.build(materialise(mixed(reps, "rep")), "rep"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).fill_null(-(2**63)).to_numpy(zero_copy_only=False)
             for i, j, raw, off in text_slices(batch, "text"):
                 some = chosen.value.has(mix64(ids[i:j].view(np.uint64)))
-                if not some.any():
-                    continue
-                rows = []
-                for take, s in zip(some, shingle_sets(words(raw, off, lower=True), size)):
-                    if take and len(s):
-                        h = np.bincount((mix64(s) & np.uint64(_BITS - 1)).astype(np.int64), minlength=_BITS) & 1
-                        rows.append((_node(s)[0], len(s), s.view(np.int64), np.packbits(h.astype(np.uint8)).tobytes()))
-                if rows:
-                    node, n, s, sketch = zip(*rows)
-                    yield pa.record_batch(
-                        {"node": pa.array(node, pa.int64()), "n": pa.array(n, pa.int64()), "shingles": pa.array(s, pa.list_(pa.int64())), "sketch": pa.array(sketch, pa.binary())}
-                    )
-
-    found = docs.mapInArrow(run, "node long, n long, shingles array<long>, sketch binary")
-    return found.groupBy("node").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles"), F.first("sketch").alias("sketch"))
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+                if some.any():
+                    sets = shingle_sets(words(raw, off, lower=True), size)
+                    rows = [(_node(s)[0], len(s), value(s)) for take, s in zip(some, sets) if take and len(s)]
+                    if rows:
+                        node, n, held = zip(*rows)
+                        yield pa.record_batch({"node": pa.array(node, pa.int64()), "n": pa.array(n, pa.int64()), column: pa.array(held, pa.list_(pa.int64()))})
+
+    found = docs.mapInArrow(run, f"node long, n long, {column} {schema}")
+    return materialise(found.groupBy("node").agg(F.first("n").alias("n"), F.first(column).alias(column)))
+
+
+def _bit_sketch(s: np.ndarray) -> np.ndarray:
+    odd = np.bincount((mix64(s) & np.uint64(_BITS - 1)).astype(np.int64), minlength=_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _plausible(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs whose sizes and bit sketches allow a link."""
+    a = sketches.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("ka"))
+    b = sketches.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("kb"))
+    far = F.aggregate(F.zip_with("ka", "kb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    sizes = F.least("na", "nb") * den >= F.greatest("na", "nb") * num
+    return materialise(pairs.join(b, "b").join(a, "a").filter(sizes & (far * (den + num) <= (F.col("na") + F.col("nb")) * (den - num))).select("a", "b"))
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, size: int, num: int, den: int) -> DataFrame:
     """The pairs ``(a, b)`` whose exact similarity reaches the threshold."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node"))
+    sets = _of_nodes(docs, nodes, wanted, size, "array<long>", "shingles", lambda s: s.view(np.int64))
     a = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa"))
     b = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb")).cast("long")
-    return pairs.join(b, "b").join(a, "a").withColumn("_i", both).filter(F.col("_i") * den >= (F.col("na") + F.col("nb") - F.col("_i")) * num).select("a", "b")
+    found = pairs.join(b, "b").join(a, "a").withColumn("_i", both)
+    return materialise(found.filter(F.col("_i") * den >= (F.col("na") + F.col("nb") - F.col("_i")) * num).select("a", "b"))
 
 
-def _crossing(members: DataFrame, labels: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def _crossing(members: DataFrame, labels: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
     """In large groups the pairs of different components that pass the bit sketch."""
     named = members.join(labels.select(F.col("v").alias("node"), "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
     centre = labels.select(F.col("v").alias("centre"), F.col("label").alias("own"))
     named = named.join(centre, "centre", "left").withColumn("rest", F.col("label") != F.coalesce("own", "centre")).drop("own", "centre")
     named = materialise(named)
     totals = named.groupBy("sig").agg(F.count("*").alias("total"), F.count_if("rest").alias("open")).filter("open > 0")
-    named = named.join(totals, "sig").join(sets.select("node", "n", "sketch"), "node")
+    named = named.join(totals, "sig").join(sketches, "node")
     over = lambda c: F.ceil(F.col(c) / _BLOCK).cast("int")
     place = lambda c: F.pmod(F.xxhash64("node"), over(c)).cast("int")
     every = lambda c: F.explode(F.sequence(F.lit(0), over(c) - 1))
@@ -274,7 +276,7 @@ def _crossing(members: DataFrame, labels: DataFrame, sets: DataFrame, num: int,
     def compare(table: pa.Table) -> pa.Table:
         ask = table.column("ask").to_numpy(zero_copy_only=False).astype(bool)
         node, label, n = (table.column(c).to_numpy(zero_copy_only=False) for c in ("node", "label", "n"))
-        bits = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(len(node), _BITS // 64)
+        bits = _flat(table, "sketch").reshape(len(node), _BITS // 64)
         q, t = np.flatnonzero(ask), np.flatnonzero(~ask)
         out = [np.zeros((0, 2), np.int64)]
         for i in q:
@@ -306,19 +308,22 @@ def ngram_components(docs: DataFrame, id: str = "doc_id", text: str = "text", si
     share = spark.sparkContext.broadcast
     hot = share(bloom.build(materialise(_hot_symbols(docs, size, num, den, seed, dense, parts)), "h"))
     groups = materialise(_groups(docs, size, num, den, seed, hot, dense, parts))
-    stars = groups.filter("kind = 0").select("a", "b").distinct()
+    members = groups.filter("kind = 2").select("sig", F.col("a").alias("node"))
+    shared = members.groupBy("node").agg(F.count("*").alias("shared"))
+    best = members.join(shared, "node").groupBy("sig").agg(F.max_by("node", F.struct("shared", "node")).alias("centre"))
+    members = materialise(members.join(best, "sig"))
+    large = members.filter("node != centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
+    stars = materialise(groups.filter("kind = 0").select("a", "b").unionByName(large).distinct())
     others = groups.filter("kind = 1").select("a", "b").distinct()
-    members = groups.filter("kind = 2").select("sig", F.col("a").alias("node"), F.col("b").alias("centre"))
-    wanted = groups.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    reps = nodes.join(wanted, "node", "left_semi").select(F.coalesce("rep", F.lit(-(2**63))).alias("rep"))
-    chosen = share(bloom.build(materialise(mixed(reps, "rep")), "rep"))
-    sets = materialise(_sets(docs, size, chosen))
-    links = materialise(_verified(stars, sets, num, den))
+    wanted = groups.select(F.explode(F.array("a", "b")).alias("node"))
+    sketches = _of_nodes(docs, nodes, wanted, size, "array<long>", "sketch", _bit_sketch)
+    links = _verified(_plausible(stars, sketches, num, den), docs, nodes, size, num, den)
     labels = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     of = lambda c: labels.select(F.col("v").alias(c), F.col("label").alias(f"l{c}"))
     apart = others.join(of("a"), "a", "left").join(of("b"), "b", "left").filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
-    second = apart.unionByName(_crossing(members, labels, sets, num, den)).distinct()
-    more = materialise(_verified(second, sets, num, den))
+    crossing = _crossing(members, labels, sketches, num, den)
+    second = materialise(_plausible(apart, sketches, num, den).unionByName(crossing).distinct())
+    more = links.limit(0) if second.isEmpty() else _verified(second, docs, nodes, size, num, den)
     if not more.isEmpty():
         whole = links.unionByName(more).select(F.col("a").alias("u"), F.col("b").alias("v"))
         labels = connected_components(whole)

@@ -52,7 +52,7 @@ lost AS (SELECT DISTINCT doc_id, i + o AS i FROM again, (SELECT unnest(range(0,
 gone AS (SELECT doc_id, list(i) AS gone FROM lost GROUP BY doc_id)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
   sha256(CASE WHEN gone IS NULL THEN array_to_string(w, ' ')
-    ELSE array_to_string(list_transform(list_filter(list_zip(w, range(1, len(w) + 1)), x -> NOT list_contains(gone, x[2])), x -> x[1]), ' ') END) AS kept_sha256
+    ELSE array_to_string(list_transform(list_filter(list_zip(w, range(1, len(w) + 1)), lambda x: NOT list_contains(gone, x[2])), lambda x: x[1]), ' ') END) AS kept_sha256
 FROM w LEFT JOIN gone USING (doc_id)
 """,
 }
