@@ -19,6 +19,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -129,8 +130,6 @@ def _with_next(docs: DataFrame, id: str, text: str) -> DataFrame:
 
 
 def _bucket_udf(cuts: np.ndarray):
-    import pandas as pd
-
     @F.pandas_udf("int")
     def bucket(keys: pd.Series) -> pd.Series:
         return pd.Series(np.searchsorted(cuts, keys.to_numpy(), side="left").astype(np.int32))
@@ -139,8 +138,6 @@ def _bucket_udf(cuts: np.ndarray):
 
 
 def _target_udf(keys: np.ndarray, targets: np.ndarray):
-    import pandas as pd
-
     @F.pandas_udf("int")
     def target(own: pd.Series) -> pd.Series:
         return pd.Series(targets[np.searchsorted(keys, own.to_numpy())].astype(np.int32))
