@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from watchloom.llm import bpe, chat_format, fingerprints, html_text, language_id, mixing, ngram_join, substring_dedup
+from watchloom.llm import bpe, chat_format, fingerprints, html_text, language_id, mixing, ngram_join, substring_dedup, toxicity
 from watchloom.session import ship
 
 
@@ -47,13 +47,17 @@ def op8_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) ->
     return bpe.digest_table(_table(spark, sf_dir, "documents"), vocabulary)
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_table(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup_digest(_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_ngram_jaccard_join, op2_chat_format, op3_syncmer_fingerprints, op4_language_id, op6_temperature_mix, op7_html_extraction, op8_bpe, op10_substring_dedup)
+    for f in (op1_ngram_jaccard_join, op2_chat_format, op3_syncmer_fingerprints, op4_language_id, op6_temperature_mix, op7_html_extraction, op8_bpe, op9_toxicity, op10_substring_dedup)
 }
 
 _WORDS = r"regexp_extract_all(coalesce({}, ''), '[^\x20\x09-\x0D]+')"
