@@ -1,5 +1,74 @@
-"""Corpus pipeline: stages over the documents table, each written as Parquet and read again."""
-STAGES = []
+"""Corpus pipeline: language ID, near-duplicate join, passage dedup, mixing and tokenisation.
+
+Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; between stages the rows are written as Parquet
+to the shared folder and read again. All stages but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from watchloom.llm import bpe, language_id, mixing, ngram_join, substring_dedup
+from watchloom.llm.storage import materialise
+from watchloom.session import ship
+
+VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+#: A document is drawn at most this often, and no source is cut below one whole epoch.
+MAX_EPOCHS = 2.0
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any language (no letters) or in another than their label says go; unlabelled ones get the prediction."""
+    ship(spark)
+    model = language_id.fit(language_id.training_part(docs))
+    found = language_id.identify(docs, model, lang_col="_lang", score_col="_score")
+    kept = found.filter((F.col("_lang") != language_id.UNKNOWN) & (F.col("lang").isNull() | (F.col("lang") == F.col("_lang"))))
+    return kept.withColumn("lang", F.coalesce("lang", "_lang")).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked ones stays: that with the smallest id."""
+    ship(spark)
+    return ngram_join.keep_one(docs)
+
+
+def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 20 words and more that stand earlier too are cut; ``n_chars`` follows the text."""
+    ship(spark)
+    cut = substring_dedup.dedup_texts(docs)
+    return cut.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Small sources are repeated up to the limit, each document at least once; rows are draws."""
+    ship(spark)
+    return mixing.mix(docs, max_epochs=MAX_EPOCHS, keep_all=True).select(*docs.columns)
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``documents`` with ``tokens`` (ids), ``n_tokens`` and ``decoded``, the text that the ids give back."""
+    ship(spark)
+    return bpe.encode_table(docs, VOCABULARY).withColumn("n_tokens", F.size("tokens").cast("long"))
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("near_duplicates", drop_near_duplicates),
+    ("substring_dedup", drop_repeated_passages),
+    ("mixing", mix_sources),
+    ("bpe", tokenize),
+]
+
+#: No SQL: language profiles and byte-pair encoding are beyond it; tests compare with brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = ship(spark).read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = materialise(docs)
+    return docs

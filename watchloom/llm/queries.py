@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from watchloom.llm import bpe, chat_format, fingerprints, html_text, language_id, mixing, ngram_join, substring_dedup, toxicity
+from watchloom.llm import bpe, chat_format, fingerprints, html_text, language_id, mixing, ngram_join, substring_dedup, topk_search, toxicity
 from watchloom.session import ship
 
 
@@ -31,6 +31,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict_table(_table(spark, sf_dir, "documents"))
 
 
+def op5_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.search_table(_table(spark, sf_dir, "embeddings"))
+
+
 def op6_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_table(_table(spark, sf_dir, "documents"))
 
@@ -57,7 +61,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_ngram_jaccard_join, op2_chat_format, op3_syncmer_fingerprints, op4_language_id, op6_temperature_mix, op7_html_extraction, op8_bpe, op9_toxicity, op10_substring_dedup)
+    for f in (op1_ngram_jaccard_join, op2_chat_format, op3_syncmer_fingerprints, op4_language_id, op5_topk_search, op6_temperature_mix, op7_html_extraction, op8_bpe, op9_toxicity, op10_substring_dedup)
 }
 
 _WORDS = r"regexp_extract_all(coalesce({}, ''), '[^\x20\x09-\x0D]+')"
@@ -86,6 +90,12 @@ SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) |
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
   sum(length(role) + length(body) + 24)::BIGINT AS formatted_chars
 FROM e GROUP BY conv_id
+""",
+    "op5_topk_search": """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, d.vec_id, list_inner_product(q.e, d.e)::BIGINT AS score FROM v q JOIN v d ON q.vec_id % 100 = 0 AND q.vec_id <> d.vec_id)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10
 """,
     "op10_substring_dedup": f"""
 WITH w AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents),
