@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 # The template's marks, and what is escaped in texts.
 TURN, SAYS, END = "<|turn|>", "<|says|>", "<|end|>"
-_CONTROL = re.compile(r"([<\[])(\\*)(?=\||/?INST\]|/?s>|</?SYS>>|/?SYS>>)")
-_ESCAPED = re.compile(r"([<\[])\\(\\*)(?=\||/?INST\]|/?s>|</?SYS>>|/?SYS>>)")
+_CONTROL = re.compile(r"([<\[])(\\*)(?=\||/?INST\]|/?s>|/?SYS>>)")
+_ESCAPED = re.compile(r"([<\[])\\(\\*)(?=\||/?INST\]|/?s>|/?SYS>>)")
 
 
 def escape(text: str) -> str:

@@ -25,6 +25,7 @@ PROFILE = 400
 DOCUMENT_PROFILE = 300
 UNKNOWN = "und"
 _BITS = np.uint64(21)
+_BORDER = np.uint64(1)
 
 
 @lru_cache(maxsize=1)
@@ -33,29 +34,26 @@ def _letters() -> np.ndarray:
 
 
 def ngrams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Codes and counts of the n-grams of a whole text; a border is 0."""
+    """Codes and counts of the n-grams of a whole text; a border is the code point 1."""
     code = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32)
     letter = _letters()[code]
     if not letter.any():
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    c = np.zeros(len(code) + 2, np.uint64)
-    c[1:-1] = np.where(letter, code, 0)
+    c = np.full(len(code) + 2, _BORDER)
+    c[1:-1] = np.where(letter, code, _BORDER)
     keep = np.ones(len(c), bool)
-    keep[1:] = (c[1:] != 0) | (c[:-1] != 0)
+    keep[1:] = (c[1:] != _BORDER) | (c[:-1] != _BORDER)
     c = c[keep]
     two = (c[:-1] << _BITS) | c[1:]
     three = (two[:-1] << _BITS) | c[2:]
-    found = np.concatenate([c[c != 0], two, three[c[1:-1] != 0]])
+    found = np.concatenate([c[c != _BORDER], two, three[c[1:-1] != _BORDER]])
     return np.unique(found, return_counts=True)
 
 
 def decode(gram: int) -> str:
     """An n-gram as text, borders as ``_``."""
-    parts = [(gram >> s) & 0x1FFFFF for s in (42, 21, 0)]
-    size = 3 if gram >> 42 else 2 if gram >> 21 else 1
-    if size == 2 and parts[0] == 0:
-        parts = parts[1:]
-    return "".join(chr(p) if p else "_" for p in parts[-max(size, 2) :]) if gram >> 21 else chr(gram)
+    parts = [p for p in ((gram >> s) & 0x1FFFFF for s in (42, 21, 0)) if p]
+    return "".join("_" if p == 1 else chr(p) for p in parts)
 
 
 def _top(grams: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:

@@ -107,7 +107,7 @@ def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "
     inside = Window.partitionBy(*keys).orderBy("_order", id, "_tie").rowsBetween(Window.unboundedPreceding, -1)
     placed = drawn.join(offsets, keys).withColumn("_start", F.col("_epoch") * F.col("_total") + F.col("_before") + F.coalesce(F.sum("_tokens").over(inside), F.lit(0)))
     kept = placed.filter((F.col("_start") < F.col("_quota")) | ((F.col("_total") == 0) & (F.col("_epoch") == 0)))
-    block = F.coalesce(F.floor(F.col("_start") / (F.col("_weight") * block_tokens)), F.lit(0)).cast("long")
+    block = F.coalesce(F.floor(F.try_divide(F.col("_start"), F.col("_weight") * block_tokens)), F.lit(0)).cast("long")
     return kept.withColumn("_block", block).select(*docs.columns, "_tokens", "_epoch", "_start", "_block", "_order")
 
 

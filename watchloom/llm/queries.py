@@ -84,7 +84,7 @@ FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT x AS doc_id, min(y) AS
     "op2_chat_format": r"""
 WITH m AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
-e AS (SELECT *, regexp_replace(text, '([<\[])(\\*)(\||/?INST\]|/?s>|</?SYS>>|/?SYS>>)', '\1\\\2\3', 'g') AS body FROM m)
+e AS (SELECT *, regexp_replace(text, '([<\[])(\\*)(\||/?INST\]|/?s>|/?SYS>>)', '\1\\\2\3', 'g') AS body FROM m)
 SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role)) AS turns_sha256,
   sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
