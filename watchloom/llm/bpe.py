@@ -7,8 +7,9 @@ is, if merging the two strings in rank order gives just these two tokens. Where
 back and takes the next shorter one. Compatibility of each pair of neighbours makes the sequence the one that
 merging finds, so each place is visited a bounded number of times and the work is linear.
 
-Pairs are kept in a table filled as they occur, words in a table of bounded size; both are
-emptied when full, which costs time only.
+Whether a pair is compatible is read off the merge trees of the two tokens, along the sides that touch.
+Pairs are kept in a table filled as they occur, words in two generations of bounded
+size; what is dropped is worked out again, which costs time only.
 
 Decoding looks every id up in one byte string of all tokens by offsets. Like the library without a
 decoder, tokens are joined by one space.
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -29,7 +31,8 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_FULL = 250_000
+_FULL = 150_000
+_NEVER = 1 << 60
 
 
 def byte_symbols() -> list[str]:
@@ -47,12 +50,13 @@ class BpeCodec:
         self.suffix = model.get("end_of_word_suffix") or ""
         self.added = {t["content"]: t["id"] for t in j.get("added_tokens", [])}
         pattern = next(p["pattern"]["Regex"] for p in j["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.split = regex.compile(pattern)
+        # white space as the library's engine has it; splitting drops it, so it need not be collapsed first
+        self.split = regex.compile(pattern.replace(r"\s", r"\p{White_Space}"))
+        self.split_ascii = re.compile(pattern.replace(r"\s", r"\t-\r ").replace(r"\p{L}", "a-zA-Z").replace(r"\p{N}", "0-9"))
         self.special = regex.compile("|".join(regex.escape(t) for t in sorted(self.added, key=len, reverse=True))) if self.added else None
         self.bytes = byte_symbols()
         self.end = "\x00"  # stands for the suffix, as one character
         vocab = {self._inner(t): i for t, i in model["vocab"].items()}
-        self.ids = vocab
         self.rank = {}
         for k, m in enumerate(model["merges"]):
             a, b = m if isinstance(m, list) else m.split(" ")
@@ -62,9 +66,24 @@ class BpeCodec:
         for t in self.reachable:
             self.automaton.add_word(t[::-1], t)
         self.automaton.make_automaton()
+        # what each token is merged from, and when
+        self.tree: dict[str, tuple[str, str, int]] = {}
+        twice = set()
+        for (a, b), k in self.rank.items():
+            if a + b in self.tree:
+                twice.add(a + b)
+            else:
+                self.tree[a + b] = (a, b, k)
+        for token in twice:
+            a, b = self._last_merge(token)
+            self.tree[token] = (a, b, self.rank[a, b])
+        self.spines: dict[tuple[str, bool], list[tuple[str, int]]] = {}
+        self.whole: dict[str, bool] = {}
+        self.id_bytes = {t: int(i).to_bytes(4, "little") for t, i in vocab.items()}
         self.shorter: dict[str, str | None] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         texts = {i: t for t, i in model["vocab"].items()} | {i: t for t, i in self.added.items()}
         pieces = [(texts.get(i, "") + " ").encode() for i in range(max(texts) + 1)]
         self.offsets = np.concatenate([[0], np.cumsum([len(p) for p in pieces])]).astype(np.int64)
@@ -73,18 +92,19 @@ class BpeCodec:
     def _inner(self, token: str) -> str:
         return token[: -len(self.suffix)] + self.end if self.suffix and token.endswith(self.suffix) and token != self.suffix else token
 
-    def _merged(self, text: str) -> list[str]:
-        """Merging in rank order: the meaning of compatibility."""
+    def _merged(self, text: str, keep_last: bool = False) -> list[str]:
+        """Merging in rank order: what a whole word must come to; with ``keep_last`` the parts before the last merge."""
         parts = list(text)
         if len(parts) > 1 and parts[-1] == self.end:
             parts[-2:] = [parts[-2] + self.end]
         while len(parts) > 1:
-            ranks = [self.rank.get(p, 1 << 60) for p in zip(parts, parts[1:])]
+            ranks = [self.rank.get(p, _NEVER) for p in zip(parts, parts[1:])]
             k = min(ranks)
-            if k == 1 << 60:
+            if k == _NEVER or keep_last and len(parts) == 2:
                 break
-            a, b = next(p for p in zip(parts, parts[1:]) if self.rank.get(p) == k)
-            out, i = [], 0
+            at = ranks.index(k)
+            a, b = parts[at], parts[at + 1]
+            out, i = parts[:at], at
             while i < len(parts):
                 if i + 1 < len(parts) and parts[i] == a and parts[i + 1] == b:
                     out.append(a + b)
@@ -95,13 +115,47 @@ class BpeCodec:
             parts = out
         return parts
 
-    def _fits(self, a: str | None, b: str) -> bool:
-        key = (a or "", b)
-        found = self.pairs.get(key)
-        if found is None:
-            if len(self.pairs) > _FULL:
-                self.pairs.clear()
-            found = self.pairs[key] = self._merged(key[0] + b) == ([a, b] if a else [b])
+    def _last_merge(self, token: str) -> tuple[str, str]:
+        a, b = self._merged(token, True)
+        return a, b
+
+    def _spine(self, token: str, right: bool) -> list[tuple[str, int]]:
+        """The parts that touch one end of a token while it is merged, each with the rank that consumes it."""
+        key = (token, right)
+        if key not in self.spines:
+            path, t = [(token, _NEVER)], token
+            while t in self.tree:
+                a, b, k = self.tree[t]
+                t = b if right else a
+                path.append((t, k))
+            self.spines[key] = path[::-1]
+        return self.spines[key]
+
+    def _fits(self, a: str, b: str) -> bool:
+        """Compatible: no merge across the border comes before those that take its two sides away.
+
+        Of equal ranks the one further left comes first.
+        """
+        found = self.pairs.get((a, b))
+        if found is not None:
+            return found
+        left, right, i, j, rank = self._spine(a, True), self._spine(b, False), 0, 0, self.rank
+        while True:
+            (x, gone_x), (y, gone_y) = left[i], right[j]
+            k = rank.get((x, y), _NEVER)
+            if k < gone_x and k <= gone_y and k != _NEVER:
+                found = False
+                break
+            if gone_x == _NEVER and gone_y == _NEVER:
+                found = True
+                break
+            if gone_x <= gone_y:
+                i += 1
+            else:
+                j += 1
+        if len(self.pairs) > _FULL:
+            self.pairs.clear()
+        self.pairs[a, b] = found
         return found
 
     def _next_shorter(self, token: str) -> str | None:
@@ -114,8 +168,11 @@ class BpeCodec:
 
     def tokens(self, word: str) -> list[str]:
         """Tokens of one word, given in byte symbols with its end mark."""
-        if word in self.reachable and self._fits(None, word):
-            return [word]
+        if word in self.reachable:
+            if word not in self.whole:
+                self.whole[word] = self._merged(word) == [word]
+            if self.whole[word]:
+                return [word]
         n = len(word)
         longest: list[str] = [""] * n
         # matches of the reversed strings end where the tokens start
@@ -128,7 +185,7 @@ class BpeCodec:
         dead = set()
         while True:
             follows = at + len(token)
-            if follows != n - 1 and follows not in dead and self._fits(out[-1] if out else None, token):
+            if follows != n - 1 and follows not in dead and (not out or self._fits(out[-1], token)):
                 out.append(token)
                 at = follows
                 if at == n:
@@ -153,12 +210,15 @@ class BpeCodec:
             token = nxt
 
     def _word(self, word: str) -> bytes:
-        table = self.bytes
-        inner = "".join([table[b] for b in word.encode()]) + self.end
-        if len(self.words) > _FULL:
+        if len(self.words) >= _FULL:  # two generations: what is still used moves to the new one
+            self.older = dict(self.words)
             self.words.clear()
-        ids = self.ids
-        found = self.words[word] = np.array([ids[t] for t in self.tokens(inner)], "<u4").tobytes()
+        found = self.older.get(word)
+        if found is None:
+            table, ids = self.bytes, self.id_bytes
+            inner = "".join([table[b] for b in word.encode()]) + self.end
+            found = b"".join([ids[t] for t in self.tokens(inner)])
+        self.words[word] = found
         return found
 
     def _plain(self, text: str) -> bytes:

@@ -315,7 +315,7 @@ def dedup_texts(docs: DataFrame, id: str = "doc_id", text: str = "text", window:
     gone = repeated(docs, id, text, window, batches=batches)
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in frames:
+        for batch in (frame.slice(at, 512) for frame in frames for at in range(0, frame.num_rows, 512)):
             k, g = batch.schema.get_field_index(text), batch.schema.get_field_index("_gone")
             texts = batch.column(k).to_pylist()
             for row, spans in enumerate(batch.column(g).to_pylist()):

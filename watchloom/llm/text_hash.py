@@ -16,7 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1_500_000
+SLICE_BYTES = 800_000
 _SEED = 0x5EED_0001
 
 
@@ -43,7 +43,7 @@ class _Powers:
 
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            size = max(n, 2 * len(self.up))
+            size = n + n // 8
             for name, b in (("up", self.base), ("down", self.inverse)):
                 p = np.full(size, b, np.uint64)
                 p[0] = 1
