@@ -11,9 +11,17 @@ from pyspark.sql import SparkSession
 _SHIPPED: set[str] = set()
 
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def ship(spark: SparkSession) -> SparkSession:
-    """Give the executors' Python workers this package, once per Spark application."""
+    """Give the executors' Python workers this package, once per Spark application.
+
+    Texts are long, so Arrow batches get 1000 rows, unless the session has set a number of its own.
+    """
     sc = spark.sparkContext
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, "1000")
     if sc.applicationId not in _SHIPPED:
         top = os.path.dirname(os.path.abspath(__file__))
         path = os.path.join(tempfile.mkdtemp(prefix="spark-"), "watchloom.zip")
