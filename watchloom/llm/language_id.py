@@ -64,15 +64,23 @@ def profiles(labelled: DataFrame, text: str = "text", lang: str = "lang", size:
     """``(lang, rank, gram)`` learned from all rows whose label is not null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            held: dict[str, list] = {}
-            for t, name in zip(batch.column(0), batch.column(1)):
-                held.setdefault(name.as_py(), []).append(ngrams(t.as_py()))
-                if len(held[name.as_py()]) == 256:
-                    held[name.as_py()] = [_sum(held[name.as_py()])]
+        held: dict[str, list] = {}
+
+        def flush() -> Iterator[pa.RecordBatch]:
             for name, parts in held.items():
                 grams, n = _sum(parts)
                 yield pa.record_batch({"lang": pa.array([name] * len(grams), pa.string()), "gram": grams.view(np.int64), "n": n})
+            held.clear()
+
+        for batch in batches:
+            for t, name in zip(batch.column(0), batch.column(1)):
+                own = held.setdefault(name.as_py(), [])
+                own.append(ngrams(t.as_py()))
+                if len(own) == 256:
+                    own[:] = [_sum(own)]
+            if sum(len(g) for parts in held.values() for g, _ in parts) > 2_000_000:
+                yield from flush()
+        yield from flush()
 
     rows = labelled.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text), F.col(lang).cast("string"))
     counts = rows.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))

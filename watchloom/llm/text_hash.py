@@ -10,6 +10,7 @@ bytes never occur inside a UTF-8 sequence, so byte positions are safe.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -157,9 +158,19 @@ def shingle_sets(w: Words, size: int) -> Iterator[np.ndarray]:
             yield np.zeros(0, np.uint64)
 
 
+def _give_back() -> None:
+    """Return freed memory to the system: an idle Python worker would keep it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def text_slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """``(first row, end row, bytes, offsets)`` of bounded parts of a batch."""
     column = batch.column(batch.schema.get_field_index(text))
     raw, offsets = string_buffers(column)
     for i, j in slices(offsets, limit):
         yield i, j, raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+    _give_back()
