@@ -4,7 +4,8 @@ Vectors become integers, ``floor(1024 * x)``. Data are dealt to blocks: by the n
 split by hash. Queries go in blocks of bounded size. For each pair of blocks a task builds a cover tree over
 either side and walks both together: for nodes Q and D with centres q, d and covering radii a, b no
 inner product exceeds ``q.d + a|d| + b|q| + ab``. The pair is cut if that is below the worst kth score that
-any query under Q has so far. Scores to start from come from a bounded sample of the
+any query under Q has so far. A second bound is (Q^2 + D^2 - s^2) / 2 with the highest norms Q, D and the least
+distance s of the two balls; the lower one counts. Scores to start from come from a bounded sample of the
 data, against which all queries are scored first; they are scores of true candidates, so they cut only what
 can't be among the k best. The lists of all blocks are merged by rank.
 
@@ -31,75 +32,116 @@ K = 10
 SAMPLE = 2048
 PIVOTS = 32
 DATA_BLOCK, QUERY_BLOCK = 8192, 512
-LEAF = 48
+LEAF, QUERY_LEAF = 512, 128
+#: Children of a tree node, at most; a net with more points goes on a level below.
+FAN = 16
+_HELD = 200_000
 
 
 class Node:
-    __slots__ = ("rows", "centre", "norm", "radius", "children")
+    __slots__ = ("rows", "centre", "norm", "radius", "top", "children", "centres", "norms", "radii", "tops")
 
-    def __init__(self, x: np.ndarray, rows: np.ndarray, centre: int):
+    def __init__(self, x: np.ndarray, square: np.ndarray, rows: np.ndarray, centre: int):
         self.rows, self.centre = rows, x[centre]
-        self.norm = float(np.sqrt(self.centre @ self.centre))
-        far = x[rows] - self.centre
-        self.radius = float(np.sqrt((far * far).sum(1).max()))
+        self.norm = float(np.sqrt(square[centre]))
+        self.radius = float(np.sqrt(_distances(x, square, rows, centre).max()))
+        self.top = float(square[rows].max())
         self.children: list[Node] = []
 
+    def adopt(self, children: list[Node]) -> None:
+        self.children = children
+        self.centres = np.array([c.centre for c in children])
+        self.norms, self.radii, self.tops = (np.array([getattr(c, k) for c in children]) for k in ("norm", "radius", "top"))
 
-def cover_tree(x: np.ndarray) -> Node:
-    """Each node's children are centred on a net of half its covering radius; small or unsplittable nodes are leaves."""
-    root = Node(x, np.arange(len(x)), 0)
+
+def _distances(x: np.ndarray, square: np.ndarray, rows: np.ndarray, centre: int) -> np.ndarray:
+    """Squared, of rows from one of them; exact for integers."""
+    return np.maximum(square[rows] - 2 * (x[rows] @ x[centre]) + square[centre], 0)
+
+
+def cover_tree(x: np.ndarray, leaf: int = LEAF) -> Node:
+    """Each node's children are centred on a net of half its covering radius, of at most ``FAN`` points at a time.
+
+    Small or unsplittable nodes are leaves.
+    """
+    square = (x * x).sum(1)
+    root = Node(x, square, np.arange(len(x)), 0)
     todo = [root]
     while todo:
         node = todo.pop()
-        if len(node.rows) <= LEAF or node.radius == 0:
+        rows = node.rows
+        if len(rows) <= leaf or node.radius == 0:
             continue
-        own = x[node.rows]
-        near = ((own - node.centre) ** 2).sum(1)
-        owner, centres = np.zeros(len(own), np.int64), [int(near.argmin())]
-        while near.max() > (node.radius / 2) ** 2 and len(centres) <= len(own) // 4:
+        near = ((x[rows] - node.centre) ** 2).sum(1)
+        owner, centres = np.zeros(len(rows), np.int64), [int(near.argmin())]
+        near = _distances(x, square, rows, rows[centres[0]])
+        while near.max() > (node.radius / 2) ** 2 and len(centres) < FAN:
             centres.append(int(near.argmax()))
-            d = ((own - own[centres[-1]]) ** 2).sum(1)
+            d = _distances(x, square, rows, rows[centres[-1]])
             closer = d < near
             owner[closer], near = len(centres) - 1, np.minimum(near, d)
-        if len(centres) > 1:
-            node.children = [Node(x, node.rows[owner == c], node.rows[centres[c]]) for c in range(len(centres)) if (owner == c).any()]
-            if len(node.children) > 1:
-                todo += node.children
-            else:
-                node.children = []
+        parts = [(rows[owner == c], rows[centres[c]]) for c in range(len(centres)) if (owner == c).any()]
+        if len(parts) > 1:
+            node.adopt([Node(x, square, *p) for p in parts])
+            todo += node.children
     return root
 
 
+def _bounds(inner, a_norm, a_radius, a_top, b_norm, b_radius, b_top) -> np.ndarray:
+    """No inner product of two balls is higher: by Cauchy-Schwarz, and by the least distance of their points."""
+    apart = np.sqrt(np.maximum(a_norm * a_norm + b_norm * b_norm - 2 * inner, 0)) - a_radius - b_radius
+    return np.minimum(inner + a_radius * b_norm + b_radius * a_norm + a_radius * b_radius, (a_top + b_top - np.maximum(apart, 0) ** 2) / 2) + 1e-6 + 1e-9 * (a_top + b_top)
+
+
+def _first_k(row: np.ndarray, hit: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of each row, ties to the smaller id."""
+    order = np.lexsort((ids[hit], -score, row))
+    row, hit, score = row[order], hit[order], score[order]
+    own = np.arange(len(row)) - np.searchsorted(row, row)
+    return row[own < k], hit[own < k], score[own < k]
+
+
 def dual_search(q: np.ndarray, q_ids: np.ndarray, floor: np.ndarray, d: np.ndarray, d_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``(query row, data row, score)`` of the k best of each query above its floor; ids break ties."""
-    n = len(q)
-    best = np.full((n, k), -np.inf)
-    ids = np.full((n, k), np.iinfo(np.int64).max)
-    rows = np.full((n, k), -1)
+    best = np.full((len(q), k), -np.inf)
     worst = floor.astype(float).copy()
-    stack = [(np.inf, cover_tree(q), cover_tree(d))]
+    q_top = (q * q).sum(1)
+    q_norm = np.sqrt(q_top)
+    held = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    waiting = 0
+    stack = [(np.inf, cover_tree(q, QUERY_LEAF), cover_tree(d))]
     while stack:
         bound, a, b = stack.pop()
         if bound < worst[a.rows].min():
             continue
         if not a.children and not b.children:
-            score = q[a.rows] @ d[b.rows].T
-            score[q_ids[a.rows][:, None] == d_ids[b.rows][None, :]] = -np.inf
-            open_ = (score >= worst[a.rows][:, None]).any(1)
-            at = a.rows[open_]
-            s = np.concatenate([best[at], score[open_]], 1)
-            i = np.concatenate([ids[at], np.broadcast_to(d_ids[b.rows], (len(at), len(b.rows)))], 1)
-            r = np.concatenate([rows[at], np.broadcast_to(b.rows, (len(at), len(b.rows)))], 1)
-            order = np.lexsort((i, -s))[:, :k]
-            best[at], ids[at], rows[at] = (np.take_along_axis(v, order, 1) for v in (s, i, r))
-            worst[at] = np.maximum(worst[at], best[at][:, -1])
+            at = a.rows
+            at = at[_bounds(q[at] @ b.centre, q_norm[at], 0.0, q_top[at], b.norm, b.radius, b.top) >= worst[at]]
+            score = q[at] @ d[b.rows].T
+            score[q_ids[at][:, None] == d_ids[b.rows][None, :]] = -np.inf
+            i, j = np.nonzero((score >= worst[at][:, None]) & (score > -np.inf))
+            if not len(i):
+                continue
+            held.append((at[i], b.rows[j], score[i, j]))
+            waiting += len(i)
+            if waiting > _HELD:
+                held = [_first_k(*(np.concatenate(c) for c in zip(*held)), d_ids, k)]
+                waiting = 0
+            some = np.unique(i)
+            own = at[some]
+            best[own] = np.partition(np.concatenate([best[own], score[some]], 1), -k, 1)[:, -k:]
+            worst[own] = np.maximum(worst[own], best[own, 0])
             continue
-        split_a = bool(a.children) and (not b.children or a.radius >= b.radius)
-        pairs = [(c, b) for c in a.children] if split_a else [(a, c) for c in b.children]
-        scored = [(float(x.centre @ y.centre) + x.radius * y.norm + y.radius * x.norm + x.radius * y.radius + 1e-6, x, y) for x, y in pairs]
-        stack += sorted(scored, key=lambda e: e[0])  # the most promising pair is next
-    row, place = np.nonzero((rows >= 0) & (best > -np.inf))
-    return row, rows[row, place], best[row, place]
+        if a.children and (not b.children or a.radius >= b.radius):
+            found = _bounds(a.centres @ b.centre, a.norms, a.radii, a.tops, b.norm, b.radius, b.top)
+            pairs = [(c, b) for c in a.children]
+        else:
+            found = _bounds(b.centres @ a.centre, b.norms, b.radii, b.tops, a.norm, a.radius, a.top)
+            pairs = [(a, c) for c in b.children]
+        stack += [(found[n], *pairs[n]) for n in np.argsort(found, kind="stable")]  # the most promising pair is next
+    row, hit, score = (np.concatenate(c) for c in zip(*held))
+    fine = score >= worst[row]
+    return _first_k(row[fine], hit[fine], score[fine], d_ids, k)
 
 
 def _integers(vectors: DataFrame, id: str, vector: str, scale: int) -> DataFrame:
