@@ -82,6 +82,16 @@ def test_text_functions(spark):
     assert merged == ["a", "new york", "b"]
 
 
+def test_full_word_lists(spark):
+    assert (len(X.STOP_WORDS), len(X.MARKERS)) == (172, 67)
+    titles = [("dekho accha gaana", "hinglish", "high"), ("lekin song", "hinglish", "medium"), ("raha gaya woh", "english", "high")]
+    df = spark.createDataFrame([(t,) for t, _, _ in titles], "t string").select(X.language(F.col("t")).alias("l"))
+    assert [(r.l.type, r.l.confidence) for r in df.collect()] == [(a, b) for _, a, b in titles]
+    texts = [("Official trailer: her Cafe\u0301 would Open | again", "trailer: Caf\xe9 Open"), ("cafe\u0301\u200b  \u0930\u093e\u092e bar", "caf\xe9 bar"), (None, None)]
+    df = spark.createDataFrame([(t,) for t, _ in texts], "t string")
+    assert [r[0] for r in df.select(X.text_v1(F.col("t"))).collect()] == [t for _, t in texts]
+
+
 def test_entities(spark):
     docs = spark.createDataFrame([(1, "I love New York City and Rome"), (2, "nothing")], "id long, t string")
     names = spark.createDataFrame([("new york", "place"), ("new york city", "place"), ("city", "x"), ("rome", "place")], "phrase string, label string")

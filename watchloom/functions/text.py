@@ -1,9 +1,13 @@
-"""Text expressions: cleaning, language, topics, URL parts. Built-in functions only."""
+"""Text expressions: cleaning, language, topics, URL parts. Built-in functions only, but for ``composed``."""
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Prefixes, emoji ranges, marker words and stop words that define results.
 PREFIXES = ("Watched ", "Viewed ", "Searched for ", "watched ", "viewed ", "searched for ")
@@ -11,10 +15,23 @@ EMOJI = r"[\x{1F600}-\x{1F64F}\x{1F300}-\x{1F5FF}\x{1F680}-\x{1F6FF}\x{1F1E0}-\x
 INVISIBLE = r"[\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{2064}\x{FEFF}]"
 AMBIGUOUS = ("me", "the", "hi", "par", "ko")
 MARKERS = (
-    "hai", "hain", "ho", "tha", "thi", "the", "ka", "ki", "ke", "ko", "se", "me", "mein", "par", "aur", "ya", "kya", "kyu", "kyun", "kaise", "kab", "kahan",
-    "kaun", "yeh", "ye", "woh", "wo", "nahi", "nahin", "hi", "bhi", "toh", "bhai", "yaar", "kar", "karo", "karna", "raha", "rahi", "rahe", "gaya", "gayi", "apna", "apni",
+    "aur", "ya", "lekin", "par", "toh", "bhi", "hi", "na", "nahi", "nhi", "hai", "ho", "hoga", "hogi", "tha", "thi", "the", "hain", "kya", "kaise", "kyun",
+    "kyu", "kyunki", "karo", "karna", "krna", "samjhao", "batao", "dekho", "suno", "jao", "aao", "chalo", "ka", "ki", "ke", "mein", "me", "se", "tak", "wala",
+    "wali", "wale", "ko", "pe", "pr", "kab", "kaha", "kaun", "kitna", "sach", "jhooth", "accha", "theek", "ghar", "dost", "bhai", "yaar", "paisa", "paise",
+    "kaam", "log", "rishta", "pyaar", "zindagi", "dil", "duniya",
+)
+STOP_WORDS = (
+    "a", "an", "the", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "do", "does", "did", "will", "would", "could", "should", "may",
+    "might", "must", "shall", "can", "need", "dare", "ought", "used", "to", "of", "in", "for", "on", "with", "at", "by", "from", "as", "into", "through",
+    "during", "before", "after", "above", "below", "between", "under", "again", "further", "then", "once", "here", "there", "when", "where", "why", "how",
+    "all", "each", "few", "more", "most", "other", "some", "such", "no", "nor", "not", "only", "own", "same", "so", "than", "too", "very", "just", "also",
+    "now", "and", "but", "if", "or", "because", "until", "while", "this", "that", "these", "those", "what", "which", "who", "whom", "whose", "i", "you", "he",
+    "she", "it", "we", "they", "me", "him", "her", "us", "them", "my", "your", "his", "its", "our", "their", "myself", "yourself", "himself", "herself",
+    "itself", "ourselves", "themselves", "am", "about", "get", "got", "go", "going", "went", "come", "came", "make", "made", "take", "took", "see", "saw",
+    "know", "knew", "think", "thought", "want", "like", "look", "use", "find", "give", "tell", "say", "said", "video", "watch", "watched", "new", "first",
+    "last", "best", "top", "full", "part", "episode", "ep", "vs", "ft", "feat", "official", "exclusive", "shorts", "short", "movie", "clip", "scene",
+    "trailer", "teaser",
 )
-STOP_WORDS = ("a", "an", "and", "are", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "with")
 LANGUAGES = ("english", "hindi", "hinglish", "unknown")
 _STRIP = r"(?U)^\s+|\s+$"
 
@@ -74,9 +91,14 @@ def collapse(c: Column) -> Column:
     return strip(F.regexp_replace(c, r"(?U)\s+", " "))
 
 
+@F.pandas_udf(StringType())
+def composed(c: pd.Series) -> pd.Series:
+    return c.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
+
+
 def normalise(c: Column) -> Column:
-    """Invisible characters dropped, white space collapsed (text is taken as composed)."""
-    return collapse(F.regexp_replace(c, INVISIBLE, ""))
+    """Composed (NFC), invisible characters dropped, white space collapsed."""
+    return collapse(F.regexp_replace(composed(c), INVISIBLE, ""))
 
 
 def drop_stop_words(c: Column, words: tuple[str, ...] = STOP_WORDS) -> Column:

@@ -2,21 +2,12 @@
 
 from __future__ import annotations
 
-import unicodedata
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from watchloom.functions import text as X
 
 
-@F.pandas_udf(StringType())
-def composed(c: pd.Series) -> pd.Series:
-    return c.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
-
-
 def entities(docs: DataFrame, id: str, text: str, gazetteer: DataFrame, words: int = 4) -> DataFrame:
     """``id, entities``: phrases of up to ``words`` words that the gazetteer ``(phrase, label)`` lists; longer ones hide those they hold."""
     tokens = F.filter(F.split(F.lower(text), r"(?U)[^\p{L}\p{N}_]+"), lambda t: t != "")
