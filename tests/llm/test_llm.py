@@ -72,6 +72,25 @@ def test_ngram_components_empty(spark):
     assert ngram_join.ngram_components(table(spark, []).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("block", [1 << 19, 500])
+def test_ngram_links(spark, monkeypatch, block):
+    monkeypatch.setattr(ngram_join, "_BLOCK_SHINGLES", block)
+    texts = corpus()
+    base = ["v%d" % k for k in range(120)]
+    for k in range(25):  # near copies of one text that link with each other, and a chain whose ends do not
+        texts.append(" ".join([*base[:k], "edit", *base[k + 1 :]]))
+    texts += [" ".join(f"c{k}" for k in range(s, s + 200)) for s in (0, 20, 40, 60)]
+    sets = []
+    for t in texts:
+        w = (t or "").encode().lower().split()
+        sets.append(frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset())
+    linked = lambda a, b: 100 * len(a & b) >= 75 * len(a | b)
+    want = {d: sum(d != k and bool(s) and linked(s, o) for k, o in enumerate(sets)) for d, s in enumerate(sets)}
+    got = {r.doc_id: r for r in ngram_join.ngram_components(table(spark, texts), links=True).collect()}
+    assert {d: r.n_links for d, r in got.items()} == want and max(want.values()) >= 24
+    assert {d: (r.n_shingles, r.component_id) for d, r in got.items()} == brute_components(texts)
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(30)] + [(50, 51), (52, 50), (60, 60)], "u long, v long")
     got = {r.v: r.label for r in components.connected_components(edges).collect()}

@@ -26,6 +26,9 @@ is the member with the most shared symbols, so that of near copies the original
 Every candidate first passes a parity bit sketch of 4096 bits (its Hamming distance is a lower bound of
 d) and is then verified on the exact shingle hashes. Equal sets are one node from the start.
 
+Links. Components do not need the pairs inside them, numbers of links do. All linked sets share a component, so
+on demand the sets of each component are compared in blocks of bounded size, every pair once and exactly.
+
 Null, empty and blank texts have no shingles and link with nothing. Rows that repeat a doc_id are
 separate rows with the same id; a null doc_id takes part, and a component of only such rows has a null id.
 """
@@ -49,6 +52,7 @@ DENSE = 16
 _SMALL = 64
 _BITS = 4096
 _BLOCK = 1024  # rows of a large group that one task holds on either side
+_BLOCK_SHINGLES = 1 << 19  # about as many shingles of a component are held on either side
 
 
 def allowed(n: int, num: int, den: int) -> int:
@@ -248,15 +252,15 @@ def _plausible(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> Dat
     return materialise(pairs.join(b, "b").join(a, "a").filter(sizes & (far * (den + num) <= (F.col("na") + F.col("nb")) * (den - num))).select("a", "b"))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """The pairs ``(a, b)`` whose exact similarity reaches the threshold."""
+def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, size: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """The pairs ``(a, b)`` whose exact similarity reaches the threshold, and the sets of all that were compared."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node"))
     sets = _of_nodes(docs, nodes, wanted, size, "array<long>", "shingles", lambda s: s.view(np.int64))
     a = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa"))
     b = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb")).cast("long")
     found = pairs.join(b, "b").join(a, "a").withColumn("_i", both)
-    return materialise(found.filter(F.col("_i") * den >= (F.col("na") + F.col("nb") - F.col("_i")) * num).select("a", "b"))
+    return materialise(found.filter(F.col("_i") * den >= (F.col("na") + F.col("nb") - F.col("_i")) * num).select("a", "b")), sets
 
 
 def _crossing(members: DataFrame, labels: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
@@ -292,14 +296,83 @@ def _crossing(members: DataFrame, labels: DataFrame, sketches: DataFrame, num: i
     return ask.unionByName(give).groupBy("sig", "i", "j").applyInArrow(compare, "a long, b long").distinct()
 
 
-def ngram_components(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = SIZE, num: int = NUM, den: int = DEN, dense: int = DENSE) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` per row: the smallest doc_id that links lead to."""
+def _tally(batches: list[pa.RecordBatch], num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of two blocks of a component, or of one with itself, and how many rows they link to in the other."""
+    table = pa.Table.from_batches(batches)
+    lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
+    node, weight = (table.column(c).to_numpy() for c in ("node", "weight"))
+    n = np.concatenate([c.value_lengths().to_numpy(zero_copy_only=False) for c in table.column("shingles").chunks]).astype(np.int64)
+    flat, end = _flat(table, "shingles"), np.cumsum(n)
+    m = int(np.count_nonzero(table.column("i").to_numpy() == lo))
+    first = 0 if lo == hi else m
+    cut = int(end[m - 1]) if m else 0
+    links = np.zeros(len(node), np.int64)
+    if not m or first == len(node):
+        return node, links
+    vocabulary, place = np.unique(flat[cut if first else 0 :], return_inverse=True)
+    owner = np.repeat(np.arange(len(node) - first), n[first:])[np.argsort(place, kind="stable")]
+    start = np.concatenate([[0], np.cumsum(np.bincount(place))])
+    at = np.minimum(np.searchsorted(vocabulary, flat[:cut]), len(vocabulary) - 1)
+    known = vocabulary[at] == flat[:cut]
+    for q in range(m):
+        own = slice(end[q] - n[q], end[q])
+        held = at[own][known[own]]
+        count = start[held + 1] - start[held]
+        total = np.cumsum(count)
+        entries = np.arange(total[-1] if len(total) else 0) + np.repeat(start[held] - (total - count), count)
+        both = np.bincount(owner[entries], minlength=len(node) - first)
+        hit = both * den >= (n[first:] + n[q] - both) * num
+        if not first:
+            hit[q] = False
+        links[q] += weight[first:][hit].sum()
+        if first:
+            links[first:][hit] += weight[q]
+    return node, links
+
+
+def _link_counts(sets: DataFrame, labels: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """``node, links``: rows of all other sets that link with a set, for each with a link."""
+    members = sets.join(labels.select(F.col("v").alias("node"), "label"), "node").join(nodes.select("node", F.col("rows").alias("weight")), "node")
+    blocks = members.groupBy("label").agg(F.ceil(F.sum("n") / _BLOCK_SHINGLES).cast("int").alias("blocks"))
+    members = members.join(F.broadcast(materialise(blocks.filter("blocks > 1"))), "label", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    members = members.withColumn("i", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    keyed = members.select("label", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "i", "node", F.col("weight").cast("long").alias("weight"), "shingles")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+        for batch in batches:
+            keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in range(3)])
+            cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1), batch.num_rows]
+            done = []
+            for i, j in zip(cuts[:-1], cuts[1:]):
+                if i == j:
+                    continue
+                if held and tuple(keys[:, i]) != key:
+                    done.append(_tally(held, num, den))
+                    held = []
+                key = tuple(keys[:, i])
+                held.append(batch.slice(i, j - i))
+            if done:
+                yield pa.record_batch({"node": np.concatenate([x[0] for x in done]), "links": np.concatenate([x[1] for x in done])})
+        if held:
+            node, links = _tally(held, num, den)
+            yield pa.record_batch({"node": node, "links": links})
+
+    parts = keyed.repartition("label", "lo", "hi").sortWithinPartitions("label", "lo", "hi", "i").mapInArrow(run, "node long, links long")
+    return parts.groupBy("node").agg(F.sum("links").alias("links"))
+
+
+def ngram_components(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = SIZE, num: int = NUM, den: int = DEN, dense: int = DENSE, links: bool = False) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` per row: the smallest doc_id that links lead to.
+
+    With ``links`` also ``n_links``: the other rows, copies included, that the row itself links to.
+    """
     spark = docs.sparkSession
     docs = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     parts = 2 * partitions(spark)
     for seed in range(1, 9):
         rows = materialise(_nodes(docs, size, num, den, seed))
-        seen = rows.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("check").alias("c0"), F.max("check").alias("c1"), F.min("n").alias("n0"), F.max("n").alias("n1"), F.min("fits").alias("fits"))
+        seen = rows.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("check").alias("c0"), F.max("check").alias("c1"), F.min("n").alias("n0"), F.max("n").alias("n1"), F.min("fits").alias("fits"), F.count("*").alias("rows"))
         nodes = materialise(seen)
         if nodes.filter("c0 != c1 or n0 != n1 or not fits").isEmpty():
             break
@@ -317,22 +390,29 @@ def ngram_components(docs: DataFrame, id: str = "doc_id", text: str = "text", si
     others = groups.filter("kind = 1").select("a", "b").distinct()
     wanted = groups.select(F.explode(F.array("a", "b")).alias("node"))
     sketches = _of_nodes(docs, nodes, wanted, size, "array<long>", "sketch", _bit_sketch)
-    links = _verified(_plausible(stars, sketches, num, den), docs, nodes, size, num, den)
-    labels = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    edges, sets = _verified(_plausible(stars, sketches, num, den), docs, nodes, size, num, den)
+    labels = connected_components(edges.select(F.col("a").alias("u"), F.col("b").alias("v")))
     of = lambda c: labels.select(F.col("v").alias(c), F.col("label").alias(f"l{c}"))
     apart = others.join(of("a"), "a", "left").join(of("b"), "b", "left").filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
     crossing = _crossing(members, labels, sketches, num, den)
     second = materialise(_plausible(apart, sketches, num, den).unionByName(crossing).distinct())
-    more = links.limit(0) if second.isEmpty() else _verified(second, docs, nodes, size, num, den)
+    more, late = (edges.limit(0), sets.limit(0)) if second.isEmpty() else _verified(second, docs, nodes, size, num, den)
     if not more.isEmpty():
-        whole = links.unionByName(more).select(F.col("a").alias("u"), F.col("b").alias("v"))
+        whole = edges.unionByName(more).select(F.col("a").alias("u"), F.col("b").alias("v"))
         labels = connected_components(whole)
-    named = nodes.select("node", "rep").join(labels.withColumnRenamed("v", "node"), "node", "left")
+    named = nodes.select("node", "rep", "rows").join(labels.withColumnRenamed("v", "node"), "node", "left")
     named = named.withColumn("label", F.coalesce("label", "node"))
     least = named.groupBy("label").agg(F.min("rep").alias("component_id"))
-    found = named.join(least, "label").select("node", "component_id")
+    found = named.join(least, "label")
+    columns = [F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")]
+    if links:
+        sets = sets.unionByName(late.join(sets.select("node"), "node", "left_anti"))
+        found = found.join(_link_counts(sets, labels, nodes, num, den), "node", "left").select("node", "component_id", (F.coalesce("links", F.lit(0)) + F.col("rows") - 1).alias("n_links"))
+        columns.append(F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    else:
+        found = found.select("node", "component_id")
     out = rows.select("doc_id", "n", "node").join(found, "node", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return out.select("doc_id", *columns)
 
 
 def mixed(df: DataFrame, column: str) -> DataFrame:
