@@ -98,6 +98,19 @@ def test_entities(spark):
     assert {r.id: r.entities for r in topics.entities(docs, "id", "t", names).collect()} == {1: ["new york city", "rome"]}
 
 
+def test_entity_and_noun_topics(spark):
+    rows = [(1, "watch", "active", "new york city tour-guide with people in the town 2024 #pizza #", "english"), (2, "watch", "active", "pizza.#food accha recipe of the day, recipe", "hinglish"), (3, "watch", "passive", "pizza", "english"), (4, "watch", "active", None, "unknown")]
+    e = spark.createDataFrame(rows, "seq long, type string, engagement string, text_clean string, language_type string")
+    names = spark.createDataFrame([("New York City", "GPE")], "phrase string, label string")
+    words = spark.createDataFrame([(w,) for w in ("city", "tour", "guide", "people", "town", "2024", "Pizza", "recipe", "day", "video")], "word string")
+    got = {r.seq: r for r in topics.enrich_events(e, "seq", names, words).collect()}
+    assert got[1].ner == ["new york city"] and got[1].nouns == ["city", "tour", "guide"]
+    assert got[1].micro_topics == ["pizza", "new york city", "tour", "guide"]
+    assert got[2].nouns == ["pizza", "recipe"] and got[2].micro_topics == ["food", "pizza", "recipe"]
+    assert got[3].micro_topics is None and got[3].nouns is None and got[4].micro_topics == []
+    assert {r.seq: r.micro_topics for r in topics.enrich_events(e).collect()}[1] == ["pizza"]
+
+
 WATCHED = [
     {"title": "Watched a", "titleUrl": "https://www.example.com/watch?v=abcdefghijk", "time": "2025-11-02T05:30:39.599Z", "subtitles": [{"name": "Ch A ", "url": "u"}]},
     {"title": "Viewed b", "time": "2025-11-02T06:30:39Z", "subtitles": []},

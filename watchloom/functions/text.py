@@ -32,6 +32,18 @@ STOP_WORDS = (
     "last", "best", "top", "full", "part", "episode", "ep", "vs", "ft", "feat", "official", "exclusive", "shorts", "short", "movie", "clip", "scene",
     "trailer", "teaser",
 )
+WEAK_NOUNS = (
+    "man", "men", "woman", "women", "person", "people", "guy", "guys", "leader", "leaders", "member", "members", "player", "players", "team", "teams",
+    "group", "groups", "family", "families", "death", "life", "time", "day", "days", "night", "nights", "year", "years", "month", "months", "week", "weeks",
+    "thing", "things", "stuff", "way", "ways", "world", "place", "places", "area", "areas", "country", "countries", "city", "cities", "town", "towns", "home",
+    "house", "end", "start", "beginning", "part", "parts", "side", "sides", "point", "points", "case", "cases", "fact", "facts", "news", "update", "updates",
+    "story", "stories", "channel", "channels", "subscriber", "subscribers", "view", "views", "like", "likes", "comment", "comments", "reaction", "reactions",
+    "highlight", "highlights", "moment", "moments", "episode", "episodes",
+)
+HINDI_STOP_WORDS = (
+    "का", "के", "की", "है", "हैं", "था", "थे", "थी", "में", "से", "को", "पर", "ने", "और", "या", "एक", "यह", "वह", "इस", "उस", "जो", "तो", "भी", "कर", "हो",
+    "ही", "अब", "जब", "तक", "बहुत", "कुछ", "सब", "कोई", "किसी", "अपने", "उनके", "इनके", "वाले", "वाली", "वाला",
+)
 LANGUAGES = ("english", "hindi", "hinglish", "unknown")
 _STRIP = r"(?U)^\s+|\s+$"
 

@@ -20,21 +20,54 @@ def entities(docs: DataFrame, id: str, text: str, gazetteer: DataFrame, words: i
     return first.groupBy(id).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "phrase"))), lambda s: s["phrase"]).alias("entities"))
 
 
-def enrich(docs: DataFrame, text: str, language: str) -> DataFrame:
-    """``text_v1, hashtags, micro_topics`` for any text column; entity and noun columns are used if there."""
+def nouns(docs: DataFrame, id: str, text: str, lexicon: DataFrame) -> DataFrame:
+    """``id, nouns``: distinct words that the lexicon ``(word)`` lists, in order; no stop words, numbers or single characters.
+
+    Weak nouns stay only if the column ``ner``, where there is one, has them in an entity.
+    """
+    ner = F.coalesce(F.col("ner"), F.array().cast("array<string>")) if "ner" in docs.columns else F.array().cast("array<string>")
+    held = F.flatten(F.transform(ner, lambda e: F.split(F.lower(e), " ")))
+    tokens = F.transform(F.split(F.col(text), r"(?U)\s+"), lambda t: F.lower(X.sanitise_topic(t)))
+    # a dash inside a token makes two words of it
+    words = F.flatten(F.transform(tokens, lambda t: F.split(t, " ")))
+    each = docs.select(id, held.alias("held"), F.posexplode(words).alias("pos", "word"))
+    stop = F.col("word").isin(*X.STOP_WORDS, *X.HINDI_STOP_WORDS) | F.col("word").rlike(r"^\p{Nd}+$") | (F.length("word") < 2)
+    weak = F.col("word").isin(*X.WEAK_NOUNS) & ~F.array_contains("held", F.col("word"))
+    hits = each.filter(~stop & ~weak).join(lexicon.select(F.lower("word").alias("word")).distinct(), "word")
+    first = hits.groupBy(id, "word").agg(F.min("pos").alias("pos"))
+    return first.groupBy(id).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda s: s["word"]).alias("nouns"))
+
+
+def enrich(docs: DataFrame, text: str, language: str, id: str | None = None, gazetteer: DataFrame | None = None, lexicon: DataFrame | None = None) -> DataFrame:
+    """``text_v1, hashtags, micro_topics`` for any text column; entity and noun columns are used if there.
+
+    With a gazetteer ``ner`` and with a lexicon ``nouns`` are made here, from the sanitised words of ``text_v1``;
+    ``id`` is then a column that no two rows share.
+    """
     empty = F.array().cast("array<string>")
     c = F.col(text)
-    ner = F.coalesce(F.col("ner"), empty) if "ner" in docs.columns else empty
-    nouns = F.coalesce(F.col("nouns"), empty) if "nouns" in docs.columns else empty
     out = docs.withColumn("text_v1", F.when(F.col(language) == "hinglish", X.text_v1(c)).otherwise(X.normalise(c))).withColumn("hashtags", X.hashtags(c))
-    return out.withColumn("micro_topics", X.merge_topics(F.col("hashtags"), ner, nouns))
+    if (gazetteer is not None or lexicon is not None) and id is None:
+        raise ValueError("entities and nouns need the id column of the rows")
+    if gazetteer is not None:
+        bare = out.select(id, F.regexp_replace("text_v1", r"\.?#[\p{L}\p{N}_]*", " ").alias("_bare"))
+        found = entities(bare, id, "_bare", gazetteer).withColumnRenamed("entities", "ner")
+        clean = F.transform("ner", lambda e: F.lower(X.sanitise_topic(e)))
+        found = found.withColumn("ner", F.array_distinct(F.filter(clean, lambda e: F.length(e) >= 2)))
+        out = out.drop("ner").join(found, id, "left").withColumn("ner", F.coalesce("ner", empty))
+    if lexicon is not None:
+        out = out.drop("nouns").join(nouns(out, id, "text_v1", lexicon), id, "left").withColumn("nouns", F.coalesce("nouns", empty))
+    ner = F.coalesce(F.col("ner"), empty) if "ner" in out.columns else empty
+    own = F.coalesce(F.col("nouns"), empty) if "nouns" in out.columns else empty
+    return out.withColumn("micro_topics", X.merge_topics(F.col("hashtags"), ner, own))
 
 
-def enrich_events(events: DataFrame) -> DataFrame:
+def enrich_events(events: DataFrame, id: str | None = None, gazetteer: DataFrame | None = None, lexicon: DataFrame | None = None) -> DataFrame:
     """Topics of active watches; null for all other events."""
     own = (F.col("type") == "watch") & (F.col("engagement") == "active")
-    out = enrich(events, "text_clean", "language_type")
-    return out.withColumns({c: F.when(own, F.col(c)) for c in ("text_v1", "hashtags", "micro_topics")})
+    out = enrich(events, "text_clean", "language_type", id, gazetteer, lexicon)
+    made = [c for c, t in (("ner", gazetteer), ("nouns", lexicon)) if t is not None]
+    return out.withColumns({c: F.when(own, F.col(c)) for c in ("text_v1", "hashtags", "micro_topics", *made)})
 
 
 def report(events: DataFrame) -> DataFrame:
