@@ -171,6 +171,13 @@ def test_fingerprints(spark):
     assert pairs and {b - a for a, b in pairs} == {10}
 
 
+def test_fingerprints_of_long_texts():
+    r = np.random.default_rng(1)
+    a, b = (r.integers(0, 2**64, 2_200_000, np.uint64) for _ in range(2))
+    assert fingerprints.likeness(fingerprints.sketch(a), fingerprints.sketch(b)) < 0.03
+    assert fingerprints.likeness(fingerprints.sketch(a), fingerprints.sketch(np.concatenate([a[:1_650_000], b[:550_000]]))) > 0.4
+
+
 def test_fingerprints_in_chunks(monkeypatch):
     text = corpus(3)[0] * 20
     whole = fingerprints.anchors(text)

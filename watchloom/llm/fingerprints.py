@@ -5,8 +5,8 @@ its first or its last one. That depends on the k-mer alone, so the same passage
 document, and every window of k - s + 1 k-mers holds one. A text shorter than k has itself as
 its only anchor; an empty one has none.
 
-The fingerprint keeps the smallest anchor hash of each of ``BINS`` bins, as 4 hex digits (``ffff``: an
-empty bin). The likeness of two fingerprints is the share of equal bins among those that at
+The fingerprint keeps the smallest anchor hash of each of ``BINS`` bins, hashed anew to 4 hex digits (``ffff``:
+an empty bin). The likeness of two fingerprints is the share of equal bins among those that at
 least one fills, an estimate of the Jaccard similarity of the anchor sets; two empty ones are alike.
 
 Null texts count as empty. Rows that repeat a doc_id are ordered by the hash of their text; a null
@@ -28,7 +28,8 @@ from watchloom.llm.storage import partitions
 from watchloom.llm.text_hash import _CHARS, mix64
 
 K, S = 15, 7
-BINS = 128
+_BIN_BITS = 7
+BINS = 1 << _BIN_BITS
 _CHUNK = 1 << 20
 _EMPTY = np.uint16(0xFFFF)
 _LEAST = -(2**63)
@@ -67,10 +68,11 @@ def anchors(text: str | None, k: int = K, s: int = S) -> tuple[np.ndarray, np.nd
 def sketch(hashes: np.ndarray) -> np.ndarray:
     out = np.full(BINS, _EMPTY)
     if len(hashes):
-        key = np.unique(((hashes % np.uint64(BINS)) << np.uint64(16)) | ((hashes >> np.uint64(40)) % np.uint64(0xFFFF)))
-        bins = (key >> np.uint64(16)).astype(np.int64)
+        # the bin on top, the rest of the hash below it: all 64 bits decide which is the smallest
+        key = np.unique((hashes << np.uint64(64 - _BIN_BITS)) | (hashes >> np.uint64(_BIN_BITS)))
+        bins = (key >> np.uint64(64 - _BIN_BITS)).astype(np.int64)
         first = np.concatenate([[True], bins[1:] != bins[:-1]])
-        out[bins[first]] = (key[first] & np.uint64(0xFFFF)).astype(np.uint16)
+        out[bins[first]] = (mix64(key[first]) % np.uint64(0xFFFF)).astype(np.uint16)
     return out
 
 
