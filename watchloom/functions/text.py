@@ -12,7 +12,7 @@ from pyspark.sql.types import StringType
 # Prefixes, emoji ranges, marker words and stop words that define results.
 PREFIXES = ("Watched ", "Viewed ", "Searched for ", "watched ", "viewed ", "searched for ")
 EMOJI = r"[\x{1F600}-\x{1F64F}\x{1F300}-\x{1F5FF}\x{1F680}-\x{1F6FF}\x{1F1E0}-\x{1F1FF}\x{2702}-\x{27B0}\x{24C2}-\x{1F251}]+"
-INVISIBLE = r"[\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{2064}\x{FEFF}]"
+INVISIBLE = r"[\x{200B}-\x{200F}\x{202A}-\x{202E}\x{FEFF}]"
 AMBIGUOUS = ("me", "the", "hi", "par", "ko")
 MARKERS = (
     "aur", "ya", "lekin", "par", "toh", "bhi", "hi", "na", "nahi", "nhi", "hai", "ho", "hoga", "hogi", "tha", "thi", "the", "hain", "kya", "kaise", "kyun",
@@ -69,28 +69,41 @@ def clean_text(c: Column) -> Column:
     return F.nullif(strip(F.lower(c)), F.lit(""))
 
 
-def _words(c: Column) -> Column:
-    return F.filter(F.split(F.regexp_replace(F.lower(c), r"(?U)[^a-z\s]", ""), r"(?U)\s+"), lambda w: w != "")
+def _whole(words: tuple[str, ...]) -> Column:
+    """A pattern that matches each of the words where white space or an end stands on both sides."""
+    return F.lit(r"(?U)(?<!\S)(?:" + "|".join(words) + r")(?!\S)")
 
 
 def language(c: Column, strict: bool = False) -> Column:
     """Struct ``type, confidence, devanagari, latin, markers, words``; ``strict`` counts unambiguous markers only."""
     deva, latin = F.coalesce(c.rlike(r"[\x{0900}-\x{097F}]"), F.lit(False)), F.coalesce(c.rlike("[a-zA-Z]"), F.lit(False))
-    words = F.coalesce(_words(c), F.array().cast("array<string>"))
-    high = F.size(F.filter(words, lambda w: w.isin(*[m for m in MARKERS if m not in AMBIGUOUS])))
-    hits = high if strict else F.size(F.filter(words, lambda w: w.isin(*MARKERS)))
-    pick = lambda a, b: F.struct(F.lit(a).alias("type"), F.lit(b).alias("confidence"))
-    found = (
-        F.when(c.isNull() | (F.length(strip(c)) < 3), pick("unknown", "low"))
-        .when(~deva & ~latin, pick("english", "high"))
-        .when(deva & ~latin, pick("hindi", "high"))
-        .when(deva & latin, pick("hinglish", "high"))
-        .when(F.size(words) == 0, pick("unknown", "low"))
-        .when(hits >= 2, pick("hinglish", "high"))
-        .when((hits == 1) & (high == 1), pick("hinglish", "medium"))
-        .otherwise(pick("english", "high"))
+    letters = F.coalesce(F.regexp_replace(F.lower(c), r"(?U)[^a-z\s]", ""), F.lit(""))
+    high_words = tuple(m for m in MARKERS if m not in AMBIGUOUS)
+    # one element, so that the cleaned text is made once for the three counts
+    counted = F.transform(
+        F.array(letters),
+        lambda t: F.struct(
+            F.regexp_count(t, _whole(high_words)).alias("high"),
+            F.regexp_count(t, _whole(high_words if strict else MARKERS)).alias("hits"),
+            F.regexp_count(t, F.lit(r"(?U)\S+")).alias("words"),
+        ),
     )
-    return F.struct(found["type"].alias("type"), found["confidence"].alias("confidence"), deva.alias("devanagari"), latin.alias("latin"), hits.alias("markers"), F.size(words).alias("words"))
+    pick = lambda a, b: F.struct(F.lit(a).alias("type"), F.lit(b).alias("confidence"))
+
+    def describe(n: Column) -> Column:
+        found = (
+            F.when(c.isNull() | (F.length(strip(c)) < 3), pick("unknown", "low"))
+            .when(~deva & ~latin, pick("english", "high"))
+            .when(deva & ~latin, pick("hindi", "high"))
+            .when(deva & latin, pick("hinglish", "high"))
+            .when(n["words"] == 0, pick("unknown", "low"))
+            .when(n["hits"] >= 2, pick("hinglish", "high"))
+            .when((n["hits"] == 1) & (n["high"] == 1), pick("hinglish", "medium"))
+            .otherwise(pick("english", "high"))
+        )
+        return F.struct(found["type"].alias("type"), found["confidence"].alias("confidence"), deva.alias("devanagari"), latin.alias("latin"), n["hits"].alias("markers"), n["words"].alias("words"))
+
+    return F.transform(counted, describe)[0]
 
 
 def hashtags(c: Column) -> Column:
@@ -124,9 +137,10 @@ def text_v1(c: Column) -> Column:
 
 
 def sanitise_topic(c: Column) -> Column:
-    c = F.regexp_replace(c, r"\.?#[\p{L}\p{N}_]*", "")
-    c = F.regexp_replace(F.regexp_replace(c, r"[-\x{2013}\x{2014}]", " "), r"""[.,!?;:"'()\[\]{}|/\\*&^%$@~`<>+=]""", "")
-    return collapse(c)
+    """Tags out, dashes to spaces, punctuation off both ends only, white space collapsed."""
+    c = F.regexp_replace(F.regexp_replace(c, r"\.?#[\p{L}\p{N}_]*", ""), r"[\x{2014}\x{2013}-]+", " ")
+    ends = r"""[ #@|\[\](){}.,!?:;"'_-]+"""
+    return collapse(F.regexp_replace(c, f"^{ends}|{ends}$", ""))
 
 
 def merge_topics(tags: Column, entities: Column, nouns: Column) -> Column:
@@ -142,15 +156,30 @@ def video_id(url: Column) -> Column:
 
 
 def channel_id(url: Column) -> Column:
-    return F.coalesce(F.nullif(F.regexp_extract(url, r"/channel/([A-Za-z0-9_-]+)", 1), F.lit("")), F.nullif(F.regexp_extract(url, r"/(@[A-Za-z0-9_.-]+)", 1), F.lit("")))
+    return F.coalesce(F.nullif(F.regexp_extract(url, r"/channel/([A-Za-z0-9_-]+)", 1), F.lit("")), F.nullif(F.regexp_extract(url, r"/(@[A-Za-z0-9_-]+)", 1), F.lit("")))
 
 
-def embedded_json(html: Column, variable: str) -> Column:
+#: The variable that holds a player page's JSON, and where its fields are.
+PLAYER = "ytInitialPlayerResponse"
+_FORMAT = "$.microformat.playerMicroformatRenderer"
+PLAYER_PATHS = {
+    "category": f"{_FORMAT}.category", "title": f"{_FORMAT}.title.simpleText", "channel_name": f"{_FORMAT}.ownerChannelName",
+    "description": f"{_FORMAT}.description.simpleText", "keywords": "$.videoDetails.keywords",
+}
+
+
+def embedded_json(html: Column, variable: str = PLAYER) -> Column:
     """The object assigned to a variable in a page, up to the first ``};`` of its line; null if there is none."""
-    return F.nullif(F.regexp_extract(html, variable + r"\s*=\s*(\{.*?\});", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(html, variable + r"\s*=\s*(\{.+?\});", 1), F.lit(""))
+
+
+def page_metadata(json: Column, paths: dict[str, str] = PLAYER_PATHS) -> Column:
+    """Struct of JSON paths, all null for text that is no JSON; a ``description`` is cut to 500 characters, ``keywords`` are a list."""
 
+    def field(name: str, path: str) -> Column:
+        found = F.get_json_object(json, path)
+        if name == "description":
+            return F.nullif(F.substring(found, 1, 500), F.lit(""))
+        return F.from_json(found, "array<string>") if name == "keywords" else found
 
-def page_metadata(json: Column, paths: dict[str, str]) -> Column:
-    """Struct of JSON paths; a ``description`` is cut to 500 characters, as the report shows it."""
-    fields = [F.get_json_object(json, p).alias(k) if k != "description" else F.substring(F.get_json_object(json, p), 1, 500).alias(k) for k, p in paths.items()]
-    return F.struct(*fields)
+    return F.struct(*[field(k, p).alias(k) for k, p in paths.items()])

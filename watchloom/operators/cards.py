@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from watchloom.operators import activity, overlap, sessions, streaks
 from watchloom.operators.activity import USER, _counts, ranked
 
+
 def _by_user():
     return Window.partitionBy(USER)
 
@@ -26,26 +27,44 @@ def top_channels(watch: DataFrame, n: int = 5) -> DataFrame:
     return activity.top_values(watch, "channel_clean", "channel", n=n).select(USER, "rank", "name", "n", "percent")
 
 
-def first_seen_peak(watch: DataFrame, slot: Column, name: str) -> DataFrame:
+def time_spent_card(watch: DataFrame) -> DataFrame:
+    """Hours and daily minutes with one decimal, minutes without; halves go to the even digit."""
+    t = sessions.time_spent(watch)
+    return t.select(USER, F.bround("hours", 1).alias("hours"), F.bround("minutes", 0).alias("minutes"), F.bround("minutes_per_day", 1).alias("daily_minutes"))
+
+
+def first_seen_peak(watch: DataFrame, slot: Column, name: str, size: int) -> DataFrame:
+    """The fullest slot, first seen on ties, its count, and ``slots``, the counts of all ``size`` slots in order."""
     own = watch.filter(F.col("ts").isNotNull()).groupBy(USER, slot.alias(name)).agg(F.count("*").alias("n"), F.min("seq").alias("s"))
-    return own.groupBy(USER).agg(F.max_by(name, F.struct("n", -F.col("s"))).alias(name), F.max("n").alias("n"))
+    every = F.array(*[F.coalesce(F.sum(F.when(F.col(name) == k, F.col("n"))), F.lit(0)) for k in range(size)])
+    return own.groupBy(USER).agg(F.max_by(name, F.struct("n", -F.col("s"))).alias(name), F.max("n").alias("n"), every.alias("slots"))
+
+
+def watch_cycle(watch: DataFrame) -> DataFrame:
+    return first_seen_peak(watch, F.hour("ts"), "hour", 24)
+
+
+def peak_weekday(watch: DataFrame) -> DataFrame:
+    out = first_seen_peak(watch, F.weekday("ts"), "weekday", 7)
+    return out.withColumn("day", activity.day_name(F.col("weekday")))
 
 
 def late_night(watch: DataFrame) -> DataFrame:
     own = watch.filter(F.hour("ts") < 5)
     latest = F.max_by("ts", F.struct(F.hour("ts"), F.col("ts")))
-    return own.groupBy(USER).agg(F.count("*").alias("n"), latest.alias("latest_ts"), F.date_format(latest, "h:mm a").alias("latest"))
+    return own.groupBy(USER).agg(F.count("*").alias("n"), latest.alias("latest_ts"), F.date_format(latest, "h:mm a").alias("latest"), F.date_format(latest, "MMMM dd").alias("latest_date"))
 
 
 def habit_channels(watch: DataFrame, least: int = 4, span: int = 7, gap: float = 14, n: int = 5) -> DataFrame:
-    """Channels watched at steady distances; gaps are whole 24-hour days."""
+    """Channels watched at steady distances; gaps are whole 24-hour days, ``total`` is how many channels there are in all."""
     w = Window.partitionBy(USER, "channel_clean").orderBy("ts", "seq")
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
     days = lambda c: F.floor(c / 86_400_000_000)
     own = watch.filter(F.col("channel_clean").isNotNull() & F.col("ts").isNotNull()).select(USER, "channel_clean", "channel", "seq", micros.alias("m"), days(micros - F.lag(micros).over(w)).alias("gap"))
     out = own.groupBy(USER, "channel_clean").agg(F.count("*").alias("n"), F.min_by("channel", "seq").alias("name"), days(F.max("m") - F.min("m")).alias("span"), F.avg("gap").alias("mean_gap"), F.min("seq").alias("s"))
     out = out.filter((F.col("n") >= least) & (F.col("span") >= span) & (F.col("mean_gap") <= gap)).withColumn("score", F.col("mean_gap") - 0.1 * F.col("n"))
-    return ranked(out, "score", "s").filter(F.col("rank") <= n).select(USER, "rank", "name", "n", "span", "mean_gap")
+    out = ranked(out, "score", "s").withColumn("total", F.count("*").over(_by_user()))
+    return out.filter(F.col("rank") <= n).select(USER, "rank", "name", "n", "span", "mean_gap", "total")
 
 
 def _slot(hour: Column) -> Column:
@@ -53,26 +72,40 @@ def _slot(hour: Column) -> Column:
 
 
 def patterns(watch: DataFrame, top: int = 20, least_views: int = 10, day: float = 0.30, slot: float = 0.40, lift: float = 1.5, hits: int = 5, weekend_total: int = 10, weekend: float = 0.6, n: int = 5) -> DataFrame:
-    """Association rules of channels with weekdays, day times and weekends, ranked by confidence times count."""
-    own = watch.filter(F.col("channel_clean").isNotNull() & F.col("ts").isNotNull())
-    total = own.groupBy(USER).agg(F.count("*").alias("all"))
-    counts = ranked(_counts(own, "channel_clean"), F.desc("n"), "first_seq").join(total, USER)
-    kept = counts.filter((F.col("rank") <= top) & (F.col("n") >= F.greatest(F.lit(least_views).cast("long"), F.expr("`all` div 100")))).select(USER, "channel_clean")
-    rows = own.join(kept, [USER, "channel_clean"]).select(USER, "channel_clean", F.weekday("ts").alias("d"), _slot(F.hour("ts")).alias("slot"))
+    """Association rules of channels with weekdays, day times and weekends, ranked by confidence times count.
+
+    A channel needs ``least_views`` or 1 % of all watches, those without a channel or time included. Ties go to the rule
+    whose channel and value were seen first. ``total`` is the number of all rules.
+    """
+    every = watch.groupBy(USER).agg(F.count("*").alias("all"))
+    counts = ranked(_counts(watch, "channel_clean"), F.desc("n"), "first_seq").filter(F.col("rank") <= top).join(every, USER)
+    kept = counts.filter(F.col("n") >= F.greatest(F.lit(least_views).cast("long"), F.expr("`all` div 100"))).select(USER, "channel_clean")
+    rows = watch.filter(F.col("ts").isNotNull()).join(kept, [USER, "channel_clean"])
+    # all rules read these counts: at most 24 * 7 rows a channel, ``top`` channels a user
+    cells = rows.groupBy(USER, "channel_clean", F.weekday("ts").alias("d"), F.hour("ts").alias("h")).agg(F.count("*").alias("k"), F.min("seq").alias("s"))
+    cells = cells.withColumn("c0", F.min("s").over(Window.partitionBy(USER, "channel_clean")))
 
     def rule(kind: str, k: int, column: Column, least: float) -> DataFrame:
-        cell = rows.withColumn("value", column).groupBy(USER, "channel_clean", "value").agg(F.count("*").alias("n"))
+        cell = cells.withColumn("value", column).groupBy(USER, "channel_clean", "c0", "value").agg(F.sum("k").alias("n"), F.min("s").alias("s"))
         whole = cell.withColumns({"c": F.sum("n").over(Window.partitionBy(USER, "channel_clean")), "v": F.sum("n").over(Window.partitionBy(USER, "value")), "t": F.sum("n").over(_by_user())})
         scored = whole.withColumns({"confidence": F.col("n") / F.col("c"), "lift": F.col("n") * F.col("t") / (F.col("c") * F.col("v"))})
         scored = scored.filter((F.col("confidence") >= least) & (F.col("lift") >= lift) & (F.col("n") >= hits))
-        return scored.select(USER, F.lit(kind).alias("kind"), F.lit(k).alias("k"), "channel_clean", "value", "confidence", "n")
-
-    ends = rows.groupBy(USER, "channel_clean").agg(F.count("*").alias("n"), F.avg((F.col("d") >= 5).cast("int")).alias("confidence")).filter((F.col("n") >= weekend_total) & (F.col("confidence") >= weekend))
-    best = ends.withColumn("r", F.row_number().over(_by_user().orderBy(F.desc("n"), "channel_clean"))).filter("r = 1")
-    best = best.select(USER, F.lit("weekend").alias("kind"), F.lit(2).alias("k"), "channel_clean", F.lit("weekend").alias("value"), "confidence", "n")
-    every = rule("weekday", 0, F.col("d").cast("string"), day).unionByName(rule("slot", 1, F.col("slot"), slot)).unionByName(best)
-    out = ranked(every, F.desc(F.col("confidence") * F.col("n")), "k", "channel_clean", "value").filter(F.col("rank") <= n)
-    return out.select(USER, "rank", "kind", "channel_clean", "value", "confidence", "n")
+        return scored.select(USER, F.lit(kind).alias("kind"), F.lit(k).alias("k"), "channel_clean", "value", "confidence", "n", "c0", "s")
+
+    late = F.col("d") >= 5
+    ends = cells.groupBy(USER, "channel_clean").agg(F.sum("k").alias("n"), (F.sum(F.when(late, F.col("k")).otherwise(0)) / F.sum("k")).alias("confidence"), F.min(F.when(late, F.col("s"))).alias("s"))
+    ends = ends.filter((F.col("n") >= weekend_total) & (F.col("confidence") >= weekend))
+    best = ends.withColumn("r", F.row_number().over(_by_user().orderBy(F.desc("n"), "s"))).filter("r = 1")
+    best = best.select(USER, F.lit("weekend").alias("kind"), F.lit(2).alias("k"), "channel_clean", F.lit("weekend").alias("value"), "confidence", "n", F.col("s").alias("c0"), "s")
+    found = rule("weekday", 0, activity.day_name(F.col("d")), day).unionByName(rule("slot", 1, _slot(F.col("h")), slot)).unionByName(best)
+    out = ranked(found, F.desc(F.col("confidence") * F.col("n")), "k", "c0", "s").withColumn("total", F.count("*").over(_by_user())).filter(F.col("rank") <= n)
+    share = F.concat(F.floor(F.col("confidence") * 100).cast("string"), F.lit("%"))
+    words = (
+        F.when(F.col("k") == 0, F.concat(F.lit("You watch **"), F.col("channel_clean"), F.lit("** on **"), F.col("value"), F.lit("s** ("), share, F.lit(" of the time)")))
+        .when(F.col("k") == 1, F.concat(F.lit("**"), F.col("channel_clean"), F.lit("** is your **"), F.col("value"), F.lit("** go-to ("), share, F.lit(")")))
+        .otherwise(F.concat(F.lit("**"), F.col("channel_clean"), F.lit("** is your **weekend** channel ("), share, F.lit(" weekend views)")))
+    )
+    return out.select(USER, "rank", "kind", "channel_clean", "value", "confidence", "n", "total", words.alias("insight"))
 
 
 def rewatched(watch: DataFrame) -> DataFrame:
@@ -86,9 +119,11 @@ def searches(events: DataFrame, n: int = 5) -> DataFrame:
 
 
 def first_and_last(watch: DataFrame) -> DataFrame:
-    own = watch.filter(F.col("ts").isNotNull()).withColumn("title", F.substring(F.coalesce("text_clean", "text_raw"), 1, 80))
-    first, last = F.struct("ts", "seq"), F.struct("ts", -F.col("seq"))
-    return own.groupBy(USER).agg(F.min_by("title", first).alias("first_title"), F.min("ts").alias("first_ts"), F.max_by("title", last).alias("last_title"), F.max("ts").alias("last_ts"))
+    own = watch.filter(F.col("ts").isNotNull()).withColumn("title", F.substring(F.coalesce("text_clean", F.lit("Unknown")), 1, 80))
+    first, last = F.struct("ts", "seq"), F.struct("ts", "seq")
+    long = lambda c: F.date_format(c, "MMMM dd, yyyy")
+    out = own.groupBy(USER).agg(F.min_by("title", first).alias("first_title"), F.min("ts").alias("first_ts"), F.max_by("title", last).alias("last_title"), F.max("ts").alias("last_ts"))
+    return out.withColumns({"first_date": long("first_ts"), "last_date": long("last_ts")})
 
 
 def card_document(events: DataFrame, year: int) -> DataFrame:
@@ -97,8 +132,8 @@ def card_document(events: DataFrame, year: int) -> DataFrame:
     lists = lambda df: df.groupBy(USER).agg(F.sort_array(F.collect_list(F.struct(*[c for c in df.columns if c != USER]))).alias("card"))
     one = lambda df: df.select(USER, F.struct(*[c for c in df.columns if c != USER]).alias("card"))
     cards = {
-        "stats": one(stats_overview(watch)), "time": one(sessions.time_spent(watch)), "peak_month": one(peak_month(watch)), "top_channels": lists(top_channels(watch)),
-        "watch_cycle": one(first_seen_peak(watch, F.hour("ts"), "hour")), "peak_weekday": one(first_seen_peak(watch, F.weekday("ts"), "weekday")),
+        "stats": one(stats_overview(watch)), "time": one(time_spent_card(watch)), "peak_month": one(peak_month(watch)), "top_channels": lists(top_channels(watch)),
+        "watch_cycle": one(watch_cycle(watch)), "peak_weekday": one(peak_weekday(watch)),
         "streak": one(streaks.longest_streak(watch)), "binge": one(sessions.binge_sessions(watch)), "late_night": one(late_night(watch)), "habits": lists(habit_channels(watch)),
         "patterns": lists(patterns(watch)), "rewatched": one(rewatched(watch)), "subscriptions": one(overlap.subscription_overlap(events)), "searches": lists(searches(events)), "first_last": one(first_and_last(watch)),
     }

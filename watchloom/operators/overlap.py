@@ -38,17 +38,27 @@ def overlap_names(events: DataFrame, n: int = 20) -> DataFrame:
 
 
 def unknown_channels(counts: DataFrame, known: DataFrame, key: str, least: int = 2, size: int = 50) -> DataFrame:
-    """Channels with ``least`` watches and more that the table lacks, in batches of ``size`` dealt by hash order of ranges.
+    """Channels with ``least`` watches and more that the table lacks, in batches of ``size``; only the last batch is smaller.
 
-    Batches are numbered inside 64 hash groups, so that no window spans the whole table.
+    Places are running numbers by hash group and key: a rank inside each of 4096 groups after the sizes of the
+    groups before it, so no task sees more than a group.
     """
-    missing = counts.filter(F.col("n") >= least).join(known.select(key), key, "left_anti")
-    grouped = missing.withColumn("group", F.pmod(F.xxhash64(key), F.lit(64)).cast("int"))
-    place = F.row_number().over(Window.partitionBy("group").orderBy(key)) - 1
-    return grouped.withColumn("batch", F.floor(place / size).cast("int")).select(key, "n", "group", "batch")
+    missing = counts.filter(F.col("n") >= least).join(known.select(key), key, "left_anti").withColumn("_g", F.substring(F.md5(key), 1, 3))
+    sizes = missing.groupBy("_g").agg(F.count("*").alias("_n"))  # at most 4096 rows
+    before = F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_g").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select("_g", F.coalesce(before, F.lit(0)).alias("_before"))
+    place = F.col("_before") + F.row_number().over(Window.partitionBy("_g").orderBy(key)) - 1
+    return missing.join(F.broadcast(offsets), "_g").withColumn("place", place).select(key, "n", "place", F.floor(F.col("place") / size).alias("batch"))
+
+
+def requests(batches: DataFrame, key: str) -> DataFrame:
+    """One row per batch with its channels in order."""
+    keys = F.transform(F.array_sort(F.collect_list(F.struct("place", key))), lambda s: s[key])
+    return batches.groupBy("batch").agg(keys.alias("keys"))
 
 
 def stale(known: DataFrame, now, days: int = 30) -> DataFrame:
+    """Known channels fetched more than ``days`` days ago, due for a refresh."""
     return known.filter(F.col("fetched") < F.lit(now) - F.expr(f"interval {days} days"))
 
 
@@ -61,12 +71,16 @@ def upsert(known: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return joined.select(key, *[F.when(fresh, F.col(c)).otherwise(F.col(f"_{c}")).alias(c) for c in own], (F.coalesce("_n", F.lit(0)) + fresh.cast("long")).alias("fetch_count"))
 
 
-def categories(channels: DataFrame, key: str, topics: str, mapping: DataFrame, fallback: DataFrame) -> DataFrame:
-    """Category of each topic, the first as primary; else that of the first fallback keyword in the name.
+def categories(channels: DataFrame, key: str, topics: str, mapping: DataFrame, fallback: DataFrame, name: str = "name") -> DataFrame:
+    """Distinct categories of a channel's topics in order, the first as primary; else that of the first fallback keyword in the name.
 
-    ``mapping(topic, category)`` and ``fallback(keyword, category)`` are small dimensions.
+    ``mapping(topic, category)`` and ``fallback(keyword, category)`` are dimensions.
     """
     each = channels.select(key, F.posexplode_outer(topics).alias("pos", "topic")).join(mapping, "topic", "left")
-    found = each.groupBy(key).agg(F.min_by("category", F.when(F.col("category").isNotNull(), F.col("pos"))).alias("primary"))
-    words = channels.select(key, F.explode(F.split(F.lower("name"), " ")).alias("keyword")).join(fallback, "keyword").groupBy(key).agg(F.min_by("category", "keyword").alias("spare"))
-    return found.join(words, key, "left").select(key, F.coalesce("primary", "spare").alias("category"))
+    first = each.groupBy(key, "category").agg(F.min("pos").alias("pos"))
+    held = F.transform(F.array_sort(F.collect_list(F.when(F.col("category").isNotNull(), F.struct("pos", "category")))), lambda s: s["category"])
+    found = first.groupBy(key).agg(held.alias("categories"))
+    words = channels.select(key, F.posexplode(F.split(F.lower(name), " ")).alias("pos", "keyword")).join(fallback, "keyword")
+    spare = words.groupBy(key).agg(F.min_by("category", F.struct("pos", "category")).alias("spare"))
+    primary = F.coalesce(F.get("categories", F.lit(0)), F.col("spare"))
+    return found.join(spare, key, "left").select(key, primary.alias("category"), "categories")

@@ -27,6 +27,22 @@ def time_spent(rows: DataFrame, gap_minutes: int = 60, bonus_minutes: int = 5) -
     return s.join(days, USER).select(USER, "sessions", "minutes", (F.col("minutes") / 60).alias("hours"), "mean_minutes", "longest_minutes", "days", (F.col("minutes") / F.col("days")).alias("minutes_per_day"))
 
 
+def time_report(rows: DataFrame, gap_minutes: int = 60, bonus_minutes: int = 5) -> DataFrame:
+    """``time_spent`` as it is shown: one decimal, and a sentence."""
+    t = time_spent(rows, gap_minutes, bonus_minutes)
+    hours = F.bround("hours", 1)
+    span = F.when(hours >= 24, F.concat(F.floor(hours / 24).cast("string"), F.lit(" days "), F.floor(hours % 24).cast("string"), F.lit(" hours"))).otherwise(F.concat(hours.cast("string"), F.lit(" hours")))
+    words = F.concat(F.lit("Spent approximately "), span, F.lit(" across "), F.col("days").cast("string"), F.lit(" days ("), F.col("sessions").cast("string"), F.lit(" sessions)"))
+    return t.select(USER, F.bround("minutes", 1).alias("minutes"), hours.alias("hours"), F.bround("minutes_per_day", 1).alias("daily_minutes"), "days", "sessions", F.bround("mean_minutes", 1).alias("mean_minutes"), F.bround("longest_minutes", 1).alias("longest_minutes"), words.alias("summary"))
+
+
 def binge_sessions(rows: DataFrame, minutes: int = 120, **options) -> DataFrame:
-    long = sessionise(rows, **options).filter(F.col("minutes") >= minutes)
-    return long.groupBy(USER).agg(F.count("*").alias("binges"), F.max("minutes").alias("longest_minutes"), F.max_by(F.to_date("start_ts"), F.struct("minutes", -F.col("session"))).alias("longest_date"))
+    """How many sessions last ``minutes`` and more, the longest one (the earlier on ties) and its date; zero and empty without any."""
+    s = sessionise(rows, **options)
+    long = F.col("minutes") >= minutes
+    top = F.max_by(F.struct("minutes", "start_ts"), F.when(long, F.struct("minutes", -F.col("session"))))
+    out = s.groupBy(USER).agg(F.count_if(long).alias("binges"), F.max(F.when(long, F.col("minutes"))).alias("longest_minutes"), top.alias("_t"))
+    whole = F.coalesce(F.floor("longest_minutes"), F.lit(0))
+    label = F.concat(F.floor(whole / 60).cast("string"), F.lit("h "), (whole % 60).cast("string"), F.lit("m"))
+    day = F.when(F.col("binges") > 0, F.col("_t.start_ts"))
+    return out.select(USER, "binges", "longest_minutes", label.alias("longest"), day.cast("date").alias("longest_date"), F.coalesce(F.date_format(day, "MMMM dd"), F.lit("")).alias("longest_day"))

@@ -9,14 +9,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 USER = "user_id"
+
+
 def _by_user():
     return Window.partitionBy(USER)
 
 
+def daily_hours(rows: DataFrame) -> DataFrame:
+    """``user_id, date, hour, n``, and ``s``, the first row of the hour: at most 24 rows a day."""
+    return rows.filter(F.col("ts").isNotNull()).groupBy(USER, F.to_date("ts").alias("date"), F.hour("ts").alias("hour")).agg(F.count("*").alias("n"), F.min("seq").alias("s"))
+
+
 def daily(rows: DataFrame) -> DataFrame:
-    timed = rows.filter(F.col("ts").isNotNull()).select(USER, F.to_date("ts").alias("date"), F.hour("ts").alias("hour"), "seq")
-    hours = timed.groupBy(USER, "date", "hour").agg(F.count("*").alias("n"), F.min("seq").alias("s"))
-    return hours.groupBy(USER, "date").agg(F.sum("n").alias("total"), F.sum(F.when(F.col("hour") < 5, F.col("n")).otherwise(0)).alias("late"), F.max_by("hour", F.struct("n", -F.col("s"))).alias("peak_hour"))
+    """Per date the total, the late ones, the peak hour and ``hours``, the counts of all 24 hours."""
+    slots = F.array(*[F.coalesce(F.sum(F.when(F.col("hour") == h, F.col("n"))), F.lit(0)) for h in range(24)])
+    return daily_hours(rows).groupBy(USER, "date").agg(
+        F.sum("n").alias("total"), F.sum(F.when(F.col("hour") < 5, F.col("n")).otherwise(0)).alias("late"), F.max_by("hour", F.struct("n", -F.col("s"))).alias("peak_hour"), slots.alias("hours")
+    )
 
 
 def baseline(days: DataFrame) -> DataFrame:
@@ -99,10 +108,33 @@ def anomalies(days: DataFrame, binge: int = 10, late: int = 3) -> DataFrame:
     return out.withColumn("place", F.row_number().over(_by_user().orderBy("t", "k"))).select(USER, "place", "kind", "date", "value", "severity")
 
 
+def _dated(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows and first row of each date of ``keys``; rows without a key or time are left out."""
+    known = F.col("ts").isNotNull()
+    for k in keys:
+        known &= F.col(k).isNotNull()
+    return rows.filter(known).groupBy(*keys, F.to_date("ts").alias("date")).agg(F.count("*").alias("n"), F.min("seq").alias("s"))
+
+
+def _islands(dates: DataFrame, keys: list[str]) -> DataFrame:
+    """Runs of consecutive dates: ``start, end, days``, and the sums of their rows."""
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("date"))
+    return dates.withColumn("_run", F.date_sub("date", place)).groupBy(*keys, "_run").agg(F.min("date").alias("start"), F.max("date").alias("end"), F.count("*").alias("days"), F.sum("n").alias("n"), F.min("s").alias("s"))
+
+
 def streaks(rows: DataFrame, keys: list[str], least: int = 3) -> DataFrame:
     """Runs of consecutive dates of ``keys``."""
-    dates = rows.filter(F.col("ts").isNotNull()).select(*keys, F.to_date("ts").alias("date")).distinct()
-    return chains(dates, keys, 1, least).select(*keys, "start", "end", F.col("dates").alias("days"))
+    return _islands(_dated(rows, keys), keys).filter(F.col("days") >= least).select(*keys, "start", "end", "days")
+
+
+def _summed(dates: DataFrame, keys: list[str], least: int, *aggregates: Column) -> DataFrame:
+    """For each of ``keys`` its streaks of ``least`` days and more as an array by start, their number, longest and total, and all dates."""
+    held = F.array_sort(F.collect_list(F.when(F.col("days") >= least, F.struct("start", "end", "days"))))
+    out = _islands(dates, keys).groupBy(*keys).agg(
+        held.alias("habit_streaks"), F.count_if(F.col("days") >= least).alias("streaks"), F.coalesce(F.max(F.when(F.col("days") >= least, F.col("days"))), F.lit(0)).alias("longest"),
+        F.coalesce(F.sum(F.when(F.col("days") >= least, F.col("days"))), F.lit(0)).alias("total_days"), F.sum("days").alias("days_watched"), F.sum("n").alias("watches"), F.min("s").alias("s"), *aggregates,
+    )
+    return out
 
 
 def longest_streak(rows: DataFrame) -> DataFrame:
@@ -110,31 +142,68 @@ def longest_streak(rows: DataFrame) -> DataFrame:
     return best.select(USER, "days", "start", "end", F.concat_ws(" - ", F.date_format("start", "MMM dd"), F.date_format("end", "MMM dd")).alias("label"))
 
 
-def channel_habits(rows: DataFrame, key: str = "channel_clean", least: int = 3) -> DataFrame:
-    """Channels with streaks: number, longest, total days and a score of 10 per day up to 100."""
-    own = streaks(rows.filter(F.col(key).isNotNull()), [USER, key], least)
-    days = rows.filter(F.col(key).isNotNull() & F.col("ts").isNotNull()).groupBy(USER, key).agg(F.count_distinct(F.to_date("ts")).alias("days_watched"), F.min("seq").alias("s"))
-    out = own.groupBy(USER, key).agg(F.count("*").alias("streaks"), F.max("days").alias("longest"), F.sum("days").alias("total_days")).join(days, [USER, key])
+def _habits(rows: DataFrame, key: str, least: int, least_days: int) -> DataFrame:
+    out = _summed(_dated(rows, [USER, key]), [USER, key], least).filter((F.col("streaks") > 0) & (F.col("days_watched") >= least_days))
     out = out.withColumn("score", F.least(F.lit(100).cast("long"), F.col("total_days") * 10))
-    return out.withColumn("rank", F.row_number().over(_by_user().orderBy(F.desc("longest"), F.desc("total_days"), "s"))).drop("s")
+    out = out.withColumn("rank", F.row_number().over(_by_user().orderBy(F.desc("longest"), F.desc("total_days"), "s")))
+    return out.select(USER, key, "rank", "days_watched", "streaks", "habit_streaks", "longest", "total_days", "score")
+
+
+def channel_habits(rows: DataFrame, key: str = "channel_clean", least: int = 3) -> DataFrame:
+    """Channels with streaks: the streaks themselves, their number, longest, total days and a score of 10 per day up to 100."""
+    return _habits(rows, key, least, 0)
+
+
+def habit_streaks(habits: DataFrame, key: str = "channel_clean") -> DataFrame:
+    """The streaks of habits, one row each."""
+    return habits.select(USER, key, F.posexplode("habit_streaks").alias("place", "_s")).select(USER, key, "place", "_s.start", "_s.end", "_s.days")
 
 
-def rewatched_videos(rows: DataFrame, last: int = 30) -> DataFrame:
-    """Titles watched on two dates and more; the first date and channel are those of the first row."""
+def _titles(rows: DataFrame, least: int) -> DataFrame:
     title = F.coalesce("text_clean", "text_raw")
-    own = rows.withColumn("title", title).filter(F.length("title") > 5).filter(F.col("ts").isNotNull())
-    out = own.groupBy(USER, "title").agg(F.count("*").alias("watches"), F.count_distinct(F.to_date("ts")).alias("days"), F.min_by(F.to_date("ts"), "seq").alias("first_seen"), F.min_by("channel", "seq").alias("channel"), F.min("seq").alias("s")).filter("days >= 2")
+    own = rows.withColumn("title", title).filter((F.length("title") > 5) & F.col("ts").isNotNull())
+    dates = own.groupBy(USER, "title", F.to_date("ts").alias("date")).agg(F.count("*").alias("n"), F.min("seq").alias("s"), F.min_by(F.coalesce("channel_clean", F.lit("Unknown")), "seq").alias("channel"))
+    first = dates.groupBy(USER, "title").agg(F.min_by("date", "s").alias("first_seen"), F.min_by("channel", "s").alias("channel"))
+    return _summed(dates, [USER, "title"], least).filter("days_watched >= 2").join(first, [USER, "title"])
+
+
+def rewatched_videos(rows: DataFrame, last: int | None = 30, least: int = 3) -> DataFrame:
+    """Titles watched on two dates and more, with their streaks; the first date and channel are those of the first row."""
+    out = _titles(rows, least)
     shown = F.when(F.length("title") > 80, F.concat(F.substring("title", 1, 80), F.lit("..."))).otherwise(F.col("title"))
-    out = out.withColumn("rank", F.row_number().over(_by_user().orderBy(F.desc("days"), F.desc("watches"), "s"))).filter(F.col("rank") <= last)
-    return out.select(USER, "rank", shown.alias("title"), "watches", "days", "first_seen", "channel")
+    out = out.withColumn("rank", F.row_number().over(_by_user().orderBy(F.desc("days_watched"), F.desc("watches"), "s")))
+    out = out if last is None else out.filter(F.col("rank") <= last)
+    return out.select(USER, "rank", shown.alias("title"), "watches", F.col("days_watched").alias("days"), "first_seen", "channel", (F.col("streaks") > 0).alias("has_streak"), F.col("longest").alias("longest_streak"))
 
 
-def topic_habits(rows: DataFrame, topics: str = "micro_topics", least_days: int = 5, least: int = 3, last: int = 30) -> DataFrame:
+def topic_habits(rows: DataFrame, topics: str = "micro_topics", least_days: int = 5, least: int = 3, last: int | None = 30) -> DataFrame:
+    """Streaks of topics of ``least_days`` dates and more; rarer topics take no place of the ``last`` best."""
     each = rows.select(USER, "seq", "ts", F.explode(topics).alias("topic"))
-    return channel_habits(each, "topic", least).filter(F.col("days_watched") >= least_days).filter(F.col("rank") <= last)
+    out = _habits(each, "topic", least, least_days)
+    return out if last is None else out.filter(F.col("rank") <= last)
 
 
 def habit_strength(habits: DataFrame) -> DataFrame:
     out = habits.groupBy(USER).agg(F.count("*").alias("n"), F.max("longest").alias("longest"), F.sum(F.when(F.col("rank") <= 5, F.col("total_days")).otherwise(0)).alias("top_days"))
     strength = F.least(F.lit(100).cast("long"), 10 * F.col("n") + 5 * F.col("longest") + F.col("top_days"))
     return out.select(USER, F.col("n").alias("habits"), "longest", strength.alias("strength"))
+
+
+def habit_report(rows: DataFrame, topics: str | None = None, least: int = 3, least_days: int = 5) -> DataFrame:
+    """Per user the strength of channel habits, how many channels, titles and topics recur, and these in words."""
+    habits = channel_habits(rows, least=least)
+    best = habits.filter("rank = 1").select(USER, F.col("channel_clean").alias("best"))
+    number = lambda df, name: df.groupBy(USER).agg(F.count("*").alias(name))
+    out = rows.select(USER).distinct().join(habit_strength(habits), USER, "left").join(best, USER, "left").join(number(_titles(rows, least), "videos"), USER, "left")
+    out = out.join(number(topic_habits(rows, topics, least_days, least, None), "topics"), USER, "left") if topics else out.withColumn("topics", F.lit(0).cast("long"))
+    out = out.fillna(0, ["habits", "longest", "strength", "videos", "topics"])
+    text = lambda c: F.col(c).cast("string")
+    parts = F.concat_ws(
+        " | ",
+        F.when(F.col("habits") > 0, F.concat(F.lit("Strongest habit: "), F.col("best"), F.lit(" watched "), text("longest"), F.lit(" days in a row"))),
+        F.when(F.col("habits") > 1, F.concat(text("habits"), F.lit(" channels with daily habits"))),
+        F.when(F.col("videos") > 0, F.concat(text("videos"), F.lit(" rewatched videos"))),
+        F.when(F.col("topics") > 0, F.concat(text("topics"), F.lit(" recurring topics"))),
+    )
+    words = F.when(parts == "", "No strong habits detected").otherwise(parts)
+    return out.select(USER, "habits", "videos", "topics", F.col("longest").alias("max_streak_days"), "strength", words.alias("summary"))

@@ -1,4 +1,4 @@
-"""The full report: all DataFrames of one user table, sharing a persisted parent."""
+"""The full report: all DataFrames of one user table, over one canonical parent."""
 
 from __future__ import annotations
 
@@ -8,13 +8,12 @@ from watchloom.operators import activity, overlap, sessions, streaks
 
 
 def full_report(events: DataFrame) -> dict[str, DataFrame]:
-    """Ten reports, lazily defined; the caller may unpersist ``parent``."""
-    parent = events.repartition("user_id").persist()
-    watch = activity.watches(parent)
+    """Ten reports, lazily defined over ``events``; persist it first if several are to be computed."""
+    watch = activity.watches(events)
     days, months = streaks.daily(watch), activity.monthly_stats(watch)
     return {
-        "parent": parent, "summary": activity.summary(parent), "channels": activity.top_values(watch, "channel_clean", "channel"),
-        "watch_patterns": activity.hour_histogram(watch), "temporal_trends": activity.pattern_shifts(months), "searches": activity.search_analytics(parent),
-        "subscription_overlap": overlap.subscription_overlap(parent), "anomalies": streaks.anomalies(days), "habits": streaks.channel_habits(watch),
+        "summary": activity.summary(events), "channels": activity.top_values(watch, "channel_clean", "channel"),
+        "watch_patterns": activity.hour_histogram(watch), "temporal_trends": activity.pattern_shifts(months), "searches": activity.search_analytics(events),
+        "subscription_overlap": overlap.subscription_overlap(events), "anomalies": streaks.anomalies(days), "habits": streaks.channel_habits(watch),
         "time_spent": sessions.time_spent(watch), "distribution": activity.distribution_stats(watch),
     }

@@ -1,9 +1,10 @@
-"""Session helpers."""
+"""Session helpers: the package for Python workers, and folders that all executors share."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import SparkSession
@@ -11,17 +12,9 @@ from pyspark.sql import SparkSession
 _SHIPPED: set[str] = set()
 
 
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
-
-
 def ship(spark: SparkSession) -> SparkSession:
-    """Give the executors' Python workers this package, once per Spark application.
-
-    Texts are long, so Arrow batches get 1000 rows, unless the session has set a number of its own.
-    """
+    """Give the executors' Python workers this package, once per Spark application; no setting is changed."""
     sc = spark.sparkContext
-    if spark.conf.get(_BATCH) == "10000":
-        spark.conf.set(_BATCH, "1000")
     if sc.applicationId not in _SHIPPED:
         top = os.path.dirname(os.path.abspath(__file__))
         path = os.path.join(tempfile.mkdtemp(prefix="spark-"), "watchloom.zip")
@@ -34,3 +27,22 @@ def ship(spark: SparkSession) -> SparkSession:
         sc.addPyFile(path)
         _SHIPPED.add(sc.applicationId)
     return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """A new folder below ``spark.checkpoint.dir``.
+
+    Only where the session names none (a local run or a test) a temporary folder is set as
+    the checkpoint folder first.
+    """
+    sc = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not base:
+        found = sc._jsc.sc().getCheckpointDir()
+        base = found.get() if found.isDefined() else None
+    if not base:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="spark-")
+        sc.setCheckpointDir(base)
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"

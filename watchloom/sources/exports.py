@@ -6,7 +6,6 @@ bounded by what one export holds. Everything after that is DataFrame expressions
 
 from __future__ import annotations
 
-import csv
 import io
 import zipfile
 from collections.abc import Iterator
@@ -75,18 +74,36 @@ def decoded(raw: Column) -> Column:
 
 
 def extract(found: DataFrame, match: str = "first") -> DataFrame:
-    """``archive, filename, content_type, content, size_bytes`` of the members that are there."""
+    """``archive, filename, content_type, content, size_bytes`` of the members that are there.
+
+    With ``match="last_ci"`` a member must be UTF-8; one that is not is left out, the archive's others stay.
+    """
     own = locate(found, match=match).filter(~F.col("missing") & F.col("raw").isNotNull())
+    if match == "last_ci":
+        own = own.filter(F.is_valid_utf8(F.col("raw").cast("string")))
     kind = F.when(F.col("target").endswith(".json"), "application/json").otherwise("text/csv")
     return own.select("archive", F.col("target").alias("filename"), kind.alias("content_type"), decoded(F.col("raw")).alias("content"), "size_bytes")
 
 
+_QUOTED = r'"(?:[^"]++|"")*+"'
+
+
+def csv_records(content: Column) -> Column:
+    """Records of a CSV text as arrays of fields; quoted fields may hold commas, quotes and line ends. Blank lines are left out."""
+    body = F.regexp_replace(F.coalesce(content, F.lit("")), r"^\x{FEFF}", "")
+    records = F.regexp_extract_all(body, F.lit(rf'((?:[^"\r\n]++|{_QUOTED}|")++)'), 1)
+    plain = lambda f: F.when(f.startswith('"') & f.endswith('"') & (F.length(f) > 1), F.replace(F.substring(f, F.lit(2), F.length(f) - 2), F.lit('""'), F.lit('"'))).otherwise(f)
+    fields = lambda r: F.transform(F.regexp_extract_all(F.concat(F.lit(","), r), F.lit(f",({_QUOTED}|[^,]*+)"), 1), plain)
+    return F.transform(records, fields)
+
+
 def parse_time(c: Column) -> Column:
     return F.try_to_timestamp(c, F.lit(_TIME)).cast("timestamp_ntz")
 
 
 def lenient_time(c: Column) -> Column:
-    return c.try_cast("timestamp_ntz")
+    """``parse_time``, and a date and time with a space between them."""
+    return F.coalesce(parse_time(c), F.try_to_timestamp(c, F.lit("yyyy-MM-dd HH:mm:ss")).cast("timestamp_ntz"))
 
 
 def _entries(files: DataFrame, name: str, schema: str) -> DataFrame:
@@ -101,6 +118,18 @@ def local_columns(df: DataFrame, zone: str = "tz") -> DataFrame:
     )
 
 
+def local_info(df: DataFrame, zone: str = "tz") -> DataFrame:
+    """``local_columns`` and the same in words: ISO time with its offset, and the date."""
+    out = local_columns(df, zone)
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    minutes = ((micros("ts_local") - micros("ts_utc")) / 60_000_000).cast("int")
+    part = lambda x: F.lpad(F.abs(x).cast("string"), 2, "0")
+    offset = F.concat(F.when(minutes < 0, "-").otherwise("+"), part((minutes / 60).cast("int")), F.lit(":"), part(minutes % 60))
+    fraction = F.when(F.date_format("ts_local", "SSSSSS") != "000000", F.date_format("ts_local", ".SSSSSS")).otherwise("")
+    iso = F.concat(F.date_format("ts_local", "yyyy-MM-dd'T'HH:mm:ss"), fraction, offset)
+    return out.withColumns({"timestamp_local": iso, "date_text": F.date_format("ts_local", "yyyy-MM-dd")})
+
+
 def _described(df: DataFrame) -> DataFrame:
     found = X.language(F.col("text_clean"))
     return df.withColumn("text_clean", X.clean_text(F.col("title"))).withColumns({"language_type": found["type"], "language_confidence": found["confidence"]})
@@ -136,14 +165,11 @@ def search_branch(files: DataFrame) -> DataFrame:
 
 def subscription_branch(files: DataFrame) -> DataFrame:
     """Rows of the CSV members; the title, or the id where it is empty, is the channel."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [(user.as_py(), k, r.get("Channel Id"), r.get("Channel Url"), r.get("Channel Title")) for user, content in zip(*batch.columns) for k, r in enumerate(csv.DictReader(io.StringIO((content.as_py() or "").lstrip("﻿"))))]
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 5, (pa.string(), pa.int32(), pa.string(), pa.string(), pa.string()))], names=["user_id", "seq", "id", "url", "title"])
-
-    own = files.filter(F.col("filename") == TARGETS[2]).select(F.col("user_id").cast("string"), "content")
-    rows = own.mapInArrow(run, "user_id string, seq int, id string, url string, title string")
+    own = files.filter(F.col("filename") == TARGETS[2]).select("user_id", csv_records(F.col("content")).alias("records"))
+    header = F.get("records", F.lit(0))
+    each = own.select("user_id", header.alias("header"), F.posexplode(F.slice("records", 2, 2**31 - 1)).alias("seq", "r"))
+    field = lambda name: F.get("r", F.array_position("header", name).cast("int") - 1)
+    rows = each.select("user_id", "seq", field("Channel Id").alias("id"), field("Channel Url").alias("url"), field("Channel Title").alias("title"))
     name = F.coalesce(F.nullif("title", F.lit("")), "id")
     return _blank(rows.select("user_id", "seq", F.lit("subscribe").alias("type"), name.alias("channel"), F.lower(name).alias("channel_clean"), F.col("url").alias("channel_url")))
 
@@ -155,14 +181,20 @@ def events(files: DataFrame, zones: DataFrame | None = None) -> tuple[DataFrame,
     """
     branches = watch_branch(files).unionByName(search_branch(files)).unionByName(subscription_branch(files))
     users = files.select("user_id", F.col("tz") if "tz" in files.columns else F.lit("UTC").alias("tz")).distinct()
-    good = users.join(F.broadcast(zones), "tz", "left_semi") if zones is not None else users
-    bad = users.join(F.broadcast(zones), "tz", "left_anti") if zones is not None else users.limit(0)
+    good = users.join(zones, "tz", "left_semi") if zones is not None else users
+    bad = users.join(zones, "tz", "left_anti") if zones is not None else users.limit(0)
     return local_columns(branches.join(good, "user_id")), bad
 
 
-def time_zones(spark: SparkSession) -> DataFrame:
-    """All zone names the session's Java knows."""
+#: The areas whose zones are in common use.
+AREAS = ("Africa", "America", "Antarctica", "Arctic", "Asia", "Atlantic", "Australia", "Canada", "Europe", "Indian", "Pacific", "US")
+
+
+def time_zones(spark: SparkSession, common: bool = False) -> DataFrame:
+    """All zone names the session's Java knows, or the ``common`` ones: places in an area, UTC and GMT; about 600 rows."""
     zones = sorted(spark._jvm.java.time.ZoneId.getAvailableZoneIds())
+    if common:
+        zones = [z for z in zones if z in ("UTC", "GMT") or z.split("/")[0] in AREAS and "/" in z]
     return spark.createDataFrame([(z,) for z in zones], "tz string")
 
 
@@ -173,10 +205,18 @@ def stats(df: DataFrame) -> DataFrame:
 
 
 def preview(files: DataFrame, n: int = 50) -> DataFrame:
-    """First entries of each JSON or CSV member: ``archive, filename, total, has_more, rows``."""
-    json = F.from_json("content", "array<string>")
-    lines = F.filter(F.split("content", r"\r?\n"), lambda x: x != "")
+    """First entries of each member: ``archive, filename, total, has_more, headers, rows, error``.
+
+    A JSON list has as many entries as it is long, an object is one entry, any other value has no total; rows of a CSV are JSON objects.
+    """
     is_csv = F.col("content_type") == "text/csv"
-    items = F.when(is_csv, F.slice(lines, 2, 2**31 - 1)).when(F.ltrim("content").startswith("["), json).otherwise(F.array("content"))
-    out = files.withColumn("items", items).withColumn("headers", F.when(is_csv, F.split(F.get(lines, F.lit(0)), ",")))
-    return out.select("archive", "filename", F.size("items").alias("total"), (F.size("items") > n).alias("has_more"), "headers", F.slice("items", 1, n).alias("rows"))
+    start = F.substring(F.ltrim("content"), 1, 1)
+    valid = F.try_parse_json("content").isNotNull()
+    json = F.when(valid & (start == "["), F.from_json("content", "array<string>")).when(valid & (start == "{"), F.array("content"))
+    parsed = files.withColumn("_r", F.when(is_csv, csv_records(F.col("content")))).withColumn("headers", F.coalesce(F.get("_r", F.lit(0)), F.when(is_csv, F.array().cast("array<string>"))))
+    named = F.transform(F.slice("_r", 2, n), lambda r: F.to_json(F.map_from_arrays("headers", F.transform("headers", lambda h, k: F.get(r, k)))))
+    total = F.when(is_csv, F.greatest(F.size("_r") - 1, F.lit(0))).otherwise(F.size(json))
+    error = F.when(~is_csv & ~valid, "Invalid JSON")
+    rows = F.when(is_csv, named).otherwise(F.slice(json, 1, n))
+    total = F.when(total >= 0, total)
+    return parsed.select("archive", "filename", total.alias("total"), (F.coalesce(total, F.lit(0)) > n).alias("has_more"), "headers", rows.alias("rows"), error.alias("error"))
