@@ -7,11 +7,12 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from watchloom.llm import bpe, chat_format, components, fingerprints, html_text, language_id, mixing, ngram_join, substring_dedup, topk_search, toxicity
+from watchloom.llm import bpe, chat_format, components, fingerprints, html_text, language_id, mixing, ngram_join, substring_dedup, text_hash, topk_search, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, node string, doc string, part string"
 
@@ -68,6 +69,75 @@ def test_ngram_components(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, c in want.values()}) and kept.columns == table(spark, texts).columns
 
 
+def thue_morse(n):
+    word = "a"
+    while len(word) < n:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word[:n]
+
+
+def twins():
+    """Two texts that differ in one long word only, made so that sums of powers of an odd number agree."""
+    r, out = random.Random(9), []
+    for n in (128, 1024, 4096):
+        base = [r.choice(["red", "blue", "green", "one"]) + str(k) for k in range(19)]
+        word = thue_morse(n)
+        out += [" ".join([*base[:10], w, *base[10:]]) for w in (word, word.translate(str.maketrans("ab", "ba")))]
+    # and windows of words in that order
+    order = thue_morse(16)
+    out += [" ".join([*("xy"["ab".index(c)] for c in o), "p", "q", "r", "s"]) for o in (order, order.translate(str.maketrans("ab", "ba")))]
+    return out
+
+
+def test_hashes_tell_words_apart():
+    texts = twins()
+    raw, offsets = text_hash.string_buffers(pa.array(texts))
+    for size in (5, 20):
+        h, ok = text_hash.window_hashes(text_hash.words(raw, offsets), size)
+        words = [t.split() for t in texts]
+        want = {tuple(w[i : i + size]) for w in words for i in range(len(w) - size + 1)}
+        assert len(set(h[ok].tolist())) == len(want)
+    assert len({text_hash.fold(np.array(x, np.uint64)) for x in ([], [1], [1, 1], [2, 1], [1, 2])}) == 5
+    for size in (1, 5, 7, 20):
+        some = np.arange(40, dtype=np.uint64)
+        assert (text_hash.rolling(some, size) == np.concatenate([text_hash.rolling(some[i : i + size], size) for i in range(41 - size)])).all()
+
+
+def test_ngram_collisions_and_repeats(spark):
+    texts = twins()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_components(table(spark, texts)).collect()} == brute_components(texts)
+    rows = [(1, "a b c d e f"), (1, "x y z"), (None, "x y z"), (None, None), (2, "a b c d e f"), (3, "q")]
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.ngram_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=repr)
+    assert got == sorted([(1, 2, 1), (1, 1, 1), (None, 1, 1), (None, 0, None), (2, 2, 1), (3, 1, 3)], key=repr)
+
+
+def test_ngram_large_group(spark, monkeypatch):
+    """Hundreds of near copies of one text, and as many texts that share half of their shingles: hot blocks, large stars, crossing pairs."""
+    base = [f"v{k}" for k in range(150)]
+    texts = [" ".join([*base[: k % 150], f"e{k}", *base[k % 150 + 1 :]]) for k in range(220)]
+    texts += [" ".join([*base[:75], *(f"o{k}x{i}" for i in range(75))]) for k in range(120)]
+    want = brute_components(texts)
+    for parts in (1 << 22, 1 << 12):
+        monkeypatch.setattr(ngram_join, "_PART_SHINGLES", parts)
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_components(table(spark, texts)).collect()} == want
+
+
+def test_ngram_without_bands(spark, monkeypatch):
+    """When no seed spreads a set over enough blocks, single shingles are the blocks of all sets."""
+    nodes, tried = ngram_join._nodes, []
+
+    def never(docs, size, num, den, seed, small):
+        tried.append(small)
+        found = nodes(docs, size, num, den, seed, small)
+        return found.withColumn("fits", F.lit(False)) if small < 1 << 60 else found
+
+    monkeypatch.setattr(ngram_join, "_nodes", never)
+    assert ngram_join._bands(1000, 3, 4, 1 << 62) == [-1] and ngram_join._bands(100, 3, 4, 64) == [0]
+    texts = corpus(12)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_components(table(spark, texts)).collect()} == brute_components(texts)
+    assert tried[-1] == 1 << 62 and len(tried) == 8
+
+
 def test_ngram_components_empty(spark):
     assert ngram_join.ngram_components(table(spark, []).limit(0)).count() == 0
 
@@ -127,13 +197,54 @@ def test_substring_texts_and_compaction(spark):
     want = brute_dedup(texts)
     for r in out.collect():
         assert hashlib.sha256(b" ".join((r.text or "").encode().split())).hexdigest() == want[r.doc_id][2]
-    index = substring_dedup.FingerprintIndex(spark, max_runs=2)
-    for k in range(4):
-        index.append(docs.filter(F.col("doc_id") % 4 == k))
-    assert len(index.runs) <= 2
     assert substring_dedup.dedup_digest(docs.limit(0)).count() == 0
 
 
+def spans(rows):
+    """Windows that stretches stand for."""
+    return {(r.doc, r.start + k) for r in rows for k in range(r.len)}
+
+
+def brute_spans(texts, window=20):
+    first, out = set(), set()
+    for d, t in enumerate(texts):
+        w = (t or "").encode().split()
+        for i in range(len(w) - window + 1):
+            g = tuple(w[i : i + window])
+            if g in first:
+                out.add((d, i))
+            first.add(g)
+    return out
+
+
+@pytest.mark.parametrize("filtered", [10**6, 0])
+def test_reopened_index(spark, monkeypatch, tmp_path, filtered):
+    """An index opened again, by its folder alone, after each batch; compaction in between; a manifest half written is none."""
+    monkeypatch.setattr(substring_dedup, "FILTERED", filtered)
+    texts = corpus(20)
+    docs, found, index = table(spark, texts), set(), None
+    for k in range(4):
+        index = substring_dedup.FingerprintIndex(spark, f"{tmp_path}/index", max_runs=2)
+        for run in index.runs:
+            spark.sql(f"DROP TABLE IF EXISTS {run['name']}")  # as in another session
+        (tmp_path / "index/manifest/99").mkdir(parents=True, exist_ok=True)
+        part = docs.filter((F.col("doc_id") >= 12 * k) & (F.col("doc_id") < 12 * k + 12))
+        found |= spans(index.append(part, docs.filter(F.col("doc_id") < 12 * k)).collect())
+        assert len(index.runs) <= 2
+    assert index.compactions > 0 and found == brute_spans(texts[:48])
+
+
+def test_substring_collisions_hot_anchors_and_repeats(spark):
+    r = random.Random(4)
+    line = " ".join(f"l{k}" for k in range(22))
+    texts = [*twins(), *[" ".join(f"{r.randrange(10**6)}" for _ in range(12)) + " " + line + " " + " ".join(f"{r.randrange(10**6)}" for _ in range(30)) for _ in range(120)]]
+    got = {x.doc_id: (x.n_words, x.n_removed, x.kept_sha256) for x in substring_dedup.dedup_digest(table(spark, texts)).collect()}
+    assert got == brute_dedup(texts)
+    rows = [(None, line), (1, line), (1, line), (2, None), (2, "")]
+    got = sorted(((x.doc_id, x.n_words, x.n_removed) for x in substring_dedup.dedup_digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=repr)
+    assert got == sorted([(None, 22, 0), (1, 22, 22), (1, 22, 22), (2, 0, 0), (2, 0, 0)], key=repr)
+
+
 def test_language_id(spark):
     r = random.Random(3)
     letters = {"aa": "abcde ", "bb": "efghi ", "cc": "ijklm "}

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from watchloom.llm.storage import partitions
-from watchloom.llm.text_hash import _CHARS, mix64
+from watchloom.llm.text_hash import fold, mix64, rolling, text_slices
 
 K, S = 15, 7
 _BIN_BITS = 7
@@ -44,14 +44,11 @@ def anchors(text: str | None, k: int = K, s: int = S) -> tuple[np.ndarray, np.nd
     code = mix64(_codes(text or "") + np.uint64(1))
     n = len(code)
     if n < k:
-        return (np.zeros(1, np.int64), mix64(code[::-1].cumsum().sum(keepdims=True) + np.uint64(n))) if n else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+        return (np.zeros(1, np.int64), np.array([fold(code)], np.uint64)) if n else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
     where, found = [], []
     for at in range(0, n - k + 1, _CHUNK):
         part = code[at : at + _CHUNK + k - 1]
-        up, down = _CHARS.get(len(part) + 1)
-        acc = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum(part * up[: len(part)], out=acc[1:])
-        inner = mix64((acc[s:] - acc[:-s]) * down[: len(part) - s + 1])
+        inner = rolling(part, s)
         low, have, count = inner, 1, k - s + 1
         while 2 * have <= count:
             low = np.minimum(low[:-have], low[have:])
@@ -61,7 +58,7 @@ def anchors(text: str | None, k: int = K, s: int = S) -> tuple[np.ndarray, np.nd
             low = np.minimum(low[:m], low[count - have : count - have + m])
         pick = np.flatnonzero((low == inner[:m]) | (low == inner[k - s : k - s + m]))
         where.append(pick + at)
-        found.append(mix64((acc[pick + k] - acc[pick]) * down[pick] + np.uint64(k)))
+        found.append(rolling(part, k)[pick])
     return np.concatenate(where), np.concatenate(found)
 
 
@@ -105,11 +102,13 @@ def anchor_table(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k, t in enumerate(batch.column(1)):
-                where, found = anchors(t.as_py())
-                yield pa.record_batch({"doc_id": batch.column(0).take(pa.array(np.full(len(where), k))), "place": pa.array(where, pa.int64()), "hash": found.view(np.int64)})
+            for i, j, _, _ in text_slices(batch, text):
+                found = [anchors(t.as_py()) for t in batch.column(1).slice(i, j - i)]
+                row = np.repeat(np.arange(i, j), [len(x[0]) for x in found])
+                place, hash = (np.concatenate([x[c] for x in found]) for c in (0, 1))
+                yield pa.record_batch({"doc_id": batch.column(0).take(pa.array(row)), "place": pa.array(place, pa.int64()), "hash": hash.view(np.int64)})
 
-    return docs.select(F.col(id).cast("long"), text).mapInArrow(run, "doc_id long, place long, hash long")
+    return docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias(text)).mapInArrow(run, "doc_id long, place long, hash long")
 
 
 def _with_next(docs: DataFrame, id: str, text: str) -> DataFrame:

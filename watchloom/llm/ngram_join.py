@@ -12,7 +12,7 @@ its first d + 1 non-empty blocks, d taken for the largest possible partner. Band
 64 * 4**k up to four times that; sets near the lower border are met by those just below it, which
 send a second time. Below 64 each shingle is its own block. A document with too few non-empty blocks for
 this would break the argument; the first pass counts such documents and takes another seed if there
-is one (at odds of about 1e-12 each).
+is one (at odds of about 1e-12 each), and after some seeds single shingles as the blocks of all sizes.
 
 Order. Any order that all share will do, so blocks which more than ``dense`` sketches hold come
 last: a passage shared by many documents is then no block of documents that have enough else.
@@ -23,6 +23,8 @@ Candidates. In a group of sketches that share a block all are checked against on
 and links are contracted to components. Only pairs that lie in different components are looked
 at again: in small groups all of them, in large groups in blocks of bounded size. The centre of a large group
 is the member with the most shared symbols, so that of near copies the original is likely chosen.
+A hot block is never a shuffle key: its sketches are dealt by node, and a large star by salt, with its
+centre's set fetched once for each salt and held while the members stream by.
 Every candidate first passes a parity bit sketch of 4096 bits (its Hamming distance is a lower bound of
 d) and is then verified on the exact shingle hashes. Equal sets are one node from the start.
 
@@ -31,6 +33,7 @@ on demand the sets of each component are compared in blocks of bounded size, eve
 
 Null, empty and blank texts have no shingles and link with nothing. Rows that repeat a doc_id are
 separate rows with the same id; a null doc_id takes part, and a component of only such rows has a null id.
+A text of any length is one set. Columns other than id and text play no part, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -44,13 +47,15 @@ from pyspark.sql import functions as F
 
 from watchloom.llm import bloom
 from watchloom.llm.components import connected_components
-from watchloom.llm.storage import materialise, partitions
+from watchloom.llm.storage import bounded, materialise, partitions
 from watchloom.llm.text_hash import mix64, shingle_sets, text_slices, words
 
 SIZE, NUM, DEN = 5, 3, 4
 DENSE = 16
 _SMALL = 64
 _BITS = 4096
+_SALTS = 64
+_PART_SHINGLES = 1 << 22  # about as many shingles are behind what one part of the blocks holds
 _BLOCK = 1024  # rows of a large group that one task holds on either side
 _BLOCK_SHINGLES = 1 << 19  # about as many shingles of a component are held on either side
 
@@ -60,12 +65,12 @@ def allowed(n: int, num: int, den: int) -> int:
     return (n + n * den // num) * (den - num) // (den + num)
 
 
-def _bands(n: int, num: int, den: int) -> list[int]:
-    """Bands in which a set of n shingles is compared; -1: single shingles."""
+def _bands(n: int, num: int, den: int, small: int) -> list[int]:
+    """Bands in which a set of n shingles is compared, the first from ``small`` on; -1: single shingles."""
     band = -1
-    while _SMALL * 4 ** (band + 1) <= n:
+    while small * 4 ** (band + 1) <= n:
         band += 1
-    above = _SMALL * 4 ** (band + 1)
+    above = small * 4 ** (band + 1)
     return [band, band + 1] if n * den >= num * above else [band]
 
 
@@ -87,14 +92,14 @@ def _node(s: np.ndarray) -> tuple[int, int]:
     return int(node[0]), int(a.sum().view(np.int64))
 
 
-def _nodes(docs: DataFrame, size: int, num: int, den: int, seed: int) -> DataFrame:
+def _nodes(docs: DataFrame, size: int, num: int, den: int, seed: int, small: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, raw, off in text_slices(batch, "text"):
                 out = []
                 for s in shingle_sets(words(raw, off, lower=True), size):
                     n = len(s)
-                    fits = all(len(_symbols(s, b, seed)) > allowed(n, num, den) for b in _bands(n, num, den) if b >= 0) if n >= 48 else True
+                    fits = all(len(_symbols(s, b, seed)) > allowed(n, num, den) for b in _bands(n, num, den, small) if b >= 0) if n >= 48 else True
                     out.append((n, *(_node(s) if n else (None, None)), fits))
                 n, node, check, fits = zip(*out)
                 yield pa.record_batch(
@@ -104,21 +109,23 @@ def _nodes(docs: DataFrame, size: int, num: int, den: int, seed: int) -> DataFra
     return docs.mapInArrow(run, "doc_id long, n long, node long, check long, fits boolean")
 
 
-def _prefixes(raw, off, size, num, den, seed, hot, parts) -> Iterator[tuple[int, int, np.ndarray]]:
-    """``(node, n, symbols)`` of the distinct sets of a slice; without ``hot`` all symbols."""
+def _prefixes(raw, off, size, num, den, seed, small, hot, parts) -> Iterator[tuple[int, int, np.ndarray, int]]:
+    """``(node, n, symbols, how many of them are not hot)`` of the distinct sets of a slice; without ``hot`` all symbols."""
     seen = set()
     for s in shingle_sets(words(raw, off, lower=True), size):
         n = len(s)
         if not n or (node := _node(s)[0]) in seen:
             continue
         seen.add(node)
-        for band in _bands(n, num, den):
+        for band in _bands(n, num, den, small):
             sig = _symbols(s, band, seed)
+            cold = len(sig)
             if hot is not None:
                 late = hot.has(mix64(_count_key(sig, parts)))
                 take = allowed(n, num, den) + 1
-                sig = sig[~late][:take] if (~late).sum() >= take else np.concatenate([sig[~late], sig[late][: take - (~late).sum()]])
-            yield node, n, sig
+                cold = min(int((~late).sum()), take)
+                sig = np.concatenate([sig[~late][:take], sig[late][: take - cold]])
+            yield node, n, sig, cold
 
 
 def _count_key(sig: np.ndarray, parts: int) -> np.ndarray:
@@ -126,31 +133,35 @@ def _count_key(sig: np.ndarray, parts: int) -> np.ndarray:
     return (sig >> np.uint64(20)) % np.uint64(parts << 32)
 
 
-def _by_part(part: np.ndarray, parts: int, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
-    order = np.argsort(part, kind="stable")
-    cuts = np.searchsorted(part[order], np.arange(parts + 1))
-    used = np.flatnonzero(np.diff(cuts))
-    fields = {"part": pa.array(np.arange(parts), pa.int32())}
-    fields |= {k: pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(v[order])) for k, v in columns.items()}
-    return pa.record_batch(fields).take(pa.array(used))
+def _by_part(parts: int, *groups: tuple[np.ndarray, dict[str, np.ndarray]]) -> pa.RecordBatch:
+    """Columns as lists, one row per part; each group of columns has parts of its own."""
+    fields, used = {"part": pa.array(np.arange(parts), pa.int32())}, np.zeros(parts, bool)
+    for part, columns in groups:
+        order = np.argsort(part, kind="stable")
+        cuts = np.searchsorted(part[order], np.arange(parts + 1))
+        used |= np.diff(cuts) > 0
+        fields |= {k: pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(v[order])) for k, v in columns.items()}
+    return pa.record_batch(fields).take(pa.array(np.flatnonzero(used)))
 
 
 def _flat(table: pa.Table, name: str) -> np.ndarray:
     return pa.concat_arrays([c.flatten() for c in table.column(name).chunks]).to_numpy(zero_copy_only=False)
 
 
-def _hot_symbols(docs: DataFrame, size, num, den, seed, dense, parts) -> DataFrame:
+def _hot_symbols(docs: DataFrame, size, num, den, seed, small, dense, parts) -> DataFrame:
     """Symbols that more than ``dense`` sketches hold, as keys for the bit filter."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, raw, off in text_slices(batch, "text"):
-                found = [sig for _, _, sig in _prefixes(raw, off, size, num, den, seed, None, parts)]
+                found = [x[2] for x in _prefixes(raw, off, size, num, den, seed, small, None, parts)]
                 if found:
-                    key = _count_key(np.concatenate(found), parts)
+                    # one more than ``dense`` settles a symbol, so a slice sends no more of it
+                    key, n = np.unique(_count_key(np.concatenate(found), parts), return_counts=True)
+                    key = np.repeat(key, np.minimum(n, dense + 1))
                     part = (key % np.uint64(parts)).astype(np.int64)
                     low = (key // np.uint64(parts)).astype(np.uint32)
-                    yield _by_part(part, parts, {"low": low.view(np.int32)})
+                    yield _by_part(parts, (part, {"low": low.view(np.int32)}))
 
     def most(table: pa.Table) -> pa.Table:
         part = table.column("part")[0].as_py()
@@ -162,58 +173,63 @@ def _hot_symbols(docs: DataFrame, size, num, den, seed, dense, parts) -> DataFra
     return packed.groupBy("part").applyInArrow(most, "h long")
 
 
-def _groups(docs: DataFrame, size, num, den, seed, hot, dense, parts) -> DataFrame:
+def _groups(docs: DataFrame, size, num, den, seed, small, hot, dense, parts) -> DataFrame:
     """Groups of sketches that share a block.
 
-    kind 0: edge a - b of the star of a small group; 1: another pair of a small group; 2: a is in the large group ``sig``.
+    kind 0: edge a - b of the star of a small group; 1: another pair of a small group; 2: a holds the hot block ``sig``.
     """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, raw, off in text_slices(batch, "text"):
-                found = list(_prefixes(raw, off, size, num, den, seed, hot.value, parts))
+                found = list(_prefixes(raw, off, size, num, den, seed, small, hot.value, parts))
                 if found:
-                    lengths = [len(x[2]) for x in found]
+                    lengths = np.array([len(x[2]) for x in found])
                     sig = np.concatenate([x[2] for x in found])
                     node = np.repeat(np.array([x[0] for x in found], np.int64), lengths)
                     n = np.repeat(np.array([x[1] for x in found], np.int32), lengths)
-                    yield _by_part((sig % np.uint64(parts)).astype(np.int64), parts, {"sig": sig.view(np.int64), "node": node, "n": n})
+                    place = np.arange(len(sig)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+                    own = place < np.repeat(np.array([x[3] for x in found]), lengths)
+                    part = (np.where(own, sig, mix64(sig ^ node.view(np.uint64))) % np.uint64(parts)).astype(np.int64)
+                    yield _by_part(
+                        parts,
+                        (part[own], {"sig": sig[own].view(np.int64), "node": node[own], "n": n[own]}),
+                        (part[~own], {"hot": sig[~own].view(np.int64), "hot_node": node[~own]}),
+                    )
 
     def meet(table: pa.Table) -> pa.Table:
+        hot_sig, hot_node = np.unique(np.stack([_flat(table, "hot"), _flat(table, "hot_node")]), axis=1)
         sig, node, n = (_flat(table, k) for k in ("sig", "node", "n"))
         order = np.lexsort((node, sig))
         sig, node, n = sig[order], node[order], n[order].astype(np.int64)
         keep = np.ones(len(sig), bool)
         keep[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])
         sig, node, n = sig[keep], node[keep], n[keep]
-        first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+        new = np.ones(len(sig), bool)
+        new[1:] = sig[1:] != sig[:-1]
+        first = np.flatnonzero(new)
         count = np.diff(np.append(first, len(sig)))
         out = []
 
-        def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-            return np.minimum(n[a], n[b]) * den >= np.maximum(n[a], n[b]) * num
-
         def add(kind: int, a: np.ndarray, b: np.ndarray) -> None:
-            ok = near(a, b)
+            ok = np.minimum(n[a], n[b]) * den >= np.maximum(n[a], n[b]) * num
             pairs = np.unique(np.stack([node[a[ok]], node[b[ok]]], 1), axis=0)
             out.append((np.full(len(pairs), kind), np.zeros(len(pairs), np.int64), pairs[:, 0], pairs[:, 1]))
 
-        few = np.flatnonzero((count > 1) & (count <= dense))
         pairs = [np.zeros((2, 0), np.int64)]
-        for k in np.unique(count[few]):
+        for k in np.unique(count[count > 1]):  # never more than ``dense``: such blocks are hot
             i, j = np.triu_indices(int(k), 1)
-            base = first[few[count[few] == k]]
+            base = first[count == k]
             pairs.append(np.stack([(base[:, None] + i).ravel(), (base[:, None] + j).ravel()]))
         a, b = np.concatenate(pairs, 1)
-        star = np.isin(a, first)
+        star = new[a] if len(a) else np.zeros(0, bool)
         add(0, a[star], b[star])
         add(1, a[~star], b[~star])
-        at = np.flatnonzero(np.repeat(count > dense, count))
-        out.append((np.full(len(at), 2), sig[at], node[at], node[at]))
+        out.append((np.full(len(hot_sig), 2), hot_sig, hot_node, hot_node))
         kind, s, a, b = (np.concatenate(x) for x in zip(*out))
         return pa.table({"kind": pa.array(kind, pa.int32()), "sig": pa.array(s, pa.int64()), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    packed = docs.select("text").mapInArrow(send, "part int, sig array<long>, node array<long>, n array<int>")
+    packed = docs.select("text").mapInArrow(send, "part int, sig array<long>, node array<long>, n array<int>, hot array<long>, hot_node array<long>")
     return packed.groupBy("part").applyInArrow(meet, "kind int, sig long, a long, b long")
 
 
@@ -243,34 +259,78 @@ def _bit_sketch(s: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def _against(pairs: DataFrame, table: DataFrame, payload: str, keep) -> DataFrame:
+    """The pairs of ``pairs(c, m, salt)`` that ``keep(c's n, c's payload, n of some m, their flat payload)`` accepts.
+
+    A pair travels with the payload of ``m`` alone; that of ``c`` comes once for each salt, before its members.
+    """
+    side = lambda name: table.select(F.col("node").alias(name), "n", payload)
+    members = pairs.join(side("m"), "m").select("c", "salt", "m", "n", payload)
+    centres = pairs.select("c", "salt").distinct().join(side("c"), "c").select("c", "salt", F.lit(None).cast("long").alias("m"), "n", payload)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = (0, np.zeros(0, np.int64))
+        for batch in batches:
+            opens, n = batch.column(2).is_null().to_numpy(zero_copy_only=False), batch.column(3).to_numpy()
+            lists = batch.column(4)
+            off, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+            cuts = [0, *np.flatnonzero(opens).tolist(), len(n)]
+            fine = np.zeros(len(n), bool)
+            for i, j in zip(cuts[:-1], cuts[1:]):
+                if i < j and opens[i]:
+                    held = (int(n[i]), flat[off[i] : off[i + 1]].copy())
+                    i += 1
+                if i < j:
+                    fine[i:j] = keep(*held, n[i:j], flat[off[i] : off[j]])
+            yield batch.select(["c", "salt", "m"]).take(pa.array(np.flatnonzero(fine)))
+
+    rows = centres.unionByName(members).repartition("c", "salt").sortWithinPartitions("c", "salt", F.col("m").asc_nulls_first())
+    return materialise(rows.mapInArrow(run, "c long, salt int, m long"))
+
+
 def _plausible(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs whose sizes and bit sketches allow a link."""
-    a = sketches.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("ka"))
-    b = sketches.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("kb"))
-    far = F.aggregate(F.zip_with("ka", "kb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    sizes = F.least("na", "nb") * den >= F.greatest("na", "nb") * num
-    return materialise(pairs.join(b, "b").join(a, "a").filter(sizes & (far * (den + num) <= (F.col("na") + F.col("nb")) * (den - num))).select("a", "b"))
+
+    def keep(own: int, bits: np.ndarray, n: np.ndarray, flat: np.ndarray) -> np.ndarray:
+        far = np.bitwise_count(flat.view(np.uint64).reshape(len(n), -1) ^ bits.view(np.uint64)).sum(1, dtype=np.int64)
+        return (np.minimum(n, own) * den >= np.maximum(n, own) * num) & (far * (den + num) <= (n + own) * (den - num))
+
+    return _against(pairs, sketches, "sketch", keep)
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, size: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """The pairs ``(a, b)`` whose exact similarity reaches the threshold, and the sets of all that were compared."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node"))
+    """The pairs ``(c, m, salt)`` whose exact similarity reaches the threshold, and the sets of all that were compared."""
+    wanted = pairs.select(F.explode(F.array("c", "m")).alias("node"))
     sets = _of_nodes(docs, nodes, wanted, size, "array<long>", "shingles", lambda s: s.view(np.int64))
-    a = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa"))
-    b = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))
-    both = F.size(F.array_intersect("sa", "sb")).cast("long")
-    found = pairs.join(b, "b").join(a, "a").withColumn("_i", both)
-    return materialise(found.filter(F.col("_i") * den >= (F.col("na") + F.col("nb") - F.col("_i")) * num).select("a", "b")), sets
+
+    def keep(own: int, held: np.ndarray, n: np.ndarray, flat: np.ndarray) -> np.ndarray:
+        held, flat = held.view(np.uint64), flat.view(np.uint64)
+        at = np.minimum(np.searchsorted(held, flat), own - 1)
+        both = np.add.reduceat((held[at] == flat).astype(np.int64), np.cumsum(n) - n)
+        return both * den >= (n + own - both) * num
+
+    return _against(pairs, sets, "shingles", keep), sets
+
+
+def _pairs(df: DataFrame, c: str, m: str, salts: int) -> DataFrame:
+    """Distinct pairs, dealt to salts by their member."""
+    return df.select(F.col(c).alias("c"), F.col(m).alias("m")).distinct().withColumn("salt", F.pmod(F.xxhash64("m"), F.lit(salts)).cast("int"))
+
+
+def _keyed(rows: DataFrame, few: DataFrame, key: str, how: str) -> DataFrame:
+    """``rows`` joined with ``few``, one row per key, on a key that may hold a large part of the rows: its rows are dealt to salts by node."""
+    salted = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64("node", F.lit(3)), F.lit(_SALTS)).cast("int")).join(salted, [key, "_salt"], how).drop("_salt")
 
 
 def _crossing(members: DataFrame, labels: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
     """In large groups the pairs of different components that pass the bit sketch."""
     named = members.join(labels.select(F.col("v").alias("node"), "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    centre = labels.select(F.col("v").alias("centre"), F.col("label").alias("own"))
-    named = named.join(centre, "centre", "left").withColumn("rest", F.col("label") != F.coalesce("own", "centre")).drop("own", "centre")
+    centres = members.select("centre").distinct().join(labels.select(F.col("v").alias("centre"), F.col("label").alias("own")), "centre")
+    named = _keyed(named, centres, "centre", "left").withColumn("rest", F.col("label") != F.coalesce("own", "centre")).drop("own", "centre")
     named = materialise(named)
     totals = named.groupBy("sig").agg(F.count("*").alias("total"), F.count_if("rest").alias("open")).filter("open > 0")
-    named = named.join(totals, "sig").join(sketches, "node")
+    named = _keyed(named, totals, "sig", "inner").join(sketches, "node")
     over = lambda c: F.ceil(F.col(c) / _BLOCK).cast("int")
     place = lambda c: F.pmod(F.xxhash64("node"), over(c)).cast("int")
     every = lambda c: F.explode(F.sequence(F.lit(0), over(c) - 1))
@@ -280,14 +340,14 @@ def _crossing(members: DataFrame, labels: DataFrame, sketches: DataFrame, num: i
     def compare(table: pa.Table) -> pa.Table:
         ask = table.column("ask").to_numpy(zero_copy_only=False).astype(bool)
         node, label, n = (table.column(c).to_numpy(zero_copy_only=False) for c in ("node", "label", "n"))
-        bits = _flat(table, "sketch").reshape(len(node), _BITS // 64)
+        bits = _flat(table, "sketch").view(np.uint64).reshape(len(node), _BITS // 64)  # unsigned: the count of a negative number is another
         q, t = np.flatnonzero(ask), np.flatnonzero(~ask)
         out = [np.zeros((0, 2), np.int64)]
         for i in q:
             both = n[t] + n[i]
             fit = (label[t] != label[i]) & (np.minimum(n[t], n[i]) * den >= np.maximum(n[t], n[i]) * num)
             at = t[fit]
-            far = np.bitwise_count(bits[at] ^ bits[i]).sum(1)
+            far = np.bitwise_count(bits[at] ^ bits[i]).sum(1, dtype=np.int64)
             at = at[far * (den + num) <= both[fit] * (den - num)]
             out.append(np.stack([np.minimum(node[at], node[i]), np.maximum(node[at], node[i])], 1))
         pairs = np.unique(np.concatenate(out), axis=0)
@@ -367,38 +427,40 @@ def ngram_components(docs: DataFrame, id: str = "doc_id", text: str = "text", si
 
     With ``links`` also ``n_links``: the other rows, copies included, that the row itself links to.
     """
-    spark = docs.sparkSession
+    spark = bounded(docs.sparkSession)
     docs = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    parts = 2 * partitions(spark)
     for seed in range(1, 9):
-        rows = materialise(_nodes(docs, size, num, den, seed))
+        small = _SMALL if seed < 8 else 1 << 62  # the last one has no bands, so every set fits
+        rows = materialise(_nodes(docs, size, num, den, seed, small))
         seen = rows.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("check").alias("c0"), F.max("check").alias("c1"), F.min("n").alias("n0"), F.max("n").alias("n1"), F.min("fits").alias("fits"), F.count("*").alias("rows"))
         nodes = materialise(seen)
-        if nodes.filter("c0 != c1 or n0 != n1 or not fits").isEmpty():
+        if nodes.filter("c0 != c1 or n0 != n1").first() is not None:
+            raise RuntimeError("two different sets have one identity of 64 bits")
+        if nodes.filter("not fits").isEmpty():
             break
-    else:
-        raise RuntimeError("no seed spreads all documents over enough blocks")
+    shingles = nodes.agg(F.sum("n0")).first()[0] or 0
+    parts = max(2 * partitions(spark), int(shingles // _PART_SHINGLES))
     share = spark.sparkContext.broadcast
-    hot = share(bloom.build(materialise(_hot_symbols(docs, size, num, den, seed, dense, parts)), "h"))
-    groups = materialise(_groups(docs, size, num, den, seed, hot, dense, parts))
+    hot = share(bloom.build(materialise(_hot_symbols(docs, size, num, den, seed, small, dense, parts)), "h"))
+    groups = materialise(_groups(docs, size, num, den, seed, small, hot, dense, parts))
     members = groups.filter("kind = 2").select("sig", F.col("a").alias("node"))
     shared = members.groupBy("node").agg(F.count("*").alias("shared"))
     best = members.join(shared, "node").groupBy("sig").agg(F.max_by("node", F.struct("shared", "node")).alias("centre"))
-    members = materialise(members.join(best, "sig"))
-    large = members.filter("node != centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
-    stars = materialise(groups.filter("kind = 0").select("a", "b").unionByName(large).distinct())
+    members = materialise(_keyed(members, materialise(best), "sig", "inner"))
+    stars = materialise(_pairs(groups.filter("kind = 0"), "a", "b", 1).unionByName(_pairs(members.filter("node != centre"), "centre", "node", 4 * _SALTS)))
     others = groups.filter("kind = 1").select("a", "b").distinct()
     wanted = groups.select(F.explode(F.array("a", "b")).alias("node"))
     sketches = _of_nodes(docs, nodes, wanted, size, "array<long>", "sketch", _bit_sketch)
     edges, sets = _verified(_plausible(stars, sketches, num, den), docs, nodes, size, num, den)
-    labels = connected_components(edges.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    labels = connected_components(edges.select(F.col("c").alias("u"), F.col("m").alias("v")))
     of = lambda c: labels.select(F.col("v").alias(c), F.col("label").alias(f"l{c}"))
     apart = others.join(of("a"), "a", "left").join(of("b"), "b", "left").filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
     crossing = _crossing(members, labels, sketches, num, den)
-    second = materialise(_plausible(apart, sketches, num, den).unionByName(crossing).distinct())
+    second = _plausible(_pairs(apart, "a", "b", 1), sketches, num, den).unionByName(_pairs(crossing, "a", "b", _SALTS))
+    second = materialise(second.dropDuplicates(["c", "m"]))
     more, late = (edges.limit(0), sets.limit(0)) if second.isEmpty() else _verified(second, docs, nodes, size, num, den)
     if not more.isEmpty():
-        whole = edges.unionByName(more).select(F.col("a").alias("u"), F.col("b").alias("v"))
+        whole = edges.unionByName(more).select(F.col("c").alias("u"), F.col("m").alias("v"))
         labels = connected_components(whole)
     named = nodes.select("node", "rep", "rows").join(labels.withColumnRenamed("v", "node"), "node", "left")
     named = named.withColumn("label", F.coalesce("label", "node"))

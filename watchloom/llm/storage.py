@@ -1,30 +1,24 @@
-"""Where intermediate tables go: the shared folder of the cluster, never a machine-local one."""
+"""Intermediate tables, which go to the shared folder of the cluster, and the size of Arrow batches."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from watchloom.session import shared_dir, ship
+
+__all__ = ["bounded", "materialise", "partitions", "shared_dir"]
+
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``.
+def bounded(spark: SparkSession) -> SparkSession:
+    """The package is on the workers, and Arrow batches hold 4 MB at most, as texts are long.
 
-    Only where the session names none (a local run or a test) a temporary folder is set as
-    the checkpoint folder first.
+    A bound that the session has set itself is left alone.
     """
-    sc = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not base:
-        found = sc._jsc.sc().getCheckpointDir()
-        base = found.get() if found.isDefined() else None
-    if not base:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="spark-")
-        sc.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    if not spark._jsparkSession.sessionState().conf().contains(_BATCH_BYTES):
+        spark.conf.set(_BATCH_BYTES, "4m")
+    return ship(spark)
 
 
 def materialise(df: DataFrame) -> DataFrame:

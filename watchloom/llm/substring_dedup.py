@@ -3,25 +3,31 @@
 A window is ``window`` consecutive words of one document. Its anchor is the smallest hash among
 the ``anchor``-word shingles it holds, so equal windows have equal anchors wherever they stand.
 
-The index is a list of immutable runs: Parquet tables of ``(anchor, n)``, hash-distributed and
-sorted by anchor, one run per batch. A new batch
+The index is a folder of immutable runs and of manifests that name them. A run is a Parquet table of postings
+``(anchor, key, place)``, bucketed and sorted by anchor; ``key`` stands for a document's id and text. The newest
+manifest that was written whole counts, so a lost driver loses nothing and an index can be opened again. Texts stay where
+their owner keeps them. A new batch
 
-1. writes its own anchors as a run,
-2. merge-joins that run with all older runs: an anchor is *needed* if it occurs twice in the batch
-   or once in the batch and once in history,
-3. verifies: the full windows around needed anchors, of the batch and of the historical texts,
-   are hashed and grouped; all but the first window of a group are repeats,
-4. compacts the runs into one when there are more than ``max_runs``.
+1. writes its own postings as a run,
+2. is merge-joined with each older run, bucket by bucket: an anchor is *needed* if it occurs twice in the batch
+   or once in the batch and once in history; the postings met name the historical documents to read,
+3. verifies: the whole windows around needed anchors, of the batch and of these documents only,
+   are hashed twice over (64 and 32 bits, with different salts) and grouped; all but the first window of a group are repeats,
+4. compacts the runs into one when there are more than ``max_runs``, and writes the next manifest.
+
+Windows meet by anchor; those of a hot anchor, which stands in many places, by their own hash, so none fills a task.
 
 A document is identified by its id and the hash of its text. Historical documents count as earlier
 than the batch; inside a batch the order is doc_id (null first), text hash, word position. Rows that repeat both
 id and text are one document: they get the same result and are no copies of each other. A null
-or empty text has no words. Documents shorter than a window lose nothing.
+or empty text has no words. Documents shorter than a window lose nothing. Texts may be of any length; other columns pass through
+whatever their names, and an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Iterator
 from itertools import compress
 
@@ -31,11 +37,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from watchloom.llm import bloom
-from watchloom.llm.storage import materialise, partitions, shared_dir
-from watchloom.llm.text_hash import text_slices, window_hashes, words
+from watchloom.llm.storage import bounded, materialise, partitions, shared_dir
+from watchloom.llm.text_hash import join, mix64, text_slices, window_hashes, words
 
 WINDOW = 20
 ANCHOR = 5
+#: Places from which on an anchor is hot.
+HOT = 32
+#: Needed anchors up to which all tasks get them as a bit filter (8 MB); more are joined with the documents.
+FILTERED = bloom.MAX_BITS // 10
+_CHECK_SALT = 0x51ED2701
 _MAX = np.uint64(2**64 - 1)
 
 
@@ -59,65 +70,94 @@ def _window_anchors(w, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray
     return small, _sliding(small, count, np.minimum), w.doc[at] == w.doc[at + window - 1]
 
 
-def anchors(docs: DataFrame, text: str = "text", window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """``(anchor, n)``: the selected shingles of all windows, with their number of places."""
+def _key(doc: np.ndarray, text_hash: np.ndarray) -> np.ndarray:
+    return join(mix64(doc.view(np.uint64)), text_hash.view(np.uint64)).view(np.int64)
+
+
+def _ids(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Document and text hash of the rows of ``_keyed``; a null id is the least."""
+    return batch.column(0).fill_null(-(2**63)).to_numpy(zero_copy_only=False), batch.column(1).to_numpy()
+
+
+def postings(keyed: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
+    """``(anchor, key, place)``: the selected shingles of all windows of ``doc, text_hash, text``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, raw, off in text_slices(batch, text):
-                small, low, ok = _window_anchors(words(raw, off), window, anchor)
+            key = _key(*_ids(batch))
+            for i, _, raw, off in text_slices(batch, "text"):
+                w = words(raw, off)
+                small, low, ok = _window_anchors(w, window, anchor)
                 if not ok.any():
                     continue
                 # a shingle is selected if some window around it has no smaller one
                 pad = np.zeros(window - anchor, np.uint64)
                 top = _sliding(np.concatenate([pad, np.where(ok, low, 0), pad]), window - anchor + 1, np.maximum)
-                found, n = np.unique(small[(top == small) & (small != _MAX)], return_counts=True)
-                yield pa.record_batch({"anchor": found.view(np.int64), "n": n.astype(np.int64)})
+                at = np.flatnonzero((top == small) & (small != _MAX))
+                yield pa.record_batch({"anchor": small[at].view(np.int64), "key": key[i + w.doc[at]], "place": (at - w.first[w.doc[at]]).astype(np.int32)})
 
-    return docs.select(text).mapInArrow(run, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
+    return keyed.mapInArrow(run, _RUN)
 
 
-def _occurrences(needed, keys: tuple[str, str, str], text: str, window: int, anchor: int, parts: int):
-    """Windows with a needed anchor, packed by part; repeats inside a slice are settled here."""
+_RUN = "anchor long, key long, place int"
+
+
+def _occurrences(needed, hot, wanted, window: int, anchor: int, parts: int):
+    """Windows with a needed anchor, packed by part; repeats inside a slice are settled here.
+
+    Rows are ``doc, text_hash, past, text`` and, without the filter ``needed``, ``anchors``, those that the document needs.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, hashes, past = (batch.column(batch.schema.get_field_index(k)) for k in keys)
-            ids = ids.fill_null(-(2**63)).to_numpy(zero_copy_only=False)
-            hashes, past = hashes.to_numpy(zero_copy_only=False), past.to_numpy(zero_copy_only=False)
-            for i, j, raw, off in text_slices(batch, text):
+            ids, hashes = _ids(batch)
+            past = batch.column(2).to_numpy(zero_copy_only=False)
+            if past.any():  # of history only the documents that the postings named
+                keep = ~past | wanted.value.has(mix64(_key(ids, hashes).view(np.uint64)))
+                if not keep.all():
+                    batch = batch.take(pa.array(np.flatnonzero(keep)))
+                    (ids, hashes), past = _ids(batch), past[keep]
+            for i, j, raw, off in text_slices(batch, "text"):
                 w = words(raw, off)
                 _, low, ok = _window_anchors(w, window, anchor)
                 at = np.flatnonzero(ok)
-                at = at[needed.value.has(low[at])]
+                if needed is not None:
+                    at = at[needed.value.has(low[at])]
+                else:
+                    # a document's anchors are looked up under its row, so that one search serves the slice
+                    lists = batch.column(4).slice(i, j - i)
+                    mine = join(np.repeat(np.arange(j - i), lists.value_lengths().to_numpy(zero_copy_only=False)).astype(np.uint64), lists.flatten().to_numpy().view(np.uint64))
+                    at = at[np.isin(join(w.doc[at].astype(np.uint64), low[at]), mine)]
                 if not len(at):
                     continue
                 full, _ = window_hashes(w, window)
+                check = window_hashes(w, window, _CHECK_SALT)[0].astype(np.uint32)
                 doc = w.doc[at] + i
                 order = np.lexsort((at, hashes[doc], ids[doc], ~past[doc]))
                 at, doc = at[order], doc[order]
-                full, low = full[at], low[at]
+                full, check, low = full[at], check[at], low[at]
                 start = at - w.first[doc - i]
                 # of equal windows of this slice only the first goes on; those of the same document row twice stay
-                by = np.argsort(full, kind="stable")
+                by = np.lexsort((np.arange(len(at)), check, full))
                 again = np.zeros(len(at), bool)
-                again[by[1:]] = full[by[1:]] == full[by[:-1]]
+                again[by[1:]] = (full[by[1:]] == full[by[:-1]]) & (check[by[1:]] == check[by[:-1]])
                 lead = by[np.maximum.accumulate(np.where(again[by], 0, np.arange(len(by))))]
                 same = np.zeros(len(at), bool)
                 same[by] = (ids[doc[by]] == ids[doc[lead]]) & (hashes[doc[by]] == hashes[doc[lead]]) & (start[by] == start[lead])
                 gone = again & ~same & ~past[doc]
-                yield from _packed(low, full, ids[doc], hashes[doc], past[doc], start, ~again, gone, parts)
+                where = mix64(np.where(hot.value.has(low), full, low))
+                yield from _packed(where, full, check, ids[doc], hashes[doc], past[doc], start, ~again, gone, parts)
 
     return run
 
 
 _PACKED = (
     "part int, doc array<long>, text_hash array<long>, past array<boolean>, start array<int>, len array<int>, "
-    "anchor array<long>, hash array<long>, gone_doc array<long>, gone_hash array<long>, gone_start array<int>, gone_len array<int>"
+    "anchor array<long>, hash array<long>, check array<int>, gone_doc array<long>, gone_hash array<long>, gone_start array<int>, gone_len array<int>"
 )
 _PACKED_ARROW = pa.schema(
     [("part", pa.int32())]
-    + [(k, pa.list_(t)) for k, t in (("doc", pa.int64()), ("text_hash", pa.int64()), ("past", pa.bool_()), ("start", pa.int32()), ("len", pa.int32()), ("anchor", pa.int64()), ("hash", pa.int64()))]
+    + [(k, pa.list_(t)) for k, t in (("doc", pa.int64()), ("text_hash", pa.int64()), ("past", pa.bool_()), ("start", pa.int32()), ("len", pa.int32()), ("anchor", pa.int64()), ("hash", pa.int64()), ("check", pa.int32()))]
     + [(f"gone_{k}", pa.list_(t)) for k, t in (("doc", pa.int64()), ("hash", pa.int64()), ("start", pa.int32()), ("len", pa.int32()))]
 )
 
@@ -138,26 +178,23 @@ def _lists(values: np.ndarray, cuts: np.ndarray, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(values, kind))
 
 
-def _packed(low, full, ids, hashes, past, start, keep, gone, parts) -> Iterator[pa.RecordBatch]:
-    part = ((low >> np.uint64(8)) % np.uint64(parts)).astype(np.int64)
-    sent = {}
-    columns = []
-    for mask, own in ((keep, True), (gone, False)):
+def _packed(where, full, check, ids, hashes, past, start, keep, gone, parts) -> Iterator[pa.RecordBatch]:
+    """Kept windows go to the part of ``where``, their anchor or hash; settled ones to that of their document."""
+    sent = []
+    for mask, key in ((keep, where), (gone, mix64(_key(ids, hashes).view(np.uint64)))):
+        part = (key % np.uint64(parts)).astype(np.int64)
         at = np.flatnonzero(mask)
         at = at[np.argsort(part[at], kind="stable")]
-        first, n = _stretches(ids[at], hashes[at], start[at], low[at] if own else part[at])
+        first, n = _stretches(ids[at], hashes[at], start[at], key[at])
         head = at[first]
-        sent[own] = (at, head, n)
-        columns.append(np.searchsorted(part[head], np.arange(parts + 1)))
-    (at, head, n), (gat, ghead, gn) = sent[True], sent[False]
-    cuts, gcuts = columns
-    wcuts = np.searchsorted(part[at], np.arange(parts + 1))
+        sent.append((at, head, n, np.searchsorted(part[head], np.arange(parts + 1)), np.searchsorted(part[at], np.arange(parts + 1))))
+    (at, head, n, cuts, wcuts), (_, ghead, gn, gcuts, _) = sent
     rows = pa.record_batch(
         [
             pa.array(np.arange(parts), pa.int32()),
             _lists(ids[head], cuts, pa.int64()), _lists(hashes[head], cuts, pa.int64()), _lists(past[head], cuts, pa.bool_()),
-            _lists(start[head], cuts, pa.int32()), _lists(n, cuts, pa.int32()), _lists(low[head].view(np.int64), cuts, pa.int64()),
-            _lists(full[at].view(np.int64), wcuts, pa.int64()),
+            _lists(start[head], cuts, pa.int32()), _lists(n, cuts, pa.int32()), _lists(where[head].view(np.int64), cuts, pa.int64()),
+            _lists(full[at].view(np.int64), wcuts, pa.int64()), _lists(check[at].view(np.int32), wcuts, pa.int32()),
             _lists(ids[ghead], gcuts, pa.int64()), _lists(hashes[ghead], gcuts, pa.int64()),
             _lists(start[ghead], gcuts, pa.int32()), _lists(gn, gcuts, pa.int32()),
         ],
@@ -192,13 +229,15 @@ def _settle(table: pa.Table) -> pa.Table:
         which = np.repeat(order, n)
         full, key = hashes[take], anchor[which]
         w_doc, w_text, w_past, w_start = doc[which], text_hash[which], past[which].astype(bool), start[which] + within
+        check = _flat(table, "check")[take]
+        alike = lambda by: (full[by[1:]] == full[by[:-1]]) & (key[by[1:]] == key[by[:-1]]) & (check[by[1:]] == check[by[:-1]])
         by = np.argsort(full, kind="stable")
-        same = full[by[1:]] == full[by[:-1]]
-        if (same & (key[by[1:]] != key[by[:-1]])).any():  # equal window hashes below different anchors
-            by = np.lexsort((np.arange(len(full)), key, full))
-            same = full[by[1:]] == full[by[:-1]]
+        same = alike(by)
+        if (same != (full[by[1:]] == full[by[:-1]])).any():  # equal hashes of different windows
+            by = np.lexsort((np.arange(len(full)), check, key, full))
+            same = alike(by)
         again = np.zeros(len(by), bool)
-        again[1:] = same & (key[by[1:]] == key[by[:-1]])
+        again[1:] = same
         lead = by[np.maximum.accumulate(np.where(again, 0, np.arange(len(by))))]
         itself = (w_doc[by] == w_doc[lead]) & (w_text[by] == w_text[lead]) & (w_start[by] == w_start[lead])
         at = np.sort(by[again & ~itself & ~w_past[by]])
@@ -210,62 +249,126 @@ def _settle(table: pa.Table) -> pa.Table:
 
 
 class FingerprintIndex:
-    """Runs of anchors of all documents seen so far, and the documents themselves as DataFrames.
+    """Runs of postings of all documents seen so far, in a folder; a folder that holds an index is opened.
 
-    ``history`` holds the earlier batches as their owner stored them; only texts with a needed
-    anchor send anything.
+    ``max_runs`` is how many runs a batch is joined with at most.
     """
 
-    def __init__(self, spark: SparkSession, id: str = "doc_id", text: str = "text", window: int = WINDOW, anchor: int = ANCHOR, max_runs: int = 4):
-        self.spark, self.id, self.text, self.window, self.anchor, self.max_runs = spark, id, text, window, anchor, max_runs
-        self.runs: list[str] = []
-        self.history: list[DataFrame] = []
-
-    def _write(self, run: DataFrame) -> str:
-        path = shared_dir(self.spark)
-        run.sortWithinPartitions("anchor").write.parquet(path)
-        return path
-
-    def _read(self, path: str) -> DataFrame:
-        return self.spark.read.schema("anchor long, n long").parquet(path)
+    def __init__(self, spark: SparkSession, path: str | None = None, id: str = "doc_id", text: str = "text", window: int = WINDOW, anchor: int = ANCHOR, max_runs: int = 4):
+        self.spark, self.id, self.text, self.window, self.anchor, self.max_runs = bounded(spark), id, text, window, anchor, max_runs
+        self.path = path or shared_dir(spark)
+        self.version, self.buckets, self.runs, self.compactions = 0, partitions(spark), [], 0
+        self._load()
+
+    def _load(self) -> None:
+        """The newest manifest whose write was finished, if there is one."""
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.path, "manifest")
+        system = folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if not system.exists(folder):
+            return
+        done = [int(f.getPath().getName()) for f in system.listStatus(folder) if system.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f.getPath(), "_SUCCESS"))]
+        if done:
+            state = json.loads(self.spark.read.text(f"{self.path}/manifest/{max(done)}").first()[0])
+            if (state["window"], state["anchor"]) != (self.window, self.anchor):
+                raise ValueError("the index was made with other window sizes")
+            self.version, self.runs, self.compactions = max(done), state["runs"], state["compactions"]
+
+    def _commit(self) -> None:
+        self.version += 1
+        state = {"window": self.window, "anchor": self.anchor, "runs": self.runs, "compactions": self.compactions}
+        self.spark.createDataFrame([(json.dumps(state),)], "value string").coalesce(1).write.text(f"{self.path}/manifest/{self.version}")
+
+    def _write(self, run: DataFrame) -> dict:
+        """A new run: one sorted file for each bucket of anchors."""
+        name = f"run_{shared_dir(self.spark).rsplit('/', 1)[-1]}"
+        dealt = run.repartition(self.buckets, "anchor")
+        dealt.write.bucketBy(self.buckets, "anchor").sortBy("anchor").option("path", f"{self.path}/runs/{name}").format("parquet").saveAsTable(name)
+        return {"name": name, "buckets": self.buckets}
+
+    def _read(self, run: dict) -> DataFrame:
+        """A run as a bucketed table; one of another session is named to this one first."""
+        name = run["name"]
+        if not self.spark.catalog.tableExists(name):
+            self.spark.sql(f"CREATE TABLE {name} (anchor BIGINT, key BIGINT, place INT) USING parquet CLUSTERED BY (anchor) SORTED BY (anchor) INTO {run['buckets']} BUCKETS LOCATION '{self.path}/runs/{name}'")
+        return self.spark.table(name)
 
     def compact(self) -> None:
-        """Merge all runs into one."""
+        """Merge all runs into one; the old ones are let go when the manifest names them no more."""
         if len(self.runs) > 1:
             merged = self._read(self.runs[0])
-            for path in self.runs[1:]:
-                merged = merged.unionByName(self._read(path))
-            self.runs = [self._write(merged.groupBy("anchor").agg(F.sum("n").alias("n")))]
+            for run in self.runs[1:]:
+                merged = merged.unionByName(self._read(run))
+            old, self.runs = self.runs, [self._write(merged)]
+            self.compactions += 1
+            self._commit()
+            for run in old:
+                self.spark.sql(f"DROP TABLE IF EXISTS {run['name']}")
+                gone = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/runs/{run['name']}")
+                gone.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(gone, True)
 
     def _keyed(self, docs: DataFrame) -> DataFrame:
         return docs.select(F.col(self.id).cast("long").alias("doc"), F.xxhash64(self.text).alias("text_hash"), F.col(self.text).alias("text"))
 
-    def append(self, batch: DataFrame) -> DataFrame:
-        """Add a batch; returns its repeated windows as ``(doc, text_hash, start, len)`` stretches."""
+    def append(self, batch: DataFrame, history: DataFrame | None = None) -> DataFrame:
+        """Add a batch; returns its repeated windows as ``(doc, text_hash, start, len)`` stretches.
+
+        ``history`` holds all documents of earlier batches, and may hold more.
+        """
         keyed = self._keyed(batch)
-        own = self._write(anchors(keyed, "text", self.window, self.anchor))
-        new = self._read(own)
-        needed = new.filter("n > 1").select("anchor")
-        for path in self.runs:
-            needed = needed.unionByName(new.filter("n = 1").join(self._read(path), "anchor", "left_semi").select("anchor"))
-        needed = materialise(needed.distinct())
+        own = self._write(postings(keyed, self.window, self.anchor))
+        new = self._read(own).groupBy("anchor").agg(F.count("*").alias("n"))
+        met = None
+        for run in self.runs:
+            found = self._read(run).join(new.select("anchor"), "anchor", "left_semi").select("anchor", "key")
+            met = found if met is None else met.unionByName(found)
+        total = new.filter("n > 1")
+        if met is not None:
+            met = materialise(met)
+            total = total.unionByName(new.join(met.select("anchor").distinct(), "anchor", "left_semi").filter("n = 1")).unionByName(met.groupBy("anchor").agg(F.count("*").alias("n")))
+        needed = materialise(total.groupBy("anchor").agg(F.sum("n").alias("n")))
         count = needed.count()
-        if count:
-            chosen = self.spark.sparkContext.broadcast(bloom.build(needed, "anchor", count))
-            source = keyed.withColumn("past", F.lit(False))
-            for old in self.history:
-                source = source.unionByName(self._keyed(old).withColumn("past", F.lit(True)))
-            parts = 2 * partitions(self.spark)
-            pick = _occurrences(chosen, ("doc", "text_hash", "past"), "text", self.window, self.anchor, parts)
-            gone = source.mapInArrow(pick, _PACKED).groupBy("part").applyInArrow(_settle, _GONE)
-        else:
-            gone = self.spark.createDataFrame([], _GONE)
+        gone = self._repeats(keyed, history, own, needed, met, count) if count else self.spark.createDataFrame([], _GONE)
         self.runs.append(own)
-        self.history.append(batch)
+        self._commit()
         if len(self.runs) > self.max_runs:
             self.compact()
         return gone
 
+    def _repeats(self, keyed: DataFrame, history: DataFrame | None, own: dict, needed: DataFrame, met: DataFrame | None, count: int) -> DataFrame:
+        share = self.spark.sparkContext.broadcast
+        hot = share(bloom.build(needed.filter(F.col("n") > HOT), "anchor"))
+        source, wanted = keyed.withColumn("past", F.lit(False)), None
+        if met is not None and history is not None:
+            wanted = share(bloom.build(materialise(_mixed(met.select("key").distinct())), "key"))
+            source = source.unionByName(self._keyed(history).withColumn("past", F.lit(True)))
+        source = source.select("doc", "text_hash", "past", "text")
+        chosen = share(bloom.build(needed, "anchor", count)) if count <= FILTERED else None
+        if chosen is None:
+            # too many for a filter: each document gets its own needed anchors by a join
+            places = self._read(own).select("anchor", "key")
+            places = places if met is None else places.unionByName(met)
+            lists = materialise(places.join(needed.select("anchor"), "anchor", "left_semi").groupBy("key").agg(F.collect_set("anchor").alias("anchors")))
+            source = _with_key(source).join(lists, "key").select("doc", "text_hash", "past", "text", "anchors")
+        parts = max(2 * partitions(self.spark), count // 50_000)
+        pick = _occurrences(chosen, hot, wanted, self.window, self.anchor, parts)
+        return source.mapInArrow(pick, _PACKED).groupBy("part").applyInArrow(_settle, _GONE)
+
+
+def _mixed(keys: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.record_batch({"key": mix64(batch.column(0).to_numpy().view(np.uint64)).view(np.int64)})
+
+    return keys.mapInArrow(run, "key long")
+
+
+def _with_key(source: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.append_column("key", pa.array(_key(*_ids(batch))))
+
+    return source.mapInArrow(run, "doc long, text_hash long, past boolean, text string, key long")
+
 
 def _covered(stretches: list | None, n: int, window: int) -> np.ndarray | None:
     if not stretches or not n:
@@ -285,28 +388,29 @@ def _marked(docs: DataFrame, gone: DataFrame, id: str, text: str) -> DataFrame:
     return left.join(by.withColumnsRenamed({"doc": "__doc", "text_hash": "__hash"}), (F.col("_doc") == F.col("__doc")) & (F.col("_text_hash") == F.col("__hash")), "left").drop("__doc", "__hash", "_doc", "_text_hash") if "doc" in docs.columns or "text_hash" in docs.columns else left.join(by, on, "left").drop("doc", "text_hash", "_doc", "_text_hash")
 
 
-def _batches(docs: DataFrame, id: str, batches: int) -> list[DataFrame]:
-    """Split by id, so that earlier batches hold the smaller ids; null ids come first."""
+def _batches(docs: DataFrame, id: str, batches: int) -> list[tuple[DataFrame, DataFrame | None]]:
+    """Split by id, so that earlier batches hold the smaller ids, each with all that is before it; null ids come first."""
     cuts = docs.select(F.percentile_approx(F.col(id).cast("long"), [k / batches for k in range(1, batches)], 1000)).first()[0] if batches > 1 else None
     if not cuts:
-        return [docs]
+        return [(docs, None)]
     cuts, key = sorted(set(cuts)), F.col(id).cast("long")
-    out = [docs.filter((key <= cuts[0]) | key.isNull())]
-    out += [docs.filter((key > a) & (key <= b)) for a, b in zip(cuts, cuts[1:])]
-    return [*out, docs.filter(key > cuts[-1])]
+    before = [docs.filter((key <= c) | key.isNull()) for c in cuts]
+    out = [(before[0], None)]
+    out += [(docs.filter((key > a) & (key <= b)), old) for a, b, old in zip(cuts, cuts[1:], before)]
+    return [*out, (docs.filter(key > cuts[-1]), before[-1])]
 
 
-def repeated(docs: DataFrame, id: str = "doc_id", text: str = "text", window: int = WINDOW, anchor: int = ANCHOR, batches: int = 2) -> DataFrame:
-    """Repeated windows of a whole table, fed to an empty index in ``batches`` batches by id."""
-    index = FingerprintIndex(docs.sparkSession, id, text, window, anchor)
+def repeated(docs: DataFrame, id: str = "doc_id", text: str = "text", window: int = WINDOW, anchor: int = ANCHOR, batches: int = 4, max_runs: int = 2) -> DataFrame:
+    """Repeated windows of a whole table, fed to an empty index in ``batches`` batches by id, with compaction."""
+    index = FingerprintIndex(docs.sparkSession, None, id, text, window, anchor, max_runs)
     gone = None
-    for batch in _batches(docs, id, batches):
-        found = index.append(batch)
+    for batch, history in _batches(docs, id, batches):
+        found = index.append(batch, history)
         gone = found if gone is None else gone.unionByName(found)
     return gone
 
 
-def dedup_texts(docs: DataFrame, id: str = "doc_id", text: str = "text", window: int = WINDOW, batches: int = 2) -> DataFrame:
+def dedup_texts(docs: DataFrame, id: str = "doc_id", text: str = "text", window: int = WINDOW, batches: int = 4) -> DataFrame:
     """``docs`` with repeated passages cut out of ``text``; all other columns unchanged.
 
     A text that loses nothing stays as it is, byte for byte. Of another, the kept words are joined
@@ -329,7 +433,7 @@ def dedup_texts(docs: DataFrame, id: str = "doc_id", text: str = "text", window:
     return _marked(docs, gone, id, text).select(*docs.columns, "_gone").mapInArrow(run, docs.schema)
 
 
-def dedup_digest(docs: DataFrame, id: str = "doc_id", text: str = "text", window: int = WINDOW, batches: int = 2) -> DataFrame:
+def dedup_digest(docs: DataFrame, id: str = "doc_id", text: str = "text", window: int = WINDOW, batches: int = 4) -> DataFrame:
     """``doc_id, n_words, n_removed, kept_sha256`` per row of ``docs``."""
     gone = repeated(docs, id, text, window, batches=batches)
 

@@ -5,12 +5,15 @@ whole partition, so the memory of a task does not depend on its row count.
 A single text longer than a slice forms a slice of its own.
 
 Words are maximal runs of bytes outside ``\\x20`` and ``\\x09-\\x0D``; these
-bytes never occur inside a UTF-8 sequence, so byte positions are safe.
+bytes never occur inside a UTF-8 sequence, so byte positions are safe. A word is folded eight bytes at a time,
+each step through ``mix64``, and one longer than ``LONG`` bytes is hashed by BLAKE2; windows are joined from
+halves, each join through ``mix64`` again. No step is linear over more than two values, so
+texts can't cancel out as they do in sums of powers.
 """
 
 from __future__ import annotations
 
-import ctypes
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,7 +21,11 @@ import numpy as np
 import pyarrow as pa
 
 SLICE_BYTES = 800_000
-_SEED = 0x5EED_0001
+LONG = 256
+_ODD = np.uint64(0xD6E8FEB86659FD93)
+_LENGTH = np.uint64(0x9E3779B97F4A7C15)
+_ONE, _63 = np.uint64(1), np.uint64(63)
+_MASK = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [2**64 - 1], np.uint64)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -30,35 +37,42 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _odd(rng: np.random.Generator) -> int:
-    return int(rng.integers(1, 2**63, dtype=np.uint64)) | 1
+def is_space(raw: np.ndarray) -> np.ndarray:
+    return (raw == 32) | ((raw - np.uint8(9)) < 5)
 
 
-class _Powers:
-    """Powers of an odd multiplier and of its inverse modulo 2**64, grown on demand."""
+def lowered(raw: np.ndarray) -> np.ndarray:
+    """Bytes with A-Z lower-cased."""
+    return raw + ((raw - np.uint8(65)) < 26).astype(np.uint8) * np.uint8(32)
 
-    def __init__(self, base: int):
-        self.base, self.inverse = base, pow(base, -1, 2**64)
-        self.up = np.ones(1, np.uint64)
-        self.down = np.ones(1, np.uint64)
 
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = n + n // 8
-            for name, b in (("up", self.base), ("down", self.inverse)):
-                p = np.full(size, b, np.uint64)
-                p[0] = 1
-                setattr(self, name, np.multiply.accumulate(p))
-        return self.up[:n], self.down[:n]
+def join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hash of two hashes in this order."""
+    return mix64(a * _ODD + b)
 
 
-_RNG = np.random.Generator(np.random.PCG64(_SEED))
-_BYTE = _RNG.integers(0, 2**64, 256, dtype=np.uint64)
-_BYTE_LOWER = _BYTE.copy()
-_BYTE_LOWER[65:91] = _BYTE[97:123]
-_CHARS, _WORDS = _Powers(_odd(_RNG)), _Powers(_odd(_RNG))
-_SPACE = np.zeros(256, bool)
-_SPACE[[32, 9, 10, 11, 12, 13]] = True
+def rolling(h: np.ndarray, size: int) -> np.ndarray:
+    """Hash of each ``size`` neighbours of ``h``, joined from windows of half the size."""
+    n, at, out = len(h) - size + 1, 0, None
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    part, have = h, 1
+    while True:
+        if size & have:
+            out = part[at : at + n] if out is None else join(out, part[at : at + n])
+            at += have
+        if at == size:
+            return out
+        part = join(part[:-have], part[have:])
+        have *= 2
+
+
+def fold(h: np.ndarray) -> np.uint64:
+    """Hash of a whole sequence with its length, apart from those of windows."""
+    out = mix64(np.array([len(h)], np.uint64) ^ _LENGTH)
+    for k in range(len(h)):
+        out = join(out, h[k : k + 1])
+    return out[0]
 
 
 def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -100,12 +114,34 @@ class Words:
     hash: np.ndarray
 
 
+def _word_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    size = end - start
+    whole = np.zeros((len(raw) + 23) // 8 * 8, np.uint8)
+    whole[: len(raw)] = raw
+    whole = whole.view("<u8")
+
+    def eight(at: np.ndarray, left: np.ndarray) -> np.ndarray:
+        """The eight bytes from ``at`` on as a number, of ``left`` bytes only."""
+        word, shift = at >> 3, ((at & 7) << 3).astype(np.uint64)
+        return ((whole[word] >> shift) | ((whole[word + 1] << _ONE) << (_63 - shift))) & _MASK[np.minimum(left, 8)]
+
+    h = mix64(eight(start, size) ^ (size.astype(np.uint64) * _LENGTH))
+    more, done = np.flatnonzero((size > 8) & (size <= LONG)), 8
+    while len(more):
+        h[more] = join(h[more], eight(start[more] + done, size[more] - done))
+        done += 8
+        more = more[size[more] > done]
+    for k in np.flatnonzero(size > LONG):
+        h[k] = int.from_bytes(hashlib.blake2b(raw[start[k] : end[k]].tobytes(), digest_size=8).digest(), "little")
+    return h
+
+
 def words(raw: np.ndarray, offsets: np.ndarray, lower: bool = False) -> Words:
     """Split the documents of one slice into hashed words."""
     offsets = offsets - offsets[0]
     n, docs = len(raw), len(offsets) - 1
     inside = np.zeros(n + 2, np.int8)
-    inside[1:-1] = ~_SPACE[raw]
+    inside[1:-1] = ~is_space(raw)
     step = np.diff(inside)
     start, end = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
     cuts = offsets[1:-1]
@@ -116,32 +152,23 @@ def words(raw: np.ndarray, offsets: np.ndarray, lower: bool = False) -> Words:
         if len(cuts):
             start = np.sort(np.concatenate([start, cuts]))
             end = np.sort(np.concatenate([end, cuts]))
-    up, down = _CHARS.get(n + 1)
-    acc = np.zeros(n + 1, np.uint64)
-    np.cumsum((_BYTE_LOWER if lower else _BYTE)[raw] * up[:n], out=acc[1:])
-    h = mix64((acc[end] - acc[start]) * down[start] + (end - start).astype(np.uint64))
+    h = _word_hashes(lowered(raw) if lower else raw, start, end)
     first = np.searchsorted(start, offsets)
     doc = np.repeat(np.arange(docs), np.diff(first))
     return Words(raw, start, end, doc, first, h)
 
 
-def window_hashes(w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of the ``size`` words from each word on, and which of these windows lie in one document."""
+def window_hashes(w: Words, size: int, salt: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of the ``size`` words from each word on, and which of these windows lie in one document.
+
+    Another ``salt`` gives an independent hash.
+    """
     n = len(w.hash)
     if n < size:
         return np.zeros(0, np.uint64), np.zeros(0, bool)
-    up, down = _WORDS.get(n + 1)
-    acc = np.zeros(n + 1, np.uint64)
-    np.cumsum(w.hash * up[:n], out=acc[1:])
     at = np.arange(n - size + 1)
-    h = mix64((acc[at + size] - acc[at]) * down[at] + np.uint64(size))
-    return h, w.doc[at] == w.doc[at + size - 1]
-
-
-def short_hash(hashes: np.ndarray) -> np.uint64:
-    """Hash of a sequence shorter than a window, apart from all window hashes of other sizes."""
-    up, _ = _WORDS.get(len(hashes) + 1)
-    return mix64(np.array([(hashes * up[: len(hashes)]).sum() + np.uint64(len(hashes))], np.uint64))[0]
+    h = mix64(w.hash ^ np.uint64(salt)) if salt else w.hash
+    return mix64(rolling(h, size) + np.uint64(size)), w.doc[at] == w.doc[at + size - 1]
 
 
 def shingle_sets(w: Words, size: int) -> Iterator[np.ndarray]:
@@ -153,24 +180,14 @@ def shingle_sets(w: Words, size: int) -> Iterator[np.ndarray]:
         if b - a >= size:
             yield np.unique(h[a : b - size + 1])
         elif b > a:
-            yield np.array([short_hash(w.hash[a:b])], np.uint64)
+            yield np.array([fold(w.hash[a:b])], np.uint64)
         else:
             yield np.zeros(0, np.uint64)
 
 
-def _give_back() -> None:
-    """Return freed memory to the system: an idle Python worker would keep it."""
-    pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
-    except (OSError, AttributeError):  # another C library
-        pass
-
-
 def text_slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """``(first row, end row, bytes, offsets)`` of bounded parts of a batch."""
     column = batch.column(batch.schema.get_field_index(text))
     raw, offsets = string_buffers(column)
     for i, j in slices(offsets, limit):
         yield i, j, raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-    _give_back()
