@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import random
+import time
 import zlib
 
 import numpy as np
@@ -368,9 +369,89 @@ def test_html():
     assert html_text.main_text(plain).endswith("\n\nTiny.")
 
 
+RICH = "The text of this part is as long as that of an article and it has the words which are in it."
+WRAPS = [
+    f'<p style="overflow:hidden">{RICH}</p>', f'<p title="the hidden gem">{RICH}</p>', f'<p data-id="ad">{RICH}</p>', f'<div class="content has-sidebar"><article><p>{RICH}</p></article></div>',
+    f'<div class="sidebar-page"><article><p>{RICH}</p></article></div>', f'<div id="no-comments"><p>{RICH}</p></div>', f'<article><p><a href="x">{RICH}</a></p><p>{RICH}</p></article>',
+    f'<div class=nav data-x=/a/>Menu of the site</div><p>{RICH}</p>', f'<div class="main-content shared"><p>{RICH}</p></div>', f'<div class="text_with_comments"><p>{RICH}</p></div>',
+    f'<article><header><h2></h2></header><p class="lead">{RICH}</p></article>', f'<svg/><p>{RICH}</p>', f'<p>{RICH}</p><svg><path d="M0"/><text>no</text></svg>',
+]
+GONE = [
+    '<div class="cookieNotice">{}</div>', '<div class="comment-list">{}</div>', '<ul id=related_posts><li>{}</li></ul>', '<div class="x ad-slot-3">{}</div>', '<div role=navigation>{}</div>', '<div hidden>{}</div>',
+    '<p style="color:red; display : none">{}</p>', '<form>{}</form>', '<aside>{}</aside>', '<div aria-hidden="true">{}</div>', '<script>{}</script>', '<header>{}</header>', '<footer><p>{}</p></footer>',
+]
+
+
+def test_html_attributes():
+    for page in WRAPS:
+        want = "\n\n".join([RICH] * page.count(RICH))
+        assert html_text.main_text(page) == want, page
+    other = "It is a line of words that is in a part which is not the text of the page at all."
+    for wrap in GONE:
+        assert html_text.main_text(wrap.format(other) + f"<article><p>{RICH}</p></article>") == RICH, wrap
+        assert html_text.main_text(f"<p>{RICH}</p>" + wrap.format(other)) == RICH, wrap
+
+
+def test_html_density_decides():
+    short, links = "A few words", '<p><a href="a">One more of the pages</a> <a href="b">and another of them</a></p>'
+    # no article: short blocks go with the nearest decided ones, links and text
+    page = f"{links}<p>{short} one</p>{links}<div><p>{RICH}</p><p>{short} two</p><p>{RICH}</p></div><p>{short} three</p>{links}{links}"
+    assert html_text.main_text(page) == f"{RICH}\n\n{short} two\n\n{RICH}\n\n{short} three"
+    # an article keeps its short and its linked blocks; dense text outside is none of it
+    page = f"<p>{RICH} Outside.</p><article><h1>{short}</h1>{links}<p>{RICH}</p><p>{RICH}</p></article><p>{short}</p>"
+    assert html_text.main_text(page) == f"{short}\n\nOne more of the pages and another of them\n\n{RICH}\n\n{RICH}"
+    # an article that holds next to nothing of the page's dense text is not its main part
+    page = "<article><p>Teaser.</p></article>" + f"<div><p>{RICH}</p></div>" * 3
+    assert html_text.main_text(page).count(RICH) == 3
+
+
+def plain_labels(found):
+    """The two passes, block by block, without any shortcut."""
+    rich = [len(t) >= 140 or len(t) >= 40 and sum(w.strip(".,;:!?\"'()") in html_text.STOP_WORDS for w in t.lower().split()) >= 0.2 * len(t.split()) for t, *_ in found]
+    mass = lambda test: sum(len(b[0]) for b, r in zip(found, rich) if r and not b[2] and b[1] <= len(b[0]) / 2 and test(b))
+    scoped = any(b[3] and not b[2] for b in found) and mass(lambda b: b[3]) >= 0.25 * mass(lambda b: True)
+    first = []
+    for b, r in zip(found, rich):
+        score = -2 if b[1] > len(b[0]) / 2 else 2 if r else 0
+        score += (1 if b[3] else -3) if scoped else 0
+        first.append("no" if b[2] else "yes" if score >= 2 else "no" if score <= -2 else "?")
+    out = []
+    for i, b in enumerate(found):
+        same = [j for j, c in enumerate(found) if not scoped or c[3] == b[3] and not (b[3] and c[2])]
+        if first[i] != "?":
+            out.append(first[i] == "yes")
+            continue
+        near = sorted((abs(same.index(i) - k), k, j) for k, j in enumerate(same) if first[j] != "?")
+        out.append(first[near[0][2]] == "yes" if near else scoped and b[3])
+    return out
+
+
+def test_html_labels_against_plain_rules():
+    r = random.Random(2)
+    for _ in range(400):
+        found = []
+        for _ in range(r.randint(0, 14)):
+            text = " ".join(r.choice(["the", "of", "and", "stone", "river", "light"]) for _ in range(r.choice([1, 2, 6, 14, 40])))
+            found.append((text, r.choice([0, 0, 0, len(text)]), r.random() < 0.15, r.random() < 0.5))
+        assert html_text.labels(found) == plain_labels(found)
+
+
+@pytest.mark.parametrize("piece", ["<b>", "<a href=x>", "<div>", "<p>x", "<div class='sidebar'>", "</i>", '<b title="', "<i a='", "<!-", "<b =", "</", "<script", "<b\n", "&amp", "<td>", "<svg/>"])
+def test_html_is_linear(piece):
+    """Times of a page and one four times as long; any growth beyond eightfold fails."""
+    took = []
+    for n in (10_000, 40_000):
+        page = f"<article><p>{RICH}</p>" + piece * n + "<p>end</p></article>"
+        began = time.perf_counter()
+        html_text.main_text(page)
+        took.append(time.perf_counter() - began)
+    assert took[1] < 2 and took[1] < 8 * took[0] + 0.2
+
+
 def test_html_table(spark):
     df = spark.createDataFrame([(1, "u", PAGE), (2, None, None)], "page_id long, url string, html string")
-    got = {r.page_id: r for r in html_text.extract_table(df).collect()}
+    got = {r.page_id: r for r in html_text.extract_table(df.withColumn("text", F.lit("clash")).withColumn("n_chars", F.lit(1))).collect()}
+    assert html_text.extract_table(df.limit(0)).count() == 0 and html_text.extract_table(df.union(df)).count() == 4
     assert got[1].n_chars == len(got[1].text) and got[2].text == "" and got[2].n_chars == 0
 
 
