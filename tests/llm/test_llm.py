@@ -332,6 +332,67 @@ def test_top_k(spark):
     assert topk_search.search_table(df.limit(0)).count() == 0
 
 
+def clusters(n, seed=3, size=16):
+    r = np.random.default_rng(seed)
+    return np.floor(1024 * (r.normal(0, 1, (12, size))[r.integers(0, 12, n)] + r.normal(0, 0.05, (n, size))))
+
+
+def test_cover_tree():
+    """Every node covers its rows, children share them out and their centres lie apart, and there are several levels."""
+    x, todo, depth = clusters(3000), [], 0
+    todo = [(topk_search.cover_tree(x), 1)]
+    while todo:
+        node, level = todo.pop()
+        depth = max(depth, level)
+        assert np.sqrt(((x[node.rows] - node.centre) ** 2).sum(1)).max() <= node.radius + 1e-6
+        if node.children:
+            assert sorted(np.concatenate([c.rows for c in node.children]).tolist()) == sorted(node.rows.tolist())
+            gaps = [np.sqrt(((a.centre - b.centre) ** 2).sum()) for i, a in enumerate(node.children) for b in node.children[:i]]
+            assert min(gaps) > node.radius / 2 - 1e-6
+            todo += [(c, level + 1) for c in node.children]
+        else:
+            assert len(node.rows) <= topk_search.LEAF or node.radius == 0
+    assert depth >= 3
+
+
+def test_dual_search_prunes():
+    x, seen = clusters(4000), {}
+    q = x[::40]
+    row, hit, score = topk_search.dual_search(q, np.arange(0, 4000, 40), np.full(100, -np.inf), x, np.arange(4000), 10, seen)
+    whole = q @ x.T
+    whole[np.arange(100), np.arange(0, 4000, 40)] = -np.inf
+    for k in range(100):
+        best = sorted(range(4000), key=lambda j: (-whole[k, j], j))[:10]
+        assert hit[row == k].tolist() == best and score[row == k].tolist() == whole[k, best].tolist()
+    assert seen["cut"] > 100 and seen["scored"] < 0.4 * whole.size
+
+
+def test_top_k_in_blocks(spark, monkeypatch):
+    """Many small blocks: pairs are cut before any rows meet, and the result is that of brute force."""
+    monkeypatch.setattr(topk_search, "DATA_BLOCK", 60)
+    monkeypatch.setattr(topk_search, "QUERY_BLOCK", 8)
+    pairs, left = topk_search._block_pairs, []
+    monkeypatch.setattr(topk_search, "_block_pairs", lambda q, d: left.append((q.count() * d.count(), pairs(q, d))) or left[-1][1])
+    x = clusters(1500) / 1024
+    x[:300] = x[1]  # equal vectors fill more than a block
+    x[1::5] *= 0.3
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)] + [(2000 + k, [1.0 * k, 2.0]) for k in range(3)], "vec_id long, embedding array<double>").withColumn("block", F.lit("b")).withColumn("cell", F.lit(1))
+    got = collections.defaultdict(list)
+    for row in topk_search.search_table(df, 20).orderBy("query_id", "rank").collect():
+        got[row.query_id].append((row.vec_id, row.score))
+    whole = np.floor(x * 1024)
+    for q in range(0, 1500, 20):
+        s = whole @ whole[q]
+        assert got[q] == [(int(k), int(s[k])) for k in sorted((k for k in range(1500) if k != q), key=lambda k: (-s[k], k))[:10]]
+    assert [v for v, _ in got[2000]] == [2001, 2002] and left[0][1].count() < 0.6 * left[0][0]
+
+
+def test_top_k_repeats(spark):
+    df = spark.createDataFrame([(100, [1.0, 2.0]), (100, [1.0, 3.0]), (1, [1.0, 1.0]), (1, [2.0, 2.0]), (2, [])], "vec_id long, embedding array<double>")
+    got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in topk_search.search_table(df).orderBy("rank").collect()]
+    assert got == [(100, 1, 1, 6 * 1024**2), (100, 2, 1, 3 * 1024**2)]
+
+
 def test_mixing_plan():
     totals = {"a": 1000, "b": 100, "c": 10, None: 0}
     p = mixing.plan(totals, target_entropy=0.8, max_epochs=100)

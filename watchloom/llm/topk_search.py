@@ -1,18 +1,22 @@
 """Exact top-k inner products by dual-tree search over cover trees.
 
-Vectors become integers, ``floor(1024 * x)``. Data are dealt to blocks: by the nearest of some pivots, large cells
-split by hash. Queries go in blocks of bounded size. For each pair of blocks a task builds a cover tree over
-either side and walks both together: for nodes Q and D with centres q, d and covering radii a, b no
-inner product exceeds ``q.d + a|d| + b|q| + ab``. The pair is cut if that is below the worst kth score that
-any query under Q has so far. A second bound is (Q^2 + D^2 - s^2) / 2 with the highest norms Q, D and the least
-distance s of the two balls; the lower one counts. Scores to start from come from a bounded sample of the
-data, against which all queries are scored first; they are scores of true candidates, so they cut only what
+Vectors become integers, ``floor(1024 * x)``. Data and queries are dealt to cells by the nearest of some pivots, and cells with too
+many rows again by pivots of their own, until blocks are of bounded size; equal vectors are split by hash at last. Each
+block is summed up by a centre, its covering radius, its highest norm and, for queries, the worst kth score known. No
+inner product of two balls with centres q, d and radii a, b exceeds ``q.d + a|d| + b|q| + ab``, nor
+(Q^2 + D^2 - s^2) / 2 with the highest norms Q, D and the least distance s of the balls. Pairs of cells, then pairs of
+the blocks in them, go where the bound is below the worst kth score of the queries: their rows are never brought together.
+
+For the pairs left a task builds a cover tree over either side and walks both together with the same bounds against each query group's
+worst kth score. That is done first for the most promising block of each query block, then, with
+the scores it gave, for those still left. First scores come from a bounded sample of the
+data, against which all queries are scored; they are scores of true candidates, so they cut only what
 can't be among the k best. The lists of all blocks are merged by rank.
 
-Pivots and first scores use a sample of at most ``SAMPLE`` rows; all rows are indexed and searched, and the
+Pivots and first scores use samples of bounded size; all rows are indexed and searched, and the
 result is exact. Vectors that are null, empty or hold a null or non-finite component take no part, and only
 vectors of one length are compared. Candidates with the query's own id are left out; queries that repeat an
-id are one query (the smallest vector). Ties go to the smaller id.
+id are one query (the smallest vector), candidates that do are candidates each. Ties go to the smaller id. Other columns play no part; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from watchloom.llm.storage import materialise
+from watchloom.llm.storage import bounded, materialise
 
 SCALE = 1024
 K = 10
@@ -32,7 +36,9 @@ K = 10
 SAMPLE = 2048
 PIVOTS = 32
 DATA_BLOCK, QUERY_BLOCK = 8192, 512
-LEAF, QUERY_LEAF = 512, 128
+#: Rounds in which cells are split, sampled rows and new pivots of a cell in each, and cells that one round splits at most.
+ROUNDS, CELL_SAMPLE, CELL_PIVOTS, CELLS = 4, 48, 16, 4096
+LEAF, QUERY_LEAF = 64, 16
 #: Children of a tree node, at most; a net with more points goes on a level below.
 FAN = 16
 _HELD = 200_000
@@ -101,8 +107,12 @@ def _first_k(row: np.ndarray, hit: np.ndarray, score: np.ndarray, ids: np.ndarra
     return row[own < k], hit[own < k], score[own < k]
 
 
-def dual_search(q: np.ndarray, q_ids: np.ndarray, floor: np.ndarray, d: np.ndarray, d_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(query row, data row, score)`` of the k best of each query above its floor; ids break ties."""
+def dual_search(q: np.ndarray, q_ids: np.ndarray, floor: np.ndarray, d: np.ndarray, d_ids: np.ndarray, k: int, seen: dict | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(query row, data row, score)`` of the k best of each query above its floor; ids break ties.
+
+    ``seen`` counts the node pairs that were cut and the vector pairs that were scored.
+    """
+    seen = {} if seen is None else seen
     best = np.full((len(q), k), -np.inf)
     worst = floor.astype(float).copy()
     q_top = (q * q).sum(1)
@@ -113,11 +123,13 @@ def dual_search(q: np.ndarray, q_ids: np.ndarray, floor: np.ndarray, d: np.ndarr
     while stack:
         bound, a, b = stack.pop()
         if bound < worst[a.rows].min():
+            seen["cut"] = seen.get("cut", 0) + 1
             continue
         if not a.children and not b.children:
             at = a.rows
             at = at[_bounds(q[at] @ b.centre, q_norm[at], 0.0, q_top[at], b.norm, b.radius, b.top) >= worst[at]]
             score = q[at] @ d[b.rows].T
+            seen["scored"] = seen.get("scored", 0) + score.size
             score[q_ids[at][:, None] == d_ids[b.rows][None, :]] = -np.inf
             i, j = np.nonzero((score >= worst[at][:, None]) & (score > -np.inf))
             if not len(i):
@@ -157,41 +169,132 @@ def _matrix(column) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1) if len(flat) else np.zeros((0, 1))
 
 
+def _far_apart(x: np.ndarray, count: int) -> np.ndarray:
+    """Up to ``count`` different rows, each the one furthest from those before."""
+    centres, near = [0], ((x - x[0]) ** 2).sum(1)
+    while len(centres) < count and near.max() > 0:
+        centres.append(int(near.argmax()))
+        near = np.minimum(near, ((x - x[centres[-1]]) ** 2).sum(1))
+    return x[centres]
+
+
+_DEALT = "id long, v array<double>, size int, floor double, cell string"
+
+
+def _assigned(rows: DataFrame, pivots: dict[tuple[int, str], np.ndarray]) -> DataFrame:
+    """Rows of the cells that have pivots go to the cell of the nearest one."""
+    shared = rows.sparkSession.sparkContext.broadcast(pivots)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size, cell = batch.column(2).to_numpy(), np.array(batch.column(4).to_pylist(), object)
+            for key in set(zip(size.tolist(), cell.tolist())) & shared.value.keys():
+                at = np.flatnonzero((size == key[0]) & (cell == key[1]))
+                x, p = _matrix(batch.column(1).take(pa.array(at))), shared.value[key]
+                own = ((p**2).sum(1)[None, :] - 2 * x @ p.T).argmin(1)
+                cell[at] = [f"{key[1]}.{k}" for k in own]
+            yield batch.set_column(4, "cell", pa.array(cell.tolist(), pa.string()))
+
+    return rows.mapInArrow(run, _DEALT)
+
+
+def _blocks(rows: DataFrame, limit: int) -> DataFrame:
+    """Rows with ``block``: cells of more than ``limit`` rows are split by pivots of their own, what is left of such by hash."""
+    for _ in range(ROUNDS):
+        big = rows.groupBy("size", "cell").agg(F.count("*").alias("n")).filter(F.col("n") > limit).orderBy(F.desc("n"), "size", "cell").limit(CELLS)
+        some = Window.partitionBy("size", "cell").orderBy(F.xxhash64("id", F.lit(5)), "v")
+        sample = rows.join(F.broadcast(big), ["size", "cell"], "left_semi").withColumn("r", F.row_number().over(some)).filter(F.col("r") <= CELL_SAMPLE)
+        held: dict[tuple[int, str], list] = {}
+        for r in sample.select("size", "cell", "v").collect():  # at most CELLS * CELL_SAMPLE rows
+            held.setdefault((r["size"], r.cell), []).append(r.v)
+        pivots = {k: _far_apart(np.array(v), CELL_PIVOTS) for k, v in held.items()}
+        pivots = {k: p for k, p in pivots.items() if len(p) > 1}
+        if not pivots:
+            break
+        rows = materialise(_assigned(rows, pivots))
+    counts = rows.groupBy("size", "cell").agg(F.count("*").alias("n"))
+    part = F.pmod(F.xxhash64("id", F.lit(11)), F.ceil(F.col("n") / limit)).cast("string")
+    return materialise(rows.join(counts, ["size", "cell"]).withColumn("block", F.concat_ws("#", "cell", part)).drop("n"))
+
+
+_SUMMARY = "size int, cell string, block string, centre array<double>, radius double, top double, worst double"
+
+
+def _summaries(blocks: DataFrame) -> DataFrame:
+    """Centre, covering radius, highest squared norm and worst floor of each block."""
+
+    def run(table: pa.Table) -> pa.Table:
+        x = _matrix(table.column("v"))
+        centre = np.rint(x.mean(0))
+        radius = float(np.sqrt(((x - centre) ** 2).sum(1).max()))
+        first = {c: [table.column(c)[0].as_py()] for c in ("size", "cell", "block")}
+        return pa.table(
+            {"size": pa.array(first["size"], pa.int32()), "cell": first["cell"], "block": first["block"], "centre": pa.array([centre.tolist()], pa.list_(pa.float64())), "radius": [radius], "top": [float((x * x).sum(1).max())], "worst": [float(table.column("floor").to_numpy().min())]}
+        )
+
+    return materialise(blocks.groupBy("size", "cell", "block").applyInArrow(run, _SUMMARY))
+
+
+def _cells(summaries: DataFrame) -> DataFrame:
+    """Balls of the first level's cells around those of their blocks; there are at most PIVOTS of each vector length."""
+    top = summaries.withColumn("root", F.substring_index("cell", ".", 1))
+    named = top.groupBy("size", "root").agg(F.min_by("centre", "block").alias("centre"), F.max("top").alias("top"), F.min("worst").alias("worst"))
+    apart = F.sqrt(F.aggregate(F.zip_with("centre", "c", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
+    reach = top.join(named.select("size", "root", F.col("centre").alias("c")), ["size", "root"]).groupBy("size", "root").agg(F.max(apart + F.col("radius")).alias("radius"))
+    return named.join(reach, ["size", "root"])
+
+
+def _promising(pairs: DataFrame) -> DataFrame:
+    """Pairs ``q, d`` of summaries whose bound reaches the worst score, with the ``bound``."""
+    norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x * x))
+    inner = F.aggregate(F.zip_with("q.centre", "d.centre", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    q, d, a, b = norm(F.col("q.centre")), norm(F.col("d.centre")), F.col("q.radius"), F.col("d.radius")
+    apart = F.greatest(F.sqrt(F.greatest(q * q + d * d - 2 * inner, F.lit(0.0))) - a - b, F.lit(0.0))
+    tops = F.col("q.top") + F.col("d.top")
+    bound = F.least(inner + a * d + b * q + a * b, (tops - apart * apart) / 2) + 1e-6 + 1e-9 * tops
+    return pairs.withColumn("bound", bound).filter(F.col("bound") >= F.col("q.worst"))
+
+
+def _block_pairs(asked: DataFrame, data: DataFrame) -> DataFrame:
+    """``size, part, block, bound`` of the block pairs that no bound cuts: first cells, then the blocks of those left."""
+    pack = lambda df, name: df.select("size", F.substring_index("cell", ".", 1).alias(f"{name}_root"), F.struct("block", "centre", "radius", "top", "worst").alias(name))
+    cell = lambda df, name: _cells(df).select("size", F.col("root").alias(f"{name}_root"), F.struct("centre", "radius", "top", "worst").alias(name))
+    roots = _promising(cell(asked, "q").join(cell(data, "d"), "size")).select("size", "q_root", "d_root")
+    pairs = roots.join(pack(asked, "q"), ["size", "q_root"]).join(pack(data, "d"), ["size", "d_root"])
+    return materialise(_promising(pairs).select("size", F.col("q.block").alias("part"), F.col("d.block").alias("block"), "bound"))
+
+
+def _searched(asked: DataFrame, data: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
+    """``query_id, vec_id, score`` of each pair of blocks; a block's rows travel once for each of its pairs."""
+    left = asked.withColumnRenamed("block", "part").join(pairs, ["size", "part"]).select("size", "part", "block", F.lit(True).alias("ask"), "id", "v", "floor")
+    right = data.join(pairs, ["size", "block"]).select("size", "part", "block", F.lit(False).alias("ask"), "id", "v", F.lit(None).cast("double").alias("floor"))
+
+    def search(table: pa.Table) -> pa.Table:
+        ask = table.column("ask").to_numpy(zero_copy_only=False).astype(bool)
+        x, ids, floor = _matrix(table.column("v")), table.column("id").to_numpy(), table.column("floor").to_numpy(zero_copy_only=False)
+        out = ([], [], [])
+        if ask.any() and not ask.all():
+            q, d = np.flatnonzero(ask), np.flatnonzero(~ask)
+            row, hit, score = dual_search(x[q], ids[q], floor[q], x[d], ids[d], k)
+            out = (ids[q][row], ids[d][hit], score.astype(np.int64))
+        return pa.table({"query_id": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.int64())})
+
+    return materialise(left.unionByName(right).groupBy("size", "part", "block").applyInArrow(search, "query_id long, vec_id long, score long"))
+
+
 def top_k(queries: DataFrame, data: DataFrame, k: int = K, id: str = "vec_id", vector: str = "embedding", scale: int = SCALE) -> DataFrame:
     """``query_id, rank, vec_id, score``: the k highest integer inner products of each query."""
-    spark = data.sparkSession
+    spark = bounded(data.sparkSession)
     data = materialise(_integers(data, id, vector, scale))
     asked = _integers(queries, id, vector, scale).groupBy("id").agg(F.min("v").alias("v"))
     sample = data.orderBy(F.xxhash64("id", "v"), "id").limit(SAMPLE).collect()
     if not sample:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    by_size: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+    by_size: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for size in {len(r.v) for r in sample}:
         own = [r for r in sample if len(r.v) == size]
-        x = np.array([r.v for r in own])
-        centres, near = [0], ((x - x[0]) ** 2).sum(1)
-        while len(centres) < PIVOTS and near.max() > 0:
-            centres.append(int(near.argmax()))
-            near = np.minimum(near, ((x - x[centres[-1]]) ** 2).sum(1))
-        by_size[size] = (np.array([r.id for r in own]), x, x[centres])
-    shared = spark.sparkContext.broadcast(by_size)
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            size = np.diff(batch.column(1).offsets.to_numpy())
-            cell = np.zeros(len(size), np.int64)
-            for s in np.unique(size):
-                at = np.flatnonzero(size == s)
-                if int(s) in shared.value:
-                    x = _matrix(batch.column(1).take(pa.array(at)))
-                    pivots = shared.value[int(s)][2]
-                    cell[at] = ((pivots**2).sum(1)[None, :] - 2 * x @ pivots.T).argmin(1)
-            yield pa.record_batch({"id": batch.column(0), "v": batch.column(1), "size": pa.array(size, pa.int32()), "cell": pa.array(cell, pa.int32())})
-
-    dealt = materialise(data.mapInArrow(deal, "id long, v array<double>, size int, cell int"))
-    place = lambda rows, limit: F.pmod(F.xxhash64("id", F.lit(11)), F.ceil(F.col("n") / limit)).cast("int")
-    counts = dealt.groupBy("size", "cell").agg(F.count("*").alias("n"))
-    blocks = dealt.join(counts, ["size", "cell"]).select("id", "v", "size", F.concat_ws("-", "cell", place(dealt, DATA_BLOCK)).alias("block"))
+        by_size[size] = (np.array([r.id for r in own]), np.array([r.v for r in own]))
+    shared = spark.sparkContext.broadcast(by_size)  # at most SAMPLE rows
 
     def first_scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -199,32 +302,30 @@ def top_k(queries: DataFrame, data: DataFrame, k: int = K, id: str = "vec_id", v
             floor = np.full(len(size), -np.inf)
             for s in np.unique(size):
                 at = np.flatnonzero(size == s)
-                ids, x, _ = shared.value.get(int(s), (np.zeros(0), np.zeros((0, int(s))), None))
+                ids, x = shared.value.get(int(s), (np.zeros(0), np.zeros((0, int(s)))))
                 if len(ids) > k:
                     score = _matrix(batch.column(1).take(pa.array(at))) @ x.T
                     score[batch.column(0).to_numpy()[at][:, None] == ids[None, :]] = -np.inf
                     floor[at] = np.partition(score, -k, 1)[:, -k]
-            yield pa.record_batch({"id": batch.column(0), "v": batch.column(1), "size": pa.array(size, pa.int32()), "floor": floor})
-
-    scored = materialise(asked.mapInArrow(first_scores, "id long, v array<double>, size int, floor double"))
-    totals = scored.groupBy("size").agg(F.count("*").alias("n"))
-    asks = scored.join(totals, "size").withColumn("part", place(scored, QUERY_BLOCK))
-    parts = asks.select("size", "part").distinct()
-    names = blocks.select("size", "block").distinct()
-    left = asks.join(names, "size").select("size", "part", "block", F.lit(True).alias("ask"), "id", "v", "floor")
-    right = blocks.join(parts, "size").select("size", "part", "block", F.lit(False).alias("ask"), "id", "v", F.lit(None).cast("double").alias("floor"))
-
-    def search(table: pa.Table) -> pa.Table:
-        ask = table.column("ask").to_numpy(zero_copy_only=False).astype(bool)
-        x, ids, floor = _matrix(table.column("v")), table.column("id").to_numpy(), table.column("floor").to_numpy(zero_copy_only=False)
-        out = ([], [], [])
-        if ask.any() and not ask.all():
-            q, d = np.flatnonzero(ask), np.flatnonzero(~ask)
-            row, hit, score = dual_search(x[q], ids[q], floor[q], x[d], ids[d], k)
-            out = (ids[q][row], ids[d][hit], score.astype(np.int64))
-        return pa.table({"query_id": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.int64())})
-
-    found = left.unionByName(right).groupBy("size", "part", "block").applyInArrow(search, "query_id long, vec_id long, score long")
+            yield pa.record_batch({"id": batch.column(0), "v": batch.column(1), "size": pa.array(size, pa.int32()), "floor": floor, "cell": pa.array(["c"] * len(size))})
+
+    pivots = {(s, "c"): _far_apart(x, PIVOTS) for s, (_, x) in by_size.items()}
+    # cells of the first level are "0", "1" and so on, or "c" for a vector length outside the sample
+    short = lambda df: df.withColumn("cell", F.regexp_replace("cell", r"^c\.", ""))
+    plain = data.select("id", "v", F.size("v").alias("size"), F.lit(0.0).alias("floor"), F.lit("c").alias("cell"))
+    data = _blocks(materialise(short(_assigned(plain, pivots))), DATA_BLOCK)
+    asked = _blocks(materialise(short(_assigned(asked.mapInArrow(first_scores, _DEALT), pivots))), QUERY_BLOCK)
+    about = _summaries(data)
+    pairs = _block_pairs(_summaries(asked), about)
+    # the most promising block of each query block first; its scores cut more of the others
+    by = Window.partitionBy("size", "part").orderBy(F.desc("bound"), "block")
+    first = materialise(pairs.withColumn("r", F.row_number().over(by)).filter("r = 1").drop("r"))
+    found = _searched(asked, data, first, k)
+    kth = found.groupBy(F.col("query_id").alias("id")).agg(F.when(F.count("*") >= k, F.min("score")).cast("double").alias("kth"))
+    asked = materialise(asked.join(kth, "id", "left").withColumn("floor", F.greatest("floor", "kth")).drop("kth"))
+    worst = asked.groupBy("size", F.col("block").alias("part")).agg(F.min("floor").alias("worst"))
+    left = pairs.join(first.select("size", "part", "block"), ["size", "part", "block"], "left_anti").join(worst, ["size", "part"]).filter(F.col("bound") >= F.col("worst"))
+    found = found.unionByName(_searched(asked, data, left.select("size", "part", "block", "bound"), k))
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
