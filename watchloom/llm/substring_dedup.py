@@ -113,7 +113,7 @@ def _occurrences(needed, hot, wanted, window: int, anchor: int, parts: int):
             ids, hashes = _ids(batch)
             past = batch.column(2).to_numpy(zero_copy_only=False)
             if past.any():  # of history only the documents that the postings named
-                keep = ~past | wanted.value.has(mix64(_key(ids, hashes).view(np.uint64)))
+                keep = ~past | wanted.value.has(_key(ids, hashes).view(np.uint64))
                 if not keep.all():
                     batch = batch.take(pa.array(np.flatnonzero(keep)))
                     (ids, hashes), past = _ids(batch), past[keep]
@@ -326,20 +326,20 @@ class FingerprintIndex:
             met = materialise(met)
             total = total.unionByName(new.join(met.select("anchor").distinct(), "anchor", "left_semi").filter("n = 1")).unionByName(met.groupBy("anchor").agg(F.count("*").alias("n")))
         needed = materialise(total.groupBy("anchor").agg(F.sum("n").alias("n")))
-        count = needed.count()
-        gone = self._repeats(keyed, history, own, needed, met, count) if count else self.spark.createDataFrame([], _GONE)
+        count, many = needed.agg(F.count("*"), F.count_if(F.col("n") > HOT)).first()
+        gone = self._repeats(keyed, history, own, needed, met, count, many) if count else self.spark.createDataFrame([], _GONE)
         self.runs.append(own)
         self._commit()
         if len(self.runs) > self.max_runs:
             self.compact()
         return gone
 
-    def _repeats(self, keyed: DataFrame, history: DataFrame | None, own: dict, needed: DataFrame, met: DataFrame | None, count: int) -> DataFrame:
+    def _repeats(self, keyed: DataFrame, history: DataFrame | None, own: dict, needed: DataFrame, met: DataFrame | None, count: int, many: int) -> DataFrame:
         share = self.spark.sparkContext.broadcast
-        hot = share(bloom.build(needed.filter(F.col("n") > HOT), "anchor"))
+        hot = share(bloom.build(needed.filter(F.col("n") > HOT), "anchor", many))
         source, wanted = keyed.withColumn("past", F.lit(False)), None
         if met is not None and history is not None:
-            wanted = share(bloom.build(materialise(_mixed(met.select("key").distinct())), "key"))
+            wanted = share(bloom.build(met.select("key"), "key"))
             source = source.unionByName(self._keyed(history).withColumn("past", F.lit(True)))
         source = source.select("doc", "text_hash", "past", "text")
         chosen = share(bloom.build(needed, "anchor", count)) if count <= FILTERED else None
@@ -354,14 +354,6 @@ class FingerprintIndex:
         return source.mapInArrow(pick, _PACKED).groupBy("part").applyInArrow(_settle, _GONE)
 
 
-def _mixed(keys: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.record_batch({"key": mix64(batch.column(0).to_numpy().view(np.uint64)).view(np.int64)})
-
-    return keys.mapInArrow(run, "key long")
-
-
 def _with_key(source: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -400,7 +392,7 @@ def _batches(docs: DataFrame, id: str, batches: int) -> list[tuple[DataFrame, Da
     return [*out, (docs.filter(key > cuts[-1]), before[-1])]
 
 
-def repeated(docs: DataFrame, id: str = "doc_id", text: str = "text", window: int = WINDOW, anchor: int = ANCHOR, batches: int = 4, max_runs: int = 2) -> DataFrame:
+def repeated(docs: DataFrame, id: str = "doc_id", text: str = "text", window: int = WINDOW, anchor: int = ANCHOR, batches: int = 3, max_runs: int = 1) -> DataFrame:
     """Repeated windows of a whole table, fed to an empty index in ``batches`` batches by id, with compaction."""
     index = FingerprintIndex(docs.sparkSession, None, id, text, window, anchor, max_runs)
     gone = None
@@ -410,7 +402,7 @@ def repeated(docs: DataFrame, id: str = "doc_id", text: str = "text", window: in
     return gone
 
 
-def dedup_texts(docs: DataFrame, id: str = "doc_id", text: str = "text", window: int = WINDOW, batches: int = 4) -> DataFrame:
+def dedup_texts(docs: DataFrame, id: str = "doc_id", text: str = "text", window: int = WINDOW, batches: int = 3) -> DataFrame:
     """``docs`` with repeated passages cut out of ``text``; all other columns unchanged.
 
     A text that loses nothing stays as it is, byte for byte. Of another, the kept words are joined
@@ -433,7 +425,7 @@ def dedup_texts(docs: DataFrame, id: str = "doc_id", text: str = "text", window:
     return _marked(docs, gone, id, text).select(*docs.columns, "_gone").mapInArrow(run, docs.schema)
 
 
-def dedup_digest(docs: DataFrame, id: str = "doc_id", text: str = "text", window: int = WINDOW, batches: int = 4) -> DataFrame:
+def dedup_digest(docs: DataFrame, id: str = "doc_id", text: str = "text", window: int = WINDOW, batches: int = 3) -> DataFrame:
     """``doc_id, n_words, n_removed, kept_sha256`` per row of ``docs``."""
     gone = repeated(docs, id, text, window, batches=batches)
 

@@ -200,10 +200,14 @@ def _assigned(rows: DataFrame, pivots: dict[tuple[int, str], np.ndarray]) -> Dat
 
 def _blocks(rows: DataFrame, limit: int) -> DataFrame:
     """Rows with ``block``: cells of more than ``limit`` rows are split by pivots of their own, what is left of such by hash."""
+    counts = lambda: rows.groupBy("size", "cell").agg(F.count("*").alias("n"))
     for _ in range(ROUNDS):
-        big = rows.groupBy("size", "cell").agg(F.count("*").alias("n")).filter(F.col("n") > limit).orderBy(F.desc("n"), "size", "cell").limit(CELLS)
+        big = counts().filter(F.col("n") > limit).orderBy(F.desc("n"), "size", "cell").limit(CELLS).collect()
+        if not big:
+            return rows.withColumn("block", F.col("cell"))
         some = Window.partitionBy("size", "cell").orderBy(F.xxhash64("id", F.lit(5)), "v")
-        sample = rows.join(F.broadcast(big), ["size", "cell"], "left_semi").withColumn("r", F.row_number().over(some)).filter(F.col("r") <= CELL_SAMPLE)
+        named = F.broadcast(rows.sparkSession.createDataFrame([(r["size"], r.cell) for r in big], "size int, cell string"))  # at most CELLS rows
+        sample = rows.join(named, ["size", "cell"], "left_semi").withColumn("r", F.row_number().over(some)).filter(F.col("r") <= CELL_SAMPLE)
         held: dict[tuple[int, str], list] = {}
         for r in sample.select("size", "cell", "v").collect():  # at most CELLS * CELL_SAMPLE rows
             held.setdefault((r["size"], r.cell), []).append(r.v)
@@ -212,9 +216,8 @@ def _blocks(rows: DataFrame, limit: int) -> DataFrame:
         if not pivots:
             break
         rows = materialise(_assigned(rows, pivots))
-    counts = rows.groupBy("size", "cell").agg(F.count("*").alias("n"))
     part = F.pmod(F.xxhash64("id", F.lit(11)), F.ceil(F.col("n") / limit)).cast("string")
-    return materialise(rows.join(counts, ["size", "cell"]).withColumn("block", F.concat_ws("#", "cell", part)).drop("n"))
+    return materialise(rows.join(counts(), ["size", "cell"]).withColumn("block", F.concat_ws("#", "cell", part)).drop("n"))
 
 
 _SUMMARY = "size int, cell string, block string, centre array<double>, radius double, top double, worst double"
@@ -285,7 +288,7 @@ def _searched(asked: DataFrame, data: DataFrame, pairs: DataFrame, k: int) -> Da
 def top_k(queries: DataFrame, data: DataFrame, k: int = K, id: str = "vec_id", vector: str = "embedding", scale: int = SCALE) -> DataFrame:
     """``query_id, rank, vec_id, score``: the k highest integer inner products of each query."""
     spark = bounded(data.sparkSession)
-    data = materialise(_integers(data, id, vector, scale))
+    data = _integers(data, id, vector, scale)
     asked = _integers(queries, id, vector, scale).groupBy("id").agg(F.min("v").alias("v"))
     sample = data.orderBy(F.xxhash64("id", "v"), "id").limit(SAMPLE).collect()
     if not sample:
