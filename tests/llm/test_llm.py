@@ -416,6 +416,58 @@ def test_mixing_draws(spark):
     assert {x.doc_id for x in mixing.mix(docs, max_epochs=2.0, keep_all=True).collect()} == set(range(302))
 
 
+def brute_draws(rows, totals, quotas, seed=0, keep_all=False):
+    """``(doc_id, epoch, start)`` of every draw, source by source and epoch by epoch."""
+    out = []
+    for s, quota in quotas.items():
+        own = [(d, t) for d, t, x in rows if x == s]
+        total, epoch = totals[s], 0
+        while True:
+            start = epoch * total
+            order = sorted(own, key=lambda x: (hashlib.md5(f"{seed}:{epoch}:{x[0]}".encode()).hexdigest(), x[0]))
+            for d, t in order:
+                if start < quota or epoch == 0 and (not total or keep_all):
+                    out.append((d, epoch, start))
+                start += t
+            epoch += 1
+            if not total or epoch * total >= quota:
+                break
+    return sorted(out)
+
+
+@pytest.mark.parametrize("keep_all", [False, True])
+def test_mixing_against_brute_force(spark, monkeypatch, keep_all):
+    r = random.Random(6)
+    texts = [" ".join(["w"] * r.choice([0, 1, 3, 9])) for _ in range(260)]
+    sources = [r.choice(["big"] * 12 + ["mid"] * 3 + ["tiny", None]) if k < 255 else "bare" for k in range(260)]
+    texts[255:] = ["", None, " ", "", ""]
+    docs = spark.createDataFrame([(k, t, s, "x", k) for k, (t, s) in enumerate(zip(texts, sources))], "doc_id long, text string, source string, _order string, _bucket long")
+    limits = {"max_epochs": 2.0, "keep_all": True} if keep_all else {"max_epochs": 3.0}
+    totals = mixing.source_totals(docs)
+    p = mixing.plan(totals, **limits)
+    quotas = {s: max(math.floor(w * p.budget), totals[s] if keep_all else 0) for s, w in p.weights.items()}
+    rows = [(k, len((t or "").split()), s) for k, (t, s) in enumerate(zip(texts, sources))]
+    want = brute_draws(rows, totals, quotas, keep_all=keep_all)
+    plain = docs.drop("_order", "_bucket")
+    for most in (100_000, 2):  # totals on the driver, and as a table
+        monkeypatch.setattr(mixing, "MAX_SOURCES", most)
+        got = mixing.mix(plain, **limits).collect()
+        assert sorted((x.doc_id, x._epoch, x._start) for x in got) == want
+        assert all(x._block == (int(x._start // (p.weights[x.source] * mixing.BLOCK_TOKENS)) if p.weights[x.source] else 0) for x in got)
+        assert all(x._order == hashlib.md5(f"0:{x._epoch}:{x.doc_id}".encode()).hexdigest() and x._tokens == rows[x.doc_id][1] for x in got)
+    if keep_all:
+        assert {d for d, *_ in want} == set(range(260))
+    assert mixing.mix(plain.limit(0), **limits).count() == 0
+
+
+def test_mixing_repeated_rows(spark):
+    rows = [(1, "a b", "s")] * 3 + [(1, "a", "s"), (None, "a b c", "t"), (2, "x " * 9, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(docs, keep_all=True, max_epochs=2.0).collect()
+    assert collections.Counter((x.doc_id, x.text) for x in got if x._epoch == 0) == collections.Counter((d, t) for d, t, _ in rows)
+    assert len({(x.source, x._epoch, x._start) for x in got}) == len(got)
+
+
 PAGE = """<html><head><title>no</title><style>p{}</style></head><body><header>Site</header><nav><ul><li><a href=x>Home</a></li></ul></nav>
 <div class="cookie-notice">We use cookies on this site for all of you</div><article><h1>A title</h1><p>First &amp; long enough text that is in the article and has
 many words of the kind<br>that stop words are.<p>Short one.<script>var x = "<p>no</p>";</script><p><b>bold</b>er</p><div id="comments"><p>A reader said that this is a comment of some length</p></div>
@@ -534,6 +586,34 @@ def test_bpe(spark):
     assert full.filter("size(tokens) > 0").count() == sum(bool(library.encode(t or "", add_special_tokens=False).ids) for t in texts)
 
 
+def test_bpe_code_points():
+    """Every assigned plane's code points, between letters and next to digits, as the library has them."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    with open(path, encoding="utf-8") as f:
+        spec = f.read()
+    library, codec = Tokenizer.from_file(path), bpe.BpeCodec(spec)
+    points = [c for c in range(1, 0x34000) if not 0xD800 <= c < 0xE000] + list(range(0xE0000, 0xE0200))
+    for at in range(0, len(points), 64):  # one text for many, and each alone where it differs
+        some = "".join(f"a{chr(c)}b1{chr(c)} " for c in points[at : at + 64])
+        assert codec.encode(some) == np.array(library.encode(some, add_special_tokens=False).ids, "<u4").tobytes(), hex(points[at])
+    assert codec.encode_all(["a b", None, "a b", ""]) == [codec.encode("a b"), b"", codec.encode("a b"), b""]
+    with pytest.raises(ValueError):
+        bpe.BpeCodec(spec.replace('"type":"NFC"', '"type":"Nmt"').replace('"type": "NFC"', '"type": "Nmt"'))
+
+
+def test_bpe_table_edges(spark):
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    assert bpe.digest_table(table(spark, ["x"]).limit(0), path).count() == 0
+    docs = table(spark, ["word " * 300_000, "a", "a"]).withColumn("tokens", F.lit("clash"))
+    got = bpe.encode_table(docs, path).select("doc_id", F.size("tokens").alias("n"), "node").collect()
+    assert {r.doc_id: r.n for r in got} == {0: 300_000, 1: 1, 2: 1}
+
+
 def test_toxicity(spark):
     r = random.Random(5)
     words = [f"word{i}" for i in range(80)]

@@ -11,6 +11,10 @@ Whether a pair is compatible is read off the merge trees of the two tokens, alon
 Pairs are kept in a table filled as they occur, words in two generations of bounded
 size; what is dropped is worked out again, which costs time only.
 
+The file's own normaliser and pre-tokeniser are read; a part that is not known here is refused. Letters and digits are those
+of the library's Unicode table.
+Null texts count as empty, texts may be of any length, other columns but ``tokens`` and ``decoded`` pass through, and an empty table gives no rows.
+
 Decoding looks every id up in one byte string of all tokens by offsets. Like the library without a
 decoder, tokens are joined by one space.
 """
@@ -22,6 +26,7 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import partial
 
 import ahocorasick
 import numpy as np
@@ -31,6 +36,8 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from watchloom.llm.storage import bounded
+
 _FULL = 150_000
 _NEVER = 1 << 60
 
@@ -43,15 +50,61 @@ def byte_symbols() -> list[str]:
     return [table[b] for b in range(256)]
 
 
+def _parts(spec: dict | None, many: str) -> list[dict]:
+    return [] if spec is None else spec[many] if spec["type"] == "Sequence" else [spec]
+
+
+# Letters and digits that the library's Unicode table (version 16) does not have yet, and its lower-case letters that Python's older one lacks.
+NEWER = (
+    "\\u0558\\u058b-\\u058c\\u088f\\u0c5c\\u0cdc\\u208f\\u209d-\\u209f\\ua7ce-\\ua7cf\\ua7d2\\ua7d4\\ua7dd\\ua7e2\\ua7f1\\uab6c-\\uab6d\\U000107bb-\\U000107bf\\U00010940-\\U00010959\\U00010ec5-\\U00010ec7\\U00010ed9-\\U00010eee\\U00011b0a"
+    "\\U00011db0-\\U00011ddb\\U00011de0-\\U00011de9\\U00011df1\\U0001246f\\U00012475-\\U0001247f\\U00012550-\\U00012686\\U00016ea0-\\U00016eb8\\U00016ebb-\\U00016ed3\\U00016ff2-\\U00016ff6\\U000187f8-\\U000187ff\\U00018cd6-\\U00018cda\\U00018d09-\\U00018d20\\U00018d80-\\U00018df2\\U00018e00-\\U00019191\\U000191a0-\\U000191d2"
+    "\\U0001b123-\\U0001b128\\U0001b168\\U0001d6a6\\U0001df1f-\\U0001df24\\U0001df2b-\\U0001df81\\U0001df90-\\U0001df96\\U0001dfcd-\\U0001dfff\\U0001e6c0-\\U0001e6de\\U0001e6e0-\\U0001e6e2\\U0001e6e4-\\U0001e6e5\\U0001e6e7-\\U0001e6ed"
+    "\\U0001e6f0-\\U0001e6f4\\U0001e6fe-\\U0001e6ff\\U0002b73a-\\U0002b73f\\U0002b81e\\U0002cea2-\\U0002cead\\U000323b0-\\U00033479"
+)
+LOWER = {"\u1c89": "\u1c8a", "\ua7cb": "\u0264", "\ua7cc": "\ua7cd", "\ua7da": "\ua7db", "\ua7dc": "\u019b", "\ua7ce": "\ua7cf", "\ua7d2": "\ua7d3", "\ua7d4": "\ua7d5"} | {chr(0x10D50 + k): chr(0x10D70 + k) for k in range(22)} | {chr(0x16EA0 + k): chr(0x16EBB + k) for k in range(25)}
+_LOWER = str.maketrans({"Σ": "σ"} | LOWER)
+
+
+def _lower(text: str) -> str:
+    """Lower case letter by letter, so without the final form of sigma."""
+    return text.translate(_LOWER).lower() if not text.isascii() else text.lower()
+
+
+def _step(spec: dict):
+    """A normaliser of the file as a function; one that is not known here is refused."""
+    if spec["type"] in ("NFC", "NFD", "NFKC", "NFKD"):
+        return partial(unicodedata.normalize, spec["type"])
+    if spec["type"] == "Lowercase":
+        return _lower
+    if spec["type"] == "Replace" and "Regex" in spec["pattern"]:
+        return partial(regex.compile(spec["pattern"]["Regex"]).sub, spec["content"])
+    if spec["type"] == "Replace" and "String" in spec["pattern"]:
+        return lambda text: text.replace(spec["pattern"]["String"], spec["content"])
+    raise ValueError(f"unknown normaliser {spec['type']}")
+
+
+def _split_pattern(parts: list[dict]) -> str:
+    """The pattern whose matches are the words: a split that keeps these alone, then bytes as they are."""
+    kinds = [p["type"] for p in parts]
+    if kinds != ["Split", "ByteLevel"] or not parts[0].get("invert") or parts[0]["behavior"] != "Removed" or parts[1].get("add_prefix_space") or parts[1].get("use_regex"):
+        raise ValueError(f"unknown pre-tokeniser {kinds}")
+    return parts[0]["pattern"]["Regex"]
+
+
 class BpeCodec:
     def __init__(self, spec: str):
         j = json.loads(spec)
         model = j["model"]
         self.suffix = model.get("end_of_word_suffix") or ""
         self.added = {t["content"]: t["id"] for t in j.get("added_tokens", [])}
-        pattern = next(p["pattern"]["Regex"] for p in j["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
+        self.steps = [_step(n) for n in _parts(j["normalizer"], "normalizers")]
+        pattern = _split_pattern(_parts(j["pre_tokenizer"], "pretokenizers"))
         # white space as the library's engine has it; splitting drops it, so it need not be collapsed first
-        self.split = regex.compile(pattern.replace(r"\s", r"\p{White_Space}"))
+        known = pattern.replace(r"\s", r"\p{White_Space}")
+        for kind in ("L", "N"):
+            known = known.replace(f"[\\p{{{kind}}}]", f"[\\p{{{kind}}}--[{NEWER}]]")
+        known = known.replace(r"[^\p{White_Space}\p{L}\p{N}]", rf"[[^\p{{White_Space}}\p{{L}}\p{{N}}]||[{NEWER}]]")
+        self.split = regex.compile(known, regex.V1)
         self.split_ascii = re.compile(pattern.replace(r"\s", r"\t-\r ").replace(r"\p{L}", "a-zA-Z").replace(r"\p{N}", "0-9"))
         self.special = regex.compile("|".join(regex.escape(t) for t in sorted(self.added, key=len, reverse=True))) if self.added else None
         self.bytes = byte_symbols()
@@ -222,7 +275,8 @@ class BpeCodec:
         return found
 
     def _plain(self, text: str) -> bytes:
-        text = regex.sub(r"\s+", " ", unicodedata.normalize("NFC", text)).replace("Σ", "σ").lower()
+        for step in self.steps:
+            text = step(text)
         known, word = self.words, self._word
         return b"".join([known.get(w) or word(w) for w in self.split.findall(text)])
 
@@ -237,6 +291,11 @@ class BpeCodec:
             at = m.end()
         return b"".join([*out, self._plain(text[at:])])
 
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of neighbouring texts; of those that are equal one is encoded."""
+        held = {t: self.encode(t) for t in dict.fromkeys(texts)}
+        return [held[t] for t in texts]
+
     def decode(self, ids: bytes) -> bytes:
         """Text of the ids in UTF-8, by the offset table."""
         i = np.frombuffer(ids, "<u4").astype(np.int64)
@@ -260,7 +319,7 @@ def _codec(name: str) -> BpeCodec:
 
 
 def _shipped(docs: DataFrame, vocabulary: str) -> str:
-    sc = docs.sparkSession.sparkContext
+    sc = bounded(docs.sparkSession).sparkContext
     name = vocabulary.rsplit("/", 1)[-1]
     if not any(f.endswith("/" + name) for f in sc.listFiles):
         sc.addFile(vocabulary)
@@ -277,7 +336,7 @@ def encode_table(docs: DataFrame, vocabulary: str, text: str = "text") -> DataFr
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                ids = [codec.encode(t.as_py()) for t in part.column(part.schema.get_field_index(text))]
+                ids = codec.encode_all(part.column(part.schema.get_field_index(text)).to_pylist())
                 cuts = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])])
                 flat = np.frombuffer(b"".join(ids), "<u4").astype(np.int32)
                 part = part.append_column("tokens", pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(flat)))
