@@ -55,6 +55,7 @@ DENSE = 16
 _SMALL = 64
 _BITS = 4096
 _SALTS = 64
+_STAR = 256  # members of a star that meet its centre in one task, about
 _PART_SHINGLES = 1 << 22  # about as many shingles are behind what one part of the blocks holds
 _BLOCK = 1024  # rows of a large group that one task holds on either side
 _BLOCK_SHINGLES = 1 << 19  # about as many shingles of a component are held on either side
@@ -312,9 +313,11 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, size: int, nu
     return _against(pairs, sets, "shingles", keep), sets
 
 
-def _pairs(df: DataFrame, c: str, m: str, salts: int) -> DataFrame:
-    """Distinct pairs, dealt to salts by their member."""
-    return df.select(F.col(c).alias("c"), F.col(m).alias("m")).distinct().withColumn("salt", F.pmod(F.xxhash64("m"), F.lit(salts)).cast("int"))
+def _pairs(df: DataFrame, c: str, m: str, size: str | None = None) -> DataFrame:
+    """Distinct pairs, dealt by their member to as many salts as the largest group of the pair has ``_STAR`` members."""
+    own = df.select(F.col(c).alias("c"), F.col(m).alias("m"), (F.col(size) if size else F.lit(1)).alias("size"))
+    salts = F.least(F.ceil(F.max("size") / _STAR), F.lit(4 * _SALTS))
+    return own.groupBy("c", "m").agg(F.pmod(F.xxhash64("m"), salts).cast("int").alias("salt"))
 
 
 def _keyed(rows: DataFrame, few: DataFrame, key: str, how: str) -> DataFrame:
@@ -445,9 +448,9 @@ def ngram_components(docs: DataFrame, id: str = "doc_id", text: str = "text", si
     groups = materialise(_groups(docs, size, num, den, seed, small, hot, dense, parts))
     members = groups.filter("kind = 2").select("sig", F.col("a").alias("node"))
     shared = members.groupBy("node").agg(F.count("*").alias("shared"))
-    best = members.join(shared, "node").groupBy("sig").agg(F.max_by("node", F.struct("shared", "node")).alias("centre"))
+    best = members.join(shared, "node").groupBy("sig").agg(F.max_by("node", F.struct("shared", "node")).alias("centre"), F.count("*").alias("size"))
     members = materialise(_keyed(members, materialise(best), "sig", "inner"))
-    stars = materialise(_pairs(groups.filter("kind = 0"), "a", "b", 1).unionByName(_pairs(members.filter("node != centre"), "centre", "node", 4 * _SALTS)))
+    stars = materialise(_pairs(groups.filter("kind = 0"), "a", "b").unionByName(_pairs(members.filter("node != centre"), "centre", "node", "size")))
     others = groups.filter("kind = 1").select("a", "b").distinct()
     wanted = groups.select(F.explode(F.array("a", "b")).alias("node"))
     sketches = _of_nodes(docs, nodes, wanted, size, "array<long>", "sketch", _bit_sketch)
@@ -456,7 +459,7 @@ def ngram_components(docs: DataFrame, id: str = "doc_id", text: str = "text", si
     of = lambda c: labels.select(F.col("v").alias(c), F.col("label").alias(f"l{c}"))
     apart = others.join(of("a"), "a", "left").join(of("b"), "b", "left").filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
     crossing = _crossing(members, labels, sketches, num, den)
-    second = _plausible(_pairs(apart, "a", "b", 1), sketches, num, den).unionByName(_pairs(crossing, "a", "b", _SALTS))
+    second = _plausible(_pairs(apart, "a", "b"), sketches, num, den).unionByName(_pairs(crossing.withColumn("size", F.lit(16 * _STAR)), "a", "b", "size"))
     second = materialise(second.dropDuplicates(["c", "m"]))
     more, late = (edges.limit(0), sets.limit(0)) if second.isEmpty() else _verified(second, docs, nodes, size, num, den)
     if not more.isEmpty():
