@@ -4,7 +4,9 @@ A window is ``window`` consecutive words of one document. Its anchor is the smal
 the ``anchor``-word shingles it holds, so equal windows have equal anchors wherever they stand.
 
 The index is a folder of immutable runs and of manifests that name them. A run is a Parquet table of postings
-``(anchor, key, place)``, bucketed and sorted by anchor; ``key`` stands for a document's id and text. The newest
+``(anchor, key, place)``, bucketed and sorted by anchor; ``key`` stands for a document's id and text. Postings of an anchor that
+fills a part of a slice of texts lie apart, dealt by document, as no bucket should hold a line that all documents share; there are
+few such anchors, so they are met by a broadcast of those in question. The newest
 manifest that was written whole counts, so a lost driver loses nothing and an index can be opened again. Texts stay where
 their owner keeps them. A new batch
 
@@ -80,7 +82,7 @@ def _ids(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 
 
 def postings(keyed: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """``(anchor, key, place)``: the selected shingles of all windows of ``doc, text_hash, text``."""
+    """``(anchor, key, place, hot)``: the selected shingles of all windows of ``doc, text_hash, text``; hot ones stand more than HOT times in a slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -94,12 +96,13 @@ def postings(keyed: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> Da
                 pad = np.zeros(window - anchor, np.uint64)
                 top = _sliding(np.concatenate([pad, np.where(ok, low, 0), pad]), window - anchor + 1, np.maximum)
                 at = np.flatnonzero((top == small) & (small != _MAX))
-                yield pa.record_batch({"anchor": small[at].view(np.int64), "key": key[i + w.doc[at]], "place": (at - w.first[w.doc[at]]).astype(np.int32)})
+                _, own, n = np.unique(small[at], return_inverse=True, return_counts=True)
+                yield pa.record_batch({"anchor": small[at].view(np.int64), "key": key[i + w.doc[at]], "place": (at - w.first[w.doc[at]]).astype(np.int32), "hot": n[own] > HOT})
 
     return keyed.mapInArrow(run, _RUN)
 
 
-_RUN = "anchor long, key long, place int"
+_RUN = "anchor long, key long, place int, hot boolean"
 
 
 def _occurrences(needed, hot, wanted, window: int, anchor: int, parts: int):
@@ -279,25 +282,36 @@ class FingerprintIndex:
         self.spark.createDataFrame([(json.dumps(state),)], "value string").coalesce(1).write.text(f"{self.path}/manifest/{self.version}")
 
     def _write(self, run: DataFrame) -> dict:
-        """A new run: one sorted file for each bucket of anchors."""
+        """A new run: one sorted file for each bucket of anchors, and the hot postings dealt by document."""
         name = f"run_{shared_dir(self.spark).rsplit('/', 1)[-1]}"
-        dealt = run.repartition(self.buckets, "anchor")
-        dealt.write.bucketBy(self.buckets, "anchor").sortBy("anchor").option("path", f"{self.path}/runs/{name}").format("parquet").saveAsTable(name)
+        dealt = run.repartition(self.buckets, F.when(F.col("hot"), F.col("key")).otherwise(F.col("anchor")))
+        dealt.write.partitionBy("hot").bucketBy(self.buckets, "anchor").sortBy("anchor").option("path", f"{self.path}/runs/{name}").format("parquet").saveAsTable(f"{name}_whole")
+        self.spark.sql(f"DROP TABLE {name}_whole")  # its files stay
         return {"name": name, "buckets": self.buckets}
 
     def _read(self, run: dict) -> DataFrame:
-        """A run as a bucketed table; one of another session is named to this one first."""
+        """The bucketed postings of a run, named to this session first if it does not know them."""
         name = run["name"]
         if not self.spark.catalog.tableExists(name):
-            self.spark.sql(f"CREATE TABLE {name} (anchor BIGINT, key BIGINT, place INT) USING parquet CLUSTERED BY (anchor) SORTED BY (anchor) INTO {run['buckets']} BUCKETS LOCATION '{self.path}/runs/{name}'")
+            self.spark.sql(f"CREATE TABLE {name} (anchor BIGINT, key BIGINT, place INT) USING parquet CLUSTERED BY (anchor) SORTED BY (anchor) INTO {run['buckets']} BUCKETS LOCATION '{self.path}/runs/{name}/hot=false'")
         return self.spark.table(name)
 
+    def _hot(self, run: dict) -> DataFrame:
+        """The hot postings of a run."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/runs/{run['name']}/hot=true")
+        schema = "anchor long, key long, place int"
+        if not path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(path.toString())
+
     def compact(self) -> None:
         """Merge all runs into one; the old ones are let go when the manifest names them no more."""
         if len(self.runs) > 1:
-            merged = self._read(self.runs[0])
-            for run in self.runs[1:]:
-                merged = merged.unionByName(self._read(run))
+            merged = None
+            for run in self.runs:
+                for part, hot in ((self._read(run), False), (self._hot(run), True)):
+                    part = part.withColumn("hot", F.lit(hot))
+                    merged = part if merged is None else merged.unionByName(part)
             old, self.runs = self.runs, [self._write(merged)]
             self.compactions += 1
             self._commit()
@@ -316,14 +330,19 @@ class FingerprintIndex:
         """
         keyed = self._keyed(batch)
         own = self._write(postings(keyed, self.window, self.anchor))
-        new = self._read(own).groupBy("anchor").agg(F.count("*").alias("n"))
+        whole = self._read(own).groupBy("anchor").agg(F.count("*").alias("n")).unionByName(self._hot(own).groupBy("anchor").agg(F.count("*").alias("n")))
+        new = whole.groupBy("anchor").agg(F.sum("n").alias("n"))
         met = None
         for run in self.runs:
             found = self._read(run).join(new.select("anchor"), "anchor", "left_semi").select("anchor", "key")
+            common = self._hot(run).select("anchor").distinct().join(new.select("anchor"), "anchor", "left_semi")
+            # at most a HOT-th of a slice's words for each slice's own, and in fact the few lines that many documents share
+            found = found.unionByName(self._hot(run).join(F.broadcast(common), "anchor", "left_semi").select("anchor", "key"))
             met = found if met is None else met.unionByName(found)
-        total = new.filter("n > 1")
         if met is not None:
             met = materialise(met)
+        total = new.filter("n > 1")
+        if met is not None:
             total = total.unionByName(new.join(met.select("anchor").distinct(), "anchor", "left_semi").filter("n = 1")).unionByName(met.groupBy("anchor").agg(F.count("*").alias("n")))
         needed = materialise(total.groupBy("anchor").agg(F.sum("n").alias("n")))
         count, many = needed.agg(F.count("*"), F.count_if(F.col("n") > HOT)).first()
@@ -345,7 +364,7 @@ class FingerprintIndex:
         chosen = share(bloom.build(needed, "anchor", count)) if count <= FILTERED else None
         if chosen is None:
             # too many for a filter: each document gets its own needed anchors by a join
-            places = self._read(own).select("anchor", "key")
+            places = self._read(own).select("anchor", "key").unionByName(self._hot(own).select("anchor", "key"))
             places = places if met is None else places.unionByName(met)
             lists = materialise(places.join(needed.select("anchor"), "anchor", "left_semi").groupBy("key").agg(F.collect_set("anchor").alias("anchors")))
             source = _with_key(source).join(lists, "key").select("doc", "text_hash", "past", "text", "anchors")
