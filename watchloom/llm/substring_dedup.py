@@ -330,20 +330,22 @@ class FingerprintIndex:
         """
         keyed = self._keyed(batch)
         own = self._write(postings(keyed, self.window, self.anchor))
-        whole = self._read(own).groupBy("anchor").agg(F.count("*").alias("n")).unionByName(self._hot(own).groupBy("anchor").agg(F.count("*").alias("n")))
-        new = whole.groupBy("anchor").agg(F.sum("n").alias("n"))
+        # buckets of the batch meet those of each run; hot anchors, few on either side, go by broadcast
+        new = self._read(own).groupBy("anchor").agg(F.count("*").alias("n"))
+        hot = materialise(self._hot(own).groupBy("anchor").agg(F.count("*").alias("n")))
         met = None
         for run in self.runs:
-            found = self._read(run).join(new.select("anchor"), "anchor", "left_semi").select("anchor", "key")
-            common = self._hot(run).select("anchor").distinct().join(new.select("anchor"), "anchor", "left_semi")
-            # at most a HOT-th of a slice's words for each slice's own, and in fact the few lines that many documents share
-            found = found.unionByName(self._hot(run).join(F.broadcast(common), "anchor", "left_semi").select("anchor", "key"))
-            met = found if met is None else met.unionByName(found)
+            cold, common = self._read(run), self._hot(run).select("anchor").distinct()
+            here = F.broadcast(hot.select("anchor"))
+            asked = self._read(own).join(F.broadcast(common), "anchor", "left_semi").select("anchor").unionByName(hot.select("anchor")).distinct()
+            found = cold.join(new.select("anchor"), "anchor", "left_semi").join(here, "anchor", "left_anti")
+            for part in (found, cold.join(here, "anchor", "left_semi"), self._hot(run).join(F.broadcast(asked), "anchor", "left_semi")):
+                part = part.select("anchor", "key")
+                met = part if met is None else met.unionByName(part)
+        total = new.filter("n > 1").unionByName(hot)
         if met is not None:
             met = materialise(met)
-        total = new.filter("n > 1")
-        if met is not None:
-            total = total.unionByName(new.join(met.select("anchor").distinct(), "anchor", "left_semi").filter("n = 1")).unionByName(met.groupBy("anchor").agg(F.count("*").alias("n")))
+            total = total.unionByName(met.groupBy("anchor").agg(F.count("*").alias("n")))
         needed = materialise(total.groupBy("anchor").agg(F.sum("n").alias("n")))
         count, many = needed.agg(F.count("*"), F.count_if(F.col("n") > HOT)).first()
         gone = self._repeats(keyed, history, own, needed, met, count, many) if count else self.spark.createDataFrame([], _GONE)
