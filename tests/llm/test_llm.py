@@ -263,6 +263,94 @@ def test_language_id(spark):
     assert {language_id.decode(int(g)) for g in language_id.ngrams("ab-c")[0]} == {"a", "b", "c", "_a", "ab", "b_", "_c", "c_", "_ab", "ab_", "_c_"}
 
 
+def plain_language(texts, langs, held):
+    """Out-of-place distances by counters and lists, without arrays."""
+
+    def grams(t):
+        c = collections.Counter()
+        for w in "".join(x if x.isalpha() else " " for x in (t or "").lower()).split(" "):
+            if w:
+                w = f"\x01{w}\x01"
+                for n in (1, 2, 3):
+                    c.update(w[i : i + n] for i in range(len(w) - n + 1) if w[i : i + n] != "\x01")
+        # words that touch share their border
+        return c
+
+    def ranks(c, size):
+        order = sorted(c, key=lambda g: (-c[g], [0] * (3 - len(g)) + [ord(x) for x in g]))
+        return {g: k + 1 for k, g in enumerate(order[:size])}
+
+    known = {}
+    for name in sorted({x for x, h in zip(langs, held) if x and not h}):
+        total = collections.Counter()
+        for t, x, h in zip(texts, langs, held):
+            if x == name and not h:
+                total += grams(t)
+        known[name] = ranks(total, 400)
+    out = []
+    for t in texts:
+        own = ranks(grams(t), 300)
+        if not own:
+            out.append(("und", 0.0))
+            continue
+        far = {x: sum(min(abs(p[g] - k), 400) if g in p else 400 for g, k in own.items()) for x, p in known.items()}
+        best = min(far, key=lambda x: (far[x], x))
+        out.append((best, 1 - far[best] / (400 * len(own))))
+    return out
+
+
+@pytest.mark.parametrize("most", [2000, 2])
+def test_language_id_against_plain_profiles(spark, monkeypatch, most):
+    monkeypatch.setattr(language_id, "MAX_LANGS", most)
+    r = random.Random(8)
+    letters = {"aa": "abcdeé", "bb": "cdefgÿ", "cc": "efghiя"}
+    texts, langs = [], []
+    for k in range(60):
+        name = list(letters)[k % 3]
+        texts.append(" ".join("".join(r.choice(letters[name]) for _ in range(r.randint(1, 7))) for _ in range(r.randint(1, 60))))
+        langs.append(name if k % 7 else None)
+    texts += [None, "", "12 - 3", "a" * 200_000, texts[0], texts[0]]
+    langs += ["aa", None, "bb", "aa", "bb", "bb"]
+    held = [zlib.crc32(str(k).encode()) % 4 == 2 for k in range(len(texts))]
+    want = plain_language(texts, langs, held)
+    docs = table(spark, texts, langs).withColumn("score", F.lit("clash"))
+    got = {x.doc_id: (x.lang_pred, x.score) for x in language_id.predict_table(docs).collect()}
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in enumerate(want)}
+    assert all(abs(got[k][1] - v[1]) < 1e-12 for k, v in enumerate(want))
+    assert language_id.predict_table(docs.limit(0)).count() == 0
+    none = language_id.predict_table(docs.withColumn("lang", F.lit(None).cast("string")).unionByName(docs.limit(1).withColumn("doc_id", F.lit(None).cast("long")).withColumn("lang", F.lit(None).cast("string")))).collect()
+    assert {x.lang_pred for x in none} == {"und"} and len(none) == len(texts) + 1
+
+
+def plain_anchors(text, k=fingerprints.K, s=fingerprints.S):
+    """Places of closed syncmers, from hashes of each substring on its own."""
+    code = text_hash.mix64(np.array([ord(c) for c in text], np.uint64) + np.uint64(1))
+    inner = [int(text_hash.rolling(code[i : i + s], s)[0]) for i in range(len(text) - s + 1)]
+    return [i for i in range(len(text) - k + 1) if min(inner[i : i + k - s + 1]) in (inner[i], inner[i + k - s])]
+
+
+def test_syncmers_against_plain_ones(spark):
+    for text in ["", "a", "ab" * 40, corpus(1)[0][:900], "\U0001f600é" * 30 + corpus(1)[0][:200], thue_morse(300)]:
+        where, found = fingerprints.anchors(text)
+        assert where.tolist() == (plain_anchors(text) if len(text) >= fingerprints.K else [0] * bool(text))
+        if len(text) >= fingerprints.K:
+            code = text_hash.mix64(np.array([ord(c) for c in text], np.uint64) + np.uint64(1))
+            assert [int(text_hash.rolling(code[i : i + fingerprints.K], fingerprints.K)[0]) for i in where] == found.tolist()
+            assert max(np.diff(where), default=0) <= fingerprints.K - fingerprints.S + 1
+    bins = fingerprints.sketch(np.array([5, 5 + 128, 6], np.uint64))
+    assert (bins != 0xFFFF).sum() == 2
+    rows = [(2, "b" * 40), (2, "a" * 40), (None, "c" * 40), (7, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("key", F.lit("clash")).withColumn("bucket", F.lit(1))
+    got = fingerprints.fingerprint_table(docs).collect()
+    assert sorted(((x.doc_id, x.n_chars) for x in got), key=repr) == sorted([(2, 40), (2, 40), (None, 40), (7, 0)], key=repr)
+    edited = {x.doc_id: x.edited_sha256 for x in got if x.doc_id != 2}
+    # after 7 come the two with 2, then the null id, then 7 again
+    assert edited[7] == hashlib.sha256(b"").hexdigest() and edited[None] == hashlib.sha256(b"c" * 20).hexdigest()
+    assert fingerprints.fingerprint_table(docs.limit(0)).count() == 0
+    places = fingerprints.anchor_table(docs.select("doc_id", F.repeat("text", 3).alias("text"))).collect()
+    assert {x.doc_id for x in places} == {2, None}
+
+
 def test_fingerprints(spark):
     texts = [t for t in corpus(15) if t is not None] + [None]
     docs = {k: t or "" for k, t in enumerate(texts)}
@@ -315,6 +403,17 @@ def test_chat_query_rows(spark):
     assert got[5].n_turns == 3 and got[5].turns_sha256 == hashlib.sha256(b"user\nq\nuser\nq\nassistant\n\n").hexdigest() and got[6].loss_chars == 4
 
 
+def test_chat_edges(spark):
+    """Null ids are one conversation, a message may be very long, extra columns and empty tables do no harm."""
+    long = "y<|end|>" * 200_000
+    rows = [(None, 0, "user", "q", 1), (None, 1, "assistant", "a", 2), (3, None, None, None, 3), (3, 2, "assistant", long, 4), (3, 2, "assistant", long, 4)]
+    messages = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, seq long").withColumn("kind", F.lit("clash")).withColumn("tie", F.lit("x"))
+    got = {r.conv_id: r for r in chat_format.read_back(chat_format.format_messages(chat_format.events_from_messages(messages))).collect()}
+    assert (got[None].n_turns, got[None].loss_chars) == (2, 1) and got[None].turns_sha256 == hashlib.sha256(b"user\nq\nassistant\na\n").hexdigest()
+    assert (got[3].n_turns, got[3].loss_chars) == (3, 2 * len(long)) and got[3].loss_sha256 == hashlib.sha256(2 * long.encode()).hexdigest()
+    assert chat_format.read_back(chat_format.format_messages(chat_format.events_from_messages(messages.limit(0)))).count() == 0
+
+
 def test_top_k(spark):
     r = np.random.default_rng(0)
     x = r.normal(0, 0.2, (700, 8)).astype(np.float32)
@@ -632,16 +731,131 @@ def test_toxicity(spark):
     assert got[240].score == got[241].score
 
 
+def plain_forward(net, text):
+    """The score of a text window by window and step by step, in scalars of Python's own."""
+    p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    sig = lambda x: 1 / (1 + np.exp(-x))
+    words = "".join(c if ord(c) >= 128 or c.isalnum() else " " for c in text).lower().split()
+    best = -np.inf
+    for at in range(0, max(1, len(words) - toxicity.WINDOW + toxicity.STEP), toxicity.STEP):
+        xs = []
+        for w in words[at : at + toxicity.WINDOW]:
+            t = toxicity.read(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w.encode())]))
+            hit = np.flatnonzero(net.vocabulary == t.hashes[0])
+            xs.append(np.concatenate([p["word"][hit[0] + 1 if len(hit) else 0], p["char"][t.gram].mean(0)]))
+        H, states = toxicity._HIDDEN, []
+        for k, order in (("f", range(len(xs))), ("b", range(len(xs) - 1, -1, -1))):
+            h, out = np.zeros(H), {}
+            for i in order:
+                g = xs[i] @ p[f"X{k}"] + p[f"c{k}"]
+                z, r = sig(g[:H] + h @ p[f"U{k}"][:, :H]), sig(g[H : 2 * H] + h @ p[f"U{k}"][:, H : 2 * H])
+                c = np.tanh(g[2 * H :] + (r * h) @ p[f"U{k}"][:, 2 * H :])
+                h = out[i] = (1 - z) * h + z * c
+            states.append([out[i] for i in range(len(xs))])
+        both = [np.concatenate(x) for x in zip(*states)]
+        e = np.array([np.tanh(s @ p["A"]) @ p["v"] for s in both])
+        a = np.exp(e - e.max()) / np.exp(e - e.max()).sum() if len(e) else e
+        pooled = sum((w * s for w, s in zip(a, both)), np.zeros(2 * H))
+        best = max(best, float(pooled @ p["w"] + p["b"][0]))
+    return sig(best)
+
+
+def test_network_against_plain_steps_and_numeric_gradients():
+    r = random.Random(3)
+    texts = [" ".join(r.choice(["one", "Two", "thrée", "vile-four", "5x"]) for _ in range(n)) for n in (1, 3, 30, 48, 49, 72, 73, 200)] + ["", "..."]
+    net = toxicity.fit(texts * 6, np.array(([1, 0] * 5) * 6), rounds=2)
+    raw, off = text_hash.string_buffers(pa.array(texts))
+    got = toxicity._sigmoid(net.documents(toxicity.read(raw, off), len(texts)))
+    assert np.abs(got - [plain_forward(net, t) for t in texts]).max() < 1e-4
+    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    t = toxicity.read(raw, off)
+    which, y = np.array([0, 2, 5]), np.array([1.0, 0.0, 1.0])
+
+    def loss():
+        logit = net.forward(net.inputs(t)[0], *net.gather(t, which))[0].astype(np.float64)
+        return float(np.mean(np.log1p(np.exp(-logit)) * y + np.log1p(np.exp(logit)) * (1 - y)))
+
+    g = net.gradients(t, which, y)
+    for name in ("w", "b", "A", "v", "Xf", "Ub", "cf", "cb", "Uf", "Xb"):
+        at = tuple(r.randrange(n) for n in net.p[name].shape)
+        kept, step = net.p[name][at], 1e-3
+        net.p[name][at] = kept + step
+        up = loss()
+        net.p[name][at] = kept - step
+        down = loss()
+        net.p[name][at] = kept
+        assert abs((up - down) / (2 * step) - g[name][at]) < 2e-4, name
+
+
+def test_toxicity_sample(spark):
+    """Bounded in rows and bytes with whole texts; both labels make a toxic document; repeated ids push out nobody."""
+    texts = [f"text {k} " + "word " * (k % 5) for k in range(100)] + ["long " * 5000]
+    docs = table(spark, texts).unionByName(table(spark, ["text 0 "] * 300).withColumn("doc_id", F.lit(1).cast("long")))
+    labels = spark.createDataFrame([(k, k % 2) for k in range(101)] + [(2, 1)], "doc_id long, toxic int")
+    got, toxic = toxicity.training_sample(docs, labels, size=10, most=400)
+    assert toxic.tolist().count(0) == 10 and toxic.tolist().count(1) == 10 and set(got) <= set(texts)
+    every, toxic = toxicity.training_sample(docs, labels)
+    own = [k for k in range(101) if zlib.crc32(str(k).encode()) % 5]
+    assert sorted(x for x in every if x != "text 0 ") == sorted(texts[k] for k in own if k)
+    assert dict(zip(every, toxic)).get(texts[2]) in (None, 1.0)
+    assert toxicity.score_table(docs.limit(0), labels).count() == 0
+
+
 def test_toxicity_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert {x.predicted for x in toxicity.score_table(table(spark, ["a b", None]), none).collect()} == {0}
 
 
-def test_pipeline_stages(spark):
-    texts = [t or "" for t in corpus(30)]
-    docs = spark.createDataFrame([(k, t, "en", f"s{k % 2}", len(t)) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
-    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
-        out = stage(spark, docs, "")
-        assert set(docs.columns) <= set(out.columns) and (k == 4 or out.columns == docs.columns)
-        docs = substring_dedup.materialise(out)
-    assert docs.count() > 0 and docs.filter("n_tokens != size(tokens)").count() == 0
+def brute_pipeline(rows):
+    """The pipeline on ``(doc_id, text, lang, source)`` by plain loops."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    found = plain_language([r[1] for r in rows], [r[2] for r in rows], [zlib.crc32(str(r[0]).encode()) % 4 == 2 for r in rows])
+    kept = [(d, t, x or p, s) for (d, t, x, s), (p, _) in zip(rows, found) if p != "und" and x in (None, p)]
+    component = brute_components([r[1] for r in kept])
+    kept = [r for k, r in enumerate(kept) if component[k][1] == k]
+    texts = [r[1] for r in kept]
+    cut = []
+    first, words = set(), [t.encode().split() for t in texts]
+    for (d, t, x, s), w in zip(kept, words):
+        lost = [False] * len(w)
+        for i in range(len(w) - 19):
+            g = tuple(w[i : i + 20])
+            if g in first:
+                lost[i : i + 20] = [True] * 20
+            first.add(g)
+        cut.append((d, b" ".join(x for x, gone in zip(w, lost) if not gone).decode() if any(lost) else t, x, s))
+    totals = collections.Counter()
+    for _, t, _, s in cut:
+        totals[s] += len(t.encode().split())
+    p = mixing.plan(dict(totals), max_epochs=2.0, keep_all=True)
+    quotas = {s: max(math.floor(w * p.budget), totals[s]) for s, w in p.weights.items()}
+    draws = brute_draws([(d, len(t.encode().split()), s) for d, t, _, s in cut], totals, quotas, keep_all=True)
+    library, by_id = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), {r[0]: r for r in cut}
+    return sorted((d, by_id[d][1], by_id[d][2], by_id[d][3], len(by_id[d][1]), tuple(library.encode(by_id[d][1], add_special_tokens=False).ids)) for d, _, _ in draws)
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    texts = corpus(24)
+    rows = [(k, t, [None, "en", "en", "de"][k % 4], f"s{k % 3 if k % 2 else 0}") for k, t in enumerate(texts)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([(d, t, x, s, len(t or "")) for d, t, x, s in rows], schema).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r.doc_id, r.text, r.lang, r.source, r.n_chars, tuple(r.tokens)) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+    # a text that loses nothing keeps its characters, so n_chars is that of the text in all cases
+    assert got == brute_pipeline(rows) and len(got) > 20
+
+
+def test_pipeline_edges(spark):
+    """Nulls in any column, repeated rows, clashing names, and an empty table, stage by stage."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _label string, node string, tokens string"
+    rows = [(None, "a b c d e f g", None, None, None, "x", "n", "t"), (1, None, None, "s", 0, "x", "n", "t"), (2, "one two three four five six", "en", "s", 27, "x", "n", "t"), (2, "one two three four five six", "en", "s", 27, "x", "n", "t"), (3, "", "en", None, 0, "x", "n", "t"), (4, "w " * 30_000, "en", "s", 60_000, "x", "n", "t")]
+    for docs in (spark.createDataFrame(rows, schema), spark.createDataFrame([], schema)):
+        count = docs.count()
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            out = substring_dedup.materialise(stage(spark, docs, ""))
+            assert set(docs.columns) <= set(out.columns) and (k == 4 or out.columns == docs.columns)
+            if k < 2:
+                assert {r.doc_id for r in out.collect()} == ({None, 2, 4} if count else set())
+            docs = out
+        assert docs.filter("n_tokens != size(tokens)").count() == 0 and (docs.count() > 0) == (count > 0)

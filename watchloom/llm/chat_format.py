@@ -5,7 +5,8 @@ message, an ``edit`` replaces the text so far, a ``regenerate`` discards it and
 log is partitioned by conversation, sorted by message and sequence and folded in one streaming pass, which
 holds one message at a time, however long a conversation is. Rows of one message share its key (turn,
 role, tie); messages are ordered by turn (null first), role, tie. A null role or text counts as empty; an event of
-an unknown kind counts as a delta.
+an unknown kind counts as a delta. Messages without a conversation id are one conversation. Rows that repeat are messages each, a message may be of any
+length, other columns play no part, and an empty table gives no rows.
 
 Template of a message: ``<|turn|>role<|says|>text<|end|>`` and a line feed. Every control string in a
 role or text, one of the template's own or of other common ones, gets a backslash behind its first

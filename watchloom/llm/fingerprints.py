@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from watchloom.llm.storage import partitions
+from watchloom.llm.storage import bounded, partitions
 from watchloom.llm.text_hash import fold, mix64, rolling, text_slices
 
 K, S = 15, 7
@@ -114,7 +114,7 @@ def anchor_table(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Dat
 def _with_next(docs: DataFrame, id: str, text: str) -> DataFrame:
     """Rows ``(doc_id, key, text, bucket, ghost)``, where each bucket, sorted by ``ghost, key desc``, is followed by its successor."""
     rows = docs.select(F.col(id).cast("long").alias("doc_id"), F.coalesce(F.col(id).cast("long"), F.lit(_LEAST)).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    n = 4 * partitions(docs.sparkSession)
+    n = 4 * partitions(bounded(docs.sparkSession))
     found = rows.agg(F.percentile_approx("key", [k / n for k in range(1, n)], 10 * n)).first()[0] or []
     cuts = np.array(sorted(set(found)), np.int64)
 

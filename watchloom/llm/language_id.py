@@ -7,8 +7,11 @@ document, the difference of the two ranks, or the profile length where the langu
 least distance wins, ties to the name that sorts first.
 
 Counting goes over every training document: n-grams are counted per Arrow batch and language, and
-summed by a shuffle; only the top of each language goes to the driver (``profile_size`` rows for each
-label, and labels are few).
+summed by a shuffle; only the top of each language goes to the driver and to all tasks (``size`` rows for each
+label, at most ``MAX_LANGS`` labels at a time: more are tried in turns).
+
+A null text, or one without letters, is ``und`` with the score 0; so is every text if no row has a label to learn from. Texts are
+read whole, rows that repeat fare alike, a null id is not held out, other columns play no part, and an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,10 +23,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+
+from watchloom.llm.storage import bounded, materialise
 
 PROFILE = 400
 DOCUMENT_PROFILE = 300
 UNKNOWN = "und"
+#: Labels whose profiles are held at a time.
+MAX_LANGS = 2000
 _BITS = np.uint64(21)
 _BORDER = np.uint64(1)
 
@@ -120,25 +128,43 @@ class Model:
         return self.langs[best], float(1 - far[best] / (self.size * len(top)))
 
 
-def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", size: int = PROFILE) -> Model:
-    rows = profiles(labelled, text, lang, size).collect()  # at most ``size`` rows a label
-    return Model([(r.lang, r.rank, r.gram) for r in rows], size)
+def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", size: int = PROFILE) -> list[Model]:
+    """Models of at most ``MAX_LANGS`` labels each; one without any if no row has a label."""
+    names = Window.partitionBy(F.lit(0)).orderBy("lang")
+    found = materialise(profiles(labelled, text, lang, size))
+    turns = materialise(found.select("lang").distinct().withColumn("turn", F.floor((F.row_number().over(names) - 1) / MAX_LANGS)))
+    last = turns.agg(F.max("turn")).first()[0]
+    out = []
+    for k in range(0 if last is None else last + 1):
+        rows = found.join(turns.filter(F.col("turn") == k), "lang").collect()  # at most MAX_LANGS * size rows
+        out.append(Model([(r.lang, r["rank"], r.gram) for r in rows], size))
+    return out or [Model([], size)]
 
 
-def identify(docs: DataFrame, model: Model, text: str = "text", lang_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
+def identify(docs: DataFrame, models: list[Model], text: str = "text", lang_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
     """``docs`` with the predicted language and a score from 0 to 1; ``und`` and 0 without letters."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    spark = bounded(docs.sparkSession)
+    docs = docs.drop(lang_col, score_col)
+    schema = StructType([*docs.schema.fields, StructField(lang_col, StringType()), StructField(score_col, DoubleType())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [shared.value.predict(t.as_py()) for t in batch.column(batch.schema.get_field_index(text))]
-            batch = batch.append_column(lang_col, pa.array([x[0] for x in found], pa.string()))
-            yield batch.append_column(score_col, pa.array([x[1] for x in found], pa.float64()))
+    def turn(model: Model, first: bool):
+        shared = spark.sparkContext.broadcast(model)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = [shared.value.predict(t.as_py()) for t in batch.column(batch.schema.get_field_index(text))]
+                if not first:  # a closer language of an earlier turn stays; names go up from turn to turn
+                    before = zip(batch.column(lang_col).to_pylist(), batch.column(score_col).to_pylist())
+                    found = [new if new[1] > old[1] else old for new, old in zip(found, before)]
+                    batch = batch.select([c for c in batch.schema.names if c not in (lang_col, score_col)])
+                batch = batch.append_column(lang_col, pa.array([x[0] for x in found], pa.string()))
+                yield batch.append_column(score_col, pa.array([x[1] for x in found], pa.float64()))
 
-    from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+        return run
 
-    added = [StructField(lang_col, StringType()), StructField(score_col, DoubleType())]
-    return docs.drop(lang_col, score_col).mapInArrow(run, StructType([*(f for f in docs.schema.fields if f.name not in (lang_col, score_col)), *added]))
+    for k, model in enumerate(models):
+        docs = docs.mapInArrow(turn(model, k == 0), schema)
+    return docs
 
 
 def training_part(docs: DataFrame, id: str = "doc_id") -> DataFrame:
@@ -148,7 +174,7 @@ def training_part(docs: DataFrame, id: str = "doc_id") -> DataFrame:
 
 def predict_table(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """``doc_id, held_out, lang_pred, score`` of every row, by profiles of the training part."""
-    model = fit(training_part(docs, id), text, lang)
+    models = fit(training_part(docs, id), text, lang)
     held = F.coalesce(F.crc32(F.col(id).cast("string")) % 4 == 2, F.lit(False))
     rows = docs.select(F.col(id).cast("long").alias("doc_id"), held.alias("held_out"), F.col(text).alias("text"))
-    return identify(rows, model).select("doc_id", "held_out", "lang_pred", "score")
+    return identify(rows, models).select("doc_id", "held_out", "lang_pred", "score")

@@ -6,10 +6,14 @@ the sample's vocabulary has it, beside the mean embedding of its hashed byte tri
 by attention and scored. A document's score is that of its highest window; a text without words is
 scored as one empty window.
 
-Training is on the driver, on a bounded sample of labelled rows (``SAMPLE`` of each class, those with the smallest
-hashes of their ids). Labels belong to documents, so each round picks the window with the highest
+Training is on the driver, on a bounded sample of whole labelled texts: of each class, in the order of the hashes of
+their ids, at most ``SAMPLE`` rows and ``SAMPLE_BYTES`` bytes together; a text that does not fit is passed over. A document with both labels is toxic; rows that repeat
+an id and text are one. Labels belong to documents, so each round picks the window with the highest
 score of each document and learns on these. Word embeddings start from the words' log odds in the sample, and
-the bias is set at the end so that 0.5 separates the sample best.
+the bias is set at the end so that 0.5 separates the sample best. Without labels of both classes every document gets the
+one there is, or 0.
+
+Null texts count as empty, texts may be of any length, a null id is not held out, other columns play no part, and an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,13 +23,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from watchloom.llm.storage import bounded
 from watchloom.llm.text_hash import mix64, string_buffers, text_slices, words
 
-#: Rows of each class in the training sample, at most.
-SAMPLE = 1500
+#: Rows and bytes of each class in the training sample, at most.
+SAMPLE, SAMPLE_BYTES = 1500, 6_000_000
 VOCABULARY = 20_000
 WINDOW, STEP = 48, 24
 _EMBED, _CHARS, _HIDDEN, _ATTEND = 8, 8, 8, 8
@@ -261,19 +266,40 @@ def fit(texts: list[str], toxic: np.ndarray, rounds: int = 10, batch: int = 128,
     return net
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic", size: int = SAMPLE) -> tuple[list[str], np.ndarray]:
-    """At most ``size`` labelled texts of each class, of rows whose crc32(id as text) mod 5 is not 0."""
+def _fitting(rows: list, size: int, most: int) -> list:
+    """Rows in order, as many as stay within a number and their bytes together; one that does not fit is passed over."""
+    out, held = [], 0
+    for r in rows:
+        if len(out) < size and held + r["_bytes"] <= most:
+            out.append(r)
+            held += r["_bytes"]
+    return out
+
+
+def training_sample(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic", size: int = SAMPLE, most: int = SAMPLE_BYTES) -> tuple[list[str], np.ndarray]:
+    """Labelled texts of each class, bounded in number and bytes, of rows whose crc32(id as text) mod 5 is not 0."""
     key = F.col(id).cast("string")
-    own = labels.filter(F.col(label).isin(0, 1) & (F.crc32(key) % 5 != 0)).select(F.col(id).alias("_id"), F.col(label).cast("int").alias("_label"))
-    parts = [own.filter(F.col("_label") == c).orderBy(F.xxhash64("_id"), "_id").limit(size) for c in (0, 1)]
-    small = F.broadcast(parts[0].unionByName(parts[1]))  # at most 2 * size rows
-    rows = docs.select(F.col(id).alias("_id"), F.col(text).alias("_text")).join(small, "_id").orderBy(F.xxhash64("_id"), "_id", F.xxhash64("_text")).limit(2 * size).collect()
+    own = labels.filter(F.col(label).isin(0, 1) & (F.crc32(key) % 5 != 0)).groupBy(F.col(id).cast("long").alias("_id")).agg(F.max(F.col(label).cast("int")).alias("_label"))
+    few = [own.filter(F.col("_label") == c).orderBy(F.xxhash64("_id"), "_id").limit(2 * size) for c in (0, 1)]
+    small = F.broadcast(few[0].unionByName(few[1]))  # at most 4 * size rows
+    found = docs.select(F.col(id).cast("long").alias("_id"), F.col(text).alias("_text")).join(small, "_id")
+    # first which rows, by ids and lengths alone, at most ``size`` a class for each of the ids
+    told = found.select("_id", "_label", F.xxhash64("_text").alias("_hash"), F.coalesce(F.octet_length("_text"), F.lit(0)).alias("_bytes")).distinct()
+    by = Window.partitionBy("_label").orderBy(F.xxhash64("_id"), "_id", "_hash")
+    light = told.filter(F.col("_bytes") <= most).withColumn("_k", F.row_number().over(by)).filter(F.col("_k") <= 2 * size).orderBy("_label", "_k").collect()
+    chosen = [r for c in (0, 1) for r in _fitting([r for r in light if r["_label"] == c], size, most)]
+    if not chosen:
+        return [], np.zeros(0, np.float32)
+    spark = docs.sparkSession
+    picked = F.broadcast(spark.createDataFrame([(r["_id"], r["_hash"]) for r in chosen], "_id long, _hash long"))  # at most 2 * size rows
+    texts = found.withColumn("_hash", F.xxhash64("_text")).join(picked, ["_id", "_hash"], "left_semi").dropDuplicates(["_id", "_hash"])
+    rows = texts.orderBy(F.xxhash64("_id"), "_id", "_hash").collect()  # at most 2 * most bytes of text
     return [r["_text"] or "" for r in rows], np.array([r["_label"] for r in rows], np.float32)
 
 
 def score_table(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic", size: int = SAMPLE) -> DataFrame:
     """``doc_id, held_out, score, predicted`` of every row; null texts count as empty."""
-    net = docs.sparkSession.sparkContext.broadcast(fit(*training_sample(docs, labels, id, text, label, size)))
+    net = bounded(docs.sparkSession).sparkContext.broadcast(fit(*training_sample(docs, labels, id, text, label, size)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
