@@ -28,10 +28,10 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Repeated rows fare alike. If no row of the training part has a label, nothing is known and nothing goes.
     """
     ship(spark)
-    model = language_id.fit(language_id.training_part(docs))
-    if not model.langs:
+    models = language_id.fit(language_id.training_part(docs))
+    if not models[0].langs:
         return docs
-    found = language_id.identify(docs, model, lang_col="_lang", score_col="_score")
+    found = language_id.identify(docs, models, lang_col="_lang", score_col="_score")
     kept = found.filter((F.col("_lang") != language_id.UNKNOWN) & (F.col("lang").isNull() | (F.col("lang") == F.col("_lang"))))
     return kept.withColumn("lang", F.coalesce("lang", "_lang")).select(*docs.columns)
 
