@@ -366,9 +366,11 @@ def test_fingerprints(spark):
     one = fingerprints.fingerprint_table(table(spark, ["abcdefghij" * 5])).collect()
     assert len(one) == 1 and one[0].near_next == 1.0
     # anchors are context-free: a shared passage gives the same ones at shifted places
-    passage = corpus(1)[0] * 3
+    passage = corpus(1)[0]
     pairs = fingerprints.match_positions("abc " + passage, "another start " + passage)
-    assert pairs and {b - a for a, b in pairs} == {10}
+    assert len(pairs) >= len(passage) // 8 and {b - a for a, b in pairs} == {10}
+    # places in a passage that repeats are not told apart: its anchors match nothing
+    assert len(fingerprints.match_positions("abc " + passage * 3, "another start " + passage * 3)) < len(pairs) // 8
 
 
 def test_fingerprints_of_long_texts():
