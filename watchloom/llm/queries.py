@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from watchloom.llm import bpe, chat_format, fingerprints, html_text, language_id, mixing, ngram_join, substring_dedup, topk_search, toxicity
+from watchloom.llm import bpe, chat_format, fingerprints, html_text, language_id, mixing, ngram_join, substring_dedup, subvector_kmeans, topk_search, toxicity
 from watchloom.session import ship
 
 
@@ -63,9 +63,13 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup_digest(_table(spark, sf_dir, "documents"))
 
 
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subvector_kmeans.cluster_table(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_ngram_jaccard_join, op1_ngram_jaccard_links, op2_chat_format, op3_syncmer_fingerprints, op4_language_id, op5_topk_search, op6_temperature_mix, op7_html_extraction, op8_bpe, op9_toxicity, op10_substring_dedup)
+    for f in (op1_ngram_jaccard_join, op1_ngram_jaccard_links, op2_chat_format, op3_syncmer_fingerprints, op4_language_id, op5_topk_search, op6_temperature_mix, op7_html_extraction, op8_bpe, op9_toxicity, op10_substring_dedup, op13_centroid_clustering)
 }
 
 _WORDS = r"regexp_extract_all(coalesce({}, ''), '[^\x20\x09-\x0D]+')"
@@ -129,6 +133,26 @@ FROM w LEFT JOIN gone USING (doc_id)
 }
 
 
+def _clustering_sql(rounds: int = 10) -> str:
+    """Each round as two expressions: nearest centroid ``a``, then centroids ``c`` of the next one."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""d{r} AS MATERIALIZED (SELECT rid, v.v, c, list_sum(list_transform(list_zip(v.v, c{r}.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM kept v CROSS JOIN c{r}),
+a{r} AS MATERIALIZED (SELECT rid, any_value(v) AS v, arg_min(c, (d, c)) AS c, min(d) AS d FROM d{r} GROUP BY rid)""")
+        if r < rounds:
+            steps.append(f"""m{r} AS (SELECT c, p, sum(x) AS s, count(*) AS n FROM (SELECT c, unnest(v) AS x, unnest(range(64)) AS p FROM a{r}) GROUP BY c, p),
+c{r + 1} AS MATERIALIZED (SELECT c{r}.c, coalesce(k.v, c{r}.v) AS v FROM c{r} LEFT JOIN (SELECT c, list(floor(s / n)::BIGINT ORDER BY p) AS v FROM m{r} GROUP BY c) k ON k.c = c{r}.c)""")
+    return f"""WITH kept AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS c, v FROM kept ORDER BY c LIMIT 8),
+{", ".join(steps)}
+SELECT vec_id, a.c::INTEGER AS cluster, a.d AS distance, (sum(a.d) OVER (PARTITION BY a.c))::BIGINT AS cluster_inertia, (sum(a.d) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string(f.v, ',')) AS centroid_sha256 FROM a{rounds} a JOIN kept USING (rid) JOIN c{rounds} f ON f.c = a.c"""
+
+
+ORACLES["op13_centroid_clustering"] = _clustering_sql()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
