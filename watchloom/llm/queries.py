@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from watchloom.llm import bpe, chat_format, fingerprints, html_text, language_id, mixing, ngram_join, substring_dedup, subvector_kmeans, topk_search, toxicity
+from watchloom.llm import bpe, chat_format, fingerprints, html_text, language_id, mixing, ngram_join, spelling, substring_dedup, subvector_kmeans, suffix_tree_lm, topk_search, toxicity
 from watchloom.session import ship
 
 
@@ -63,13 +63,21 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup_digest(_table(spark, sf_dir, "documents"))
 
 
+def op11_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree_lm.score_table(_table(spark, sf_dir, "documents"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variant_table(_table(spark, sf_dir, "documents"))
+
+
 def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subvector_kmeans.cluster_table(_table(spark, sf_dir, "embeddings"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_ngram_jaccard_join, op1_ngram_jaccard_links, op2_chat_format, op3_syncmer_fingerprints, op4_language_id, op5_topk_search, op6_temperature_mix, op7_html_extraction, op8_bpe, op9_toxicity, op10_substring_dedup, op13_centroid_clustering)
+    for f in (op1_ngram_jaccard_join, op1_ngram_jaccard_links, op2_chat_format, op3_syncmer_fingerprints, op4_language_id, op5_topk_search, op6_temperature_mix, op7_html_extraction, op8_bpe, op9_toxicity, op10_substring_dedup, op11_lm_scoring, op12_spelling_variants, op13_centroid_clustering)
 }
 
 _WORDS = r"regexp_extract_all(coalesce({}, ''), '[^\x20\x09-\x0D]+')"
@@ -150,6 +158,25 @@ SELECT vec_id, a.c::INTEGER AS cluster, a.d AS distance, (sum(a.d) OVER (PARTITI
   sha256(array_to_string(f.v, ',')) AS centroid_sha256 FROM a{rounds} a JOIN kept USING (rid) JOIN c{rounds} f ON f.c = a.c"""
 
 
+#: The checksum is worked out byte by byte, as there is no function for it; letters above 127 are two bytes.
+ORACLES["op12_spelling_variants"] = r"""
+WITH RECURSIVE tab AS (SELECT list(c ORDER BY k) AS t FROM (SELECT k, list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k) AS c FROM range(256) AS r(k))),
+runs AS (SELECT doc_id, translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n
+  FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{C0}-\x{FF}]+')) AS x FROM documents) GROUP BY ALL),
+coded AS (SELECT *, flatten(list_transform(string_split(doc_id || ':' || run, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [195::BIGINT, unicode(c)::BIGINT - 64] END)) AS b FROM runs WHERE length(run) >= 6),
+summed AS (SELECT run, n, xor(list_reduce(b, lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1]), 4294967295), 4294967295) AS h FROM coded, tab),
+cut AS (SELECT CASE WHEN h % 199 = 0 THEN left(run, (h % length(run))::INTEGER) || substr(run, (h % length(run))::INTEGER + 2) ELSE run END AS word, n FROM summed),
+v AS MATERIALIZED (SELECT word, sum(n)::BIGINT AS n FROM cut WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+spot AS (SELECT word, n, unnest(range(length(word))) AS k FROM v),
+less AS (SELECT DISTINCT word, n, left(word, k::INTEGER) || substr(word, k::INTEGER + 2) AS short FROM spot),
+mask AS (SELECT word, n, k, left(word, k::INTEGER) AS a, substr(word, k::INTEGER + 2) AS b FROM spot),
+near AS MATERIALIZED (SELECT l.word, v.word AS near, v.n AS m FROM less l JOIN v ON v.word = l.short UNION ALL SELECT v.word, l.word, l.n FROM less l JOIN v ON v.word = l.short
+  UNION ALL SELECT x.word, y.word, y.n FROM mask x JOIN mask y ON x.k = y.k AND x.a = y.a AND x.b = y.b AND x.word <> y.word),
+best AS (SELECT word, count(*) AS n_near, arg_min(near, (-m, near)) AS near, max(m) AS m FROM near GROUP BY word),
+f AS MATERIALIZED (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 5 * v.n THEN near END AS form, CASE WHEN m >= 5 * v.n THEN m END AS form_n FROM v LEFT JOIN best USING (word)),
+walk AS (SELECT word, word AS tip FROM f UNION ALL SELECT walk.word, f.form FROM walk JOIN f ON f.word = walk.tip WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, walk.tip AS root, f.n, f.n_near::BIGINT AS n_near, f.form_n FROM f JOIN walk ON walk.word = f.word JOIN f e ON e.word = walk.tip AND e.form IS NULL
+"""
 ORACLES["op13_centroid_clustering"] = _clustering_sql()
 
 
