@@ -9,8 +9,9 @@ each word its count and one. A text is scored from the longest suffix state at e
 
 What a candidate n-gram is, two filters of fixed size decide: n-grams whose context or suffix is too rare never leave their task.
 A filter that gets too full only lets more of them through. The tree is a table and is never gathered: each
-slice asks for the distinct words and n-grams it holds, the answers come back by a join, and the slice is scored with them. So a frequent
-word costs one row a slice. N-grams go by 64 bits of hashes: two of a thousand million words share one with a chance of 3 %, and
+slice asks for the distinct words and n-grams it holds, gets the answers back, and is scored with them. What is shuffled are arrays: a slice's
+keys that fall into a bucket are one row, and the number of buckets follows the number of tokens. So a frequent word is one entry
+a slice, and no bucket is larger for it. N-grams go by 64 bits of hashes: two of a thousand million words share one with a chance of 3 %, and
 would then share their count.
 
 Cases: a null text is empty and has the end token alone; a null id is an id like any other and is trained on. Repeated rows count as often
@@ -29,13 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from watchloom.llm import bloom
-from watchloom.llm.storage import bounded, materialise
+from watchloom.llm.storage import bounded, materialise, partitions
 from watchloom.llm.text_hash import join, mix64, text_slices, words
 
 #: Longest context; occurrences of a context and of a continuation; nats that a state must gain; discount of a continuation's count.
-DEPTH, CONTEXT, FOLLOW, GAIN, DISCOUNT = 2, 32, 4, 16.0, 0.5
-#: Words of a slice.
-SLICE = 1_500_000
+DEPTH, CONTEXT, FOLLOW, GAIN, DISCOUNT = 2, 64, 8, 16.0, 0.5
+#: Tokens of a slice, and of the corpus for each bucket that keys are dealt to.
+SLICE, BUCKET = 1_000_000, 2**21
 END = mix64(np.array([2**63 + 5], np.uint64))
 _ENCODED = "slice long, ids array<long>, held array<boolean>, lengths array<int>, words binary, codes binary"
 #: What an answer holds: a word's count, the logarithm of an n-gram's probability, or of what a state leaves to its suffix.
@@ -43,13 +44,31 @@ _WORD, _GRAM, _STATE = 0, 1, 2
 _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """The bytes of the values, first bytes first: sorted or small values then compress well."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes()
+
+
+def _whole(body: bytes, kind) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(body, np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
+def _dealt(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    """The used buckets and the indices of their keys."""
+    bucket = ((keys >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    used, first = np.unique(bucket[order], return_index=True)
+    yield from zip(used.tolist(), np.split(order, first[1:]))
+
+
 def encode(docs: DataFrame, id: str = "doc_id", text: str = "text", held=None, size: int = SLICE) -> DataFrame:
     """Slices of ``docs`` as rows of a table; ``held`` is a column of what is not to be trained on."""
 
     def pack(number: int, ids: list, held: list, lengths: list, hashes: list) -> pa.RecordBatch:
         known, codes = np.unique(np.concatenate(hashes), return_inverse=True)
         row = {"slice": (TaskContext.get().partitionId() << 32) + number, "ids": ids, "held": held, "lengths": np.concatenate(lengths).tolist()}
-        return pa.RecordBatch.from_pylist([row | {"words": known.tobytes(), "codes": codes.astype("<u4").tobytes()}], schema=_SCHEMA)
+        return pa.RecordBatch.from_pylist([row | {"words": _planes(known), "codes": _planes(codes.astype("<u4"))}], schema=_SCHEMA)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, have, parts = 0, 0, ([], [], [], [])
@@ -80,8 +99,8 @@ class Slice:
 
     def __init__(self, row: dict):
         lengths = np.array(row["lengths"], np.int64)
-        self.words = np.append(np.frombuffer(row["words"], np.uint64), END)
-        codes = np.frombuffer(row["codes"], "<u4")
+        self.words = np.append(_whole(row["words"], np.uint64), END)
+        codes = _whole(row["codes"], "<u4")
         self.doc = np.repeat(np.arange(len(lengths)), lengths + 1)
         self.last = np.cumsum(lengths + 1) - 1
         self.place = np.arange(len(self.doc)) - np.repeat(self.last - lengths, lengths + 1)
@@ -115,20 +134,28 @@ def _signed(keys: np.ndarray) -> pa.Array:
     return pa.array(keys.view(np.int64))
 
 
-def _word_counts(encoded: DataFrame) -> DataFrame:
+def _word_counts(encoded: DataFrame, buckets: int) -> DataFrame:
     """``key, n`` of the training tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, s in _slices(batches):
-            n = np.bincount(s.codes[s.train], minlength=len(s.words))
+            n = np.bincount(s.codes[s.train], minlength=len(s.words)).astype(np.uint32)
             own = np.flatnonzero(n)
-            yield pa.record_batch([_signed(s.words[own]), pa.array(n[own])], names=["key", "n"])
+            for bucket, at in _dealt(s.words[own], buckets):
+                yield pa.record_batch([pa.array([bucket]), pa.array([_planes(s.words[own[at]])], pa.binary()), pa.array([_planes(n[own[at]])], pa.binary())], names=["bucket", "keys", "n"])
 
-    return encoded.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    def merge(table: pa.Table) -> pa.Table:
+        keys, n = (np.concatenate([_whole(x, kind) for x in table.column(c).to_pylist()]) for c, kind in (("keys", np.uint64), ("n", np.uint32)))
+        found, place = np.unique(keys, return_inverse=True)
+        total = np.zeros(len(found), np.int64)
+        np.add.at(total, place, n)
+        return pa.table({"key": _signed(found), "n": total})
 
+    return encoded.mapInArrow(run, "bucket long, keys binary, n binary").groupBy("bucket").applyInArrow(merge, "key long, n long")
 
-def _gram_counts(encoded: DataFrame, level: int, contexts, suffixes) -> DataFrame:
-    """``context, suffix, n`` of training n-grams whose context and suffix pass the filters (broadcasts)."""
+
+def _gram_counts(encoded: DataFrame, level: int, contexts, suffixes, follow: int, buckets: int) -> DataFrame:
+    """``key, context, suffix, n`` of training n-grams with ``follow`` occurrences whose context and suffix pass the filters (broadcasts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, s in _slices(batches):
@@ -137,25 +164,24 @@ def _gram_counts(encoded: DataFrame, level: int, contexts, suffixes) -> DataFram
             own = own[contexts.value.has(context[own])]
             own = own[suffixes.value.has(suffix[own])]
             _, first, n = np.unique(gram[own], return_index=True, return_counts=True)
-            own = own[first]
+            own, n = own[first], n.astype(np.uint32)
             order = np.argsort(context[own])  # neighbours share it, which makes the shuffle smaller
-            yield pa.record_batch([_signed(context[own[order]]), _signed(suffix[own[order]]), pa.array(n[order])], names=["context", "suffix", "n"])
+            own, n = own[order], n[order]
+            for bucket, k in _dealt(gram[own], buckets):
+                blobs = [pa.array([_planes(x)], pa.binary()) for x in (context[own[k]], suffix[own[k]], n[k])]
+                yield pa.record_batch([pa.array([bucket]), *blobs], names=["bucket", "contexts", "suffixes", "n"])
 
-    # counts are summed within slices already, so rows go to their group without another partial sum before the shuffle
-    dealt = encoded.mapInArrow(run, "context long, suffix long, n long").repartition("context", "suffix")
-    return dealt.groupBy("context", "suffix").agg(F.sum("n").alias("n"))
+    def merge(table: pa.Table) -> pa.Table:
+        kinds = (("contexts", np.uint64), ("suffixes", np.uint64), ("n", np.uint32))
+        context, suffix, n = (np.concatenate([_whole(x, kind) for x in table.column(c).to_pylist()]) for c, kind in kinds)
+        found, first, place = np.unique(join(context, suffix), return_index=True, return_inverse=True)
+        total = np.zeros(len(found), np.int64)
+        np.add.at(total, place, n)
+        own = np.flatnonzero(total >= follow)
+        return pa.table({"key": _signed(found[own]), "context": _signed(context[first[own]]), "suffix": _signed(suffix[first[own]]), "n": total[own]})
 
-
-def _keyed(entries: DataFrame) -> DataFrame:
-    """``entries`` with the key of each n-gram."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            key = join(b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy().view(np.uint64))
-            yield pa.record_batch([_signed(key), *b.columns], names=["key", *b.schema.names])
-
-    kinds = dict(entries.dtypes)
-    return entries.mapInArrow(run, ", ".join(["key long", *(f"{c} {kinds[c]}" for c in entries.columns)]))
+    dealt = encoded.mapInArrow(run, "bucket long, contexts binary, suffixes binary, n binary")
+    return dealt.groupBy("bucket").applyInArrow(merge, "key long, context long, suffix long, n long")
 
 
 @dataclass
@@ -167,11 +193,14 @@ class Tree:
     tokens: int
     distinct: int
     depth: int
+    buckets: int
 
 
 def fit(encoded: DataFrame, depth: int = DEPTH, context: int = CONTEXT, follow: int = FOLLOW, gain: float = GAIN, discount: float = DISCOUNT) -> Tree:
     spark = encoded.sparkSession
-    counted = materialise(_word_counts(encoded))
+    size = encoded.agg(F.sum(F.size("ids") + F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n")).first().n or 0
+    buckets = max(partitions(spark), size // BUCKET)
+    counted = materialise(_word_counts(encoded, buckets))
     whole = counted.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     tokens, distinct = whole.n or 0, whole.v
     below = counted.select("key", "n", ((F.col("n") + 1) / F.lit(tokens + distinct + 1)).alias("p"))  # n-grams of this length, with their probability
@@ -179,10 +208,10 @@ def fit(encoded: DataFrame, depth: int = DEPTH, context: int = CONTEXT, follow:
     later = None
     for k in range(1, depth + 1):
         filters = [spark.sparkContext.broadcast(bloom.build(below.filter(F.col("n") >= least), "key")) for least in (context, follow)]
-        grams = _gram_counts(encoded, k, *filters).filter(F.col("n") >= follow)
+        grams = _gram_counts(encoded, k, *filters, follow, buckets)
         heads = below.filter(F.col("n") >= context).select(F.col("key").alias("context"), F.col("n").alias("whole"))
         tails = below.filter(F.col("n") >= follow).select(F.col("key").alias("suffix"), F.col("p").alias("lower"))
-        grams = materialise(_keyed(grams.join(heads, "context").join(tails, "suffix").select("context", "suffix", "n", "whole", "lower")))
+        grams = materialise(grams.join(heads, "context").join(tails, "suffix").select("key", "context", "n", "whole", "lower"))
         left = grams.groupBy("context").agg((1 - F.sum(F.col("n") - discount) / F.max("whole")).alias("left"), (F.max("whole") - F.sum("n")).alias("rest"))
         own = (F.col("n") - discount) / F.col("whole") + F.col("left") * F.col("lower")
         scored = materialise(grams.join(left, "context").select("key", "context", "n", "lower", "left", "rest", own.alias("own")))
@@ -198,69 +227,77 @@ def fit(encoded: DataFrame, depth: int = DEPTH, context: int = CONTEXT, follow:
         later = new if later is None else later.unionByName(new)
         below = found.select("key", "n", "p")
     grams = spark.sparkContext.broadcast(bloom.build(later, "key")) if depth else None
-    return Tree(answers, grams, tokens, distinct, depth)
+    return Tree(answers, grams, tokens, distinct, depth, buckets)
 
 
-def _found(keys: np.ndarray, table: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """The value of each key, NaN if the table (sorted) lacks it."""
-    out = np.full(len(keys), np.nan)
-    if len(table):
-        at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
-        hit = table[at] == keys
-        out[hit] = values[at[hit]]
-    return out
+def _asked(s: Slice, filters, depth: int) -> np.ndarray:
+    """The keys that a slice needs, in order: its words, and the n-grams and contexts that may be in the tree."""
+    keys = [s.words]
+    for k, _, context, _, gram in s.levels(depth):
+        for x in [gram] if k == 1 else [gram, context]:
+            keys.append(np.unique(x[filters.value.has(x)]))
+    return np.unique(np.concatenate(keys))
 
 
-def _by_kind(table: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
-    key, kind, value = (table.column(c).to_numpy() for c in ("key", "kind", "value"))
-    out = []
-    for k in (_WORD, _GRAM, _STATE):
-        own = np.flatnonzero(kind == k)
-        order = own[np.argsort(key[own].view(np.uint64))]
-        out.append((key[order].view(np.uint64), value[order]))
-    return out
+def _found(keys: np.ndarray, table: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """The value of each key, NaN if the table (sorted) lacks it."""
+    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+    return np.where(table[at] == keys, values[at], np.nan)
 
 
 def score(encoded: DataFrame, tree: Tree) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every text of ``encoded``."""
-    depth, filters, tokens, distinct = tree.depth, tree.grams, tree.tokens, tree.distinct
+    depth, filters, tokens, distinct, buckets = tree.depth, tree.grams, tree.tokens, tree.distinct, tree.buckets
 
-    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row, s in _slices(batches):
-            keys = [s.words]
-            for k, _, context, _, gram in s.levels(depth):
-                wanted = [gram] if k == 1 else [gram, context]
-                for x in wanted:
-                    x = np.unique(x[filters.value.has(x)])
-                    keys.append(x)
-            keys = np.unique(np.concatenate(keys))
-            yield pa.record_batch([pa.array(np.full(len(keys), row["slice"])), _signed(keys)], names=["slice", "key"])
+            keys = _asked(s, filters, depth)
+            for bucket, at in _dealt(keys, buckets):
+                yield pa.record_batch([pa.array([bucket]), pa.array([row["slice"]]), pa.array([_planes(keys[at])], pa.binary())], names=["bucket", "slice", "keys"])
+
+    def answer(asked: pa.Table, held: pa.Table) -> pa.Table:
+        key, kind, value = (held.column(c).to_numpy() for c in ("key", "kind", "value"))
+        tables = []
+        for k in (_WORD, _GRAM, _STATE):
+            own = np.flatnonzero(kind == k)
+            own = own[np.argsort(key[own].view(np.uint64))]
+            tables.append((key[own].view(np.uint64), value[own]))
+        out = []
+        for body in asked.column("keys").to_pylist():
+            keys = _whole(body, np.uint64)
+            n, p, left = (_found(keys, *t) if len(t[0]) else np.full(len(keys), np.nan) for t in tables)
+            out.append((_planes(np.nan_to_num(n).astype(np.int64)), _planes(p), _planes(left)))
+        return pa.table({"slice": asked.column("slice"), "bucket": asked.column("bucket")} | {c: pa.array([o[k] for o in out], pa.binary()) for k, c in enumerate(("n", "p", "left_over"))})
 
     def scored(_, answers: pa.Table, rows: pa.Table) -> pa.Table:
-        (words_, counts), (grams, logs), (states, left) = _by_kind(answers)
         row = rows.to_pylist()[0]
         s = Slice(row)
-        n = np.nan_to_num(_found(s.words, words_, counts))
-        base = np.log((n + 1) / (tokens + distinct + 1))[s.codes]
+        keys = _asked(s, filters, depth)
+        n, p, left = np.zeros(len(keys), np.int64), np.full(len(keys), np.nan), np.full(len(keys), np.nan)
+        told = {b: k for k, b in enumerate(answers.column("bucket").to_pylist())}
+        for bucket, at in _dealt(keys, buckets):
+            for values, c, kind in ((n, "n", np.int64), (p, "p", np.float64), (left, "left_over", np.float64)):
+                values[at] = _whole(answers.column(c)[told[bucket]].as_py(), kind)
+        place = np.searchsorted(keys, s.words)
+        base = np.log((n[place] + 1) / (tokens + distinct + 1))[s.codes]
         value = base.copy()
-        for k, at, context, _, gram in s.levels(depth):
-            if k == 1:
-                beta = _found(s.words, states, left)[s.codes[at - 1]]
-            else:
-                beta = _found(context, states, left)
+        grams, states = (np.flatnonzero(~np.isnan(x)) for x in (p, left))
+        grams, p, states, left = keys[grams], p[grams], keys[states], left[states]
+        for _, at, context, _, gram in s.levels(depth) if len(states) else ():
+            beta = _found(context, states, left)
             own = np.flatnonzero(~np.isnan(beta))
-            p = _found(gram[own], grams, logs)
-            value[at[own]] = np.where(np.isnan(p), beta[own] + value[at[own]], p)
+            own_p = _found(gram[own], grams, p)
+            value[at[own]] = np.where(np.isnan(own_p), beta[own] + value[at[own]], own_p)
         docs = len(s.last)
         total = lambda x: np.bincount(s.doc, x, docs)
         return pa.table({
-            "doc_id": pa.array(row["ids"], pa.int64()), "held_out": pa.array(row["held"]), "n_tokens": total(None).astype(np.int64), "n_known": total((n > 0)[s.codes]).astype(np.int64),
+            "doc_id": pa.array(row["ids"], pa.int64()), "held_out": pa.array(row["held"]), "n_tokens": total(None).astype(np.int64), "n_known": total((n[place] > 0)[s.codes]).astype(np.int64),
             "train_tokens": np.full(docs, tokens), "base_score": total(base) / np.log(10), "score": total(value) / np.log(10),
         })
 
-    requests = encoded.mapInArrow(asked, "slice long, key long")
-    own = encoded.select("slice", F.lit(0).cast("long").alias("key"), F.lit(-1).alias("kind"), F.lit(0.0).alias("value"))  # for a slice without any known word
-    answers = requests.join(tree.answers, "key").select("slice", "key", "kind", "value").unionByName(own)
+    requests = encoded.mapInArrow(ask, "bucket long, slice long, keys binary")
+    own = tree.answers.withColumn("bucket", F.expr(f"shiftrightunsigned(key, 33) % {buckets}L"))
+    answers = requests.groupBy("bucket").cogroup(own.groupBy("bucket")).applyInArrow(answer, "slice long, bucket long, n binary, p binary, left_over binary")
     return answers.groupBy("slice").cogroup(encoded.groupBy("slice")).applyInArrow(scored, _SCORES)
 
 
