@@ -36,7 +36,7 @@ from watchloom.llm.text_hash import join, mix64, text_slices, words
 #: Longest context; occurrences of a context and of a continuation; nats that a state must gain; discount of a continuation's count.
 DEPTH, CONTEXT, FOLLOW, GAIN, DISCOUNT = 2, 64, 8, 16.0, 0.5
 #: Tokens of a slice, and of the corpus for each bucket that keys are dealt to.
-SLICE, BUCKET = 1_000_000, 2**21
+SLICE, BUCKET = 800_000, 2**20
 END = mix64(np.array([2**63 + 5], np.uint64))
 _ENCODED = "slice long, ids array<long>, held array<boolean>, lengths array<int>, words binary, codes binary"
 #: What an answer holds: a word's count, the logarithm of an n-gram's probability, or of what a state leaves to its suffix.
