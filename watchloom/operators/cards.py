@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from watchloom.functions.clock import with_instants
 from watchloom.operators import activity, overlap, sessions, streaks
 from watchloom.operators.activity import USER, _counts, ranked
 
@@ -50,17 +51,18 @@ def peak_weekday(watch: DataFrame) -> DataFrame:
 
 
 def late_night(watch: DataFrame) -> DataFrame:
-    own = watch.filter(F.hour("ts") < 5)
-    latest = F.max_by("ts", F.struct(F.hour("ts"), F.col("ts")))
+    """How many watches lie before 5 AM, and the latest of them: that in the latest hour, of these the last instant."""
+    own = with_instants(watch.filter(F.hour("ts") < 5))
+    latest = F.max_by("ts", F.struct(F.hour("ts"), F.col("_us")))
     return own.groupBy(USER).agg(F.count("*").alias("n"), latest.alias("latest_ts"), F.date_format(latest, "h:mm a").alias("latest"), F.date_format(latest, "MMMM dd").alias("latest_date"))
 
 
 def habit_channels(watch: DataFrame, least: int = 4, span: int = 7, gap: float = 14, n: int = 5) -> DataFrame:
-    """Channels watched at steady distances; gaps are whole 24-hour days, ``total`` is how many channels there are in all."""
-    w = Window.partitionBy(USER, "channel_clean").orderBy("ts", "seq")
-    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    """Channels watched at steady distances; gaps of instants are whole 24-hour days, ``total`` is how many channels there are in all."""
+    w = Window.partitionBy(USER, "channel_clean").orderBy("_us", "seq")
+    micros = F.col("_us")
     days = lambda c: F.floor(c / 86_400_000_000)
-    own = watch.filter(F.col("channel_clean").isNotNull() & F.col("ts").isNotNull()).select(USER, "channel_clean", "channel", "seq", micros.alias("m"), days(micros - F.lag(micros).over(w)).alias("gap"))
+    own = with_instants(watch.filter(F.col("channel_clean").isNotNull() & F.col("ts").isNotNull())).select(USER, "channel_clean", "channel", "seq", micros.alias("m"), days(micros - F.lag(micros).over(w)).alias("gap"))
     out = own.groupBy(USER, "channel_clean").agg(F.count("*").alias("n"), F.min_by("channel", "seq").alias("name"), days(F.max("m") - F.min("m")).alias("span"), F.avg("gap").alias("mean_gap"), F.min("seq").alias("s"))
     out = out.filter((F.col("n") >= least) & (F.col("span") >= span) & (F.col("mean_gap") <= gap)).withColumn("score", F.col("mean_gap") - 0.1 * F.col("n"))
     out = ranked(out, "score", "s").withColumn("total", F.count("*").over(_by_user()))
@@ -119,10 +121,11 @@ def searches(events: DataFrame, n: int = 5) -> DataFrame:
 
 
 def first_and_last(watch: DataFrame) -> DataFrame:
-    own = watch.filter(F.col("ts").isNotNull()).withColumn("title", F.substring(F.coalesce("text_clean", F.lit("Unknown")), 1, 80))
-    first, last = F.struct("ts", "seq"), F.struct("ts", "seq")
+    """By instants, the smaller ``seq`` first; dates are wall-clock ones."""
+    own = with_instants(watch.filter(F.col("ts").isNotNull())).withColumn("title", F.substring(F.coalesce("text_clean", F.lit("Unknown")), 1, 80))
+    first, last = F.struct("_us", "seq"), F.struct("_us", "seq")
     long = lambda c: F.date_format(c, "MMMM dd, yyyy")
-    out = own.groupBy(USER).agg(F.min_by("title", first).alias("first_title"), F.min("ts").alias("first_ts"), F.max_by("title", last).alias("last_title"), F.max("ts").alias("last_ts"))
+    out = own.groupBy(USER).agg(F.min_by("title", first).alias("first_title"), F.min_by("ts", first).alias("first_ts"), F.max_by("title", last).alias("last_title"), F.max_by("ts", last).alias("last_ts"))
     return out.withColumns({"first_date": long("first_ts"), "last_date": long("last_ts")})
 
 

@@ -5,26 +5,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from watchloom.functions.clock import INSTANT, WALL, with_instants
+
 USER = "user_id"
 
 
-def sessionise(rows: DataFrame, gap_minutes: int = 60, bonus_minutes: int = 5, time: str = "ts") -> DataFrame:
-    """``user_id, session, start_ts, end_ts, events, minutes``; a gap longer than ``gap_minutes`` starts a session."""
-    w = Window.partitionBy(USER).orderBy(time, "seq")
-    micros = F.unix_micros(F.col(time).cast("timestamp"))
-    new = F.coalesce((micros - F.lag(micros).over(w) > gap_minutes * 60_000_000).cast("int"), F.lit(0))
-    named = rows.filter(F.col(time).isNotNull()).select(USER, time, "seq", new.alias("new")).withColumn("session", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    out = named.groupBy(USER, "session").agg(F.min(time).alias("start_ts"), F.max(time).alias("end_ts"), F.count("*").alias("events"))
-    seconds = (F.unix_micros(F.col("end_ts").cast("timestamp")) - F.unix_micros(F.col("start_ts").cast("timestamp"))) / 1_000_000
-    return out.withColumn("minutes", seconds / 60 + bonus_minutes)
+def _spans(rows: DataFrame, gap_minutes: int, time: str, instant: str) -> DataFrame:
+    """Sessions with their lengths in microseconds, ``_us``."""
+    w = Window.partitionBy(USER).orderBy("_us", "seq")
+    own = with_instants(rows.filter(F.col(time).isNotNull()), time, instant)
+    new = F.coalesce((F.col("_us") - F.lag("_us").over(w) > gap_minutes * 60_000_000).cast("int"), F.lit(0))
+    named = own.select(USER, F.col(time).alias("_wall"), "_us", "seq", new.alias("new")).withColumn("session", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    at = F.struct("_us", "_wall")
+    out = named.groupBy(USER, "session").agg(F.min(at).alias("first"), F.max(at).alias("last"), F.count("*").alias("events"))
+    return out.select(USER, "session", F.col("first._wall").alias("start_ts"), F.col("last._wall").alias("end_ts"), "events", (F.col("last._us") - F.col("first._us")).alias("_us"))
+
+
+def sessionise(rows: DataFrame, gap_minutes: int = 60, bonus_minutes: int = 5, time: str = WALL, instant: str = INSTANT) -> DataFrame:
+    """``user_id, session, start_ts, end_ts, events, minutes``; a gap longer than ``gap_minutes`` starts a session.
+
+    Gaps and minutes go by the instants (the column ``instant`` where rows have it), ``start_ts`` and ``end_ts`` are wall-clock times.
+    """
+    found = _spans(rows, gap_minutes, time, instant)
+    return found.select(USER, "session", "start_ts", "end_ts", "events", (F.col("_us") / 1_000_000 / 60 + bonus_minutes).alias("minutes"))
 
 
 def time_spent(rows: DataFrame, gap_minutes: int = 60, bonus_minutes: int = 5) -> DataFrame:
-    s = sessionise(rows, gap_minutes, bonus_minutes).groupBy(USER).agg(
-        F.count("*").alias("sessions"), F.sum("minutes").alias("minutes"), F.avg("minutes").alias("mean_minutes"), F.max("minutes").alias("longest_minutes")
-    )
-    days = rows.filter(F.col("ts").isNotNull()).groupBy(USER).agg(F.count_distinct(F.to_date("ts")).alias("days"))
-    return s.join(days, USER).select(USER, "sessions", "minutes", (F.col("minutes") / 60).alias("hours"), "mean_minutes", "longest_minutes", "days", (F.col("minutes") / F.col("days")).alias("minutes_per_day"))
+    """Totals and means of a user's sessions; lengths are added up in whole microseconds."""
+    s = _spans(rows, gap_minutes, WALL, INSTANT).groupBy(USER).agg(F.count("*").alias("sessions"), F.sum("_us").alias("_us"), F.max("_us").alias("_longest"))
+    days = rows.filter(F.col(WALL).isNotNull()).groupBy(USER).agg(F.count_distinct(F.to_date(WALL)).alias("days"))
+    minutes, longest = F.col("_us") / 1_000_000 / 60 + bonus_minutes * F.col("sessions"), F.col("_longest") / 1_000_000 / 60 + bonus_minutes
+    out = s.join(days, USER).select(USER, "sessions", "days", minutes.alias("minutes"), longest.alias("longest_minutes"))
+    per = lambda c: F.col("minutes") / c
+    return out.select(USER, "sessions", "minutes", per(60).alias("hours"), per(F.col("sessions")).alias("mean_minutes"), "longest_minutes", "days", per(F.col("days")).alias("minutes_per_day"))
 
 
 def time_report(rows: DataFrame, gap_minutes: int = 60, bonus_minutes: int = 5) -> DataFrame:

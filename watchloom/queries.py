@@ -26,9 +26,13 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Canonical events: views and clicks are watches, purchases searches, signups subscriptions; errors are dropped."""
+    return canonical(_read(spark, sf_dir, "events"))
+
+
+def canonical(e: DataFrame) -> DataFrame:
+    """Canonical events of a table or stream: views and clicks are watches, purchases searches, signups subscriptions; errors are dropped."""
     kind = F.when(F.col("event_type").isin("view", "click"), "watch").when(F.col("event_type") == "purchase", "search").when(F.col("event_type") == "signup", "subscribe")
-    e = _read(spark, sf_dir, "events").filter(F.col("event_type") != "error")
+    e = e.filter(F.col("event_type") != "error")
     k = F.get_json_object("props", "$.k")
     name = F.concat(F.lit("Channel "), k)
     return e.select("user_id", F.col("event_id").alias("seq"), kind.alias("type"), F.when(F.col("event_type") == "view", "active").when(F.col("event_type") == "click", "passive").alias("engagement"), "ts", name.alias("channel"), F.lower(name).alias("channel_clean"), name.alias("text_raw"), F.lower(name).alias("text_clean"))
@@ -184,8 +188,8 @@ ss AS (SELECT user_id, session::BIGINT AS session, min(ts) AS start_ts, max(ts)
 
 _add("sessions", _watch(sessions.sessionise), f"WITH {_sess(60)} SELECT * FROM ss")
 _add("sessions_6h", _watch(lambda w: sessions.sessionise(w, 360)), f"WITH {_sess(360)} SELECT * FROM ss")
-_TIME = """SELECT user_id, sessions, minutes, minutes / 60 AS hours, mean_minutes, longest_minutes, days, minutes / days AS minutes_per_day
-FROM (SELECT user_id, count(*) AS sessions, sum(minutes) AS minutes, avg(minutes) AS mean_minutes, max(minutes) AS longest_minutes FROM ss GROUP BY 1) JOIN (SELECT user_id, count(DISTINCT d) AS days FROM w GROUP BY 1) USING (user_id)"""
+_TIME = """SELECT user_id, sessions, minutes, minutes / 60 AS hours, minutes / sessions AS mean_minutes, longest_minutes, days, minutes / days AS minutes_per_day
+FROM (SELECT user_id, count(*) AS sessions, sum(epoch_us(end_ts) - epoch_us(start_ts))::BIGINT / 1000000 / 60 + 5 * count(*) AS minutes, max(minutes) AS longest_minutes FROM ss GROUP BY 1) JOIN (SELECT user_id, count(DISTINCT d) AS days FROM w GROUP BY 1) USING (user_id)"""
 _add("time_spent", _watch(sessions.time_spent), f"WITH {_sess(60)} {_TIME}")
 _add("time_report", _watch(sessions.time_report), f"""WITH {_sess(60)}, t AS ({_TIME}) SELECT user_id, round_even(minutes, 1) AS minutes, round_even(hours, 1) AS hours, round_even(minutes_per_day, 1) AS daily_minutes, days, sessions, round_even(mean_minutes, 1) AS mean_minutes, round_even(longest_minutes, 1) AS longest_minutes,
  'Spent approximately ' || CASE WHEN round_even(hours, 1) >= 24 THEN (round_even(hours, 1) / 24)::BIGINT || ' days ' || floor(round_even(hours, 1) % 24)::BIGINT || ' hours' ELSE round_even(hours, 1) || ' hours' END || ' across ' || days || ' days (' || sessions || ' sessions)' AS summary FROM t""")

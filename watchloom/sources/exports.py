@@ -15,12 +15,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from watchloom.functions import text as X
+from watchloom.functions.clock import micros, zoneless
 
 # File names of an export, and schemas of its members.
 TARGETS = ("watch-history.json", "search-history.json", "subscriptions.csv")
 WATCH = "array<struct<title:string,titleUrl:string,time:string,subtitles:array<struct<name:string,url:string>>,details:array<struct<name:string>>>>"
 SEARCH = "array<struct<title:string,time:string>>"
-_TIME = "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSS]['Z']"
+_TIME = "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSS]"
 ADS = "From Google Ads"
 
 
@@ -58,14 +59,13 @@ def members(found: DataFrame, targets: tuple[str, ...] = TARGETS, with_content:
 
 def locate(found: DataFrame, targets: tuple[str, ...] = TARGETS, match: str = "first") -> DataFrame:
     """For each archive and target the member: exact name and first match, or ``last_ci``: any case and last match; null if missing."""
-    spark = found.sparkSession
-    wanted = spark.createDataFrame([(t,) for t in targets], "target string")
     key = F.col("filename") if match == "first" else F.lower("filename")
-    rows = found.withColumn("target", key).join(F.broadcast(wanted), "target")
     pick = F.min_by if match == "first" else F.max_by
-    best = rows.groupBy("archive", "target").agg(pick(F.struct("member", "pos", "raw", "size_bytes", "error"), "pos").alias("m"))
-    every = found.groupBy("archive").agg(F.count("member").alias("members")).crossJoin(F.broadcast(wanted))
-    return every.join(best, ["archive", "target"], "left").select("archive", "target", "members", "m.*", F.col("m").isNull().alias("missing"))
+    member = F.struct("member", "pos", "raw", "size_bytes", "error")
+    best = [pick(member, F.when(key == t, F.col("pos"))).alias(f"m{k}") for k, t in enumerate(targets)]
+    each = found.groupBy("archive").agg(F.count("member").alias("members"), *best)
+    rows = F.array(*[F.struct(F.lit(t).alias("target"), F.col(f"m{k}").alias("m")) for k, t in enumerate(targets)])
+    return each.select("archive", "members", F.inline(rows)).select("archive", "target", "members", "m.*", F.col("m").isNull().alias("missing"))
 
 
 def decoded(raw: Column) -> Column:
@@ -97,18 +97,18 @@ def csv_records(content: Column) -> Column:
     return F.transform(records, fields)
 
 
+def _parsed(c: Column, pattern: str) -> Column:
+    """Read as UTC, whatever the session's zone, which may lack an hour that UTC has."""
+    return zoneless(F.unix_micros(F.try_to_timestamp(F.concat(c, F.lit("Z")), F.lit(pattern + "X"))))
+
+
 def parse_time(c: Column) -> Column:
-    return F.try_to_timestamp(c, F.lit(_TIME)).cast("timestamp_ntz")
+    return _parsed(F.regexp_replace(c, "Z$", ""), _TIME)
 
 
 def lenient_time(c: Column) -> Column:
     """``parse_time``, and a date and time with a space between them."""
-    return F.coalesce(parse_time(c), F.try_to_timestamp(c, F.lit("yyyy-MM-dd HH:mm:ss")).cast("timestamp_ntz"))
-
-
-def _entries(files: DataFrame, name: str, schema: str) -> DataFrame:
-    own = files.filter((F.col("filename") == name) & F.ltrim("content").startswith("["))
-    return own.select("user_id", F.posexplode(F.from_json("content", schema)).alias("seq", "e"))
+    return F.coalesce(parse_time(c), _parsed(c, "yyyy-MM-dd HH:mm:ss"))
 
 
 def local_columns(df: DataFrame, zone: str = "tz") -> DataFrame:
@@ -121,8 +121,7 @@ def local_columns(df: DataFrame, zone: str = "tz") -> DataFrame:
 def local_info(df: DataFrame, zone: str = "tz") -> DataFrame:
     """``local_columns`` and the same in words: ISO time with its offset, and the date."""
     out = local_columns(df, zone)
-    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    minutes = ((micros("ts_local") - micros("ts_utc")) / 60_000_000).cast("int")
+    minutes = ((micros(out, "ts_local") - micros(out, "ts_utc")) / 60_000_000).cast("int")
     part = lambda x: F.lpad(F.abs(x).cast("string"), 2, "0")
     offset = F.concat(F.when(minutes < 0, "-").otherwise("+"), part((minutes / 60).cast("int")), F.lit(":"), part(minutes % 60))
     fraction = F.when(F.date_format("ts_local", "SSSSSS") != "000000", F.date_format("ts_local", ".SSSSSS")).otherwise("")
@@ -130,60 +129,83 @@ def local_info(df: DataFrame, zone: str = "tz") -> DataFrame:
     return out.withColumns({"timestamp_local": iso, "date_text": F.date_format("ts_local", "yyyy-MM-dd")})
 
 
-def _described(df: DataFrame) -> DataFrame:
-    found = X.language(F.col("text_clean"))
-    return df.withColumn("text_clean", X.clean_text(F.col("title"))).withColumns({"language_type": found["type"], "language_confidence": found["confidence"]})
+COLUMNS = ("user_id", "seq", "type", "engagement", "time_raw", "ts_utc", "text_raw", "text_clean", "language_type", "language_confidence", "channel", "channel_clean", "channel_url", "video_url", "video_id")
+_ENTRY = "array<struct<title:string,video_url:string,time:string,channel:string,channel_url:string>>"
 
 
-COLUMNS = ("user_id", "seq", "type", "engagement", "time_raw", "ts_utc", "text_raw", "text_clean", "language_type", "language_confidence", "channel", "channel_clean", "channel_url", "video_url", "video_id")
+def _watched(content: Column) -> Column:
+    """Entries of a watch history, of which adverts and posts are null."""
+    ad = lambda e: F.coalesce(F.exists(e["details"], lambda d: d["name"] == ADS), F.lit(False))
+    post = lambda e: F.coalesce(F.contains(e["titleUrl"], F.lit("/post/")), F.lit(False))
+    first = lambda e: F.get(e["subtitles"], F.lit(0))
+    return F.transform(F.from_json(content, WATCH), lambda e: F.when(~ad(e) & ~post(e), F.struct(e["title"], e["titleUrl"], e["time"], first(e)["name"], first(e)["url"])))
 
 
-def watch_branch(files: DataFrame) -> DataFrame:
-    e = _entries(files, TARGETS[0], WATCH)
-    ad = F.coalesce(F.exists("e.details", lambda d: d["name"] == ADS), F.lit(False))
-    post = F.coalesce(F.contains(F.col("e.titleUrl"), F.lit("/post/")), F.lit(False))
-    first = F.get("e.subtitles", F.lit(0))
-    rows = e.filter(~ad & ~post).select(
-        "user_id", "seq", F.lit("watch").alias("type"), F.col("e.title").alias("title"), F.col("e.time").alias("time_raw"), parse_time(F.col("e.time")).alias("ts_utc"),
-        first["name"].alias("channel"), F.lower(first["name"]).alias("channel_clean"), first["url"].alias("channel_url"), F.col("e.titleUrl").alias("video_url"),
-    )
-    rows = rows.withColumns({"engagement": X.engagement(F.col("title")), "text_raw": X.raw_text(F.col("title"), "watch"), "video_id": X.video_id(F.col("video_url"))})
-    return _described(rows).select(*COLUMNS)
+def _searched(content: Column) -> Column:
+    empty = F.lit(None).cast("string")
+    return F.transform(F.from_json(content, SEARCH), lambda e: F.struct(e["title"], empty, e["time"], empty, empty))
+
+
+def _subscribed(content: Column) -> Column:
+    """Records of a subscription list; the title, or the id where it is empty, is the channel."""
+    empty = F.lit(None).cast("string")
+    field = lambda records, r, name: F.get(r, F.array_position(F.get(records, F.lit(0)), F.lit(name)).cast("int") - 1)
 
+    def entry(records: Column, r: Column) -> Column:
+        return F.struct(empty, empty, empty, F.coalesce(F.nullif(field(records, r, "Channel Title"), F.lit("")), field(records, r, "Channel Id")), field(records, r, "Channel Url"))
 
-def _blank(df: DataFrame) -> DataFrame:
-    for c in COLUMNS:
-        if c not in df.columns:
-            df = df.withColumn(c, F.lit(None).cast("timestamp_ntz" if c == "ts_utc" else "string"))
-    return df.select(*COLUMNS)
+    # a list of one, so that the records are parsed once and named
+    return F.get(F.transform(F.array(csv_records(content)), lambda records: F.transform(F.slice(records, 2, 2**30), lambda r: entry(records, r))), F.lit(0))
+
+
+def entries(files: DataFrame, *more: str) -> DataFrame:
+    """Canonical rows of all members of ``files(user_id, filename, content)`` in one pass; columns named in ``more`` are carried along."""
+    listed = F.ltrim("content").startswith("[")
+    found = (
+        F.when((F.col("filename") == TARGETS[0]) & listed, _watched(F.col("content")).cast(_ENTRY))
+        .when((F.col("filename") == TARGETS[1]) & listed, _searched(F.col("content")).cast(_ENTRY))
+        .when(F.col("filename") == TARGETS[2], _subscribed(F.col("content")).cast(_ENTRY))
+    )
+    kind = F.when(F.col("filename") == TARGETS[0], "watch").when(F.col("filename") == TARGETS[1], "search").otherwise("subscribe")
+    each = files.select("user_id", *more, kind.alias("type"), F.posexplode(found).alias("seq", "e")).filter(F.col("e").isNotNull()).select("user_id", *more, "type", "seq", "e.*")
+    watch, title = F.col("type") == "watch", F.col("title")
+    rows = each.withColumns({
+        "engagement": F.when(watch, X.engagement(title)), "time_raw": F.col("time"), "ts_utc": parse_time(F.col("time")), "text_raw": F.when(watch, X.raw_text(title, "watch")).when(F.col("type") == "search", X.raw_text(title, "search")),
+        "text_clean": X.clean_text(title), "channel_clean": F.lower("channel"), "video_id": X.video_id(F.col("video_url")),
+    })
+    said = X.language(F.col("text_clean"))
+    spoken = F.col("type") != "subscribe"
+    rows = rows.withColumns({"language_type": F.when(spoken, said["type"]), "language_confidence": F.when(spoken, said["confidence"])})
+    return rows.select(*COLUMNS, *more)
+
+
+def watch_branch(files: DataFrame) -> DataFrame:
+    return entries(files.filter(F.col("filename") == TARGETS[0]))
 
 
 def search_branch(files: DataFrame) -> DataFrame:
-    rows = _entries(files, TARGETS[1], SEARCH).select("user_id", "seq", F.lit("search").alias("type"), F.col("e.title").alias("title"), F.col("e.time").alias("time_raw"), parse_time(F.col("e.time")).alias("ts_utc"))
-    return _blank(_described(rows.withColumn("text_raw", X.raw_text(F.col("title"), "search"))))
+    return entries(files.filter(F.col("filename") == TARGETS[1]))
 
 
 def subscription_branch(files: DataFrame) -> DataFrame:
-    """Rows of the CSV members; the title, or the id where it is empty, is the channel."""
-    own = files.filter(F.col("filename") == TARGETS[2]).select("user_id", csv_records(F.col("content")).alias("records"))
-    header = F.get("records", F.lit(0))
-    each = own.select("user_id", header.alias("header"), F.posexplode(F.slice("records", 2, 2**31 - 1)).alias("seq", "r"))
-    field = lambda name: F.get("r", F.array_position("header", name).cast("int") - 1)
-    rows = each.select("user_id", "seq", field("Channel Id").alias("id"), field("Channel Url").alias("url"), field("Channel Title").alias("title"))
-    name = F.coalesce(F.nullif("title", F.lit("")), "id")
-    return _blank(rows.select("user_id", "seq", F.lit("subscribe").alias("type"), name.alias("channel"), F.lower(name).alias("channel_clean"), F.col("url").alias("channel_url")))
+    return entries(files.filter(F.col("filename") == TARGETS[2]))
 
 
 def events(files: DataFrame, zones: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Canonical events of all users, and quarantined users with an unknown time zone.
 
-    ``files`` has ``user_id, filename, content`` and, with ``zones(tz)`` given, ``tz``.
+    ``files`` has ``user_id, filename, content`` and, with ``zones(tz)`` given, ``tz``. The events read ``files`` once.
     """
-    branches = watch_branch(files).unionByName(search_branch(files)).unionByName(subscription_branch(files))
-    users = files.select("user_id", F.col("tz") if "tz" in files.columns else F.lit("UTC").alias("tz")).distinct()
-    good = users.join(zones, "tz", "left_semi") if zones is not None else users
-    bad = users.join(zones, "tz", "left_anti") if zones is not None else users.limit(0)
-    return local_columns(branches.join(good, "user_id")), bad
+    told = files if "tz" in files.columns else files.withColumn("tz", F.lit("UTC"))
+    good = told.join(F.broadcast(zones), "tz", "left_semi") if zones is not None else told  # a list of all zones, about 600 rows
+    bad = told.select("user_id", "tz").distinct()
+    bad = bad.join(F.broadcast(zones), "tz", "left_anti") if zones is not None else bad.limit(0)
+    return local_columns(entries(good, "tz")), bad
+
+
+def report_events(found: DataFrame) -> DataFrame:
+    """Canonical events as the reports take them: ``ts`` is the local time, or the instant where that is missing, and ``ts_utc`` the instant."""
+    return found.select(F.coalesce("ts_local", "ts_utc").alias("ts"), *[c for c in found.columns if c not in ("ts", "ts_local")])
 
 
 #: The areas whose zones are in common use.
