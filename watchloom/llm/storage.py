@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import contextlib
-from collections.abc import Iterator
+import gc
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,7 +10,6 @@ from watchloom.session import shared_dir, ship
 
 __all__ = ["bounded", "materialise", "partitions", "shared_dir"]
 
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
@@ -25,26 +23,17 @@ def bounded(spark: SparkSession) -> SparkSession:
     return ship(spark)
 
 
-@contextlib.contextmanager
-def cleaning(spark: SparkSession) -> Iterator[None]:
-    """What is executed inside gives its shuffle files back at its end, when its result is written and nothing else reads them."""
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
-    try:
-        yield
-    finally:
-        if before is None:
-            spark.conf.unset(_CLEANUP)
-        else:
-            spark.conf.set(_CLEANUP, before)
+def materialise(df: DataFrame, free: bool = False) -> DataFrame:
+    """Cut the lineage of ``df``: write it once to the shared folder and read it back.
 
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df``: write it once to the shared folder and read it back; its shuffle files go."""
+    With ``free`` the driver then collects its garbage, which is when Spark deletes the shuffle files of what is done.
+    """
     spark = df.sparkSession
     path = shared_dir(spark)
-    with cleaning(spark):
-        df.write.parquet(path)
+    df.write.parquet(path)
+    if free:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

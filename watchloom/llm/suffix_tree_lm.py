@@ -200,7 +200,7 @@ def fit(encoded: DataFrame, depth: int = DEPTH, context: int = CONTEXT, follow:
     spark = encoded.sparkSession
     size = encoded.agg(F.sum(F.size("ids") + F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n")).first().n or 0
     buckets = max(partitions(spark), size // BUCKET)
-    counted = materialise(_word_counts(encoded, buckets))
+    counted = materialise(_word_counts(encoded, buckets), free=True)
     whole = counted.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     tokens, distinct = whole.n or 0, whole.v
     below = counted.select("key", "n", ((F.col("n") + 1) / F.lit(tokens + distinct + 1)).alias("p"))  # n-grams of this length, with their probability
@@ -211,7 +211,7 @@ def fit(encoded: DataFrame, depth: int = DEPTH, context: int = CONTEXT, follow:
         grams = _gram_counts(encoded, k, *filters, follow, buckets)
         heads = below.filter(F.col("n") >= context).select(F.col("key").alias("context"), F.col("n").alias("whole"))
         tails = below.filter(F.col("n") >= follow).select(F.col("key").alias("suffix"), F.col("p").alias("lower"))
-        grams = materialise(grams.join(heads, "context").join(tails, "suffix").select("key", "context", "n", "whole", "lower"))
+        grams = materialise(grams.join(heads, "context").join(tails, "suffix").select("key", "context", "n", "whole", "lower"), free=True)
         left = grams.groupBy("context").agg((1 - F.sum(F.col("n") - discount) / F.max("whole")).alias("left"), (F.max("whole") - F.sum("n")).alias("rest"))
         own = (F.col("n") - discount) / F.col("whole") + F.col("left") * F.col("lower")
         scored = materialise(grams.join(left, "context").select("key", "context", "n", "lower", "left", "rest", own.alias("own")))
