@@ -45,13 +45,15 @@ _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tok
 
 
 def _planes(values: np.ndarray) -> bytes:
-    """The bytes of the values, first bytes first: sorted or small values then compress well."""
-    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes()
+    """The values' bytes, first bytes first, compressed: what is sorted or small, and the codes of frequent words, gets short."""
+    raw = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T)
+    return len(values).to_bytes(8, "little") + (pa.compress(raw, codec="zstd", asbytes=True) if len(values) else b"")
 
 
 def _whole(body: bytes, kind) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(body, np.uint8).reshape(size, -1).T).view(kind).ravel()
+    count, size = int.from_bytes(body[:8], "little"), np.dtype(kind).itemsize
+    raw = pa.decompress(body[8:], count * size, codec="zstd", asbytes=True) if count else b""
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
 def _dealt(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
