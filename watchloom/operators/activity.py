@@ -224,6 +224,16 @@ def month_by_bin(rows: DataFrame) -> DataFrame:
     return full.select(USER, F.date_format("first_day", "yyyy-MM").alias("month"), "bucket", "n", share.alias("share"))
 
 
+def share_of_max(rows: DataFrame, value: str, by: tuple[str, ...] = (USER,)) -> DataFrame:
+    """``rows`` with ``share_of_max``, the length of a bar: the value by the largest of its group, null where that is zero."""
+    return rows.withColumn("share_of_max", F.col(value) / F.nullif(F.max(value).over(Window.partitionBy(*by)), F.lit(0)))
+
+
+def last_months(rows: DataFrame, n: int = 12) -> DataFrame:
+    """Rows of a user's last ``n`` months that are there."""
+    return rows.withColumn("_m", F.dense_rank().over(Window.partitionBy(USER).orderBy(F.desc("month")))).filter(F.col("_m") <= n).drop("_m")
+
+
 def search_analytics(events: DataFrame, n: int = 20) -> DataFrame:
     """Top terms with the first raw spelling, totals, and language counts where there is a column ``language_type``."""
     own = events.filter(F.col("type") == "search")

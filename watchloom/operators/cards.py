@@ -129,18 +129,20 @@ def first_and_last(watch: DataFrame) -> DataFrame:
     return out.withColumns({"first_date": long("first_ts"), "last_date": long("last_ts")})
 
 
-def card_document(events: DataFrame, year: int) -> DataFrame:
-    """All cards of a user as one JSON document."""
+def card_document(events: DataFrame, year: int, version: str = "1.0") -> DataFrame:
+    """All cards of a user with watches as one JSON document, with its year, version and totals; lists are in the order of their ranks."""
     watch = activity.watches(events)
     lists = lambda df: df.groupBy(USER).agg(F.sort_array(F.collect_list(F.struct(*[c for c in df.columns if c != USER]))).alias("card"))
     one = lambda df: df.select(USER, F.struct(*[c for c in df.columns if c != USER]).alias("card"))
+    top = top_channels(watch)
+    totals = events.groupBy(USER).agg(F.count("*").alias("total_events"), F.count_if(F.col("type") == "watch").alias("total_watch")).filter(F.col("total_watch") > 0)
     cards = {
-        "stats": one(stats_overview(watch)), "time": one(time_spent_card(watch)), "peak_month": one(peak_month(watch)), "top_channels": lists(top_channels(watch)),
+        "stats": one(stats_overview(watch)), "time": one(time_spent_card(watch)), "peak_month": one(peak_month(watch)), "top_channel": one(top.filter(F.col("rank") == 1)), "top_channels": lists(top),
         "watch_cycle": one(watch_cycle(watch)), "peak_weekday": one(peak_weekday(watch)),
         "streak": one(streaks.longest_streak(watch)), "binge": one(sessions.binge_sessions(watch)), "late_night": one(late_night(watch)), "habits": lists(habit_channels(watch)),
         "patterns": lists(patterns(watch)), "rewatched": one(rewatched(watch)), "subscriptions": one(overlap.subscription_overlap(events)), "searches": lists(searches(events)), "first_last": one(first_and_last(watch)),
     }
-    out = events.select(USER).distinct()
+    out = totals.select(USER, F.struct(F.lit(version).alias("version"), "total_events", "total_watch").alias("metadata"))
     for name, df in cards.items():
         out = out.join(df.withColumnRenamed("card", name), USER, "left")
-    return out.select(USER, F.to_json(F.struct(F.lit(year).alias("year"), *cards)).alias("cards"))
+    return out.select(USER, F.to_json(F.struct(F.lit(year).alias("year"), *cards, "metadata")).alias("cards"))

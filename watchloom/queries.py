@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from collections.abc import Callable, Iterator
 
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from watchloom.functions import text as X
 from watchloom.operators import activity, cards, overlap, sessions, streaks, topics
-from watchloom.plans.reports import full_report
+from watchloom.plans import reports
 from watchloom.session import shared_dir, ship
 from watchloom.sources import exports, store
 from watchloom.streaming.sessions import drain, session_stream, stream_table
@@ -327,7 +328,6 @@ _add("card_rewatched", _orders(cards.rewatched), f"WITH {_P}, c AS (SELECT user_
 _add("card_searches", _events(cards.searches), f"WITH {_SEARCH} SELECT user_id, rank::INTEGER AS rank, term, n, searches FROM r JOIN t USING (user_id) WHERE rank <= 5")
 _add("card_first_last", _watch(cards.first_and_last), f"""WITH {_E}, f AS (SELECT user_id, arg_min(channel_clean, epoch_us(ts)) AS first_title, min(ts) AS first_ts, arg_max(channel_clean, epoch_us(ts)) AS last_title, max(ts) AS last_ts FROM w GROUP BY user_id)
 SELECT *, strftime(first_ts, '%B %d, %Y') AS first_date, strftime(last_ts, '%B %d, %Y') AS last_date FROM f""")
-_add("card_document", _events(lambda e: cards.card_document(e, 2024)))
 
 # The words of the expressions once more, so that the SQL does not follow a slip in them.
 _STOPS = """string_split('a an the is are was were be been being have has had do does did will would could should may might must shall can need dare ought used to of in for on with at by from as into through during before after above below between under again further then once here there when where why how all each few more most other some such no nor not only own same so than too very just also now and but if or because until while this that these those what which who whom whose i you he she it we they me him her us them my your his its our their myself yourself himself herself itself ourselves themselves am about get got go going went come came make made take took see saw know knew think thought want like look use find give tell say said video watch watched new first last best top full part episode ep vs ft feat official exclusive shorts short movie clip scene trailer teaser', ' ')"""
@@ -694,25 +694,91 @@ _add("store_delete", _deleted, f"WITH {_X}, {_E} {_FILE_SQL} WHERE user_id NOT I
 _add("store_expire", _expired, f"WITH {_X} {_FILE_SQL} WHERE user_id IN (SELECT user_id FROM events GROUP BY 1 HAVING max(ts) >= (SELECT max(ts) FROM events) - INTERVAL 6 HOUR)")
 
 
-# The whole report: how many rows each of its parts has for a user.
+# The whole report, compared value by value, over groups of ten users with a language for each text.
 
 _PARTS = {
-    "summary": "summary", "channels": "top_channels", "watch_patterns": "hour_histogram", "searches": "search_analytics", "subscription_overlap": "subscription_overlap",
-    "time_spent": "time_spent", "distribution": "distribution_stats",
+    "summary.totals": "summary", "channels.top": "top_channels", "channels.engagement": "engagement_summary", "channels.buckets": "view_count_buckets", "watch_patterns.hours": "hour_histogram", "watch_patterns.weekdays": "weekday_histogram",
+    "watch_patterns.peaks": "peaks", "watch_patterns.intervals": "time_intervals", "watch_patterns.weeks": "weekly_peak_day", "watch_patterns.best_day": "overall_peak_day", "searches.top": "search_analytics",
+    "subscription_overlap.counts": "subscription_overlap", "subscription_overlap.names": "overlap_names", "behavior_anomalies.list": "anomalies", "behavior_anomalies.baseline": "daily_baseline", "behavior_anomalies.late_nights": "late_night_days",
+    "behavior_anomalies.binge_days": "binge_days", "behavior_anomalies.unusual_weeks": "unusual_weeks", "behavior_anomalies.moods": "late_night_moods", "behavior_anomalies.rhythm": "rhythm", "habit_formation.channels": "channel_habits",
+    "habit_formation.videos": "rewatched_titles", "habit_formation.strength": "habit_strength", "temporal_trends.months": "monthly_stats", "temporal_trends.shifts": "pattern_shifts", "temporal_trends.summary": "trend_summary",
+    "time_spent.totals": "time_spent", "channel_distribution.buckets": "view_count_buckets", "channel_distribution.months": "month_by_bin", "channel_distribution.stats": "distribution_stats",
 }
 
 
-def _full(s: SparkSession, d: str) -> DataFrame:
-    """One row per user and part, of the parts that the SQL of other queries covers."""
-    report = full_report(described(s, d))
-    out = None
-    for name in _PARTS:
-        part = report[name].groupBy("user_id").agg(F.lit(name).alias("part"), F.count("*").alias("n"))
-        out = part if out is None else out.unionByName(part)
-    return out
+def _tens(s: SparkSession, d: str) -> DataFrame:
+    return described(s, d).withColumn("user_id", F.expr("user_id div 10"))
 
 
-_add("full_report", _full, " UNION ALL ".join(f"SELECT user_id, '{k}' AS part, count(*) AS n FROM ({ORACLES[v]}) GROUP BY 1" for k, v in _PARTS.items()))
+def _rebound(name: str) -> str:
+    """The SQL of another query over the groups of ten."""
+    sql = ORACLES[name]
+    for old in (_E, _P, _home(5), _home(50)):
+        sql = sql.replace(old, _home(10))
+    return re.sub(r"\btitle\b", "channel_clean", sql) if name == "card_rewatched" else sql  # order lines have titles of their own
+
+
+def _fields(part: str, sql: str) -> str:
+    key = reports.ORDER.get(part, ())
+    place = f"concat_ws('|', {', '.join(f'x.{k}' for k in key)})" if key else "''"
+    drop = f"EXCLUDE ({', '.join(('user_id', *key))})"
+    return f"""SELECT user_id, '{part}' AS part, place, field, CASE WHEN json_type(v) = 'DOUBLE' THEN round(v::DOUBLE * 1000)::BIGINT::VARCHAR ELSE v->>'$' END AS value
+FROM (SELECT user_id, place, field, json_extract(j, '$."' || field || '"') AS v FROM (SELECT user_id, place, j, unnest(json_keys(j)) AS field FROM (SELECT x.user_id, {place} AS place, (SELECT to_json(y) FROM (SELECT x.* {drop}) y) AS j FROM ({sql}) x))) WHERE json_type(v) <> 'NULL'"""
+
+
+_add("full_report", lambda s, d: reports.report_rows(reports.full_report(_tens(s, d))), " UNION ALL ".join(_fields(k, _rebound(v)) for k, v in _PARTS.items()))
+
+
+def _documents(s: SparkSession, d: str) -> DataFrame:
+    """How many rows each part of a user's document has, read back from the document."""
+    docs = reports.report_documents(reports.full_report(_tens(s, d)))
+    return docs.select("user_id", F.explode(F.from_json("report", "map<string, array<string>>")).alias("part", "rows")).select("user_id", "part", F.size("rows").cast("long").alias("n"))
+
+
+_add("report_documents", _documents, " UNION ALL ".join(f"SELECT user_id, '{k}' AS part, count(*) AS n FROM ({_rebound(v)}) GROUP BY 1" for k, v in _PARTS.items()))
+
+# Bars: values by the largest of their group.
+
+_add("bucket_bars", _orders(lambda w: activity.share_of_max(activity.view_count_buckets(w), "channels")), f"SELECT *, channels / nullif(max(channels) OVER (PARTITION BY user_id), 0) AS share_of_max FROM ({ORACLES['view_count_buckets']})")
+_add("month_bars", _orders(lambda w: activity.share_of_max(activity.monthly_stats(w).select("user_id", "month", "watches"), "watches")), f"SELECT user_id, month, watches, watches / max(watches) OVER (PARTITION BY user_id) AS share_of_max FROM ({ORACLES['monthly_stats']})")
+_add("bin_bars", _orders(lambda w: activity.share_of_max(activity.last_months(activity.month_by_bin(w)), "n", ("user_id", "month"))), f"""SELECT * EXCLUDE (k), n / nullif(max(n) OVER (PARTITION BY user_id, month), 0) AS share_of_max
+FROM (SELECT *, dense_rank() OVER (PARTITION BY user_id ORDER BY month DESC) AS k FROM ({ORACLES['month_by_bin']})) WHERE k <= 12""")
+
+
+# The document of all cards, read back.
+
+_CARD = {
+    "stats.watches": "card_stats.watches", "stats.channels": "card_stats.channels", "stats.days": "card_stats.days", "stats.sessions": "card_stats.sessions", "time.hours": "card_time_spent.hours", "time.daily_minutes": "card_time_spent.daily_minutes",
+    "peak_month.month": "card_peak_month.month", "top_channel.name": "card_top_channel.name", "top_channel.n": "card_top_channel.n", "streak.days": "longest_streak.days", "streak.label": "longest_streak.label", "binge.binges": "card_binge_sessions.binges",
+    "late_night.n": "card_late_night.n", "late_night.latest": "card_late_night.latest", "rewatched.titles": "card_rewatched.titles", "rewatched.top": "card_rewatched.top", "subscriptions.subscribed": "subscription_overlap.subscribed",
+    "subscriptions.ghost": "subscription_overlap.ghost", "first_last.first_title": "card_first_last.first_title", "first_last.last_date": "card_first_last.last_date", "watch_cycle.hour": "card_watch_cycle.hour", "peak_weekday.day": "card_peak_weekday.day",
+}
+_LISTS = {"top_channels": ("card_top_channels", "name"), "habits": ("card_habits", "name"), "patterns": ("card_patterns", "insight"), "searches": ("card_searches", "term")}
+
+
+def _card_values(s: SparkSession, d: str) -> DataFrame:
+    """Fields and lists of each user's document as rows."""
+    docs = cards.card_document(_tens(s, d), 2024)
+    single = F.array(*[F.struct(F.lit(k).alias("field"), F.get_json_object("cards", f"$.{k}").alias("value")) for k in ("year", "metadata.version", "metadata.total_events", "metadata.total_watch", *_CARD)])
+    many = F.array(*[F.struct(F.lit(f"{k}.{c}").alias("field"), F.array_join(F.from_json(F.get_json_object("cards", f"$.{k}[*].{c}"), "array<string>"), "|").alias("value")) for k, (_, c) in _LISTS.items()])
+    listed = F.transform(many, lambda x: F.struct(x["field"].alias("field"), x["value"].alias("value")))
+    return docs.select("user_id", F.inline(F.concat(single, listed))).filter(F.col("value").isNotNull())
+
+
+def _card_sql() -> str:
+    decimal = ("time.hours", "time.daily_minutes")
+    ones = []
+    for field, at in _CARD.items():
+        name, column = at.split(".")
+        value = f"{column}::DOUBLE::VARCHAR" if field in decimal else f"{column}::VARCHAR"
+        ones.append(f"SELECT DISTINCT user_id, '{field}' AS field, {value} AS value FROM ({_rebound(name)})")
+    lists = [f"SELECT user_id, '{k}.{c}' AS field, string_agg({c}, '|' ORDER BY rank) AS value FROM ({_rebound(name)}) GROUP BY 1" for k, (name, c) in _LISTS.items()]
+    totals = f"t AS (WITH {_home(10)} SELECT user_id, count(*) AS n, count(*) FILTER (type = 'watch') AS w FROM e GROUP BY 1)"
+    meta = [f"SELECT user_id, '{f}' AS field, {v}::VARCHAR AS value FROM t" for f, v in (("year", "2024"), ("metadata.version", "'1.0'"), ("metadata.total_events", "n"), ("metadata.total_watch", "w"))]
+    return f"WITH {totals} SELECT * FROM ({' UNION ALL '.join([*ones, *lists, *meta])}) WHERE value IS NOT NULL"
+
+
+_add("card_document", _card_values, _card_sql())
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
