@@ -460,13 +460,17 @@ _add("url_ids", _urls, r"""SELECT page_id, CASE WHEN e IN ('com', 'net', 'org')
 FROM (SELECT *, regexp_extract(url, 'https?://[^/]*\.([a-z]+)/', 1) AS e FROM pages)""")
 
 
-def _metadata(s: SparkSession, d: str) -> DataFrame:
+def player_pages(s: SparkSession, d: str) -> DataFrame:
     """Every page's whole html, with a player object of the page's own title, text and address at its end."""
     p = _read(s, d, "pages").withColumn("title", F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1))
     form = F.struct(F.regexp_extract("url", "https?://([^/]+)", 1).alias("category"), F.struct(F.col("title").alias("simpleText")).alias("title"), F.col("url").alias("ownerChannelName"), F.struct(F.regexp_extract("html", "(?s)<article>([^{}]*)", 1).alias("simpleText")).alias("description"))
     player = F.to_json(F.struct(F.struct(form.alias("playerMicroformatRenderer")).alias("microformat"), F.struct(F.split("title", " ").alias("keywords")).alias("videoDetails")))
-    meta = X.page_metadata(X.embedded_json(F.concat("html", F.lit("<script>var ytInitialPlayerResponse = "), player, F.lit(";</script>"))))
-    return p.select("page_id", meta.alias("m")).select("page_id", "m.category", "m.title", "m.channel_name", F.md5("m.description").alias("description_md5"), F.array_join("m.keywords", "|").alias("keywords"))
+    return p.select("page_id", F.concat("html", F.lit("<script>var ytInitialPlayerResponse = "), player, F.lit(";</script>")).alias("html"))
+
+
+def _metadata(s: SparkSession, d: str) -> DataFrame:
+    meta = X.page_metadata(X.embedded_json(F.col("html")))
+    return player_pages(s, d).select("page_id", meta.alias("m")).select("page_id", "m.category", "m.title", "m.channel_name", F.md5("m.description").alias("description_md5"), F.array_join("m.keywords", "|").alias("keywords"))
 
 
 _add("page_metadata", _metadata, r"""SELECT page_id, regexp_extract(url, 'https?://([^/]+)', 1) AS category, title, url AS channel_name, md5(nullif(substr(regexp_extract(html, '(?s)<article>([^{}]*)', 1), 1, 500), '')) AS description_md5, array_to_string(string_split(title, ' '), '|') AS keywords

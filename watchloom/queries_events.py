@@ -9,11 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from watchloom import queries as base
-from watchloom.operators import activity, asof, cards, intervals, sessions, sketches
+from watchloom import sql
+from watchloom.operators import activity, asof, cards, intervals, payloads, sessions, sketches
 from watchloom.plans import cube
 from watchloom.queries import _E, _ZONES, export_files
 from watchloom.session import shared_dir, ship
-from watchloom.sources import datasource, exports, store
+from watchloom.sources import datasource, exports, store, versions
 from watchloom.streaming import stateful, windows
 from watchloom.streaming.sessions import stream_table
 
@@ -265,6 +266,100 @@ _add("sketch_exact", base._watch(lambda w: sketches.exact(w, *_SPAN).select("use
 SELECT user_id, count(*) AS n, count(DISTINCT d) AS days, count(DISTINCT channel_clean) AS channels, (list_sort(list(h * 60 + minute(ts)))[ceil(count(*) / 2)::INTEGER])::BIGINT AS median, any_value(most) AS most FROM r JOIN c USING (user_id) GROUP BY user_id""")
 
 
+# Versioned tables: each query makes several versions and reads one or more of them.
+
+
+def _suppliers_table(s: SparkSession, d: str) -> versions.VersionedTable:
+    table = versions.VersionedTable(s, shared_dir(s), "s_suppkey", 16)
+    table.append(base._read(s, d, "supplier").select("s_suppkey", "s_name", F.lit(1).cast("long").alias("fetched")))
+    return table
+
+
+def _version_rows(table: versions.VersionedTable) -> DataFrame:
+    """Rows of all versions there are."""
+    out = None
+    for v in table.versions():
+        rows = table.read(v).withColumn("version", F.lit(v))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def _merged(s: SparkSession, d: str) -> DataFrame:
+    """Suppliers; then those with returns get the day of the last one as a name, and numbers past the last supplier are new."""
+    table = _suppliers_table(s, d)
+    line, most = base._read(s, d, "lineitem"), base._read(s, d, "supplier").count()
+    seen = line.filter("l_returnflag = 'R'").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.concat(F.lit("returned "), F.date_format(F.max("l_shipdate"), "yyyy-MM-dd")).alias("s_name"))
+    added = seen.withColumn("s_suppkey", F.col("s_suppkey") + most)
+    table.merge(seen.unionByName(added), count="fetched")
+    return _version_rows(table)
+
+
+_add("version_merge", _merged, """WITH n AS (SELECT l_suppkey AS k, 'returned ' || strftime(max(l_shipdate), '%Y-%m-%d') AS name FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1), c AS (SELECT count(*) AS c FROM supplier)
+SELECT 1 AS version, s_suppkey, s_name, 1::BIGINT AS fetched FROM supplier UNION ALL SELECT 2, s_suppkey, coalesce(name, s_name), CASE WHEN name IS NULL THEN 1 ELSE 2 END FROM supplier LEFT JOIN n ON k = s_suppkey UNION ALL SELECT 2, k + c, name, 1 FROM n, c""")
+
+
+def _removed(s: SparkSession, d: str) -> DataFrame:
+    """Suppliers, without those of the first nations, and with the first ones back again under another name."""
+    table = _suppliers_table(s, d)
+    gone = base._read(s, d, "supplier").filter("s_nationkey < 5").select("s_suppkey")
+    table.delete(gone)
+    table.append(gone.select("s_suppkey", F.lit("again").alias("s_name"), F.lit(0).cast("long").alias("fetched")))
+    return _version_rows(table)
+
+
+_add("version_delete", _removed, """SELECT 1 AS version, s_suppkey, s_name, 1::BIGINT AS fetched FROM supplier UNION ALL SELECT v, s_suppkey, s_name, 1 FROM supplier, (VALUES (2), (3)) AS x(v) WHERE s_nationkey >= 5
+ UNION ALL SELECT 3, s_suppkey, 'again', 0 FROM supplier WHERE s_nationkey < 5""")
+
+
+def _aged(s: SparkSession, d: str) -> DataFrame:
+    """Raw members as they are after expiry, and as an older version still has them."""
+    table = versions.VersionedTable(s, shared_dir(s), "token")
+    made = base._read(s, d, "events").groupBy("user_id").agg(F.max("ts").alias("created_at"))
+    table.append(export_files(s, d).join(made, "user_id").select(F.col("user_id").alias("token"), "filename", "content", "created_at"))
+    table.expire(base._read(s, d, "events").agg(F.max("ts")).first()[0], 6)
+    return _version_rows(table).select("version", "token", "filename", F.md5("content").alias("content_md5"))
+
+
+_add("version_expire", _aged, f"""WITH {base._X}, k AS (SELECT user_id, max(ts) AS m FROM events GROUP BY 1), y AS (SELECT user_id AS token, filename, md5(content) AS content_md5, m FROM f JOIN k USING (user_id))
+SELECT 1 AS version, token, filename, content_md5 FROM y UNION ALL SELECT 2, token, filename, content_md5 FROM y WHERE m >= (SELECT max(ts) FROM events) - INTERVAL 6 HOUR""")
+
+# Reports in SQL text.
+
+
+def _asked(text: str):
+    return lambda s, d: sql.install(s, base.history(s, d)).sql(text)
+
+
+_WATCHES = "SELECT user_id, ts, seq FROM watch_events WHERE type = 'watch'"
+_add("sql_sessions", _asked(f"SELECT * FROM watch_sessions(TABLE({_WATCHES}), 360)"), base.ORACLES["sessions_6h"])
+_add("sql_streaks", _asked(f"SELECT * FROM day_streaks(TABLE(SELECT user_id, date(ts) AS date FROM ({_WATCHES})), least => 4)"), f"""WITH {_E}, c AS (SELECT DISTINCT user_id, d FROM w), i AS (SELECT *, d - (row_number() OVER (PARTITION BY user_id ORDER BY d))::INTEGER AS g FROM c)
+SELECT user_id, min(d) AS start, max(d) AS "end", count(*) AS days FROM i GROUP BY user_id, g HAVING count(*) >= 4""")
+_add("sql_hours", _asked("SELECT * FROM hour_report()"), f"WITH {_E}, c AS (SELECT user_id, h AS hour, count(*) AS n FROM w GROUP BY ALL) SELECT user_id, hour::INTEGER AS hour, n, n * 100 / sum(n) OVER (PARTITION BY user_id) AS percent FROM c")
+_add("sql_top_channels", _asked("SELECT * FROM top_channels_report(3)"), f"WITH {_E}, c AS (SELECT user_id, channel_clean AS channel, count(*) AS n, min(seq) AS s FROM w GROUP BY ALL) SELECT user_id, r::INTEGER AS rank, channel, n FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, s) AS r FROM c) WHERE r <= 3")
+_add("sql_buckets", _asked("SELECT * FROM bucket_report()"), f"WITH {_E}, c AS (SELECT user_id, channel_clean, count(*) AS n FROM w GROUP BY ALL) SELECT user_id, {base._BUCKET} AS bucket, count(*) AS channels, sum(n)::BIGINT AS videos FROM c GROUP BY ALL")
+
+# Variants.
+
+
+def _page_fields(s: SparkSession, d: str) -> DataFrame:
+    p = payloads.page_fields(base.player_pages(s, d))
+    return p.select("page_id", "category", "title", "channel_name", F.md5("description").alias("description_md5"), F.array_join("keywords", "|").alias("keywords"))
+
+
+_add("variant_metadata", _page_fields, base.ORACLES["page_metadata"])
+
+
+def _props(s: SparkSession, d: str) -> DataFrame:
+    """Properties of events by type; those of errors are cut short and so malformed."""
+    e = base._read(s, d, "events")
+    cut = F.when(F.col("event_type") == "error", F.expr("left(props, length(props) - 1)")).otherwise(F.col("props"))
+    told = payloads.typed(payloads.parsed(e, cut), {"k": ("$.k", "int"), "word": ("$.k", "array<string>"), "other": ("$.x.y", "string")})
+    return told.groupBy("event_type", "fault").agg(F.count("*").alias("n"), F.sum("k").alias("k"), F.count("word").alias("words"), F.count("other").alias("others"))
+
+
+_add("variant_props", _props, """SELECT event_type, CASE WHEN event_type = 'error' THEN 'malformed' END AS fault, count(*) AS n, (sum((props->>'$.k')::INTEGER) FILTER (event_type <> 'error'))::BIGINT AS k, 0::BIGINT AS words, 0::BIGINT AS others FROM events GROUP BY 1""")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

@@ -14,6 +14,7 @@ import io
 import json
 import uuid
 import zipfile
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -84,10 +85,10 @@ def _members(body, targets: list[str], match: str) -> Iterator[tuple]:
                 raw = error = None
                 try:
                     raw = z.read(listed[pos])
-                except (RuntimeError, zipfile.BadZipFile, OSError, NotImplementedError) as e:
+                except (RuntimeError, zipfile.BadZipFile, zlib.error, EOFError, OSError, pa.ArrowInvalid, NotImplementedError) as e:
                     error = type(e).__name__
                 yield target, len(listed), listed[pos].filename, pos, raw, listed[pos].file_size, error, False
-    except zipfile.BadZipFile:
+    except (zipfile.BadZipFile, pa.ArrowInvalid):  # the latter for a file shorter than any archive
         for target in targets:
             yield target, 0, None, None, None, None, "BadZipFile", True
 
