@@ -5,13 +5,15 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from watchloom.llm import spelling, subvector_kmeans, suffix_tree_lm
+import corpus_pipeline
+from watchloom.llm import html_text, spelling, subvector_kmeans, suffix_tree_lm
 
 NAMES = "word n near near_n form root key context suffix value kind slice held ids codes cluster what id v h"
 SCHEMA = "doc_id long, text string, lang string, " + ", ".join(f"{c} string" for c in NAMES.split())
@@ -267,3 +269,53 @@ def test_held_out_gains(spark):
     got = rows(suffix_tree_lm.score_table(table(spark, docs), context=16, follow=4))
     held = [r for r in got if r["held_out"]]
     assert sum(r["score"] for r in held) > 0.95 * sum(r["base_score"] for r in held)
+
+
+# ---- pages that are wrapped as a whole, and names inside operators
+
+RICH = "This is a line of the text that has many of the words that are in all texts, and it is as long as it has to be for that."
+OTHER = "Длинный абзац без знакомых слов, в нём семьдесят букв и ещё немного."
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f'<body><form id="aspnetForm"><div class=nav>Menu of all</div><div><p>{RICH}</p><p>Short.</p></div></form></body>', f"{RICH}\n\nShort."),
+        (f'<form id="f"><article><p>{RICH}</p></article><div class="sidebar">{RICH[:60]}</div></form>', RICH),
+        (f"<div hidden><article><p>{RICH}</p></article></div>", RICH),
+        (f'<div aria-hidden="true"><article><p>{RICH}</p></article></div>', RICH),
+        (f'<div role="form"><article><p>{RICH}</p></article></div><footer>{RICH}</footer>', RICH),
+        (f'<div class="widgets"><p>{RICH}</p></div>', RICH),
+        ("<p>Hi there.</p>", "Hi there."),
+        (f"<p>{OTHER}</p><p>{OTHER}</p>", f"{OTHER}\n\n{OTHER}"),
+        (f"<ul><li>Home<li>News<li>About</ul><h1>Title</h1><p>{RICH}</p><ul><li>One</li></ul>", f"Title\n\n{RICH}\n\nOne"),
+        (f"<ul><li>Home</li></ul><article><ul><li>First</li></ul><p>{RICH}</p></article>", f"First\n\n{RICH}"),
+        (f'<p>{RICH}</p><form>{RICH} {RICH} {RICH}</form><div class="comments">{RICH}</div>', RICH),
+        ("<nav>Only a menu</nav><script>x</script>", ""),
+    ],
+)
+def test_wrapped_pages(page, want):
+    assert html_text.main_text(page) == want
+
+
+def test_deep_wrappers_take_linear_time():
+    page = "<form>" * 20_000 + f"<p>{RICH}</p>"
+    begun = time.time()
+    assert html_text.main_text(page) == RICH
+    assert time.time() - begun < 5
+
+
+INNER = "_group _draws _d _epoch _row _doc _hash _id _tokens _copies _order _bucket _inside _start _columns _text_hash _gone __doc __hash doc text_hash _stay _lang _score _block node kind rep label"
+
+
+@pytest.mark.parametrize("stage", [k for k, _ in corpus_pipeline.STAGES[:-1]])
+def test_columns_may_have_any_name(spark, stage):
+    """Each stage gives the columns it was given, though they are called what stages use inside."""
+    names = INNER.split()
+    words = [" ".join(f"w{(k * 7 + j) % 90}" for j in range(60)) for k in range(8)]
+    data = [(k, words[k % 6], "en", f"s{k % 2}", 100, *[f"{c}{k}" for c in names]) for k in range(8)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in names))
+    out = dict(corpus_pipeline.STAGES)[stage](spark, docs, "")
+    assert out.columns == docs.columns
+    got = out.collect()
+    assert got and all(r[c] == f"{c}{r.doc_id}" for r in got for c in names)

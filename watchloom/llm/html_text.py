@@ -6,7 +6,11 @@ every other block: words, its density of stop words and its length speak for it,
 an article or main element gets a point, one outside it loses three where the page has such an element and
 most of its dense text lies there. A clear score decides. The rest are short, ambiguous blocks: in the second pass
 each inherits the label of the nearest decided neighbour on its side of the article's border, the one before it on ties.
-Where none is decided, blocks of an article are text and all others are not.
+Where none is decided, blocks of an article are text and all others are not. On pages without such an element, list items
+before the first dense block are a menu, and where no block is dense at all, those that are not mostly links are text.
+
+Where nothing dense is kept although forms, hidden elements, roles or names drop dense text, those of them that hold at least half of it are
+taken for wrappers of the page: they drop nothing, and the blocks are judged anew.
 
 A tag is read attribute by attribute. Pages are read in time linear in their length, whatever is left open: a quote that no
 later one closes ends at its tag, and an unfinished tag or comment at the end of the page is markup.
@@ -103,20 +107,21 @@ def _marked(attrs: dict[str, str], inside: bool) -> tuple[bool, bool]:
 class _Element:
     """An open element that is a block or drops what it holds; ``outer`` is the next such dropper around it."""
 
-    __slots__ = ("name", "article", "hard", "named", "outer", "final")
+    __slots__ = ("name", "article", "firm", "hard", "named", "outer", "final", "mass")
 
-    def __init__(self, name: str, article: bool, hard: bool, named: bool, outer: _Element | None):
-        self.name, self.article, self.hard, self.named, self.outer = name, article, hard, named, outer
+    def __init__(self, name: str, article: bool, firm: bool, hard: bool, named: bool, outer: _Element | None):
+        self.name, self.article, self.firm, self.hard, self.named, self.outer = name, article, firm, hard, named, outer
         self.final: bool | None = None
+        self.mass = 0
 
 
 def _dropped(e: _Element | None) -> bool:
     """Whether an element or one around it drops its blocks, asked when all names are settled; each element is passed once."""
     passed = []
-    while e is not None and e.final is None and not (e.hard or e.named):
+    while e is not None and e.final is None and not (e.firm or e.hard or e.named):
         passed.append(e)
         e = e.outer
-    found = e is not None and bool(e.hard or e.named or e.final)
+    found = e is not None and bool(e.firm or e.hard or e.named or e.final)
     for x in passed:
         x.final = found
     return found
@@ -127,6 +132,7 @@ class _Reader:
 
     def __init__(self) -> None:
         self.out: list[tuple[str, int, _Element | None, bool]] = []
+        self.every: list[_Element] = []
         self.stack: list[_Element] = []
         self.by_name: dict[str, list[int]] = {}
         self.naming: list[_Element] = []  # open elements that only their names drop
@@ -163,11 +169,11 @@ class _Reader:
             self.parts.append(" ")
             return
         inside, article = self.articles > 0, name in ("article", "main")
-        hard, named = name in DROPPED_TAGS or name == "header" and not inside, False
+        firm, hard, named = name in DROPPED_TAGS and name != "form" or name == "header" and not inside, name == "form", False
         if name not in ("html", "body", "article", "main"):
             more, named = _marked(attrs, inside)
             hard |= more
-        kept = name in BLOCK_TAGS or hard or named
+        kept = name in BLOCK_TAGS or firm or hard or named
         if kept:
             self.flush()
         if name in _END_MAY_LACK and self.stack and self.stack[-1].name in _SAME.get(name, (name,)):
@@ -177,9 +183,10 @@ class _Reader:
                 for e in self.naming:  # a name does not drop an article
                     e.named = False
                 self.naming.clear()
-            e = _Element(name, article, hard, named, self.stack[-1] if self.stack else None)
+            e = _Element(name, article, firm, hard, named, self.stack[-1] if self.stack else None)
+            self.every.append(e)
             self.by_name.setdefault(name, []).append(len(self.stack))
-            if named and not hard:
+            if named and not (firm or hard):
                 self.naming.append(e)
             self.stack.append(e)
             self.articles += article
@@ -205,8 +212,44 @@ def _raw_end(page: str, name: str, at: int) -> int:
 _RAW_ENDS = {name: re.compile(rf"</{name}(?![^\s/>])[^>]*>?", re.I) for name in RAW_TAGS}
 
 
-def blocks(page: str) -> list[tuple[str, int, bool, bool]]:
-    """``(text, link characters, dropped, inside the article)`` of every block with text, in page order."""
+def blocks(page: str) -> list[tuple[str, int, bool, bool, bool]]:
+    """``(text, link characters, dropped, inside the article, list item)`` of every block with text, in page order."""
+    r = _read(page)
+    found = _settled(r)
+    if not any(_mass(b) for b in found if not b[2]) and _unwrap(r):
+        found = _settled(r)
+    return found
+
+
+def _mass(block: tuple) -> int:
+    """The characters of a dense block that is not mostly links."""
+    return len(block[0]) if dense(block[0]) and block[1] <= LINK_SHARE * len(block[0]) else 0
+
+
+def _settled(r: _Reader) -> list[tuple[str, int, bool, bool, bool]]:
+    return [(text, links, _dropped(e), inside, e is not None and e.name == "li") for text, links, e, inside in r.out]
+
+
+def _unwrap(r: _Reader) -> bool:
+    """Take the mark off elements, but for those that their tags drop, that hold at least half of the dense text there is; whether there were any."""
+    for text, links, e, _ in r.out:
+        if e is not None:
+            e.mass += _mass((text, links))
+    for e in reversed(r.every):  # an element is opened after the one around it
+        if e.firm:
+            e.mass = 0
+        if e.outer is not None:
+            e.outer.mass += e.mass
+    total = sum(e.mass for e in r.every if e.outer is None)
+    heavy = [e for e in r.every if (e.hard or e.named) and total and 2 * e.mass >= total]
+    for e in heavy:
+        e.hard = e.named = False
+    for e in r.every:
+        e.final = None
+    return bool(heavy)
+
+
+def _read(page: str) -> _Reader:
     r, at, n = _Reader(), 0, len(page)
     last = {q: page.rfind(q) for q in ("'", '"')}
     while at < n:
@@ -243,7 +286,7 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool]]:
         else:
             r.opened(name, attrs, page[at - 2] == "/")
     r.flush()
-    return [(text, links, _dropped(e), inside) for text, links, e, inside in r.out]
+    return r
 
 
 def dense(text: str) -> bool:
@@ -255,7 +298,7 @@ def dense(text: str) -> bool:
     return len(text) >= RICH_CHARS and stops >= STOP_SHARE * len(own)
 
 
-def labels(found: list[tuple[str, int, bool, bool]]) -> list[bool]:
+def labels(found: list[tuple]) -> list[bool]:
     """Which blocks are main text."""
     rich, linked = [dense(b[0]) for b in found], [b[1] > LINK_SHARE * len(b[0]) for b in found]
     mass = [len(b[0]) if r and not x and not b[2] else 0 for b, r, x in zip(found, rich, linked)]
@@ -265,9 +308,11 @@ def labels(found: list[tuple[str, int, bool, bool]]) -> list[bool]:
     for b, r, x in zip(found, rich, linked):
         score = (-2 if x else 2 if r else 0) + ((1 if b[3] else -3) if scoped else 0)
         out.append(False if b[2] or score <= -2 else True if score >= 2 else None)
+    # menu items are left out, and say nothing about the blocks beside them
+    menu = {i for i in range(out.index(True)) if out[i] is None and found[i][4:] == (True,)} if not scoped and True in out else set()
     for side in (True, False):
         # dropped blocks say nothing about those beside them in an article
-        own = [i for i, b in enumerate(found) if (not scoped or b[3] == side) and not (scoped and side and b[2])]
+        own = [i for i, b in enumerate(found) if (not scoped or b[3] == side) and not (scoped and side and b[2]) and i not in menu]
         _inherit(out, own, default=scoped and side)
         if not scoped:
             break
@@ -292,7 +337,10 @@ def _inherit(out: list[bool | None], own: list[int], default: bool) -> None:
 
 def main_text(page: str | None) -> str:
     found = blocks(page or "")
-    return "\n\n".join(b[0] for b, yes in zip(found, labels(found)) if yes)
+    kept = labels(found)
+    if not any(kept):  # no block is dense: length is all there is to go by
+        kept = [not b[2] and b[1] <= LINK_SHARE * len(b[0]) for b in found]
+    return "\n\n".join(b[0] for b, yes in zip(found, kept) if yes)
 
 
 def extract_table(pages: DataFrame, id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

@@ -152,8 +152,8 @@ def _quotas(docs: DataFrame, source: str, text: str, **limits) -> tuple[DataFram
     return table.withColumn("_epochs", F.greatest(F.lit(1), F.coalesce(F.ceil(F.try_divide("_quota", "_total")), F.lit(1)).cast("int"))), len(first) <= MAX_SOURCES
 
 
-def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", seed: int = 0, block_tokens: int = BLOCK_TOKENS, **limits) -> DataFrame:
-    """``docs`` as they are drawn, one row per draw, with ``_tokens, _epoch, _start, _block, _order``."""
+def _drawn(docs: DataFrame, carried: list[str], id: str, text: str, source: str, seed: int, block_tokens: int, **limits) -> DataFrame:
+    """One row per draw: ``_columns``, a struct of the ``carried`` ones, and ``_tokens, _epoch, _start, _block, _order``."""
     keep_all = limits.get("keep_all", False)
     table, few = _quotas(docs, source, text, **limits)
     # a row's identity, never null; the count tells apart rows that repeat it
@@ -180,17 +180,29 @@ def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "
     # all draws of a row together, back to its text; rows that repeat an identity, if any, are numbered for it
     each = F.sort_array(F.collect_list(F.struct("_epoch", "_start", block.alias("_block"), "_order"))).alias("_draws")
     draws = materialise(kept.groupBy(*key, "_row").agg(F.min("_tokens").alias("_tokens"), F.max("_copies").alias("_copies"), each))
-    named = docs.select(*docs.columns, *own)
-    out = named.join(draws.filter("_copies = 1").drop("_copies", "_row"), key).select(*docs.columns, "_tokens", "_draws")
+    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in carried]).alias("_columns"), *own)
+    out = named.join(draws.filter("_copies = 1").drop("_copies", "_row"), key).select("_columns", "_tokens", "_draws")
     several = draws.filter("_copies > 1").drop("_copies")
     number = F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(0))).cast("long")
     numbered = named.join(several.select(*key).distinct(), key, "left_semi").withColumn("_row", number)
-    out = out.unionByName(numbered.join(several, [*key, "_row"]).select(*docs.columns, "_tokens", "_draws"))
-    return out.select(*docs.columns, "_tokens", F.explode("_draws").alias("_d")).select(*docs.columns, "_tokens", "_d._epoch", "_d._start", "_d._block", "_d._order")
+    out = out.unionByName(numbered.join(several, [*key, "_row"]).select("_columns", "_tokens", "_draws"))
+    return out.select("_columns", "_tokens", F.explode("_draws").alias("_d")).select("_columns", "_tokens", "_d._epoch", "_d._start", "_d._block", "_d._order")
+
+
+def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", seed: int = 0, block_tokens: int = BLOCK_TOKENS, **limits) -> DataFrame:
+    """``docs`` as they are drawn, one row per draw, with ``_tokens, _epoch, _start, _block, _order``; columns of ``docs`` with one of these names give way."""
+    added = ("_tokens", "_epoch", "_start", "_block", "_order")
+    carried = [c for c in docs.columns if c.lower() not in added]
+    return _drawn(docs, carried, id, text, source, seed, block_tokens, **limits).select("_columns.*", *added)
+
+
+def redrawn(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", seed: int = 0, block_tokens: int = BLOCK_TOKENS, **limits) -> DataFrame:
+    """``docs`` as they are drawn, with their own columns whatever these are called."""
+    return _drawn(docs, docs.columns, id, text, source, seed, block_tokens, **limits).select("_columns.*")
 
 
 def mix_table(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", **limits) -> DataFrame:
     """``doc_id, source, epoch, n_tokens, block, start_token, order_key`` of every draw."""
     rows = docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text"), F.col(source).alias("source"))
-    drawn = mix(rows, "doc_id", "text", "source", **limits)
-    return drawn.select("doc_id", "source", F.col("_epoch").alias("epoch"), F.col("_tokens").alias("n_tokens"), F.col("_block").alias("block"), F.col("_start").alias("start_token"), F.col("_order").alias("order_key"))
+    drawn = _drawn(rows, ["doc_id", "source"], "doc_id", "text", "source", limits.pop("seed", 0), limits.pop("block_tokens", BLOCK_TOKENS), **limits)
+    return drawn.select("_columns.doc_id", "_columns.source", F.col("_epoch").alias("epoch"), F.col("_tokens").alias("n_tokens"), F.col("_block").alias("block"), F.col("_start").alias("start_token"), F.col("_order").alias("order_key"))

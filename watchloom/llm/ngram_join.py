@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 
 from watchloom.llm import bloom
 from watchloom.llm.components import connected_components
-from watchloom.llm.storage import bounded, materialise, partitions
+from watchloom.llm.storage import bounded, materialise, partitions, unused
 from watchloom.llm.text_hash import mix64, shingle_sets, text_slices, words
 
 SIZE, NUM, DEN = 5, 3, 4
@@ -497,5 +497,6 @@ def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFra
     of the document that stays are one document too.
     """
     found = ngram_components(docs, id, text)
-    stay = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stay")).distinct()
-    return docs.join(stay, F.col(id).cast("long").eqNullSafe(F.col("_stay")), "left_semi").dropDuplicates([id, text])
+    name = unused(docs, "_stay")
+    stay = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(stay, F.col(id).cast("long").eqNullSafe(F.col(name)), "left_semi").dropDuplicates([id, text])

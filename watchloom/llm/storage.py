@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from watchloom.session import shared_dir, ship
 
-__all__ = ["bounded", "materialise", "partitions", "shared_dir"]
+__all__ = ["bounded", "materialise", "partitions", "shared_dir", "unused"]
 
 _BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
@@ -37,5 +37,13 @@ def materialise(df: DataFrame, free: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with underscores behind it until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

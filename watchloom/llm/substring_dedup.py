@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from watchloom.llm import bloom
-from watchloom.llm.storage import bounded, materialise, partitions, shared_dir
+from watchloom.llm.storage import bounded, materialise, partitions, shared_dir, unused
 from watchloom.llm.text_hash import join, mix64, text_slices, window_hashes, words
 
 WINDOW = 20
@@ -394,11 +394,10 @@ def _covered(stretches: list | None, n: int, window: int) -> np.ndarray | None:
 
 
 def _marked(docs: DataFrame, gone: DataFrame, id: str, text: str) -> DataFrame:
-    """Each row of ``docs`` with ``_gone``, the list of its repeated stretches."""
+    """The rows of ``docs`` as ``_columns``, a struct, with ``_gone``, the list of their repeated stretches."""
     by = gone.groupBy("doc", "text_hash").agg(F.collect_list(F.struct("start", "len")).alias("_gone"))
-    left = docs.withColumns({"_doc": F.coalesce(F.col(id).cast("long"), F.lit(-(2**63))), "_text_hash": F.xxhash64(text)})
-    on = (F.col("_doc") == F.col("doc")) & (F.col("_text_hash") == F.col("text_hash"))
-    return left.join(by.withColumnsRenamed({"doc": "__doc", "text_hash": "__hash"}), (F.col("_doc") == F.col("__doc")) & (F.col("_text_hash") == F.col("__hash")), "left").drop("__doc", "__hash", "_doc", "_text_hash") if "doc" in docs.columns or "text_hash" in docs.columns else left.join(by, on, "left").drop("doc", "text_hash", "_doc", "_text_hash")
+    key = [F.coalesce(F.col(id).cast("long"), F.lit(-(2**63))).alias("doc"), F.xxhash64(text).alias("text_hash")]
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_columns"), *key).join(by, ["doc", "text_hash"], "left").select("_columns", "_gone")
 
 
 def _batches(docs: DataFrame, id: str, batches: int) -> list[tuple[DataFrame, DataFrame | None]]:
@@ -429,21 +428,21 @@ def dedup_texts(docs: DataFrame, id: str = "doc_id", text: str = "text", window:
     A text that loses nothing stays as it is, byte for byte. Of another, the kept words are joined
     by one space; it may become empty.
     """
-    gone = repeated(docs, id, text, window, batches=batches)
+    gone, k = repeated(docs, id, text, window, batches=batches), docs.columns.index(text)
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (frame.slice(at, 512) for frame in frames for at in range(0, frame.num_rows, 512)):
-            k, g = batch.schema.get_field_index(text), batch.schema.get_field_index("_gone")
             texts = batch.column(k).to_pylist()
-            for row, spans in enumerate(batch.column(g).to_pylist()):
+            for row, spans in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
                 if spans:
                     own = texts[row].encode().split()
                     lost = _covered(spans, len(own), window)
                     texts[row] = b" ".join(compress(own, ~lost)).decode()
             kept = batch.set_column(k, batch.schema.field(k), pa.array(texts, batch.schema.field(k).type))
-            yield kept.select([c for c in batch.schema.names if c != "_gone"])
+            yield kept.select(list(range(batch.num_columns - 1)))
 
-    return _marked(docs, gone, id, text).select(*docs.columns, "_gone").mapInArrow(run, docs.schema)
+    marked = _marked(docs, gone, id, text)
+    return marked.select("_columns.*", F.col("_gone").alias(unused(docs, "_gone"))).mapInArrow(run, docs.schema)
 
 
 def dedup_digest(docs: DataFrame, id: str = "doc_id", text: str = "text", window: int = WINDOW, batches: int = 3) -> DataFrame:
@@ -465,5 +464,5 @@ def dedup_digest(docs: DataFrame, id: str = "doc_id", text: str = "text", window
             )
 
     small = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    marked = _marked(small, gone, "doc_id", "text").select("doc_id", "text", "_gone")
+    marked = _marked(small, gone, "doc_id", "text").select("_columns.doc_id", "_columns.text", "_gone")
     return marked.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
