@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from watchloom.llm import bpe, language_id, mixing, ngram_join, substring_dedup
-from watchloom.llm.storage import materialise
+from watchloom.llm.storage import materialise, unused
 from watchloom.session import ship
 
 #: Name of the vocabulary among the public tokenizers.
@@ -31,9 +31,10 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     models = language_id.fit(language_id.training_part(docs))
     if not models[0].langs:
         return docs
-    found = language_id.identify(docs, models, lang_col="_lang", score_col="_score")
-    kept = found.filter((F.col("_lang") != language_id.UNKNOWN) & (F.col("lang").isNull() | (F.col("lang") == F.col("_lang"))))
-    return kept.withColumn("lang", F.coalesce("lang", "_lang")).select(*docs.columns)
+    name, score = unused(docs, "_lang"), unused(docs, "_score")
+    found = language_id.identify(docs, models, lang_col=name, score_col=score)
+    kept = found.filter((F.col(name) != language_id.UNKNOWN) & (F.col("lang").isNull() | (F.col("lang") == F.col(name))))
+    return kept.withColumn("lang", F.coalesce("lang", name)).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,7 +62,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null source is one of its own; texts without words are drawn with the epoch they lie in.
     """
     ship(spark)
-    return mixing.mix(docs, max_epochs=MAX_EPOCHS, keep_all=True).select(*docs.columns)
+    return mixing.redrawn(docs, max_epochs=MAX_EPOCHS, keep_all=True)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
