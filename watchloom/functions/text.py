@@ -69,39 +69,24 @@ def clean_text(c: Column) -> Column:
     return F.nullif(strip(F.lower(c)), F.lit(""))
 
 
-def _whole(words: tuple[str, ...]) -> Column:
-    """A pattern that matches each of the words where white space or an end stands on both sides."""
-    return F.lit(r"(?U)(?<!\S)(?:" + "|".join(words) + r")(?!\S)")
-
-
 def language(c: Column, strict: bool = False) -> Column:
     """Struct ``type, confidence, devanagari, latin, markers, words``; ``strict`` counts unambiguous markers only."""
-    deva, latin = F.coalesce(c.rlike(r"[\x{0900}-\x{097F}]"), F.lit(False)), F.coalesce(c.rlike("[a-zA-Z]"), F.lit(False))
-    letters = F.coalesce(F.regexp_replace(F.lower(c), r"(?U)[^a-z\s]", ""), F.lit(""))
     high_words = tuple(m for m in MARKERS if m not in AMBIGUOUS)
-    # one element, so that the cleaned text is made once for the three counts
-    counted = F.transform(
-        F.array(letters),
-        lambda t: F.struct(
-            F.regexp_count(t, _whole(high_words)).alias("high"),
-            F.regexp_count(t, _whole(high_words if strict else MARKERS)).alias("hits"),
-            F.regexp_count(t, F.lit(r"(?U)\S+")).alias("words"),
-        ),
-    )
-    pick = lambda a, b: F.struct(F.lit(a).alias("type"), F.lit(b).alias("confidence"))
+    size = lambda words: F.size(words).cast("int")
+    has = lambda pattern: F.coalesce(c.rlike(pattern), F.lit(False))
+    # lists of one: what stands in them is worked out once, however often it is used after
+    letters = F.coalesce(F.regexp_replace(F.lower(c), r"(?U)[^a-z\s]", ""), F.lit(""))
+    short = F.coalesce(F.length(strip(c)) < 3, F.lit(True))
+    seen = F.array(F.struct(F.filter(F.split(letters, r"(?U)\s+"), lambda w: w != "").alias("w"), has(r"[\x{0900}-\x{097F}]").alias("deva"), has("[a-zA-Z]").alias("latin"), short.alias("short")))
+    marked = F.transform(seen, lambda x: F.struct(x.alias("x"), F.filter(x["w"], lambda w: w.isin(*(high_words if strict else MARKERS))).alias("m")))
+    counted = F.transform(marked, lambda y: F.struct(y["x"]["deva"].alias("deva"), y["x"]["latin"].alias("latin"), y["x"]["short"].alias("short"), size(y["x"]["w"]).alias("words"), size(y["m"]).alias("hits"), size(F.filter(y["m"], lambda w: w.isin(*high_words))).alias("high")))
 
     def describe(n: Column) -> Column:
-        found = (
-            F.when(c.isNull() | (F.length(strip(c)) < 3), pick("unknown", "low"))
-            .when(~deva & ~latin, pick("english", "high"))
-            .when(deva & ~latin, pick("hindi", "high"))
-            .when(deva & latin, pick("hinglish", "high"))
-            .when(n["words"] == 0, pick("unknown", "low"))
-            .when(n["hits"] >= 2, pick("hinglish", "high"))
-            .when((n["hits"] == 1) & (n["high"] == 1), pick("hinglish", "medium"))
-            .otherwise(pick("english", "high"))
-        )
-        return F.struct(found["type"].alias("type"), found["confidence"].alias("confidence"), deva.alias("devanagari"), latin.alias("latin"), n["hits"].alias("markers"), n["words"].alias("words"))
+        plain = n["deva"] | ~n["latin"] | (n["words"] > 0)  # scripts decide, or there are words to count
+        mixed = (n["deva"] & n["latin"]) | (~n["deva"] & n["latin"] & ((n["hits"] >= 2) | (n["hits"] == 1) & (n["high"] == 1)))
+        kind = F.when(n["short"] | ~plain, "unknown").when(n["deva"] & ~n["latin"], "hindi").when(mixed, "hinglish").otherwise("english")
+        sure = F.when(n["short"] | ~plain, "low").when(~n["deva"] & n["latin"] & (n["hits"] == 1) & (n["high"] == 1), "medium").otherwise("high")
+        return F.struct(kind.alias("type"), sure.alias("confidence"), n["deva"].alias("devanagari"), n["latin"].alias("latin"), n["hits"].alias("markers"), n["words"].alias("words"))
 
     return F.transform(counted, describe)[0]
 

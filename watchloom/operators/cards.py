@@ -130,10 +130,14 @@ def first_and_last(watch: DataFrame) -> DataFrame:
 
 
 def card_document(events: DataFrame, year: int, version: str = "1.0") -> DataFrame:
-    """All cards of a user with watches as one JSON document, with its year, version and totals; lists are in the order of their ranks."""
+    """All cards of a user with watches as one JSON document, with its year, version and totals; lists are in the order of their ranks.
+
+    The cards are rows of name and text that meet in one shuffle by user, so there is no join for each card.
+    """
     watch = activity.watches(events)
-    lists = lambda df: df.groupBy(USER).agg(F.sort_array(F.collect_list(F.struct(*[c for c in df.columns if c != USER]))).alias("card"))
-    one = lambda df: df.select(USER, F.struct(*[c for c in df.columns if c != USER]).alias("card"))
+    body = lambda df: F.struct(*[c for c in df.columns if c != USER])
+    lists = lambda df: df.groupBy(USER).agg(F.to_json(F.sort_array(F.collect_list(body(df)))).alias("card"))
+    one = lambda df: df.select(USER, F.to_json(body(df)).alias("card"))
     top = top_channels(watch)
     totals = events.groupBy(USER).agg(F.count("*").alias("total_events"), F.count_if(F.col("type") == "watch").alias("total_watch")).filter(F.col("total_watch") > 0)
     cards = {
@@ -141,8 +145,13 @@ def card_document(events: DataFrame, year: int, version: str = "1.0") -> DataFra
         "watch_cycle": one(watch_cycle(watch)), "peak_weekday": one(peak_weekday(watch)),
         "streak": one(streaks.longest_streak(watch)), "binge": one(sessions.binge_sessions(watch)), "late_night": one(late_night(watch)), "habits": lists(habit_channels(watch)),
         "patterns": lists(patterns(watch)), "rewatched": one(rewatched(watch)), "subscriptions": one(overlap.subscription_overlap(events)), "searches": lists(searches(events)), "first_last": one(first_and_last(watch)),
+        "metadata": one(totals.select(USER, F.lit(version).alias("version"), "total_events", "total_watch")),
     }
-    out = totals.select(USER, F.struct(F.lit(version).alias("version"), "total_events", "total_watch").alias("metadata"))
-    for name, df in cards.items():
-        out = out.join(df.withColumnRenamed("card", name), USER, "left")
-    return out.select(USER, F.to_json(F.struct(F.lit(year).alias("year"), *cards, "metadata")).alias("cards"))
+    rows = None
+    for k, (name, df) in enumerate(cards.items()):
+        row = df.select(USER, F.lit(k).alias("k"), F.concat(F.lit(f'"{name}":'), "card").alias("part"))
+        rows = row if rows is None else rows.unionByName(row)
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("k", "part"))), lambda x: x["part"])
+    whole = F.concat(F.lit(f'{{"year":{int(year)},'), F.array_join(parts, ","), F.lit("}"))
+    # only users with watches have metadata
+    return rows.groupBy(USER).agg(whole.alias("cards"), F.max("k").alias("_k")).filter(F.col("_k") == len(cards) - 1).select(USER, "cards")

@@ -8,33 +8,27 @@ from pyspark.sql import functions as F
 USER = "user_id"
 
 
-def _sets(events: DataFrame) -> tuple[DataFrame, DataFrame]:
-    own = lambda t: events.filter((F.col("type") == t) & F.col("channel_clean").isNotNull()).select(USER, "channel_clean").distinct()
-    return own("subscribe"), own("watch")
+def _channels(events: DataFrame) -> DataFrame:
+    """One row for each user and channel: whether it is subscribed to (``s``), watched (``w``), and its last name, in one pass and one shuffle."""
+    order = F.struct(F.when(F.col("type") == "watch", 0).when(F.col("type") == "search", 1).otherwise(2), "seq")
+    own = events.filter(F.col("channel_clean").isNotNull())
+    return own.groupBy(USER, "channel_clean").agg(F.bool_or(F.col("type") == "subscribe").alias("s"), F.bool_or(F.col("type") == "watch").alias("w"), F.max_by("channel", order).alias("name"))
 
 
 def subscription_overlap(events: DataFrame) -> DataFrame:
-    """Counts of both, ghost (subscribed only) and unsubscribed channels, in one full outer join."""
-    subscribed, watched = _sets(events)
-    joined = subscribed.withColumn("s", F.lit(True)).join(watched.withColumn("w", F.lit(True)), [USER, "channel_clean"], "full_outer")
-    s, w = F.coalesce("s", F.lit(False)), F.coalesce("w", F.lit(False))
-    out = joined.groupBy(USER).agg(F.count_if(s).alias("subscribed"), F.count_if(w).alias("watched"), F.count_if(s & w).alias("both"), F.count_if(s & ~w).alias("ghost"), F.count_if(w & ~s).alias("unsubscribed"))
+    """Counts of both, ghost (subscribed only) and unsubscribed channels."""
+    s, w = F.col("s"), F.col("w")
+    found = _channels(events).filter(s | w)
+    out = found.groupBy(USER).agg(F.count_if(s).alias("subscribed"), F.count_if(w).alias("watched"), F.count_if(s & w).alias("both"), F.count_if(s & ~w).alias("ghost"), F.count_if(w & ~s).alias("unsubscribed"))
     return out.withColumn("percent", F.col("both") * 100 / F.nullif("subscribed", F.lit(0)))
 
 
 def overlap_names(events: DataFrame, n: int = 20) -> DataFrame:
     """Up to n names of each kind, ordered by channel; the display name is the last seen."""
-    subscribed, watched = _sets(events)
-    on = [USER, "channel_clean"]
-    kinds = (("both", subscribed.join(watched, on, "left_semi")), ("ghost", subscribed.join(watched, on, "left_anti")), ("unsubscribed", watched.join(subscribed, on, "left_anti")))
-    rows = None
-    for kind, df in kinds:
-        df = df.withColumn("kind", F.lit(kind))
-        rows = df if rows is None else rows.unionByName(df)
-    order = F.struct(F.when(F.col("type") == "watch", 0).when(F.col("type") == "search", 1).otherwise(2), "seq")
-    names = events.filter(F.col("channel_clean").isNotNull()).groupBy(on).agg(F.max_by("channel", order).alias("name"))
+    kind = F.when(F.col("s") & F.col("w"), "both").when(F.col("s"), "ghost").when(F.col("w"), "unsubscribed")
     by = Window.partitionBy(USER, "kind").orderBy("channel_clean")
-    return rows.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= n).join(names, on).select(USER, "kind", "rank", "channel_clean", "name")
+    ranked = _channels(events).withColumn("kind", kind).filter(F.col("kind").isNotNull()).withColumn("rank", F.row_number().over(by))
+    return ranked.filter(F.col("rank") <= n).select(USER, "kind", "rank", "channel_clean", "name")
 
 
 def unknown_channels(counts: DataFrame, known: DataFrame, key: str, least: int = 2, size: int = 50) -> DataFrame:

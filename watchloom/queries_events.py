@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from watchloom import queries as base
 from watchloom import sql
-from watchloom.operators import activity, asof, cards, intervals, payloads, sessions, sketches
+from watchloom.operators import activity, asof, cards, intervals, payloads, sessions, sketches, streaks
 from watchloom.plans import cube
 from watchloom.queries import _E, _ZONES, export_files
 from watchloom.session import shared_dir, ship
@@ -266,6 +266,8 @@ _add("sketch_exact", base._watch(lambda w: sketches.exact(w, *_SPAN).select("use
 SELECT user_id, count(*) AS n, count(DISTINCT d) AS days, count(DISTINCT channel_clean) AS channels, (list_sort(list(h * 60 + minute(ts)))[ceil(count(*) / 2)::INTEGER])::BIGINT AS median, any_value(most) AS most FROM r JOIN c USING (user_id) GROUP BY user_id""")
 
 
+_add("inactive_periods_all", base._watch(lambda w: streaks.inactive_periods(streaks.daily(w))), base.ORACLES["inactive_periods"].replace("engagement = 'active')", "type = 'watch')"))
+
 # Versioned tables: each query makes several versions and reads one or more of them.
 
 
