@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from watchloom.llm import html_text, spelling, subvector_kmeans, suffix_tree_lm
+from watchloom.llm import html_text, spelling, subvector_kmeans, suffix_tree_lm, toxicity
 
 NAMES = "word n near near_n form root key context suffix value kind slice held ids codes cluster what id v h"
 SCHEMA = "doc_id long, text string, lang string, " + ", ".join(f"{c} string" for c in NAMES.split())
@@ -319,3 +319,10 @@ def test_columns_may_have_any_name(spark, stage):
     assert out.columns == docs.columns
     got = out.collect()
     assert got and all(r[c] == f"{c}{r.doc_id}" for r in got for c in names)
+
+
+def test_labels_of_missing_documents_take_no_place(spark):
+    docs = table(spark, [(k, f"text {k} " + ("bad" if k % 2 else "good")) for k in range(1, 20)])
+    labels = spark.createDataFrame([(k, k % 2) for k in range(1, 4000)], "doc_id long, toxic long")
+    texts, toxic = toxicity.training_sample(docs, labels, size=4)
+    assert len(texts) == 8 and sorted(toxic.tolist()) == [0.0] * 4 + [1.0] * 4

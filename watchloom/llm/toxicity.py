@@ -280,6 +280,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text
     """Labelled texts of each class, bounded in number and bytes, of rows whose crc32(id as text) mod 5 is not 0."""
     key = F.col(id).cast("string")
     own = labels.filter(F.col(label).isin(0, 1) & (F.crc32(key) % 5 != 0)).groupBy(F.col(id).cast("long").alias("_id")).agg(F.max(F.col(label).cast("int")).alias("_label"))
+    own = own.join(docs.select(F.col(id).cast("long").alias("_id")), "_id", "left_semi")  # labels of documents that are not there take no place
     few = [own.filter(F.col("_label") == c).orderBy(F.xxhash64("_id"), "_id").limit(2 * size) for c in (0, 1)]
     small = F.broadcast(few[0].unionByName(few[1]))  # at most 4 * size rows
     found = docs.select(F.col(id).cast("long").alias("_id"), F.col(text).alias("_text")).join(small, "_id")
