@@ -203,6 +203,7 @@ def test_session_state_is_bounded(spark, tmp_path):
     batch = sorted((r.user_id, r.start_ts, r.events) for r in sessions.sessionise(events(spark, every)).collect())
     closed = [b for b in batch if b[1] < T0 + dt.timedelta(minutes=7 * 240)]
     assert got == closed
+    assert sorted((r.user_id, r.start_ts, r.events) for r in stateful.open_sessions(spark, state).collect()) == [b for b in batch if b not in closed]
 
 
 def test_late_rows_of_sessions(spark, tmp_path):

@@ -157,6 +157,16 @@ _add("stream_closed_sessions", lambda s, d: _sunk(stateful.closing_sessions(_str
 SELECT user_id, start_ts, end_ts, events FROM ss, m WHERE end_ts + INTERVAL 60 MINUTE < date_trunc('millisecond', mark)""")
 
 
+def _all_sessions(s: SparkSession, d: str) -> DataFrame:
+    """Closed sessions from the sink and open ones from the state: together all there are."""
+    stream, path, state = stateful.closing_sessions(_stream(s, d)), shared_dir(s), shared_dir(s)
+    stateful.append_to(stream, path, state)
+    return stateful.appended(s, path, stream.schema).unionByName(stateful.open_sessions(s, state))
+
+
+_add("stream_all_sessions", _all_sessions, base.ORACLES["session_stream"])
+
+
 def _suppliers(s: SparkSession, d: str) -> DataFrame:
     """A channel table: nations' suppliers by number, of which events know the first hundred."""
     return base._read(s, d, "supplier").join(F.broadcast(base._read(s, d, "nation")), F.col("s_nationkey") == F.col("n_nationkey")).select(F.concat(F.lit("channel "), F.col("s_suppkey").cast("string")).alias("channel_clean"), F.col("n_name").alias("nation"))

@@ -68,6 +68,13 @@ def closing_sessions(events: DataFrame, gap_minutes: int = 60, late: str = "1 ho
     return out.select("user_id", zoneless(F.col("start_us")).alias("start_ts"), zoneless(F.col("end_us")).alias("end_ts"), "events")
 
 
+def open_sessions(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """Sessions that are still open, as ``closing_sessions`` tells closed ones, read from the state behind a stream's checkpoint."""
+    kept = spark.read.format("statestore").load(checkpoint).select("key.user_id", "value.groupState.*")
+    each = kept.select("user_id", F.explode(F.arrays_zip("starts", "ends", "events")).alias("s"))
+    return each.select("user_id", zoneless(F.col("s.starts")).alias("start_ts"), zoneless(F.col("s.ends")).alias("end_ts"), F.col("s.events").alias("events"))
+
+
 def append_to(stream: DataFrame, path: str, checkpoint: str | None = None):
     """Run a stream in append mode over all that is there now into a file sink; the same ``checkpoint`` goes on where it ended.
 
