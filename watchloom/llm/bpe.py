@@ -28,10 +28,8 @@ import unicodedata
 from collections.abc import Iterator
 from functools import partial
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -77,6 +75,8 @@ def _step(spec: dict):
     if spec["type"] == "Lowercase":
         return _lower
     if spec["type"] == "Replace" and "Regex" in spec["pattern"]:
+        import regex
+
         return partial(regex.compile(spec["pattern"]["Regex"]).sub, spec["content"])
     if spec["type"] == "Replace" and "String" in spec["pattern"]:
         return lambda text: text.replace(spec["pattern"]["String"], spec["content"])
@@ -93,6 +93,10 @@ def _split_pattern(parts: list[dict]) -> str:
 
 class BpeCodec:
     def __init__(self, spec: str):
+        # only this operator needs them
+        import ahocorasick
+        import regex
+
         j = json.loads(spec)
         model = j["model"]
         self.suffix = model.get("end_of_word_suffix") or ""
