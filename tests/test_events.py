@@ -80,6 +80,23 @@ def test_instants_make_sessions_and_wall_clocks_dates(spark, name):
         assert (ends.first_title, ends.last_title) == ("t2", "t1")
 
 
+@pytest.mark.parametrize("name", ["UTC", "America/New_York"])
+def test_offsets_do_not_depend_on_the_session(spark, name):
+    rows = [(dt.datetime(2025, 3, 9, 7, 30), "UTC"), (dt.datetime(2025, 3, 9, 7, 30), "America/New_York"), (dt.datetime(2025, 11, 2, 5, 30), "America/New_York"), (dt.datetime(2025, 11, 2, 6, 30), "America/New_York"), (dt.datetime(2025, 1, 1), "Asia/Kolkata")]
+    with zone(spark, name):
+        got = [r.timestamp_local for r in exports.local_info(spark.createDataFrame(rows, "ts_utc timestamp_ntz, tz string")).collect()]
+    assert got == ["2025-03-09T07:30:00+00:00", "2025-03-09T03:30:00-04:00", "2025-11-02T01:30:00-04:00", "2025-11-02T01:30:00-05:00", "2025-01-01T05:30:00+05:30"]
+
+
+def test_common_zones(spark, tmp_path):
+    (tmp_path / "zone.tab").write_text("# comment\nIN\t+2232+08822\tAsia/Kolkata\nFR\t+4852+00220\tEurope/Paris\tnote\nXX\t+0+0\tMars/X\n")
+    found = [r.tz for r in exports.time_zones(spark, True, str(tmp_path / "zone.tab")).collect()]
+    assert found == sorted([*exports.COMMON, "Asia/Kolkata", "Europe/Paris"])
+    everything = {r.tz for r in exports.time_zones(spark).collect()}
+    wide = {r.tz for r in exports.time_zones(spark, True).collect()}
+    assert set(found) <= wide <= everything and "Mars/X" not in everything
+
+
 # ---- exports
 
 

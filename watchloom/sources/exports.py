@@ -208,16 +208,28 @@ def report_events(found: DataFrame) -> DataFrame:
     return found.select(F.coalesce("ts_local", "ts_utc").alias("ts"), *[c for c in found.columns if c not in ("ts", "ts_local")])
 
 
-#: The areas whose zones are in common use.
+# The areas whose zones are in common use, and common names that a zone table does not list.
 AREAS = ("Africa", "America", "Antarctica", "Arctic", "Asia", "Atlantic", "Australia", "Canada", "Europe", "Indian", "Pacific", "US")
+COMMON = (
+    "Canada/Atlantic", "Canada/Central", "Canada/Eastern", "Canada/Mountain", "Canada/Newfoundland", "Canada/Pacific", "GMT",
+    "US/Alaska", "US/Arizona", "US/Central", "US/Eastern", "US/Hawaii", "US/Mountain", "US/Pacific", "UTC",
+)
 
 
-def time_zones(spark: SparkSession, common: bool = False) -> DataFrame:
-    """All zone names the session's Java knows, or the ``common`` ones: places in an area, UTC and GMT; about 600 rows."""
-    zones = sorted(spark._jvm.java.time.ZoneId.getAvailableZoneIds())
+def time_zones(spark: SparkSession, common: bool = False, zone_table: str | None = None) -> DataFrame:
+    """All zone names the session's Java knows, or the ``common`` ones; sorted, about 600 rows.
+
+    Common are the places of ``zone_table``, the path of the time zone database's ``zone.tab``, with the names of ``COMMON``. Without the table
+    they are all places in an area, which takes older spellings in too.
+    """
+    known = sorted(spark._jvm.java.time.ZoneId.getAvailableZoneIds())
+    if common and zone_table:
+        lines = spark.read.text(zone_table).filter(~F.col("value").startswith("#")).select(F.get(F.split("value", "\t"), F.lit(2)).alias("tz"))
+        named = lines.filter(F.col("tz").isNotNull()).unionByName(spark.createDataFrame([(z,) for z in COMMON], "tz string"))
+        return named.join(F.broadcast(spark.createDataFrame([(z,) for z in known], "tz string")), "tz", "left_semi").distinct().orderBy("tz")
     if common:
-        zones = [z for z in zones if z in ("UTC", "GMT") or z.split("/")[0] in AREAS and "/" in z]
-    return spark.createDataFrame([(z,) for z in zones], "tz string")
+        known = [z for z in known if z in ("UTC", "GMT") or z.split("/")[0] in AREAS and "/" in z]
+    return spark.createDataFrame([(z,) for z in known], "tz string")
 
 
 def stats(df: DataFrame) -> DataFrame:
