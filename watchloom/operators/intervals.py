@@ -35,7 +35,8 @@ def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], left_span:
 
     A bin of level ``k`` is ``unit_seconds * 2**k`` wide. A pair meets at the level of the longer interval, in the bin where the later
     one starts, so it comes up once; there are equality conditions alone, thus hash or merge joins and AQE's splitting of
-    skewed bins. Rows grow by twice the number of levels at most, which is the logarithm of the longest interval in units.
+    skewed bins. Rows grow by twice the number of levels at most, which is the logarithm of the longest interval in units; a
+    small job finds that one first.
     """
     unit = unit_seconds * 1_000_000
     a, b = _spans(left, keys, *left_span, "a", unit), _spans(right, keys, *right_span, "b", unit)

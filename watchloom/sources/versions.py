@@ -5,7 +5,10 @@ manifest, so they see all of a commit or nothing of it, and go on reading their
 files that no manifest names. Two writers that start from one version can't both commit: the second gets ``Conflict`` and may try again.
 
 Rows are dealt to buckets by a hash of the key. Deleting, expiring and merging rewrite only buckets they touch; all other files are named again.
-The bucket of a key is fixed by the table, which its first manifest records.
+The bucket of a key is fixed by the table, which its first manifest records. The file system must rename in one step and not over a file that is there
+(HDFS, ABFS; on a POSIX mount the check before the rename leaves a short gap); object stores without such a rename need one writer at a time.
+A manifest names folders, at most one a bucket and commit that is still in use, so it stays small against the data; many small appends are
+joined by the next change of their buckets.
 """
 
 from __future__ import annotations

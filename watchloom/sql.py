@@ -125,7 +125,7 @@ _FUNCTIONS = (
 def install(spark: SparkSession, events: DataFrame, view: str = VIEW) -> SparkSession:
     """Register the table functions, the view ``watch_events`` of ``events`` and the SQL functions over it.
 
-    ``events`` has ``user_id, seq, type, ts, channel_clean``. A second call replaces the view and the functions.
+    ``events`` has ``user_id`` (a whole number), ``seq, type, ts, channel_clean``. A second call replaces the view and the functions.
     """
     from pyspark.sql.functions import udtf
 
