@@ -194,7 +194,7 @@ def test_channel_table(spark):
 def test_report_and_cards(spark):
     e = events(spark, [(1, k * 30, "ab"[k % 2]) for k in range(40)])
     out = full_report(e)
-    assert len(out) == 10 and all(df.count() >= 0 for df in out.values())
+    assert len({k.split(".")[0] for k in out}) == 10 and len(out) == 30 and all(df.count() >= 0 for df in out.values())
     doc = json.loads(cards.card_document(e, 2024).first().cards)
     assert doc["year"] == 2024 and doc["stats"]["watches"] == 40
 
