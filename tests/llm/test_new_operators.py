@@ -247,6 +247,19 @@ def test_tree_is_plain(spark, depth, size):
     assert {len(s) for s in states} >= ({1, 2} if depth > 1 else {1})
 
 
+def test_levels_are_written_once(spark, monkeypatch):
+    """Each level of the tree is one table; what is answered are counts, and neighbouring keys go to one bucket."""
+    written, write = [], suffix_tree_lm.materialise
+    encoded = suffix_tree_lm.encode(table(spark, lm_docs()).repartition(2))
+    monkeypatch.setattr(suffix_tree_lm, "materialise", lambda df, free=False: written.append(df) or write(df, free))
+    tree = suffix_tree_lm.fit(encoded, depth=2, context=12, follow=3, gain=4.0)
+    assert len(written) == 3 and dict(tree.answers.dtypes)["n"] == "bigint"
+    keys = np.sort(np.random.default_rng(1).integers(0, 2**64, 5000, dtype=np.uint64))
+    assert np.array_equal(np.concatenate([at for _, at in suffix_tree_lm._dealt(keys, 7)]), np.arange(5000))
+    own = spark.createDataFrame([(int(k),) for k in keys[::100].view(np.int64)], "key long").selectExpr("key", "shiftrightunsigned(shiftrightunsigned(key, 32) * 7L, 32) AS bucket")
+    assert {(r.key, r.bucket) for r in own.collect()} == {(int(k), b) for b, at in suffix_tree_lm._dealt(keys[::100], 7) for k in keys[::100][at].view(np.int64)}
+
+
 def test_tree_sums_to_one():
     """What the states of ``plain_tree`` hold is a distribution: the discounted counts and what is left."""
     docs = lm_docs()

@@ -26,7 +26,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from watchloom.llm import bloom
@@ -39,7 +39,7 @@ DEPTH, CONTEXT, FOLLOW, GAIN, DISCOUNT = 2, 64, 8, 16.0, 0.5
 SLICE, BUCKET = 800_000, 2**20
 END = mix64(np.array([2**63 + 5], np.uint64))
 _ENCODED = "slice long, ids array<long>, held array<boolean>, lengths array<int>, words binary, codes binary"
-#: What an answer holds: a word's count, the logarithm of an n-gram's probability, or of what a state leaves to its suffix.
+#: What an answer holds: the count of a word, of an n-gram or of a state, and with the latter the part of it that goes to its suffix.
 _WORD, _GRAM, _STATE = 0, 1, 2
 _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
@@ -57,8 +57,8 @@ def _whole(body: bytes, kind) -> np.ndarray:
 
 
 def _dealt(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
-    """The used buckets and the indices of their keys."""
-    bucket = ((keys >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
+    """The used buckets, which are ranges, and the indices of their keys; neighbours share their first bytes."""
+    bucket = (((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     used, first = np.unique(bucket[order], return_index=True)
     yield from zip(used.tolist(), np.split(order, first[1:]))
@@ -188,13 +188,14 @@ def _gram_counts(encoded: DataFrame, level: int, contexts, suffixes, follow: int
 
 @dataclass
 class Tree:
-    """``answers(key, kind, value)`` is the tree as a table."""
+    """``answers(key, kind, n, mass)`` is the tree as a table; probabilities follow from the counts where they are asked for."""
 
     answers: DataFrame
     grams: object  # filter of the keys of n-grams and of states of two words and more
     tokens: int
     distinct: int
     depth: int
+    discount: float
     buckets: int
 
 
@@ -206,30 +207,30 @@ def fit(encoded: DataFrame, depth: int = DEPTH, context: int = CONTEXT, follow:
     whole = counted.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     tokens, distinct = whole.n or 0, whole.v
     below = counted.select("key", "n", ((F.col("n") + 1) / F.lit(tokens + distinct + 1)).alias("p"))  # n-grams of this length, with their probability
-    answers = counted.select("key", F.lit(_WORD).alias("kind"), F.col("n").cast("double").alias("value"))
+    answer = lambda df, kind, key, n, mass=0.0: df.select(F.col(key).alias("key"), F.lit(kind).alias("kind"), F.col(n).alias("n"), (F.lit(mass) if mass == 0.0 else F.col(mass)).alias("mass"))
+    answers = answer(counted, _WORD, "key", "n")
     later = None
+    by = Window.partitionBy("context")
     for k in range(1, depth + 1):
         filters = [spark.sparkContext.broadcast(bloom.build(below.filter(F.col("n") >= least), "key")) for least in (context, follow)]
         grams = _gram_counts(encoded, k, *filters, follow, buckets)
         heads = below.filter(F.col("n") >= context).select(F.col("key").alias("context"), F.col("n").alias("whole"))
         tails = below.filter(F.col("n") >= follow).select(F.col("key").alias("suffix"), F.col("p").alias("lower"))
-        grams = materialise(grams.join(heads, "context").join(tails, "suffix").select("key", "context", "n", "whole", "lower"), free=True)
-        left = grams.groupBy("context").agg((1 - F.sum(F.col("n") - discount) / F.max("whole")).alias("left"), (F.max("whole") - F.sum("n")).alias("rest"))
-        own = (F.col("n") - discount) / F.col("whole") + F.col("left") * F.col("lower")
-        scored = materialise(grams.join(left, "context").select("key", "context", "n", "lower", "left", "rest", own.alias("own")))
+        # rows are dealt by suffix, then by context; all that is worked out for a context stays there
+        grams = grams.join(tails, "suffix").select("key", "context", "n", "lower").join(heads, "context")
+        grams = grams.withColumns({"mass": F.col("whole") - F.sum(F.col("n") - discount).over(by), "rest": F.col("whole") - F.sum("n").over(by), "head": F.col("key") == F.min("key").over(by)})
+        grams = grams.withColumn("own", (F.col("n") - discount) / F.col("whole") + F.col("mass") / F.col("whole") * F.col("lower"))
         # a state with a continuation leaves something, as the counts are discounted
-        gained = F.sum(F.col("n") * F.log(F.col("own") / F.col("lower"))) + F.max(F.col("rest") * F.log("left"))
-        states = materialise(scored.groupBy("context").agg(gained.alias("gain"), F.max("left").alias("left")).filter(F.col("gain") >= gain).select("context", F.log("left").alias("value")))
-        found = scored.join(states.select("context", F.lit(True).alias("state")), "context", "left").select("key", "n", F.when(F.col("state"), F.col("own")).alias("own"), "lower")
-        found = materialise(found.select("key", "n", F.coalesce("own", "lower").alias("p"), F.col("own").isNotNull().alias("kept")))
-        entries = found.filter("kept").select("key", F.lit(_GRAM).alias("kind"), F.log("p").alias("value"))
-        states = states.select(F.col("context").alias("key"), F.lit(_STATE).alias("kind"), "value")
-        answers = answers.unionByName(entries).unionByName(states)
-        new = entries.select("key") if k == 1 else entries.select("key").unionByName(states.select("key"))
+        gained = F.sum(F.col("n") * F.log(F.col("own") / F.col("lower"))).over(by) + F.col("rest") * F.log(F.col("mass") / F.col("whole"))
+        grams = grams.withColumn("kept", gained >= gain).select("key", "context", "n", "whole", "mass", F.when(F.col("kept"), F.col("own")).otherwise(F.col("lower")).alias("p"), "head", "kept")
+        found = materialise(grams, free=True)
+        entries, states = found.filter("kept"), found.filter("kept and head")
+        answers = answers.unionByName(answer(entries, _GRAM, "key", "n")).unionByName(answer(states, _STATE, "context", "whole", "mass"))
+        new = entries.select("key") if k == 1 else entries.select("key").unionByName(states.select(F.col("context").alias("key")))
         later = new if later is None else later.unionByName(new)
         below = found.select("key", "n", "p")
     grams = spark.sparkContext.broadcast(bloom.build(later, "key")) if depth else None
-    return Tree(answers, grams, tokens, distinct, depth, buckets)
+    return Tree(answers, grams, tokens, distinct, depth, discount, buckets)
 
 
 def _asked(s: Slice, filters, depth: int) -> np.ndarray:
@@ -241,15 +242,18 @@ def _asked(s: Slice, filters, depth: int) -> np.ndarray:
     return np.unique(np.concatenate(keys))
 
 
-def _found(keys: np.ndarray, table: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """The value of each key, NaN if the table (sorted) lacks it."""
+def _found(keys: np.ndarray, table: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
+    """The values of each key, 0 if the table (sorted) lacks it."""
+    if not len(table):
+        return [np.zeros(len(keys), v.dtype) for v in values]
     at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
-    return np.where(table[at] == keys, values[at], np.nan)
+    hit = table[at] == keys
+    return [np.where(hit, v[at], v.dtype.type(0)) for v in values]
 
 
 def score(encoded: DataFrame, tree: Tree) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every text of ``encoded``."""
-    depth, filters, tokens, distinct, buckets = tree.depth, tree.grams, tree.tokens, tree.distinct, tree.buckets
+    depth, filters, tokens, distinct, discount, buckets = tree.depth, tree.grams, tree.tokens, tree.distinct, tree.discount, tree.buckets
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row, s in _slices(batches):
@@ -258,38 +262,42 @@ def score(encoded: DataFrame, tree: Tree) -> DataFrame:
                 yield pa.record_batch([pa.array([bucket]), pa.array([row["slice"]]), pa.array([_planes(keys[at])], pa.binary())], names=["bucket", "slice", "keys"])
 
     def answer(asked: pa.Table, held: pa.Table) -> pa.Table:
-        key, kind, value = (held.column(c).to_numpy() for c in ("key", "kind", "value"))
+        key, kind, n, mass = (held.column(c).to_numpy() for c in ("key", "kind", "n", "mass"))
         tables = []
         for k in (_WORD, _GRAM, _STATE):
             own = np.flatnonzero(kind == k)
             own = own[np.argsort(key[own].view(np.uint64))]
-            tables.append((key[own].view(np.uint64), value[own]))
+            tables.append((key[own].view(np.uint64), n[own], mass[own]))
         out = []
         for body in asked.column("keys").to_pylist():
             keys = _whole(body, np.uint64)
-            n, p, left = (_found(keys, *t) if len(t[0]) else np.full(len(keys), np.nan) for t in tables)
-            out.append((_planes(np.nan_to_num(n).astype(np.int64)), _planes(p), _planes(left)))
-        return pa.table({"slice": asked.column("slice"), "bucket": asked.column("bucket")} | {c: pa.array([o[k] for o in out], pa.binary()) for k, c in enumerate(("n", "p", "left_over"))})
+            (n_word, _), (n_gram, _), (whole, left) = (_found(keys, *t) for t in tables)
+            out.append((_planes(n_word), _planes(n_gram), _planes(whole), _planes(left[whole > 0])))
+        return pa.table({"slice": asked.column("slice"), "bucket": asked.column("bucket")} | {c: pa.array([o[k] for o in out], pa.binary()) for k, c in enumerate(("n", "n_gram", "whole", "mass"))})
 
     def scored(_, answers: pa.Table, rows: pa.Table) -> pa.Table:
         row = rows.to_pylist()[0]
         s = Slice(row)
         keys = _asked(s, filters, depth)
-        n, p, left = np.zeros(len(keys), np.int64), np.full(len(keys), np.nan), np.full(len(keys), np.nan)
+        n, n_gram, whole = (np.zeros(len(keys), np.int64) for _ in range(3))
+        mass = np.zeros(len(keys))
         told = {b: k for k, b in enumerate(answers.column("bucket").to_pylist())}
         for bucket, at in _dealt(keys, buckets):
-            for values, c, kind in ((n, "n", np.int64), (p, "p", np.float64), (left, "left_over", np.float64)):
-                values[at] = _whole(answers.column(c)[told[bucket]].as_py(), kind)
+            for values, c in ((n, "n"), (n_gram, "n_gram"), (whole, "whole")):
+                values[at] = _whole(answers.column(c)[told[bucket]].as_py(), np.int64)
+            mass[at[whole[at] > 0]] = _whole(answers.column("mass")[told[bucket]].as_py(), np.float64)
         place = np.searchsorted(keys, s.words)
-        base = np.log((n[place] + 1) / (tokens + distinct + 1))[s.codes]
+        base = ((n[place] + 1) / (tokens + distinct + 1))[s.codes]
         value = base.copy()
-        grams, states = (np.flatnonzero(~np.isnan(x)) for x in (p, left))
-        grams, p, states, left = keys[grams], p[grams], keys[states], left[states]
+        grams, states = (np.flatnonzero(x) for x in (n_gram, whole))
+        grams, n_gram, states, whole, mass = keys[grams], n_gram[grams], keys[states], whole[states], mass[states]
         for _, at, context, _, gram in s.levels(depth) if len(states) else ():
-            beta = _found(context, states, left)
-            own = np.flatnonzero(~np.isnan(beta))
-            own_p = _found(gram[own], grams, p)
-            value[at[own]] = np.where(np.isnan(own_p), beta[own] + value[at[own]], own_p)
+            count, left = _found(context, states, whole, mass)
+            own = np.flatnonzero(count)
+            count, left = count[own], left[own]
+            (own_n,) = _found(gram[own], grams, n_gram)
+            value[at[own]] = np.where(own_n > 0, own_n - discount, 0) / count + left / count * value[at[own]]
+        base, value = np.log(base), np.log(value)
         docs = len(s.last)
         total = lambda x: np.bincount(s.doc, x, docs)
         return pa.table({
@@ -298,8 +306,8 @@ def score(encoded: DataFrame, tree: Tree) -> DataFrame:
         })
 
     requests = encoded.mapInArrow(ask, "bucket long, slice long, keys binary")
-    own = tree.answers.withColumn("bucket", F.expr(f"shiftrightunsigned(key, 33) % {buckets}L"))
-    answers = requests.groupBy("bucket").cogroup(own.groupBy("bucket")).applyInArrow(answer, "slice long, bucket long, n binary, p binary, left_over binary")
+    own = tree.answers.withColumn("bucket", F.expr(f"shiftrightunsigned(shiftrightunsigned(key, 32) * {buckets}L, 32)"))
+    answers = requests.groupBy("bucket").cogroup(own.groupBy("bucket")).applyInArrow(answer, "slice long, bucket long, n binary, n_gram binary, whole binary, mass binary")
     return answers.groupBy("slice").cogroup(encoded.groupBy("slice")).applyInArrow(scored, _SCORES)
 
 
