@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import time
+import types
 import zlib
 
 import numpy as np
@@ -488,12 +489,39 @@ def test_top_k_in_blocks(spark, monkeypatch):
     assert [v for v, _ in got[2000]] == [2001, 2002] and left[0][1].count() < 0.6 * left[0][0]
 
 
+def test_data_blocks_meet_many_query_blocks(spark):
+    """A data block travels once for some thousands of query rows, not once for each query block; no pair is lost or doubled."""
+    pairs = spark.createDataFrame([(2, f"{p:02}", b, 1.0, 16 if b == "x" else 400) for p in range(40) for b in "xyz"], "size int, part string, block string, bound double, n long")
+    got = topk_search._bundles(pairs, 8192).collect()
+    assert sorted((r["size"], r.part, r.block) for r in got) == sorted((2, f"{p:02}", b) for p in range(40) for b in "xyz")
+    held = collections.Counter()
+    for r in got:
+        held[r.block, r.bundle] += 16 if r.block == "x" else 400
+    assert held == {("x", 0): 640, ("y", 0): 8400, ("y", 1): 7600, ("z", 0): 8400, ("z", 1): 7600}
+
+
 def test_top_k_repeats(spark):
     df = spark.createDataFrame([(100, [1.0, 2.0]), (100, [1.0, 3.0]), (1, [1.0, 1.0]), (1, [2.0, 2.0]), (2, [])], "vec_id long, embedding array<double>")
     got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in topk_search.search_table(df).orderBy("rank").collect()]
     assert got == [(100, 1, 1, 6 * 1024**2), (100, 2, 1, 3 * 1024**2)]
 
 
+def test_pieces_are_split_once():
+    """Repeated pieces between white space are lower-cased and split once, with the ids of the text as a whole."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        spec = f.read()
+    codec, plain, seen = bpe.BpeCodec(spec), bpe.BpeCodec(spec), []
+    plain.piecewise = False
+    count = lambda split: types.SimpleNamespace(findall=lambda t: seen.append(len(t)) or split.findall(t))
+    codec.split, codec.split_ascii = count(codec.split), count(codec.split_ascii)
+    text = "It's  Ελλάς,\u00a0e\u0301t\u00e9\u3000x\x85y \n" * 500
+    assert codec.encode(text) == plain.encode(text) and sum(seen) < 40
+    for odd in ("", " ", "a\x1cb a\x1c'S", "\u200b\ufeff q", "' S's 's", "\u0301 \u0301a", "z" * 300 + " " + "z" * 300, "<|endoftext|>a <|endoftext|>", "\x00\x7f 9"):
+        assert codec.encode(odd) == plain.encode(odd)
+
+
 def test_mixing_plan():
     totals = {"a": 1000, "b": 100, "c": 10, None: 0}
     p = mixing.plan(totals, target_entropy=0.8, max_epochs=100)

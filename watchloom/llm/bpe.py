@@ -8,8 +8,9 @@ back and takes the next shorter one. Compatibility of each pair of neighbours ma
 merging finds, so each place is visited a bounded number of times and the work is linear.
 
 Whether a pair is compatible is read off the merge trees of the two tokens, along the sides that touch.
-Pairs are kept in a table filled as they occur, words in two generations of bounded
-size; what is dropped is worked out again, which costs time only.
+Pairs are kept in a table filled as they occur, words and what stands between white space in two generations of bounded
+size; what is dropped is worked out again, which costs time only. Where neither the normaliser nor the pre-tokeniser of the file looks
+beyond white space, a text is cut there first, and only pieces not met before are lower-cased and split.
 
 The file's own normaliser and pre-tokeniser are read; a part that is not known here is refused. Letters and digits are those
 of the library's Unicode table.
@@ -38,6 +39,13 @@ from watchloom.llm.storage import bounded
 
 _FULL = 150_000
 _NEVER = 1 << 60
+#: Longest piece between white space that is kept.
+_PIECE = 64
+#: Steps and pattern that treat each piece between white space on its own, but for NFC, which is done before.
+_PIECEWISE = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+_PIECEWISE_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: White space for ``str.split``, not for the library.
+_NO_SPACE = re.compile("[\x1c-\x1f]")
 
 
 def byte_symbols() -> list[str]:
@@ -101,8 +109,10 @@ class BpeCodec:
         model = j["model"]
         self.suffix = model.get("end_of_word_suffix") or ""
         self.added = {t["content"]: t["id"] for t in j.get("added_tokens", [])}
-        self.steps = [_step(n) for n in _parts(j["normalizer"], "normalizers")]
+        normalisers = _parts(j["normalizer"], "normalizers")
+        self.steps = [_step(n) for n in normalisers]
         pattern = _split_pattern(_parts(j["pre_tokenizer"], "pretokenizers"))
+        self.piecewise = normalisers == _PIECEWISE and pattern == _PIECEWISE_SPLIT
         # white space as the library's engine has it; splitting drops it, so it need not be collapsed first
         known = pattern.replace(r"\s", r"\p{White_Space}")
         for kind in ("L", "N"):
@@ -141,6 +151,8 @@ class BpeCodec:
         self.pairs: dict[tuple[str, str], bool] = {}
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.older_pieces: dict[str, bytes] = {}
         texts = {i: t for t, i in model["vocab"].items()} | {i: t for t, i in self.added.items()}
         pieces = [(texts.get(i, "") + " ").encode() for i in range(max(texts) + 1)]
         self.offsets = np.concatenate([[0], np.cumsum([len(p) for p in pieces])]).astype(np.int64)
@@ -273,12 +285,33 @@ class BpeCodec:
         found = self.older.get(word)
         if found is None:
             table, ids = self.bytes, self.id_bytes
-            inner = "".join([table[b] for b in word.encode()]) + self.end
+            visible = word.isascii() and word.isprintable()  # its bytes stand for themselves
+            inner = (word if visible else "".join([table[b] for b in word.encode()])) + self.end
             found = b"".join([ids[t] for t in self.tokens(inner)])
         self.words[word] = found
         return found
 
+    def _piece(self, piece: str) -> bytes:
+        """Ids of what stands between white space."""
+        if len(self.pieces) >= _FULL:
+            self.older_pieces = dict(self.pieces)
+            self.pieces.clear()
+        found = self.older_pieces.get(piece)
+        if found is None:
+            text, known, word = _lower(piece), self.words, self._word
+            if text.isascii():
+                words = [text] if text.isalpha() else self.split_ascii.findall(text)
+            else:
+                words = self.split.findall(text)
+            found = b"".join([known.get(w) or word(w) for w in words])
+        if len(piece) <= _PIECE:
+            self.pieces[piece] = found
+        return found
+
     def _plain(self, text: str) -> bytes:
+        if self.piecewise and not _NO_SPACE.search(text):
+            known, piece = self.pieces, self._piece
+            return b"".join([known.get(p) or piece(p) for p in unicodedata.normalize("NFC", text).split()])
         for step in self.steps:
             text = step(text)
         known, word = self.words, self._word
