@@ -469,6 +469,17 @@ def test_dual_search_prunes():
     assert seen["cut"] > 100 and seen["scored"] < 0.4 * whole.size
 
 
+def test_dual_search_scores_in_bulk():
+    """Without structure to cut by, pairs are scored some hundreds at a time."""
+    x, seen = np.floor(np.random.default_rng(4).normal(0, 200, (4000, 64))), {}
+    row, hit, score = topk_search.dual_search(x[::40], np.arange(0, 4000, 40), np.full(100, -np.inf), x, np.arange(4000), 10, seen)
+    whole = x[::40] @ x.T
+    whole[np.arange(100), np.arange(0, 4000, 40)] = -np.inf
+    for k in range(100):
+        assert hit[row == k].tolist() == sorted(range(4000), key=lambda j: (-whole[k, j], j))[:10]
+    assert seen["scored"] > 200 * seen["products"]
+
+
 def test_top_k_in_blocks(spark, monkeypatch):
     """Many small blocks: pairs are cut before any rows meet, and the result is that of brute force."""
     monkeypatch.setattr(topk_search, "DATA_BLOCK", 60)

@@ -7,8 +7,8 @@ inner product of two balls with centres q, d and radii a, b exceeds ``q.d + a|d|
 (Q^2 + D^2 - s^2) / 2 with the highest norms Q, D and the least distance s of the balls. Pairs of cells, then pairs of
 the blocks in them, go where the bound is below the worst kth score of the queries: their rows are never brought together.
 
-For the pairs left a task builds a cover tree over either side and walks both together with the same bounds against each query group's
-worst kth score. That is done first for the most promising block of each query block, then, with
+For the pairs left a task takes a data block and all query blocks left for it, up to some thousands of rows, builds a cover tree over either side, so one
+over a data block for many query blocks, and walks both together with the same bounds against each query group's worst kth score. That is done first for the most promising block of each query block, then, with
 the scores it gave, for those still left. First scores come from a bounded sample of the
 data, against which all queries are scored; they are scores of true candidates, so they cut only what
 can't be among the k best. The lists of all blocks are merged by rank.
@@ -36,9 +36,13 @@ K = 10
 SAMPLE = 2048
 PIVOTS = 32
 DATA_BLOCK, QUERY_BLOCK = 8192, 512
+#: Query rows that meet a data block in one task; the last query block may go beyond.
+BUNDLE = 8192
 #: Rounds in which cells are split, sampled rows and new pivots of a cell in each, and cells that one round splits at most.
 ROUNDS, CELL_SAMPLE, CELL_PIVOTS, CELLS = 4, 48, 16, 4096
 LEAF, QUERY_LEAF = 64, 16
+#: Pairs that are scored at once rather than walked further down: products of a few pairs each cost more than what they save.
+DIRECT = 2048
 #: Children of a tree node, at most; a net with more points goes on a level below.
 FAN = 16
 _HELD = 200_000
@@ -110,7 +114,7 @@ def _first_k(row: np.ndarray, hit: np.ndarray, score: np.ndarray, ids: np.ndarra
 def dual_search(q: np.ndarray, q_ids: np.ndarray, floor: np.ndarray, d: np.ndarray, d_ids: np.ndarray, k: int, seen: dict | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``(query row, data row, score)`` of the k best of each query above its floor; ids break ties.
 
-    ``seen`` counts the node pairs that were cut and the vector pairs that were scored.
+    ``seen`` counts the node pairs that were cut, the vector pairs that were scored and the products they were scored in.
     """
     seen = {} if seen is None else seen
     best = np.full((len(q), k), -np.inf)
@@ -125,11 +129,11 @@ def dual_search(q: np.ndarray, q_ids: np.ndarray, floor: np.ndarray, d: np.ndarr
         if bound < worst[a.rows].min():
             seen["cut"] = seen.get("cut", 0) + 1
             continue
-        if not a.children and not b.children:
+        if not a.children and not b.children or len(a.rows) * len(b.rows) <= DIRECT:
             at = a.rows
             at = at[_bounds(q[at] @ b.centre, q_norm[at], 0.0, q_top[at], b.norm, b.radius, b.top) >= worst[at]]
             score = q[at] @ d[b.rows].T
-            seen["scored"] = seen.get("scored", 0) + score.size
+            seen["scored"], seen["products"] = seen.get("scored", 0) + score.size, seen.get("products", 0) + 1
             score[q_ids[at][:, None] == d_ids[b.rows][None, :]] = -np.inf
             i, j = np.nonzero((score >= worst[at][:, None]) & (score > -np.inf))
             if not len(i):
@@ -220,11 +224,11 @@ def _blocks(rows: DataFrame, limit: int) -> DataFrame:
     return materialise(rows.join(counts(), ["size", "cell"]).withColumn("block", F.concat_ws("#", "cell", part)).drop("n"))
 
 
-_SUMMARY = "size int, cell string, block string, centre array<double>, radius double, top double, worst double"
+_SUMMARY = "size int, cell string, block string, centre array<double>, radius double, top double, worst double, n long"
 
 
 def _summaries(blocks: DataFrame) -> DataFrame:
-    """Centre, covering radius, highest squared norm and worst floor of each block."""
+    """Centre, covering radius, highest squared norm, worst floor and number of rows of each block."""
 
     def run(table: pa.Table) -> pa.Table:
         x = _matrix(table.column("v"))
@@ -232,7 +236,7 @@ def _summaries(blocks: DataFrame) -> DataFrame:
         radius = float(np.sqrt(((x - centre) ** 2).sum(1).max()))
         first = {c: [table.column(c)[0].as_py()] for c in ("size", "cell", "block")}
         return pa.table(
-            {"size": pa.array(first["size"], pa.int32()), "cell": first["cell"], "block": first["block"], "centre": pa.array([centre.tolist()], pa.list_(pa.float64())), "radius": [radius], "top": [float((x * x).sum(1).max())], "worst": [float(table.column("floor").to_numpy().min())]}
+            {"size": pa.array(first["size"], pa.int32()), "cell": first["cell"], "block": first["block"], "centre": pa.array([centre.tolist()], pa.list_(pa.float64())), "radius": [radius], "top": [float((x * x).sum(1).max())], "worst": [float(table.column("floor").to_numpy().min())], "n": [table.num_rows]}
         )
 
     return materialise(blocks.groupBy("size", "cell", "block").applyInArrow(run, _SUMMARY))
@@ -259,18 +263,25 @@ def _promising(pairs: DataFrame) -> DataFrame:
 
 
 def _block_pairs(asked: DataFrame, data: DataFrame) -> DataFrame:
-    """``size, part, block, bound`` of the block pairs that no bound cuts: first cells, then the blocks of those left."""
-    pack = lambda df, name: df.select("size", F.substring_index("cell", ".", 1).alias(f"{name}_root"), F.struct("block", "centre", "radius", "top", "worst").alias(name))
+    """``size, part, block, bound, n`` (rows of the query block) of the block pairs that no bound cuts: first cells, then the blocks of those left."""
+    pack = lambda df, name: df.select("size", F.substring_index("cell", ".", 1).alias(f"{name}_root"), F.struct("block", "centre", "radius", "top", "worst", "n").alias(name))
     cell = lambda df, name: _cells(df).select("size", F.col("root").alias(f"{name}_root"), F.struct("centre", "radius", "top", "worst").alias(name))
     roots = _promising(cell(asked, "q").join(cell(data, "d"), "size")).select("size", "q_root", "d_root")
     pairs = roots.join(pack(asked, "q"), ["size", "q_root"]).join(pack(data, "d"), ["size", "d_root"])
-    return materialise(_promising(pairs).select("size", F.col("q.block").alias("part"), F.col("d.block").alias("block"), "bound"))
+    return materialise(_promising(pairs).select("size", F.col("q.block").alias("part"), F.col("d.block").alias("block"), "bound", F.col("q.n").alias("n")))
+
+
+def _bundles(pairs: DataFrame, limit: int) -> DataFrame:
+    """``size, part, block, bundle``: query blocks of a data block, neighbours first, in bundles of about ``limit`` rows."""
+    before = F.sum("n").over(Window.partitionBy("size", "block").orderBy("part")) - F.col("n")
+    return pairs.select("size", "part", "block", F.floor(before / limit).alias("bundle"))
 
 
 def _searched(asked: DataFrame, data: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
-    """``query_id, vec_id, score`` of each pair of blocks; a block's rows travel once for each of its pairs."""
-    left = asked.withColumnRenamed("block", "part").join(pairs, ["size", "part"]).select("size", "part", "block", F.lit(True).alias("ask"), "id", "v", "floor")
-    right = data.join(pairs, ["size", "block"]).select("size", "part", "block", F.lit(False).alias("ask"), "id", "v", F.lit(None).cast("double").alias("floor"))
+    """``query_id, vec_id, score`` of each pair of blocks; a data block's rows travel once for each of its bundles."""
+    dealt = materialise(_bundles(pairs, BUNDLE))
+    left = asked.withColumnRenamed("block", "part").join(dealt, ["size", "part"]).select("size", "block", "bundle", F.lit(True).alias("ask"), "id", "v", "floor")
+    right = data.join(dealt.select("size", "block", "bundle").distinct(), ["size", "block"]).select("size", "block", "bundle", F.lit(False).alias("ask"), "id", "v", F.lit(None).cast("double").alias("floor"))
 
     def search(table: pa.Table) -> pa.Table:
         ask = table.column("ask").to_numpy(zero_copy_only=False).astype(bool)
@@ -282,7 +293,7 @@ def _searched(asked: DataFrame, data: DataFrame, pairs: DataFrame, k: int) -> Da
             out = (ids[q][row], ids[d][hit], score.astype(np.int64))
         return pa.table({"query_id": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.int64())})
 
-    return materialise(left.unionByName(right).groupBy("size", "part", "block").applyInArrow(search, "query_id long, vec_id long, score long"))
+    return materialise(left.unionByName(right).groupBy("size", "block", "bundle").applyInArrow(search, "query_id long, vec_id long, score long"))
 
 
 def top_k(queries: DataFrame, data: DataFrame, k: int = K, id: str = "vec_id", vector: str = "embedding", scale: int = SCALE) -> DataFrame:
@@ -328,7 +339,7 @@ def top_k(queries: DataFrame, data: DataFrame, k: int = K, id: str = "vec_id", v
     asked = materialise(asked.join(kth, "id", "left").withColumn("floor", F.greatest("floor", "kth")).drop("kth"))
     worst = asked.groupBy("size", F.col("block").alias("part")).agg(F.min("floor").alias("worst"))
     left = pairs.join(first.select("size", "part", "block"), ["size", "part", "block"], "left_anti").join(worst, ["size", "part"]).filter(F.col("bound") >= F.col("worst"))
-    found = found.unionByName(_searched(asked, data, left.select("size", "part", "block", "bound"), k))
+    found = found.unionByName(_searched(asked, data, left.select("size", "part", "block", "n"), k))
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
