@@ -260,6 +260,39 @@ def test_levels_are_written_once(spark, monkeypatch):
     assert {(r.key, r.bucket) for r in own.collect()} == {(int(k), b) for b, at in suffix_tree_lm._dealt(keys[::100], 7) for k in keys[::100][at].view(np.int64)}
 
 
+@pytest.mark.parametrize("parts", [2, 8])
+def test_parts_change_no_score(spark, monkeypatch, parts):
+    """Levels and scores are written in parts: a context is counted in one of them, a slice is scored in one, and all rows are there."""
+    docs, written, write = lm_docs(), [], suffix_tree_lm.materialise
+
+    def kept(df, free=False):
+        df = df if hasattr(df, "columns") else list(df)
+        written.append((df, free))
+        return write(df, free)
+
+    options = {"depth": 2, "context": 12, "follow": 3, "gain": 4.0}
+    encoded = suffix_tree_lm.encode(table(spark, docs).repartition(2), held=F.crc32(F.col("doc_id").cast("string")) % 7 == 2, size=300)
+    monkeypatch.setattr(suffix_tree_lm, "materialise", kept)
+    out = suffix_tree_lm.score(encoded, suffix_tree_lm.fit(encoded, parts=parts, **options))
+    split = [df for df, free in written if isinstance(df, list) and free]
+    assert len(split[0]) >= 2 and len(split[-1]) == parts
+    contexts = [{r.context for r in df.select("context").collect()} for df in split[0]]
+    assert sum(map(bool, contexts)) > 1 and len(set().union(*contexts)) == sum(map(len, contexts))
+    assert max(df.count() for df in split[-1]) < len(docs)
+    got = sorted(((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in out.collect()), key=repr)
+    assert got == plain_tree(docs, **options)[0]
+
+
+def test_slices_are_short(spark):
+    """Codes of frequent words are small, and stand for the same words."""
+    r = random.Random(2)
+    said = [f"c{int(r.paretovariate(0.9))}" for _ in range(20_000)]
+    s = suffix_tree_lm.Slice(suffix_tree_lm.encode(table(spark, [(1, " ".join(said))])).first().asDict())
+    n = np.bincount(s.codes[:-1])
+    assert (np.diff(np.log2(n).astype(int)) <= 0).all() and len(np.unique(s.words)) == len(n) + 1
+    assert list(collections.Counter(s.codes[:-1].tolist()).values()) == list(collections.Counter(said).values())
+
+
 def test_tree_sums_to_one():
     """What the states of ``plain_tree`` hold is a distribution: the discounted counts and what is left."""
     docs = lm_docs()

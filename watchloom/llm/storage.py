@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,18 +24,22 @@ def bounded(spark: SparkSession) -> SparkSession:
     return ship(spark)
 
 
-def materialise(df: DataFrame, free: bool = False) -> DataFrame:
+def materialise(df: DataFrame | Iterable[DataFrame], free: bool = False) -> DataFrame:
     """Cut the lineage of ``df``: write it once to the shared folder and read it back.
 
     With ``free`` the driver then collects its garbage, which is when Spark deletes the shuffle files of what is done.
+    Several frames of the same columns are the parts of one table and are written one after another, so that with
+    ``free`` the shuffle files of one part are on disk at a time.
     """
-    spark = df.sparkSession
-    path = shared_dir(spark)
-    df.write.parquet(path)
-    if free:
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    path = None
+    for part in [df] if isinstance(df, DataFrame) else df:
+        spark, schema = part.sparkSession, part.schema
+        path = path or shared_dir(spark)
+        part.write.mode("append").parquet(path)
+        if free:
+            gc.collect()
+            spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
 
 
 def unused(df: DataFrame, name: str) -> str:
