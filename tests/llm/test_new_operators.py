@@ -260,7 +260,7 @@ def test_levels_are_written_once(spark, monkeypatch):
     assert {(r.key, r.bucket) for r in own.collect()} == {(int(k), b) for b, at in suffix_tree_lm._dealt(keys[::100], 7) for k in keys[::100][at].view(np.int64)}
 
 
-@pytest.mark.parametrize("parts", [2, 8])
+@pytest.mark.parametrize("parts", [4, 8])
 def test_parts_change_no_score(spark, monkeypatch, parts):
     """Levels and scores are written in parts: a context is counted in one of them, a slice is scored in one, and all rows are there."""
     docs, written, write = lm_docs(), [], suffix_tree_lm.materialise

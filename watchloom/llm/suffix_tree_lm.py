@@ -242,7 +242,7 @@ def fit(encoded: DataFrame, depth: int = DEPTH, context: int = CONTEXT, follow:
     size = encoded.agg(F.sum(F.size("ids") + F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n")).first().n or 0
     buckets = max(partitions(spark), size // BUCKET)
     parts = parts or (PARTS if size >= PARTS * BUCKET else 1)
-    shares = [max(1, parts >> 2 * (k - 1)) for k in range(1, depth + 1)]  # longer n-grams are fewer
+    shares = [max(1, parts >> k) for k in range(1, depth + 1)]  # longer n-grams are fewer, and a part costs a pass over the slices
     counted = materialise(_word_counts(encoded, buckets), free=True)
     whole = counted.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     tokens, distinct = whole.n or 0, whole.v
