@@ -247,6 +247,26 @@ def test_substring_collisions_hot_anchors_and_repeats(spark):
     assert got == sorted([(None, 22, 0), (1, 22, 22), (1, 22, 22), (2, 0, 0), (2, 0, 0)], key=repr)
 
 
+def test_hot_postings_lie_in_few_files(spark, tmp_path):
+    """Each bucket of a run has a file of either kind at most, also where many documents share a line; what a batch finds is written."""
+    r = random.Random(8)
+    line = " ".join(f"l{k}" for k in range(60))
+    docs = table(spark, [f"{r.random()} {line} {r.random()}" for _ in range(600)])
+    index, lost = substring_dedup.FingerprintIndex(spark, f"{tmp_path}/index", max_runs=1), set()
+    for k in range(2):
+        gone = index.append(docs.filter(F.col("doc_id") % 2 == k), docs.filter(F.col("doc_id") % 2 < k))
+        lost |= {x.doc for x in gone.collect()}
+        assert "MapInArrow" not in gone._jdf.queryExecution().toString()
+        for hot in ("true", "false"):
+            files = list((tmp_path / "index/runs" / index.runs[-1]["name"] / f"hot={hot}").glob("*.parquet"))
+            assert 1 < len(files) <= index.buckets
+    assert index.compactions == 1 and len(lost) == 599
+    manifest = tmp_path / "index/manifest/99"
+    spark.createDataFrame([('{"window": 20, "anchor": 5, "runs": [], "compactions": 0}',)], "value string").coalesce(1).write.text(str(manifest))
+    with pytest.raises(ValueError, match="layout"):
+        substring_dedup.FingerprintIndex(spark, f"{tmp_path}/index")
+
+
 def test_language_id(spark):
     r = random.Random(3)
     letters = {"aa": "abcde ", "bb": "efghi ", "cc": "ijklm "}

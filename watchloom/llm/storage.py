@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from watchloom.session import shared_dir, ship
 
-__all__ = ["bounded", "materialise", "partitions", "shared_dir", "unused"]
+__all__ = ["bounded", "materialise", "partitions", "release", "shared_dir", "unused"]
 
 _BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
@@ -37,11 +37,16 @@ def materialise(df: DataFrame | Iterable[DataFrame], free: bool = False) -> Data
         path = path or shared_dir(spark)
         part.write.mode("append").parquet(path)
         if free:
-            gc.collect()
-            spark.sparkContext._jvm.System.gc()
+            release(spark)
     return spark.read.schema(schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """The driver collects its garbage, so that Spark deletes the shuffle files of what is done."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def unused(df: DataFrame, name: str) -> str:
     """``name``, with underscores behind it until no column of ``df`` is called so."""
     taken = {c.lower() for c in df.columns}

@@ -4,9 +4,9 @@ A window is ``window`` consecutive words of one document. Its anchor is the smal
 the ``anchor``-word shingles it holds, so equal windows have equal anchors wherever they stand.
 
 The index is a folder of immutable runs and of manifests that name them. A run is a Parquet table of postings
-``(anchor, key, place)``, bucketed and sorted by anchor; ``key`` stands for a document's id and text. Postings of an anchor that
-fills a part of a slice of texts lie apart, dealt by document, as no bucket should hold a line that all documents share; there are
-few such anchors, so they are met by a broadcast of those in question. The newest
+``(anchor, key)``, bucketed and sorted by anchor; ``key`` stands for a document's id and text. Postings of an anchor that
+fills a part of a slice of texts lie apart, bucketed by document, as no bucket should hold a line that all documents share; there are
+few such anchors, so they are met by a broadcast of those in question. A task writes one file of either kind. The newest
 manifest that was written whole counts, so a lost driver loses nothing and an index can be opened again. Texts stay where
 their owner keeps them. A new batch
 
@@ -14,7 +14,8 @@ their owner keeps them. A new batch
 2. is merge-joined with each older run, bucket by bucket: an anchor is *needed* if it occurs twice in the batch
    or once in the batch and once in history; the postings met name the historical documents to read,
 3. verifies: the whole windows around needed anchors, of the batch and of these documents only,
-   are hashed twice over (64 and 32 bits, with different salts) and grouped; all but the first window of a group are repeats,
+   are hashed twice over (64 and 32 bits, with different salts) and grouped; all but the first window of a group are repeats, which
+   are written once,
 4. compacts the runs into one when there are more than ``max_runs``, and writes the next manifest.
 
 Windows meet by anchor; those of a hot anchor, which stands in many places, by their own hash, so none fills a task.
@@ -39,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from watchloom.llm import bloom
-from watchloom.llm.storage import bounded, materialise, partitions, shared_dir, unused
+from watchloom.llm.storage import bounded, materialise, partitions, release, shared_dir, unused
 from watchloom.llm.text_hash import join, mix64, text_slices, window_hashes, words
 
 WINDOW = 20
@@ -82,7 +83,7 @@ def _ids(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 
 
 def postings(keyed: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """``(anchor, key, place, hot)``: the selected shingles of all windows of ``doc, text_hash, text``; hot ones stand more than HOT times in a slice."""
+    """``(anchor, key, hot)``: the selected shingles of all windows of ``doc, text_hash, text``; hot ones stand more than HOT times in a slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -97,12 +98,15 @@ def postings(keyed: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> Da
                 top = _sliding(np.concatenate([pad, np.where(ok, low, 0), pad]), window - anchor + 1, np.maximum)
                 at = np.flatnonzero((top == small) & (small != _MAX))
                 _, own, n = np.unique(small[at], return_inverse=True, return_counts=True)
-                yield pa.record_batch({"anchor": small[at].view(np.int64), "key": key[i + w.doc[at]], "place": (at - w.first[w.doc[at]]).astype(np.int32), "hot": n[own] > HOT})
+                yield pa.record_batch({"anchor": small[at].view(np.int64), "key": key[i + w.doc[at]], "hot": n[own] > HOT})
 
     return keyed.mapInArrow(run, _RUN)
 
 
-_RUN = "anchor long, key long, place int, hot boolean"
+_RUN = "anchor long, key long, hot boolean"
+#: Columns of the files of a run: anchor and key, or key and anchor of a hot posting, so that a row lies in the bucket of what it is dealt by.
+_FILED = "dealt long, other long"
+_LAYOUT = 2
 
 
 def _occurrences(needed, hot, wanted, window: int, anchor: int, parts: int):
@@ -274,35 +278,38 @@ class FingerprintIndex:
             state = json.loads(self.spark.read.text(f"{self.path}/manifest/{max(done)}").first()[0])
             if (state["window"], state["anchor"]) != (self.window, self.anchor):
                 raise ValueError("the index was made with other window sizes")
+            if state.get("layout") != _LAYOUT:
+                raise ValueError("the index was made with another layout of its runs")
             self.version, self.runs, self.compactions = max(done), state["runs"], state["compactions"]
 
     def _commit(self) -> None:
         self.version += 1
-        state = {"window": self.window, "anchor": self.anchor, "runs": self.runs, "compactions": self.compactions}
+        state = {"window": self.window, "anchor": self.anchor, "layout": _LAYOUT, "runs": self.runs, "compactions": self.compactions}
         self.spark.createDataFrame([(json.dumps(state),)], "value string").coalesce(1).write.text(f"{self.path}/manifest/{self.version}")
 
     def _write(self, run: DataFrame) -> dict:
-        """A new run: one sorted file for each bucket of anchors, and the hot postings dealt by document."""
+        """A new run: one sorted file for each bucket of anchors, and one of hot postings for each bucket of documents."""
         name = f"run_{shared_dir(self.spark).rsplit('/', 1)[-1]}"
-        dealt = run.repartition(self.buckets, F.when(F.col("hot"), F.col("key")).otherwise(F.col("anchor")))
-        dealt.write.partitionBy("hot").bucketBy(self.buckets, "anchor").sortBy("anchor").option("path", f"{self.path}/runs/{name}").format("parquet").saveAsTable(f"{name}_whole")
+        either = lambda a, b: F.when(F.col("hot"), F.col(a)).otherwise(F.col(b))
+        filed = run.select(either("key", "anchor").alias("dealt"), either("anchor", "key").alias("other"), "hot").repartition(self.buckets, "dealt")
+        filed.write.partitionBy("hot").bucketBy(self.buckets, "dealt").sortBy("dealt").option("path", f"{self.path}/runs/{name}").format("parquet").saveAsTable(f"{name}_whole")
         self.spark.sql(f"DROP TABLE {name}_whole")  # its files stay
+        release(self.spark)
         return {"name": name, "buckets": self.buckets}
 
     def _read(self, run: dict) -> DataFrame:
         """The bucketed postings of a run, named to this session first if it does not know them."""
         name = run["name"]
         if not self.spark.catalog.tableExists(name):
-            self.spark.sql(f"CREATE TABLE {name} (anchor BIGINT, key BIGINT, place INT) USING parquet CLUSTERED BY (anchor) SORTED BY (anchor) INTO {run['buckets']} BUCKETS LOCATION '{self.path}/runs/{name}/hot=false'")
-        return self.spark.table(name)
+            self.spark.sql(f"CREATE TABLE {name} ({_FILED}) USING parquet CLUSTERED BY (dealt) SORTED BY (dealt) INTO {run['buckets']} BUCKETS LOCATION '{self.path}/runs/{name}/hot=false'")
+        return self.spark.table(name).select(F.col("dealt").alias("anchor"), F.col("other").alias("key"))
 
     def _hot(self, run: dict) -> DataFrame:
         """The hot postings of a run."""
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/runs/{run['name']}/hot=true")
-        schema = "anchor long, key long, place int"
         if not path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(path.toString())
+            return self.spark.createDataFrame([], "anchor long, key long")
+        return self.spark.read.schema(_FILED).parquet(path.toString()).select(F.col("other").alias("anchor"), F.col("dealt").alias("key"))
 
     def compact(self) -> None:
         """Merge all runs into one; the old ones are let go when the manifest names them no more."""
@@ -348,7 +355,7 @@ class FingerprintIndex:
             total = total.unionByName(met.groupBy("anchor").agg(F.count("*").alias("n")))
         needed = materialise(total.groupBy("anchor").agg(F.sum("n").alias("n")))
         count, many = needed.agg(F.count("*"), F.count_if(F.col("n") > HOT)).first()
-        gone = self._repeats(keyed, history, own, needed, met, count, many) if count else self.spark.createDataFrame([], _GONE)
+        gone = materialise(self._repeats(keyed, history, own, needed, met, count, many), free=True) if count else self.spark.createDataFrame([], _GONE)
         self.runs.append(own)
         self._commit()
         if len(self.runs) > self.max_runs:
