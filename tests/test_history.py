@@ -5,9 +5,11 @@ import io
 import json
 import zipfile
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from watchloom import queries
 from watchloom.functions import text as X
 from watchloom.operators import activity, cards, overlap, sessions, streaks, topics
 from watchloom.plans.reports import full_report
@@ -294,3 +296,30 @@ def test_channel_batches(spark):
     assert [len(r["keys"]) for r in overlap.requests(overlap.unknown_channels(counts, known, "c", size=20), "c").orderBy("batch").collect()] == [20] * 6 + [len(out) - 120]
     seen = spark.createDataFrame([("a", T0), ("b", T0 - dt.timedelta(days=31))], "c string, fetched timestamp_ntz")
     assert [r.c for r in overlap.stale(seen, T0).collect()] == ["b"]
+
+
+def both(spark, path, rows, name):
+    """Rows of a query over ``rows`` (user, minutes after T0, channel number) and those of its SQL."""
+    table = [(k, T0 + dt.timedelta(minutes=m), u, "view", 1.0, json.dumps({"k": c})) for k, (u, m, c) in enumerate(rows)]
+    spark.createDataFrame(table, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"{path}/events.parquet")
+    spark.createDataFrame([(-1, "the")], "doc_id long, text string").write.parquet(f"{path}/documents.parquet")
+    df = queries.QUERIES[name](spark, str(path))
+    with duckdb.connect() as con:
+        for t in ("events", "documents"):
+            con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{path}/{t}.parquet/*.parquet'")
+        return sorted(map(tuple, df.collect())), sorted(con.execute(f"SELECT {', '.join(df.columns)} FROM ({queries.ORACLES[name]})").fetchall())
+
+
+def paced(*channels):
+    """Watches of user 1 as ``both`` takes them: each channel's gaps in days."""
+    rows = [(1, (sum(gaps[:k]) * 24 * 60 + c), c) for c, gaps in channels for k in range(len(gaps) + 1)]
+    return sorted(rows, key=lambda r: r[1])
+
+
+#: Mean gaps of 2.5 and 2.4 days, 7 and 6 watches: equal scores but for the rounding of tenths.
+EVEN_SCORES = ((38, (3, 2, 3, 2, 3, 2)), (45, (3, 2, 3, 2, 2)))
+
+
+def test_habits_of_even_scores_rank_as_in_sql(spark, tmp_path):
+    got, sql = both(spark, tmp_path, paced(*EVEN_SCORES), "card_habits")
+    assert got == sql and [r[2] for r in got] == ["Channel 45", "Channel 38"]

@@ -58,13 +58,16 @@ def late_night(watch: DataFrame) -> DataFrame:
 
 
 def habit_channels(watch: DataFrame, least: int = 4, span: int = 7, gap: float = 14, n: int = 5) -> DataFrame:
-    """Channels watched at steady distances; gaps of instants are whole 24-hour days, ``total`` is how many channels there are in all."""
+    """Channels watched at steady distances; gaps of instants are whole 24-hour days, ``total`` is how many channels there are in all.
+
+    The score is the mean gap less a tenth of the count. Tenths are divided, not multiplied by a binary 0.1, which is a little more than a tenth.
+    """
     w = Window.partitionBy(USER, "channel_clean").orderBy("_us", "seq")
     micros = F.col("_us")
     days = lambda c: F.floor(c / 86_400_000_000)
     own = with_instants(watch.filter(F.col("channel_clean").isNotNull() & F.col("ts").isNotNull())).select(USER, "channel_clean", "channel", "seq", micros.alias("m"), days(micros - F.lag(micros).over(w)).alias("gap"))
     out = own.groupBy(USER, "channel_clean").agg(F.count("*").alias("n"), F.min_by("channel", "seq").alias("name"), days(F.max("m") - F.min("m")).alias("span"), F.avg("gap").alias("mean_gap"), F.min("seq").alias("s"))
-    out = out.filter((F.col("n") >= least) & (F.col("span") >= span) & (F.col("mean_gap") <= gap)).withColumn("score", F.col("mean_gap") - 0.1 * F.col("n"))
+    out = out.filter((F.col("n") >= least) & (F.col("span") >= span) & (F.col("mean_gap") <= gap)).withColumn("score", F.col("mean_gap") - F.col("n") / 10)
     out = ranked(out, "score", "s").withColumn("total", F.count("*").over(_by_user()))
     return out.filter(F.col("rank") <= n).select(USER, "rank", "name", "n", "span", "mean_gap", "total")
 
