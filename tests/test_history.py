@@ -323,3 +323,9 @@ EVEN_SCORES = ((38, (3, 2, 3, 2, 3, 2)), (45, (3, 2, 3, 2, 2)))
 def test_habits_of_even_scores_rank_as_in_sql(spark, tmp_path):
     got, sql = both(spark, tmp_path, paced(*EVEN_SCORES), "card_habits")
     assert got == sql and [r[2] for r in got] == ["Channel 45", "Channel 38"]
+
+
+def test_card_document_lists_of_one_and_even_scores(spark, tmp_path):
+    got, sql = both(spark, tmp_path, paced(*EVEN_SCORES, (7, (7,) * 9), (9, (1,) * 9)), "card_document")
+    shown = {r[1]: r[2] for r in got}
+    assert got == sql and shown["patterns.insight"] == "You watch **channel 7** on **Mondays** (100% of the time)" and shown["habits.name"] == "Channel 9|Channel 45|Channel 38|Channel 7"

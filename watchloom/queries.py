@@ -761,10 +761,10 @@ _LISTS = {"top_channels": ("card_top_channels", "name"), "habits": ("card_habits
 
 
 def _card_values(s: SparkSession, d: str) -> DataFrame:
-    """Fields and lists of each user's document as rows."""
+    """Fields and lists of each user's document as rows. Lists are read whole: a path with ``[*]`` gives a single match without its brackets."""
     docs = cards.card_document(_tens(s, d), 2024)
     single = F.array(*[F.struct(F.lit(k).alias("field"), F.get_json_object("cards", f"$.{k}").alias("value")) for k in ("year", "metadata.version", "metadata.total_events", "metadata.total_watch", *_CARD)])
-    many = F.array(*[F.struct(F.lit(f"{k}.{c}").alias("field"), F.array_join(F.from_json(F.get_json_object("cards", f"$.{k}[*].{c}"), "array<string>"), "|").alias("value")) for k, (_, c) in _LISTS.items()])
+    many = F.array(*[F.struct(F.lit(f"{k}.{c}").alias("field"), F.array_join(F.from_json(F.get_json_object("cards", f"$.{k}"), f"array<struct<{c}: string>>")[c], "|").alias("value")) for k, (_, c) in _LISTS.items()])
     listed = F.transform(many, lambda x: F.struct(x["field"].alias("field"), x["value"].alias("value")))
     return docs.select("user_id", F.inline(F.concat(single, listed))).filter(F.col("value").isNotNull())
 
