@@ -329,3 +329,14 @@ def test_card_document_lists_of_one_and_even_scores(spark, tmp_path):
     got, sql = both(spark, tmp_path, paced(*EVEN_SCORES, (7, (7,) * 9), (9, (1,) * 9)), "card_document")
     shown = {r[1]: r[2] for r in got}
     assert got == sql and shown["patterns.insight"] == "You watch **channel 7** on **Mondays** (100% of the time)" and shown["habits.name"] == "Channel 9|Channel 45|Channel 38|Channel 7"
+
+
+def test_day_at_the_limit_is_no_binge(spark):
+    """The largest of ten totals is mean + 2 sigma, however sigma is rounded, which depends on the order of the days."""
+    even = ((2, 5, 11, 9, 6, 9, 5, 11, 16, 2), (9, 15, 8, 5, 1, 11, 6, 3, 7, 1), (9, 5, 1, 3, 15, 7, 2, 12, 7, 5), (4, 1, 6, 11, 1, 5, 2, 14, 3, 9))
+    at = [(10 * u + turn, k, totals[(k + turn) % 10]) for u, totals in enumerate(even) for turn in range(10) for k in range(10)]
+    above = [(-1, k, 15 if k == 2 else 3) for k in range(6)]
+    still = [(-2, k, 12) for k in range(4)]
+    days = spark.createDataFrame(at + above + still, "user_id long, k int, total long").withColumn("date", F.date_add(F.lit(T0.date()), F.col("k")))
+    got = [(r.user_id, r.date.day, r.total, r.excess, r.multiplier) for r in streaks.binge_days(days).collect()]
+    assert got == [(-1, 3, 15, 10.0, 3.0)]

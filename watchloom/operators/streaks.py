@@ -5,6 +5,8 @@ All but the first step work on daily aggregates, which are small for each user.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,10 +45,16 @@ def late_night_days(days: DataFrame, least: int = 3, last: int | None = 20) -> D
 
 
 def binge_days(days: DataFrame, least: int = 10, last: int | None = 20, sigmas: float = 2.0) -> DataFrame:
-    """Days above mean + ``sigmas`` sigma (twice the mean if sigma is 0) and ``least`` or more."""
-    mean, sigma = F.avg("total").over(_by_user()), F.stddev_pop("total").over(_by_user())
-    marked = days.withColumns({"mean": mean, "sigma": sigma}).withColumn("limit", F.when(F.col("sigma") == 0, 2 * F.col("mean")).otherwise(F.col("mean") + sigmas * F.col("sigma")))
-    out = marked.filter((F.col("total") > F.col("limit")) & (F.col("total") >= least))
+    """Days above mean + ``sigmas`` sigma (twice the mean if sigma is 0) and ``least`` or more.
+
+    The test is ``days * total - sum > sigmas * sqrt(days * squares - sum * sum)``, squared and in decimals, so a day that equals
+    the limit stays out whatever sigma would be rounded to.
+    """
+    exact, factor = lambda c: F.col(c).cast("decimal(19,0)"), Decimal(str(sigmas))
+    days = days.withColumns({"n": F.count("*").over(_by_user()), "sum": F.sum("total").over(_by_user()), "squares": F.sum(exact("total") * exact("total")).over(_by_user())})
+    marked = days.withColumns({"mean": F.col("sum") / F.col("n"), "spread": exact("n") * F.col("squares") - exact("sum") * exact("sum"), "above": F.col("n") * F.col("total") - F.col("sum")})
+    high = F.when(F.col("spread") == 0, F.col("above") > F.col("sum")).otherwise(exact("above") * F.abs(exact("above")) > F.lit(factor * abs(factor)) * F.col("spread"))
+    out = marked.filter(high & (F.col("total") >= least))
     out = out.select(USER, "date", "total", (F.col("total") - F.col("mean")).alias("excess"), (F.col("total") / F.col("mean")).alias("multiplier"))
     return _last(out, last, "date") if last else out
 
