@@ -105,6 +105,21 @@ def test_hashes_tell_words_apart():
         assert (text_hash.rolling(some, size) == np.concatenate([text_hash.rolling(some[i : i + size], size) for i in range(41 - size)])).all()
 
 
+def test_ngram_sends_no_table_through_the_driver(spark):
+    """No join of the near-duplicate stage is a broadcast one: the driver would build a table of rows that grow with the input."""
+    started = lambda: spark._jsparkSession.sharedState().statusStore().executionsList()
+    bus = spark.sparkContext._jsc.sc().listenerBus()
+    bus.waitUntilEmpty()
+    before = started().size()
+    texts = corpus()
+    kept = {r.doc_id for r in ngram_join.keep_one(table(spark, texts)).collect()}
+    bus.waitUntilEmpty()
+    plans = [started().apply(k).physicalPlanDescription() for k in range(before, started().size())]
+    want = brute_components(texts)
+    assert kept == {k for k, (_, least) in want.items() if k == least}
+    assert any("SortMergeJoin" in p for p in plans) and not any("BroadcastExchange" in p for p in plans)
+
+
 def test_ngram_collisions_and_repeats(spark):
     texts = twins()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_components(table(spark, texts)).collect()} == brute_components(texts)

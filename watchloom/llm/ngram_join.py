@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 
 from watchloom.llm import bloom
 from watchloom.llm.components import connected_components
-from watchloom.llm.storage import bounded, materialise, partitions, unused
+from watchloom.llm.storage import bounded, dealt, materialise, partitions, unused
 from watchloom.llm.text_hash import mix64, shingle_sets, text_slices, words
 
 SIZE, NUM, DEN = 5, 3, 4
@@ -236,7 +236,7 @@ def _groups(docs: DataFrame, size, num, den, seed, small, hot, dense, parts) ->
 
 def _of_nodes(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, size: int, schema: str, column: str, value) -> DataFrame:
     """``value`` of the shingle sets of the wanted nodes, each from one document that has it."""
-    reps = nodes.join(wanted.distinct(), "node", "left_semi").select(F.coalesce("rep", F.lit(-(2**63))).alias("rep"))
+    reps = nodes.join(dealt(wanted.distinct()), "node", "left_semi").select(F.coalesce("rep", F.lit(-(2**63))).alias("rep"))
     chosen = docs.sparkSession.sparkContext.broadcast(bloom.build(materialise(mixed(reps, "rep")), "rep"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,7 +265,7 @@ def _against(pairs: DataFrame, table: DataFrame, payload: str, keep) -> DataFram
 
     A pair travels with the payload of ``m`` alone; that of ``c`` comes once for each salt, before its members.
     """
-    side = lambda name: table.select(F.col("node").alias(name), "n", payload)
+    side = lambda name: dealt(table.select(F.col("node").alias(name), "n", payload))
     members = pairs.join(side("m"), "m").select("c", "salt", "m", "n", payload)
     centres = pairs.select("c", "salt").distinct().join(side("c"), "c").select("c", "salt", F.lit(None).cast("long").alias("m"), "n", payload)
 
@@ -321,19 +321,22 @@ def _pairs(df: DataFrame, c: str, m: str, size: str | None = None) -> DataFrame:
 
 
 def _keyed(rows: DataFrame, few: DataFrame, key: str, how: str) -> DataFrame:
-    """``rows`` joined with ``few``, one row per key, on a key that may hold a large part of the rows: its rows are dealt to salts by node."""
+    """``rows`` joined with ``few``, one row per key, on a key that may hold a large part of the rows: its rows are dealt to salts by node.
+
+    ``few`` is repeated for each salt, so it is never broadcast.
+    """
     salted = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
-    return rows.withColumn("_salt", F.pmod(F.xxhash64("node", F.lit(3)), F.lit(_SALTS)).cast("int")).join(salted, [key, "_salt"], how).drop("_salt")
+    return rows.withColumn("_salt", F.pmod(F.xxhash64("node", F.lit(3)), F.lit(_SALTS)).cast("int")).join(dealt(salted), [key, "_salt"], how).drop("_salt")
 
 
 def _crossing(members: DataFrame, labels: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
     """In large groups the pairs of different components that pass the bit sketch."""
-    named = members.join(labels.select(F.col("v").alias("node"), "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    centres = members.select("centre").distinct().join(labels.select(F.col("v").alias("centre"), F.col("label").alias("own")), "centre")
+    named = members.join(dealt(labels.select(F.col("v").alias("node"), "label")), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    centres = members.select("centre").distinct().join(dealt(labels.select(F.col("v").alias("centre"), F.col("label").alias("own"))), "centre")
     named = _keyed(named, centres, "centre", "left").withColumn("rest", F.col("label") != F.coalesce("own", "centre")).drop("own", "centre")
     named = materialise(named)
     totals = named.groupBy("sig").agg(F.count("*").alias("total"), F.count_if("rest").alias("open")).filter("open > 0")
-    named = _keyed(named, totals, "sig", "inner").join(sketches, "node")
+    named = _keyed(named, totals, "sig", "inner").join(dealt(sketches), "node")
     over = lambda c: F.ceil(F.col(c) / _BLOCK).cast("int")
     place = lambda c: F.pmod(F.xxhash64("node"), over(c)).cast("int")
     every = lambda c: F.explode(F.sequence(F.lit(0), over(c) - 1))
@@ -395,7 +398,7 @@ def _tally(batches: list[pa.RecordBatch], num: int, den: int) -> tuple[np.ndarra
 
 def _link_counts(sets: DataFrame, labels: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
     """``node, links``: rows of all other sets that link with a set, for each with a link."""
-    members = sets.join(labels.select(F.col("v").alias("node"), "label"), "node").join(nodes.select("node", F.col("rows").alias("weight")), "node")
+    members = sets.join(dealt(labels.select(F.col("v").alias("node"), "label")), "node").join(dealt(nodes.select("node", F.col("rows").alias("weight"))), "node")
     blocks = members.groupBy("label").agg(F.ceil(F.sum("n") / _BLOCK_SHINGLES).cast("int").alias("blocks"))
     members = members.join(F.broadcast(materialise(blocks.filter("blocks > 1"))), "label", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     members = members.withColumn("i", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -448,7 +451,7 @@ def ngram_components(docs: DataFrame, id: str = "doc_id", text: str = "text", si
     groups = materialise(_groups(docs, size, num, den, seed, small, hot, dense, parts))
     members = groups.filter("kind = 2").select("sig", F.col("a").alias("node"))
     shared = members.groupBy("node").agg(F.count("*").alias("shared"))
-    best = members.join(shared, "node").groupBy("sig").agg(F.max_by("node", F.struct("shared", "node")).alias("centre"), F.count("*").alias("size"))
+    best = members.join(dealt(shared), "node").groupBy("sig").agg(F.max_by("node", F.struct("shared", "node")).alias("centre"), F.count("*").alias("size"))
     members = materialise(_keyed(members, materialise(best), "sig", "inner"))
     stars = materialise(_pairs(groups.filter("kind = 0"), "a", "b").unionByName(_pairs(members.filter("node != centre"), "centre", "node", "size")))
     others = groups.filter("kind = 1").select("a", "b").distinct()
@@ -456,7 +459,7 @@ def ngram_components(docs: DataFrame, id: str = "doc_id", text: str = "text", si
     sketches = _of_nodes(docs, nodes, wanted, size, "array<long>", "sketch", _bit_sketch)
     edges, sets = _verified(_plausible(stars, sketches, num, den), docs, nodes, size, num, den)
     labels = connected_components(edges.select(F.col("c").alias("u"), F.col("m").alias("v")))
-    of = lambda c: labels.select(F.col("v").alias(c), F.col("label").alias(f"l{c}"))
+    of = lambda c: dealt(labels.select(F.col("v").alias(c), F.col("label").alias(f"l{c}")))
     apart = others.join(of("a"), "a", "left").join(of("b"), "b", "left").filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
     crossing = _crossing(members, labels, sketches, num, den)
     second = _plausible(_pairs(apart, "a", "b"), sketches, num, den).unionByName(_pairs(crossing.withColumn("size", F.lit(16 * _STAR)), "a", "b", "size"))
@@ -465,18 +468,18 @@ def ngram_components(docs: DataFrame, id: str = "doc_id", text: str = "text", si
     if not more.isEmpty():
         whole = edges.unionByName(more).select(F.col("c").alias("u"), F.col("m").alias("v"))
         labels = connected_components(whole)
-    named = nodes.select("node", "rep", "rows").join(labels.withColumnRenamed("v", "node"), "node", "left")
+    named = nodes.select("node", "rep", "rows").join(dealt(labels.withColumnRenamed("v", "node")), "node", "left")
     named = named.withColumn("label", F.coalesce("label", "node"))
     least = named.groupBy("label").agg(F.min("rep").alias("component_id"))
-    found = named.join(least, "label")
+    found = named.join(dealt(least), "label")
     columns = [F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")]
     if links:
-        sets = sets.unionByName(late.join(sets.select("node"), "node", "left_anti"))
-        found = found.join(_link_counts(sets, labels, nodes, num, den), "node", "left").select("node", "component_id", (F.coalesce("links", F.lit(0)) + F.col("rows") - 1).alias("n_links"))
+        sets = sets.unionByName(late.join(dealt(sets.select("node")), "node", "left_anti"))
+        found = found.join(dealt(_link_counts(sets, labels, nodes, num, den)), "node", "left").select("node", "component_id", (F.coalesce("links", F.lit(0)) + F.col("rows") - 1).alias("n_links"))
         columns.append(F.coalesce("n_links", F.lit(0)).alias("n_links"))
     else:
         found = found.select("node", "component_id")
-    out = rows.select("doc_id", "n", "node").join(found, "node", "left")
+    out = rows.select("doc_id", "n", "node").join(dealt(found), "node", "left")
     return out.select("doc_id", *columns)
 
 
@@ -499,4 +502,4 @@ def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFra
     found = ngram_components(docs, id, text)
     name = unused(docs, "_stay")
     stay = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(stay, F.col(id).cast("long").eqNullSafe(F.col(name)), "left_semi").dropDuplicates([id, text])
+    return docs.join(dealt(stay), F.col(id).cast("long").eqNullSafe(F.col(name)), "left_semi").dropDuplicates([id, text])

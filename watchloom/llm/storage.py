@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from watchloom.session import shared_dir, ship
 
-__all__ = ["bounded", "materialise", "partitions", "release", "shared_dir", "unused"]
+__all__ = ["bounded", "dealt", "materialise", "partitions", "release", "shared_dir", "unused"]
 
 _BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
@@ -47,6 +47,15 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join whose rows grow with the input: both sides are shuffled, none is broadcast.
+
+    Spark goes by the bytes of the files, which are packed and not yet exploded, when it takes a side as small, and the driver
+    then builds a table of all its rows, several times as large.
+    """
+    return df.hint("merge")
+
+
 def unused(df: DataFrame, name: str) -> str:
     """``name``, with underscores behind it until no column of ``df`` is called so."""
     taken = {c.lower() for c in df.columns}
